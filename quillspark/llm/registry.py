@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, linerules, mixing, seedextend
+from . import bytebpe, linerules, mixing, orderminhash, seedextend
 from .oracle import ORACLES
 
 
@@ -37,8 +37,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of each document."""
+    found = orderminhash.classes(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "class_id", "coalesce(doc_id = class_id, true) as kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op5_line_rules, op8_seed_extend, op9_byte_bpe)}
+    return {f.__name__: f for f in (op3_mixing, op5_line_rules, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
