@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A cache of words is emptied when it holds this many; that costs time, never results.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +50,7 @@ class WordHashes(dict):
         return word
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """So many rows at a time, to bound what Python objects of a batch take."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -48,45 +48,50 @@ def targets(sources: DataFrame, share: float = 1.0, most: int = MOST) -> DataFra
     return ranked.select("source", "source_size", "n", target.alias("target"))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, share: float = 1.0, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken, columns of ``keep``) for each row: how often the mix takes it, and the words that gives.
+def plan(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, most: int = MOST) -> DataFrame:
+    """(key, content, source, size, source_size, target, copies, taken) for each row: how often the mix takes it, and the words that gives.
 
-    weight: quality weight of a row, above 0; null, 0 and less count as 1. A null or empty text has size 0 and takes no
-    words; null sources are one source; rows that repeat a key are rows of their own (which of equals comes first doesn't
-    change any result); no rows give no rows.
+    labels: (key, quality); a good document (1) weighs 2, a bad one (0) 0.5, others 1; of several labels of one document
+    the best counts. content is a hash of the text. A null or empty text has size 0 and takes no words; null sources are
+    one source; rows that repeat a key are rows of their own (which of equals comes first changes no result); no rows give no rows.
     """
-    base = docs.select(docs[key].alias("key"), docs[source].alias("source"), n_words(docs[text]).alias("size"), (F.lit(1.0) if weight is None else weight).cast("double").alias("weight"), *(docs[c].alias(f"keep_{c}") for c in keep))
+    base = docs.select(docs[key].alias("key"), docs[source].alias("source"), n_words(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("content"))
+    weight = F.lit(1.0)
+    if labels is not None:
+        best = labels.groupBy(F.col(key).alias("labelled")).agg(F.max("quality").alias("quality"))
+        base = base.join(best, base["key"] == best["labelled"], "left").drop("labelled")
+        weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    base = base.withColumn("order", -F.log(u) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
+    base = base.withColumn("order", -F.log(u) / weight)
     # 1 - exp(-key) lies in (0, 1) and rises with the key: it deals the keys of a source into ranges
-    base = written(base.withColumn("place", -F.expm1(-F.col("order"))).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "key", "size"), F.lit(SALTS))).drop("weight"), "mix")
+    base = base.withColumn("place", -F.expm1(-F.col("order"))).withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "key", "content"), F.lit(SALTS)))
+    base = written(base.select("key", "content", "source", "size", "order", "place", "salt"), "mix")
     sources = targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share, most)
     salted = sources.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")).withColumnRenamed("source", "of")
     rows = base.join(salted, base["source"].eqNullSafe(salted["of"]) & (base["salt"] == salted["salt"]), "left").drop("of", "salt")
-    rows = rows.withColumn("slice", F.floor(F.col("place") * F.ceil(F.col("n") / F.lit(float(SLICE)))))
-    rows = written(rows, "mixed")
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    rows = written(rows.withColumn("slice", F.floor(F.col("place") * F.ceil(F.col("n") / F.lit(float(SLICE))))), "mixed")
+    parts = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(F.col("source").alias("of"), F.col("slice").alias("at"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    rows = rows.join(slices, rows["source"].eqNullSafe(slices["of"]) & (rows["slice"] == slices["at"]), "left")
+    parts = parts.select(F.col("source").alias("of"), F.col("slice").alias("at"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(parts, rows["source"].eqNullSafe(parts["of"]) & (rows["slice"] == parts["at"]), "left")
     within = Window.partitionBy("source", "slice").orderBy("order", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
     upto = F.col("before") + F.sum("size").over(within)
     copies = F.least(epochs + F.when(upto - F.col("size") / 2.0 < rest, 1).otherwise(0), F.lit(most)).cast("int")
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"keep_{c}").alias(c) for c in keep))
-
-
-def by_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with ``quality_weight``: 2 where a label calls the document good, 0.5 where bad, 1 where there is none. Of several labels of one document the best counts."""
-    best = labels.groupBy(F.col(key).alias("labelled")).agg(F.max("quality").alias("label_quality"))
-    joined = docs.join(best, docs[key] == best["labelled"], "left").drop("labelled")
-    return joined.withColumn("quality_weight", F.when(F.col("label_quality") == 1, 2.0).when(F.col("label_quality") == 0, 0.5).otherwise(1.0)).drop("label_quality")
+    return rows.select(F.col("key").alias(key), "content", F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of docs with their columns, each as often as the mix takes it (not at all, or up to ``most`` times)."""
-    weighted = docs if labels is None else by_labels(docs, labels, key)
-    kept = plan(weighted, key, text, source, None if labels is None else weighted["quality_weight"], most=most, keep=tuple(c for c in docs.columns if c not in (key, source)))
-    return kept.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The mix itself: the rows of docs with their columns, each as often as the mix takes it (not at all, or up to ``most`` times).
+
+    The plan holds no texts; it meets the rows on key, text hash and, for rows that repeat both, their number.
+    """
+    nth = F.row_number().over(Window.partitionBy("mix_key", "mix_content").orderBy("mix_key"))
+    planned = plan(docs, labels, key, text, source, most=most).select(F.col(key).alias("mix_key"), F.col("content").alias("mix_content"), "copies")
+    planned = planned.withColumn("plan_nth", nth).where("copies > 0").withColumnsRenamed({"mix_key": "plan_key", "mix_content": "plan_content", "copies": "plan_copies"})
+    rows = docs.withColumn("mix_key", docs[key]).withColumn("mix_content", F.xxhash64(docs[text])).withColumn("mix_nth", nth)
+    # the number isn't a join key, so both windows' partitioning serves the join too
+    same = rows["mix_key"].eqNullSafe(planned["plan_key"]) & (rows["mix_content"] == planned["plan_content"]) & (rows["mix_nth"] - planned["plan_nth"] == 0)
+    return rows.join(planned, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("plan_copies")))).select(*(F.col(c) for c in docs.columns))

@@ -16,8 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in a mix of sources by weight."""
-    docs = mixing.by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.plan(docs, weight=docs["quality_weight"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
