@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytebpe, lattice, linerules, mixing, orderminhash, seedextend
+from . import bytebpe, langid, lattice, linerules, mixing, orderminhash, seedextend, urltrees, warc
 from .oracle import ORACLES
 
 
@@ -19,6 +20,13 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in a mix of sources by weight."""
     return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken")
@@ -29,6 +37,20 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.clean(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion record of each page."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+
+
+#: The rules that the URL filter starts from.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL."""
+    return urltrees.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat earlier documents."""
     return seedextend.without_repeats(table(spark, sf_dir, "documents"), digest=True)
@@ -48,7 +70,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op3_mixing, op5_line_rules, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
