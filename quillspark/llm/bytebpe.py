@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CACHE, slices
+from .common import CACHE, mapped, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -136,7 +136,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
                 yield pa.record_batch([part.column(0), pa.array([codec.encode(x) for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["key", "ids"])
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -150,7 +150,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str =
                 yield pa.record_batch([part.column(0), pa.array([codec.decode(x or ()) for x in part.column(1).to_pylist()], pa.binary())], ["key", "bytes"])
 
     rows = df.select(df[key].alias("key"), df[ids].alias("ids"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, bytes binary").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, bytes binary").withColumnRenamed("key", key)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -174,5 +174,5 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after this package was sent to the workers, once for each application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quillspark-")), "quillspark.zip")
+        with zipfile.ZipFile(name, "w") as out:
+            for source in sorted(top.rglob("*.py")):
+                out.write(source, source.relative_to(top.parent))
+        context.addPyFile(name)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash, remembered."""
 

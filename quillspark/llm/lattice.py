@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, written
+from .common import components, mapped, mix, written
 
 THRESHOLD = 0.9
 TABLES = 10
@@ -211,7 +211,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
             known[dim] = projections(dim, tables, halves, scale, seed)
         return known[dim]
 
-    hashed = written(exact.select("rep", "copies", "vector").mapInArrow(_hash(planes_of, width), "rep long, copies long, vector binary, cells array<long>"), "cells")
+    hashed = written(mapped(exact.select("rep", "copies", "vector"), _hash(planes_of, width), "rep long, copies long, vector binary, cells array<long>"), "cells")
     # a cell may come twice among one vector's cells
     spread = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
     sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -221,7 +221,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     spread = spread.select("rep", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # a pair of blocks of which one is the block itself is compared within (i, i) only
     full = spread.join(hashed, "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    met = written(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "cells").mapInArrow(_compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
+    met = written(mapped(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "cells"), _compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     found = exact.join(counts, "rep", "left").join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -15,7 +15,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import mapped, slices
 
 #: What ends a sentence, also before closing quotes and brackets.
 ENDS = tuple(".!?:;…。！？")
@@ -114,4 +114,4 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool
                 yield pa.record_batch([part.column(0), *cols[: len(names) - 1]], names)
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {FIELDS}" + ", cleaned string" * texts).withColumnRenamed("key", key)
+    return mapped(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, {FIELDS}" + ", cleaned string" * texts).withColumnRenamed("key", key)

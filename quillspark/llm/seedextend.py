@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, slices, written
+from .common import WordHashes, mapped, mix, slices, written
 
 SEED = 12
 WINDOW = 50
@@ -143,7 +143,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
         raise ValueError("window must exceed seed by 1 to 62 words")
     rows = docs.select(docs[key].cast("long").alias("doc"), F.xxhash64(docs[text]).alias("content"), docs[text].alias("text"))
     rows = rows.where("doc is not null and text is not null")
-    found = written(rows.mapInArrow(_find_segments(window, seed), "doc long, content long, anchor long, body long, start int, windows int"), "segments")
+    found = written(mapped(rows, _find_segments(window, seed), "doc long, content long, anchor long, body long, start int, windows int"), "segments")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("body").alias("b0"), F.max("body").alias("b1"))
     shared = shared.where("lo < hi").select("anchor", F.expr("b0 <> b1").alias("differ"))
     met = written(found.join(shared, "anchor"), "met")
@@ -151,7 +151,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
     classes = written(classes.select("anchor", "body", "windows", "differ", "hi", F.col("first.doc").alias("lo"), F.col("first.content").alias("at"), F.col("first.start").alias("start")), "classes")
     todo = classes.where("differ").groupBy(F.col("lo").alias("doc"), F.col("at").alias("content")).agg(F.collect_list(F.struct("anchor", "body", "start", "windows")).alias("todo"))
 
-    prints = written(rows.join(todo, ["doc", "content"]).select("doc", "text", "todo").mapInArrow(_extend(window), "doc long, anchor long, body long, offset int, print long"), "prints")
+    prints = written(mapped(rows.join(todo, ["doc", "content"]).select("doc", "text", "todo"), _extend(window), "doc long, anchor long, body long, offset int, print long"), "prints")
     best = prints.groupBy("anchor", "print").agg(F.min("doc").alias("best"), F.max("doc").alias("last")).where("best < last").drop("last")
     part = prints.join(best, ["anchor", "print"]).where("best < doc").groupBy("anchor", "body").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("part"))
     known = classes.join(part, ["anchor", "body"], "left").where("part is not null or lo < hi").select("anchor", "body", "lo", F.coalesce("part", F.lit(0)).alias("part"))
@@ -196,4 +196,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key
                     kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept"])
 
-    return marked.mapInArrow(run, fields).withColumnsRenamed({"key": key, "kept": "kept_sha256" if digest else text})
+    return mapped(marked, run, fields).withColumnsRenamed({"key": key, "kept": "kept_sha256" if digest else text})
