@@ -87,9 +87,19 @@ class Forest(NamedTuple):
         return 1 / (1 + np.exp(-score))
 
 
+def _cuts(column: np.ndarray, bins: int) -> np.ndarray:
+    """Places between values of the column, near its quantiles, and midway between the values on either side."""
+    if not len(column):
+        return np.zeros(0)
+    values = np.unique(column)
+    at = np.searchsorted(values, np.unique(np.quantile(column, np.arange(1, bins) / bins)), side="right")
+    at = np.unique(at[at < len(values)])
+    return (values[at - 1] + values[at]) / 2
+
+
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Forest:
     """Trees for the probability of y = 1; the same for the same rows."""
-    cuts = [np.unique(np.quantile(col, np.arange(1, bins) / bins)) for col in x.T]
+    cuts = [_cuts(col, bins) for col in x.T]
     codes = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1) if len(x) else np.zeros((0, x.shape[1]), int)
     rate = (y.sum() + 1) / (len(y) + 2)
     base = math.log(rate / (1 - rate))
