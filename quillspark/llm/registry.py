@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, langid, lattice, linerules, mixing, orderminhash, seedextend, urltrees, warc
+from . import bytebpe, langid, lattice, linerules, mixing, orderminhash, seedextend, urltrees, warc, weaklabel
 from .oracle import ORACLES
 
 
@@ -42,6 +42,12 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by the scorer that the posterior of the heuristic labellers trains."""
+    docs = table(spark, sf_dir, "documents")
+    return weaklabel.scored(docs, *weaklabel.fit(docs))
+
+
 #: The rules that the URL filter starts from.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
@@ -70,7 +76,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op6_weak_labels, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
