@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,29 +172,63 @@ def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def _marked(docs: DataFrame, window: int, seed: int, key: str, text: str) -> DataFrame:
+    """docs with the spans of each row's repeats as rep_spans."""
+    found = repeats(docs, window, seed, key, text).withColumnsRenamed({"doc": "rep_doc", "content": "rep_content", "spans": "rep_spans"})
+    rows = docs.withColumn("rep_key", docs[key].cast("long")).withColumn("rep_hash", F.xxhash64(docs[text]))
+    same = (rows["rep_key"] == found["rep_doc"]) & (rows["rep_hash"] == found["rep_content"])
+    return rows.join(found, same, "left").select(*(rows[c] for c in docs.columns), "rep_spans")
+
+
+def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
+    """Number of words, and the words that no repeated window covers."""
+    words = (text or "").encode().split()
+    if not spans:
+        return len(words), words
+    keep = ~covered(len(words), spans, window)
+    return len(words), [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, n_words, n_removed, and the kept words joined by one space as ``text``, or with ``digest`` their SHA-256).
 
     One row for each row of docs. A null or empty text has no words and gives the empty text; a row with a null key is no
     source for others and loses nothing; of rows with one key none is a source for another; an empty table gives no rows.
     """
-    fields = f"key {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string"
-    rows = docs.select(docs[key].alias("key"), docs[key].cast("long").alias("doc"), F.xxhash64(docs[text]).alias("content"), docs[text].alias("text"))
-    marked = rows.join(repeats(docs, window, seed, key, text), ["doc", "content"], "left").select("key", "text", "spans")
+    marked = _marked(docs.select(key, text), window, seed, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 128):
-                n, gone, kept = [], [], []
-                for words, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = (words or "").encode().split()
-                    n.append(len(words))
-                    if spans:
-                        keep = ~covered(len(words), spans, window)
-                        words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    gone.append(n[-1] - len(words))
-                    left = b" ".join(words)
-                    kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept"])
+                found = [_kept(*x, window) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                left = [b" ".join(words) for _, words in found]
+                kept = [hashlib.sha256(x).hexdigest() if digest else x.decode() for x in left]
+                yield pa.record_batch([part.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([n - len(w) for n, w in found], pa.int64()), pa.array(kept, pa.string())], ["key", "n_words", "n_removed", "kept"])
 
+    fields = f"key {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string"
     return mapped(marked, run, fields).withColumnsRenamed({"key": key, "kept": "kept_sha256" if digest else text})
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
+    """The rows of docs with their columns and without repeats in ``text``; ``count`` names a column that gets the new length.
+
+    Texts that lose nothing stay as they are, to the character, and others are the kept words joined by one space. Rows
+    that lose all their words go. Nulls, empty texts and repeated keys are as in without_repeats().
+    """
+    marked = _marked(docs, window, seed, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, spans_at = batch.schema.get_field_index(text), batch.num_columns - 1
+            for part in slices(batch, 128):
+                out = part.column(at).to_pylist()
+                for i, spans in enumerate(part.column(spans_at).to_pylist()):
+                    if spans:
+                        _, words = _kept(out[i], spans, window)
+                        out[i] = b" ".join(words).decode() if words else None
+                lost = pa.array([bool(s) and x is None for s, x in zip(part.column(spans_at).to_pylist(), out, strict=True)], pa.bool_())
+                part = part.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select(range(spans_at))
+                yield part.filter(pa.compute.invert(lost))
+
+    rows = mapped(marked, run, docs.schema)
+    return rows if count is None else rows.withColumn(count, F.length(text).cast(docs.schema[count].dataType)).select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import CACHE, mapped, slices
 
 ABSTAIN = 2
-#: A text of fewer words is too short for shares of its words to mean much.
+#: A text of fewer words is too short for shares of its words to mean much: it has the benefit of the doubt.
 FEW = 12
 SPACE = 1 << 16
 #: At most about so many documents are fitted to: those with the smallest hash of the key and the text.
@@ -53,10 +53,10 @@ def votes(text: str | None) -> tuple[int, ...]:
     return (
         choose(sum(map(text.count, "#*$%&<>")) / n, 0.2, 0.02),
         choose(1 - ended, 0.7, 0.1),
-        choose(1 - len(set(lines)) / len(lines), 0.3, 0.05) if len(lines) > 3 else ABSTAIN,
-        ABSTAIN if few else choose(abs(letters - 6.5), 5.0, 2.0),
-        ABSTAIN if few else 0 if known < 0.03 else 1 if known > 0.12 else ABSTAIN,
-        choose(1 - len(set(runs)) / len(runs), 0.3, 0.05) if len(runs) > 20 else ABSTAIN,
+        choose(1 - len(set(lines)) / len(lines), 0.3, 0.05) if len(lines) > 3 else 1,
+        1 if few else choose(abs(letters - 6.5), 5.0, 2.0),
+        1 if few else 0 if known < 0.03 else 1 if known > 0.12 else ABSTAIN,
+        choose(1 - len(set(runs)) / len(runs), 0.3, 0.05) if len(runs) > 20 else 1,
         choose(upper, 0.3, 0.02),
         choose(sum(map(text.count, "|»•›")) / n, 0.15, 0.01),
     )
