@@ -1,11 +1,43 @@
-"""Names of the catalogue queries and the SQL that they are held against."""
+"""The catalogue's queries on the driver's tables, each beside DuckDB SQL with the same result.
+
+Roles: orders are notices (customer the buyer, nation the region), lineitem their references and files, events the
+coverage of runs, pages recorded responses, documents bodies of text, labels verdicts, conversations versions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if it has any."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    from . import catalogue, documents, writes  # noqa: F401  they register
 
-def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(_SQL)
