@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a run of characters other than space and the controls U+0009 to U+000D; bytes.split() splits UTF-8 just so.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,20 +38,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), after this package was sent to the workers, once for each application."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[1]
-        name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="quillspark-")), "quillspark.zip")
-        with zipfile.ZipFile(name, "w") as out:
-            for source in sorted(top.rglob("*.py")):
-                out.write(source, source.relative_to(top.parent))
-        context.addPyFile(name)
-        _SHIPPED.add(context.applicationId)
+    """df.mapInArrow(run, schema), with this package sent to the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
