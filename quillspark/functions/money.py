@@ -33,7 +33,7 @@ def yuan(amount: Column) -> Column:
     """Cents as a decimal with two places, by whole-number arithmetic; empty for null."""
     size = F.abs(amount)
     whole = F.call_function("div", size, F.lit(100))
-    return F.coalesce(F.format_string("%s%d.%02d", F.when(amount < 0, "-").otherwise(""), whole, size % 100), F.lit(""))
+    return F.when(amount.isNull(), "").otherwise(F.format_string("%s%d.%02d", F.when(amount < 0, "-").otherwise(""), whole, size % 100))
 
 
 def primary(present: dict[str, Column]) -> tuple[Column, Column]:
