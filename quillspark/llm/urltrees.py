@@ -168,7 +168,8 @@ def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: s
     chosen = labelled.select("url", "host", "path", "suffix", (F.col("listed") == "block").alias("blocked"), "order", "key").orderBy("order", "key").limit(sample)
     got = mapped(chosen.select("url", "host", "path", "suffix", "blocked"), features, "x array<double>, blocked boolean").collect()
     got.sort(key=lambda r: (r["x"], r["blocked"]))
-    forest = boost(np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES)), np.array([float(r["blocked"]) for r in got]))
+    examples = np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES))
+    forest = boost(examples, np.array([float(r["blocked"]) for r in got])) if got else Forest(-20.0, ())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
