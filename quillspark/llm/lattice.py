@@ -214,7 +214,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     hashed = written(mapped(exact.select("rep", "copies", "vector"), _hash(planes_of, width), "rep long, copies long, vector binary, cells array<long>"), "cells")
     # a cell may come twice among one vector's cells
     spread = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
-    sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     spread = written(spread.join(sizes, "cell").select("rep", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "spread")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = spread.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -146,16 +146,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
     rows = rows.where("doc is not null and text is not null")
     found = written(mapped(rows, _find_segments(window, seed), "doc long, content long, anchor long, body long, start int, windows int"), "segments")
     shared = found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("body").alias("b0"), F.max("body").alias("b1"))
-    shared = shared.where("lo < hi").select("anchor", F.expr("b0 <> b1").alias("differ"))
+    # written, so that both sides of the join are dealt out for it and a hot anchor's rows can be split
+    shared = written(shared.where("lo < hi").select("anchor", F.expr("b0 <> b1").alias("differ")), "shared")
     met = written(found.join(shared, "anchor"), "met")
     classes = met.groupBy("anchor", "body").agg(F.min(F.struct("doc", "content", "start")).alias("first"), F.max("doc").alias("hi"), F.first("windows").alias("windows"), F.first("differ").alias("differ"))
     classes = written(classes.select("anchor", "body", "windows", "differ", "hi", F.col("first.doc").alias("lo"), F.col("first.content").alias("at"), F.col("first.start").alias("start")), "classes")
     todo = classes.where("differ").groupBy(F.col("lo").alias("doc"), F.col("at").alias("content")).agg(F.collect_list(F.struct("anchor", "body", "start", "windows")).alias("todo"))
 
     prints = written(mapped(rows.join(todo, ["doc", "content"]).select("doc", "text", "todo"), _extend(window), "doc long, anchor long, body long, offset int, print long"), "prints")
-    best = prints.groupBy("anchor", "print").agg(F.min("doc").alias("best"), F.max("doc").alias("last")).where("best < last").drop("last")
+    best = written(prints.groupBy("anchor", "print").agg(F.min("doc").alias("best"), F.max("doc").alias("last")).where("best < last").drop("last"), "best")
     part = prints.join(best, ["anchor", "print"]).where("best < doc").groupBy("anchor", "body").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("part"))
-    known = classes.join(part, ["anchor", "body"], "left").where("part is not null or lo < hi").select("anchor", "body", "lo", F.coalesce("part", F.lit(0)).alias("part"))
+    known = classes.join(written(part, "part"), ["anchor", "body"], "left").where("part is not null or lo < hi").select("anchor", "body", "lo", F.coalesce("part", F.lit(0)).alias("part"))
+    known = written(known, "known")
     hit = met.join(known, ["anchor", "body"]).select("doc", "content", "start", F.expr("case when doc > lo then shiftleft(1L, windows) - 1 else part end").alias("mask")).where("mask <> 0")
     return hit.groupBy("doc", "content").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
