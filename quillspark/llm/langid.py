@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, slices
+from .common import mapped, sampled, slices
 
 WINDOW = 64
 HIDDEN = 8
@@ -187,7 +187,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
     start = F.pmod(place, F.greatest(F.length(docs[text]) - passage, F.lit(0)) + 1).cast("int") + 1
     rows = rows.select(place.alias("place"), docs[text].substr(start, F.lit(passage)).alias("text"), docs[lang].alias("lang"))
-    rows = rows.orderBy("place", "lang", "text").limit(sample).collect()
+    rows = sampled(rows, "place", sample, docs.where(docs[lang].isNotNull()).count()).collect()
+    rows.sort()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

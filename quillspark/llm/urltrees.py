@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, slices
+from .common import mapped, sampled, slices
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 4096
@@ -164,8 +164,8 @@ def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: s
             for part in slices(batch, 2048):
                 yield pa.record_batch([pa.array(list(_matrix(part, rate, count)), pa.list_(pa.float64())), part.column(4)], ["x", "blocked"])
 
-    labelled = rows.where("listed is not null").withColumn("order", F.xxhash64(F.lit("sample"), "url"))
-    chosen = labelled.select("url", "host", "path", "suffix", (F.col("listed") == "block").alias("blocked"), "order", "key").orderBy("order", "key").limit(sample)
+    labelled = rows.where("listed is not null").withColumn("order", F.xxhash64(F.lit("sample"), "url", "key"))
+    chosen = sampled(labelled.select("url", "host", "path", "suffix", (F.col("listed") == "block").alias("blocked"), "order"), "order", sample, sum(r["labelled"] for r in known))
     got = mapped(chosen.select("url", "host", "path", "suffix", "blocked"), features, "x array<double>, blocked boolean").collect()
     got.sort(key=lambda r: (r["x"], r["blocked"]))
     examples = np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES))
