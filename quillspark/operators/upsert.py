@@ -70,3 +70,25 @@ def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame
 def first_of_equal(rows: DataFrame, by: Column, *order: str) -> DataFrame:
     """(columns of order, copies): of rows with one ``by`` the first, and how many there are."""
     return rows.groupBy(by.alias("by_key")).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("copies")).select(*(F.col(f"first.{c}").alias(c) for c in order), "copies")
+
+
+def snapshot(versions_: DataFrame, verdicts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """versions with the verdict's columns on exactly those that it was made for; the others keep what they had."""
+    v, c = versions_.alias("v"), verdicts.select(*keys, *columns, F.lit(True).alias("judged")).alias("c")
+    joined = v.join(c, [F.col(f"v.{k}") == F.col(f"c.{k}") for k in keys], "left")
+    return joined.select(*((F.when(F.col("judged"), F.col(f"c.{x}")).otherwise(F.col(f"v.{x}")) if x in columns else F.col(f"v.{x}")).alias(x) for x in versions_.columns))
+
+
+def within_budget(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """rows with ``granted``: the first ``most`` of each group in order. Groups are sources, so few and even; ties go by all columns."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order, *(c for c in rows.columns if c not in (group, order))))
+    return rows.withColumn("granted", place <= most)
+
+
+def projected(rows: DataFrame, names: dict[str, Sequence[str]]) -> DataFrame:
+    """Each output column is the first of its candidate columns that is there and filled."""
+    there = set(rows.columns)
+    pick = lambda options: F.coalesce(*(F.nullif(F.col(o).cast("string"), F.lit("")) for o in options if o in there), F.lit(None).cast("string"))
+    return rows.select(*(pick(options).alias(name) for name, options in names.items()))

@@ -41,3 +41,14 @@ def violations(artifacts: DataFrame, files: DataFrame, key: str) -> DataFrame:
     )
     found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests)))
     return rows.select(F.col(key), F.explode(found).alias("problem"))
+
+
+def export_rows(catalogue: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """The catalogue with one row for each link; notices without a link stay, with nulls. links: key and columns of their own."""
+    own = links.withColumnRenamed(key, "link_of")
+    return catalogue.join(own, catalogue[key] == own["link_of"], "left").drop("link_of")
+
+
+def export_counts(rows: DataFrame, key: str, url: str) -> DataFrame:
+    """(notices, rows, with_url) of an export."""
+    return rows.agg(F.count_distinct(key).alias("notices"), F.count("*").alias("rows"), F.count_if(F.coalesce(F.col(url), F.lit("")) != "").alias("with_url"))
