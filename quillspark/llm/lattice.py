@@ -129,42 +129,71 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
+class _Rows:
+    """Columns of a table of rows as arrays; vectors of each length are one matrix of unit vectors."""
+
+    def __init__(self, rows: pa.Table, kind: type, per_table: int) -> None:
+        self.n = rows.num_rows
+        self.cell, self.i, self.j, self.block, self.rep, self.copies = (rows.column(k).to_numpy() for k in ("cell", "i", "j", "block", "rep", "copies"))
+        blobs = rows.column("vector").combine_chunks()
+        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
+        _, ends, data = blobs.buffers()
+        ends = np.frombuffer(ends, np.int32)[blobs.offset : blobs.offset + self.n + 1]
+        self.length, data = np.diff(ends), np.frombuffer(data, np.uint8)
+        self.place, self.units = np.empty(self.n, np.int64), {}
+        for size in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == size)
+            raw = data[ends[own][:, None] + np.arange(size)].view(kind).astype(np.float64) if len(own) < self.n else data[ends[0] : ends[-1]].view(kind).reshape(self.n, -1).astype(np.float64)
+            unit = raw / np.abs(raw).max(1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            self.place[own], self.units[size] = np.arange(len(own)), unit
+        cells_ = rows.column("cells").combine_chunks()
+        cells_ = cells_.chunk(0) if isinstance(cells_, pa.ChunkedArray) else cells_
+        self.cells = cells_.flatten().to_numpy().reshape(self.n, -1, per_table)
+
+    def near(self, own: slice, threshold: float) -> np.ndarray:
+        """Which rows of the slice reach the threshold with each other."""
+        length, place = self.length[own], self.place[own]
+        if (length == length[0]).all():
+            unit = self.units[int(length[0])][place]
+            return unit @ unit.T >= threshold
+        out = np.zeros((len(length), len(length)), bool)
+        for size in np.unique(length).tolist():
+            some = np.flatnonzero(length == size)
+            unit = self.units[size][place[some]]
+            out[np.ix_(some, some)] = unit @ unit.T >= threshold
+        return out
+
+
 def _compare(threshold: float, width: int, per_table: int):
     """Rows of one group (cell, i, j) come together; i and j number its blocks."""
     kind = np.float32 if width == 4 else np.float64
+    most = np.iinfo(np.int64).max
 
-    def group(rows: pa.Table) -> tuple[np.ndarray, ...]:
-        cell, i, j = (rows.column(k)[0].as_py() for k in ("cell", "i", "j"))
-        rep = rows.column("rep").to_numpy()
-        order = np.argsort(rep, kind="stable")
-        rep, copies, block = rep[order], rows.column("copies").to_numpy()[order], rows.column("block").to_numpy()[order]
-        blobs = rows.column("vector").to_pylist()
-        lengths = np.array([len(x) for x in blobs])[order]
-        linked = np.zeros((len(rep), len(rep)), bool)
-        for size in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == size)
-            raw = np.frombuffer(b"".join(blobs[k] for k in order[own]), kind).reshape(len(own), -1).astype(np.float64)
-            unit = raw / np.abs(raw).max(1, keepdims=True)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            linked[np.ix_(own, own)] = unit @ unit.T >= threshold
+    def group(rows: _Rows, own: slice) -> tuple[np.ndarray, ...] | None:
+        linked = rows.near(own, threshold)
         np.fill_diagonal(linked, False)
+        if not linked.any():
+            return None
+        order = np.argsort(rows.rep[own], kind="stable")
+        linked = linked[np.ix_(order, order)]
+        rep, copies, block = rows.rep[own][order], rows.copies[own][order], rows.block[own][order]
         root = rep[_labels(linked)]
-        if i != j:
+        if rows.i[own.start] != rows.j[own.start]:
             linked &= block[:, None] != block[None, :]
         a, b = np.nonzero(np.triu(linked))
         n = np.zeros(len(rep), np.int64)
-        if len(a):
-            keys = np.array(rows.column("cells").to_pylist(), np.int64)[order].reshape(len(rep), -1, per_table)
-            for at in range(0, len(a), 20_000):
-                x, y = a[at : at + 20_000], b[at : at + 20_000]
-                least = np.full(len(x), np.iinfo(np.int64).max)
-                for p in range(per_table):
-                    for q in range(per_table):
-                        same = keys[x, :, p] == keys[y, :, q]
-                        least = np.minimum(least, np.where(same, keys[x, :, p], np.iinfo(np.int64).max).min(1))
-                first = least == cell
-                np.add.at(n, x[first], copies[y[first]])
-                np.add.at(n, y[first], copies[x[first]])
+        keys = rows.cells[own][order]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            least = np.full(len(x), most)
+            for p in range(per_table):
+                for q in range(per_table):
+                    one = keys[x, :, p]
+                    least = np.minimum(least, np.where(one == keys[y, :, q], one, most).min(1))
+            first = least == rows.cell[own.start]
+            np.add.at(n, x[first], copies[y[first]])
+            np.add.at(n, y[first], copies[x[first]])
         some = (n > 0) | (root != rep)
         return rep[some], n[some], root[some]
 
@@ -177,13 +206,12 @@ def _compare(threshold: float, width: int, per_table: int):
             if rest is None or not rest.num_rows:
                 continue
             rest = rest.combine_chunks()
-            cell, i, j = (rest.column(k).to_numpy() for k in ("cell", "i", "j"))
-            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            starts = np.r_[0, edge]
-            ends = np.r_[edge, rest.num_rows]
+            rows = _Rows(rest, kind, per_table)
+            edge = np.flatnonzero((rows.cell[1:] != rows.cell[:-1]) | (rows.i[1:] != rows.i[:-1]) | (rows.j[1:] != rows.j[:-1])) + 1
+            starts, ends = np.r_[0, edge], np.r_[edge, rows.n]
             if batch is not None:  # the last group may go on in the next batch
                 starts, ends = starts[:-1], ends[:-1]
-            out = [group(rest.slice(s, e - s)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
+            out = [x for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1 and (x := group(rows, slice(s, e)))]
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["rep", "n", "root"])
             rest = rest.slice(int(ends[-1]) if len(ends) else 0)
