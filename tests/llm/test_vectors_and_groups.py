@@ -111,6 +111,8 @@ def test_alignment_is_exact():
                 b.insert(i, r.randint(1, 30))
         pairs.append((np.array(a, np.uint64), np.array(b, np.uint64)))
     got = orderminhash.similarities(pairs, 0.8)
+    quick = orderminhash.similarities(pairs, 0.8, exact=False)
+    assert ((got >= 0) == (quick >= 0)).all() and (quick <= got + 1e-12).all()
     for (a, b), x in zip(pairs, got, strict=True):
         want = 1 - edits(a.tolist(), b.tolist()) / max(len(a), len(b))
         assert abs(x - want) < 1e-9 if want >= 0.8 else x == -1
