@@ -31,9 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends here, and lost executors lose none of it."""
+    """df as a Parquet table in the shared folder, read again: its lineage ends here, and lost executors lose none of it.
+
+    Tables stay until the folder of the application is removed, since results that are read later may need them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
