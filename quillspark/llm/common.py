@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,40 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, starts, ends) of groups whose rows come one after the other; a group that goes on in the next batch waits for it."""
+    rest = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not rest.num_rows:
+            continue
+        rest = rest.combine_chunks()
+        differ = np.zeros(rest.num_rows - 1, bool)
+        for k in keys:
+            column = rest.column(k).to_numpy()
+            differ |= column[1:] != column[:-1]
+        edge = np.flatnonzero(differ) + 1
+        starts, ends = np.r_[0, edge], np.r_[edge, rest.num_rows]
+        if batch is not None:
+            starts, ends = starts[:-1], ends[:-1]
+        if len(ends):
+            yield rest, starts, ends
+            rest = rest.slice(int(ends[-1]))
+
+
+def in_block_pairs(rows: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
+    """rows with block, i and j, each as often as needed for every two rows of a group to meet in one (group, i, j).
+
+    Members are dealt into blocks of about ``block``; two blocks meet in (i, j), and a block with itself in (i, i). The
+    rows of a (group, i, j) come together, and those of a hot group are spread over many.
+    """
+    n = F.ceil(F.col(size) / block).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(member), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose outputs look independent of the inputs' order (splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

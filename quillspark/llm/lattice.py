@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mapped, mix, written
+from .common import components, in_block_pairs, mapped, mix, whole_groups, written
 
 THRESHOLD = 0.9
 TABLES = 10
@@ -198,23 +198,11 @@ def _compare(threshold: float, width: int, per_table: int):
         return rep[some], n[some], root[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-            if rest is None or not rest.num_rows:
-                continue
-            rest = rest.combine_chunks()
-            rows = _Rows(rest, kind, per_table)
-            edge = np.flatnonzero((rows.cell[1:] != rows.cell[:-1]) | (rows.i[1:] != rows.i[:-1]) | (rows.j[1:] != rows.j[:-1])) + 1
-            starts, ends = np.r_[0, edge], np.r_[edge, rows.n]
-            if batch is not None:  # the last group may go on in the next batch
-                starts, ends = starts[:-1], ends[:-1]
+        for table, starts, ends in whole_groups(batches, ("cell", "i", "j")):
+            rows = _Rows(table, kind, per_table)
             out = [x for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1 and (x := group(rows, slice(s, e)))]
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["rep", "n", "root"])
-            rest = rest.slice(int(ends[-1]) if len(ends) else 0)
 
     return run
 
@@ -243,11 +231,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     # a cell may come twice among one vector's cells
     spread = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
     sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    spread = written(spread.join(sizes, "cell").select("rep", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "spread")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = spread.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("rep", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    # a pair of blocks of which one is the block itself is compared within (i, i) only
+    spread = in_block_pairs(written(spread.join(sizes, "cell"), "spread"), "cell", "rep", "n", BLOCK)
     full = spread.join(hashed, "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     met = written(mapped(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "cells"), _compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
