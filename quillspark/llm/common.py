@@ -31,15 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The application's folder under shared_dir(); the file system removes it when the driver ends in good order."""
+    name = spark.sparkContext.applicationId
+    if name not in _FOLDERS:
+        folder = f"{shared_dir(spark)}/{name}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS[name] = folder
+    return _FOLDERS[name]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here, and lost executors lose none of it.
 
-    Tables stay until the folder of the application is removed, since results that are read later may need them.
+    Tables stay while the application runs, since results that are read later may need them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
