@@ -175,3 +175,24 @@ def link_state(has_attachment: Column, downloaded: Column, ref_status: Column) -
 
 def link_reason(has_attachment: Column, downloaded: Column, verified: Column, known: Column) -> Column:
     return F.when(downloaded, "").when(F.coalesce(known, F.lit("")) != "", known).when(~has_attachment, LINK_REASONS["no_link"]).when(~verified, LINK_REASONS["unverified"]).otherwise(LINK_REASONS["not_downloaded"])
+
+
+def review_visible(choice: str, verdict: Column) -> Column | None:
+    """What the review view shows: keep hides what doesn't match, suspect and exact show one verdict, all everything; a missing verdict is pending."""
+    known = F.coalesce(verdict, F.lit("pending"))
+    choices = {"all": None, "keep": known != "no_match", "suspect": known == "suspect", "exact": known == "match"}
+    if choice not in choices:
+        raise ValueError(f"review must be one of {tuple(choices)}")
+    return choices[choice]
+
+
+def spelled(value: Column, groups: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
+    """A free spelling as the first name of which a token is in it, without regard to case."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    out = F.lit(default)
+    for name, tokens in reversed(groups):
+        hit = F.lit(False)
+        for t in tokens:
+            hit = hit | F.contains(low, F.lit(t.lower()))
+        out = F.when(hit, F.lit(name)).otherwise(out)
+    return out

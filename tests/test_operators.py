@@ -129,3 +129,17 @@ def test_stream_merges_batches(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         incremental.merge_into(incremental.stream_of(spark, source, schema), table, str(tmp_path / "cp"), ["k"], ["seq"]).awaitTermination()
     assert rows(incremental.latest(spark, table), "k", "v") == [(1, "c"), (2, "d"), (3, "e")]
+
+
+def test_visibility_and_spellings(spark):
+    frame = spark.createDataFrame([("match",), ("suspect",), ("no_match",), (None,)], "v string")
+    assert [catalog.filtered(frame, catalog.review_visible(c, F.col("v"))).count() for c in ("all", "keep", "suspect", "exact")] == [4, 3, 1, 1]
+    groups = (("failed", ("失败", "fail")), ("downloaded", ("已下载", "done")))
+    spelled = spark.createDataFrame([("Download FAILED",), ("已下载",), (None,)], "v string").select(catalog.spelled(F.col("v"), groups, "not_downloaded"))
+    assert [r[0] for r in spelled.collect()] == ["failed", "downloaded", "not_downloaded"]
+
+
+def test_live_states_lie_over_rows(spark):
+    rows_, live = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"), spark.createDataFrame([(2, "c")], "k int, s string")
+    assert rows(catalog.overlaid(rows_, "k", live, "k", "s")) == [(1, "a"), (2, "c")]
+    assert rows(catalog.selected(rows_, "k", live, "k")) == [(2, "b")]
