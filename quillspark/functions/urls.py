@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import spread_join
+
 #: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "from", "spm")
 
@@ -92,4 +94,4 @@ def registered(rows: DataFrame, name: str, registry: DataFrame, keep: tuple[str,
     found = spread.join(registry, "domain").where(~F.col("exact_only") | (F.col("domain") == F.col("reg_host")))
     best = found.groupBy("reg_host").agg(F.max_by(F.struct("domain", *keep), F.length("domain")).alias("reg"))
     named = best.select("reg_host", F.col("reg.domain").alias("domain"), *(F.col(f"reg.{c}").alias(c) for c in keep))
-    return rows.join(named, rows[name] == named["reg_host"], "left").drop("reg_host")
+    return spread_join(rows.withColumn("reg_host", F.col(name)), named, "reg_host", row, "left").drop("reg_host")

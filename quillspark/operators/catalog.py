@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..joins import spread_join
 
 RELEVANCE = ("all", "relevant", "review", "excluded")
 DOWNLOADS = ("", "downloaded", "not_downloaded", "partial", "failed")
@@ -130,17 +131,15 @@ def facet(rows: DataFrame, column: str, defaults: Sequence[str] = ()) -> DataFra
     return seen.union(fixed).groupBy("value").agg(F.sum("n").alias("n"))
 
 
-def aliases(rows: DataFrame, identity: str, by: Column, *priority: Column, salts: int = 8) -> DataFrame:
+def aliases(rows: DataFrame, identity: str, by: Column, *priority: Column) -> DataFrame:
     """(alias_identity, canonical_identity): of rows with one key the first by priority stands for the others.
 
-    The first of each key comes from an aggregate, which combines before the shuffle. Only keys of several rows join, each
-    ``salts`` times, so that the rows of a key that very many have are dealt over as many tasks.
+    The first of each key comes from an aggregate, which combines before the shuffle; only keys of several rows join.
     """
     keyed = rows.select(F.col(identity).alias("own"), by.alias("by_key"), F.struct(*priority, F.col(identity).alias("p_id")).alias("rank")).where("by_key is not null")
-    first = keyed.groupBy("by_key").agg(F.min("rank")["p_id"].alias("canonical_identity"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("by_key", "canonical_identity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    spread = keyed.select("own", "by_key", F.pmod(F.xxhash64("own"), F.lit(salts)).cast("int").alias("salt"))
-    return spread.join(first, ["by_key", "salt"]).where("own <> canonical_identity").select(F.col("own").alias("alias_identity"), "canonical_identity")
+    first = keyed.groupBy("by_key").agg(F.min("rank")["p_id"].alias("canonical_identity"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = spread_join(keyed.select("own", "by_key"), first, "by_key", "own")
+    return joined.where("own <> canonical_identity").select(F.col("own").alias("alias_identity"), "canonical_identity")
 
 
 def named_both_ways(pairs: DataFrame, rows: DataFrame, identity: str, name: str) -> DataFrame:
