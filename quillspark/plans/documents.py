@@ -62,17 +62,18 @@ def place_unique_match(spark, d):
     return table(spark, d, "documents").select("doc_id", places.by_evidence((F.col("source"), F.col("text")), names).alias("place"))
 
 
-@query("""with d as (select doc_id, regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}]', '', 'g') as k from documents where doc_id < 200), b as (select item_id, regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}]', '', 'g') as k from benchmark),
-s as (select doc_id, k, list_distinct(list_transform(range(1, greatest(length(k) - 3, 1) + 1), lambda i: substr(k, i, 4))) as g from d), t as (select item_id, k, list_distinct(list_transform(range(1, greatest(length(k) - 3, 1) + 1), lambda i: substr(k, i, 4))) as g from b)
-select doc_id, item_id, len(list_intersect(s.g, t.g))::bigint as shared, contains(s.k, t.k) or contains(t.k, s.k) or len(list_intersect(s.g, t.g))::double / least(len(s.g), len(t.g)) >= 0.55 as same
-from s join t on doc_id % 40 = item_id % 40 where s.k <> '' and t.k <> ''""".replace("where doc_id < 200", ""))
+@query("""with v as (select conv_id, turn, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as k from conversations),
+s as (select *, list_distinct(list_transform(range(1, greatest(length(k) - 3, 1) + 1), lambda i: substr(k, i, 4))) as g from v where k <> '')
+select a.conv_id, a.turn, len(list_intersect(a.g, b.g))::bigint as shared, contains(a.k, b.k) or contains(b.k, a.k) or len(list_intersect(a.g, b.g))::double / least(len(a.g), len(b.g)) >= 0.55 as same
+from s a join s b on a.conv_id = b.conv_id and a.turn + 1 = b.turn""")
 def shingle_containment(spark, d):
-    key = text.letters_key(F.left("text", F.lit(200)))
-    docs = table(spark, d, "documents").select("doc_id", key.alias("a"))
-    items = table(spark, d, "benchmark").select("item_id", key.alias("b"))
-    rows = docs.join(items, F.col("doc_id") % 40 == F.col("item_id") % 40).where("a <> '' and b <> ''")
+    """Whether each version of a conversation says the same as the next."""
+    key = text.letters_key(F.col("text"))
+    now = table(spark, d, "conversations").select("conv_id", "turn", key.alias("a"))
+    later = now.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     a, b = F.col("a"), F.col("b")
-    return rows.select("doc_id", "item_id", F.size(F.array_intersect(text.shingles(a, 4), text.shingles(b, 4))).cast("long").alias("shared"), text.same_rendering(a, b).alias("same"))
+    rows = now.join(later, ["conv_id", "turn"]).where("a <> '' and b <> ''")
+    return rows.select("conv_id", "turn", F.size(F.array_intersect(text.shingles(a, 4), text.shingles(b, 4))).cast("long").alias("shared"), text.same_rendering(a, b).alias("same"))
 
 
 _HOST = "lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
@@ -132,10 +133,11 @@ def date_extract_validated(spark, d):
     return table(spark, d, "documents").select("doc_id", dates.labelled_date(said, fields.DATES["opening_at"]).alias("opening_at"))
 
 
-@query("select doc_id, case when regexp_matches(substr(text, 1 + (doc_id % 50)::bigint, 40), '^[=+\\-@]') then chr(39) else '' end || substr(text, 1 + (doc_id % 50)::bigint, 40) as cell from documents")
+@query("select conv_id, turn, case when regexp_matches(text, '^[=+\\-@]') then chr(39) else '' end || text as cell from conversations union all select doc_id, null, case when regexp_matches(text, '^[=+\\-@]') then chr(39) else '' end || text from documents")
 def csv_safe(spark, d):
-    cell = F.substring(F.col("text"), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(40))
-    return table(spark, d, "documents").select("doc_id", text.csv_safe(cell).alias("cell"))
+    cell = text.csv_safe(F.col("text")).alias("cell")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), cell)
+    return table(spark, d, "conversations").select("conv_id", "turn", cell).union(docs)
 
 
 @query("select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) as title from pages")

@@ -17,19 +17,20 @@ def upsert_latest_wins(spark, d):
     return upsert.latest_wins(rows, ["user_id", "event_type"], ["arrival"]).drop("arrival")
 
 
-@query("""with e as (select user_id, event_type, event_id, value from events), o as (select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from e where event_id % 2 = 0 group by all),
-n as (select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from e where event_id % 2 = 1 group by all)
-select coalesce(n.user_id, o.user_id) as user_id, coalesce(n.event_type, o.event_type) as event_type, case when n.user_id is not null then n.event_id else o.event_id end as event_id, case when o.user_id is not null then o.value else n.value end as value
-from o full join n on o.user_id = n.user_id and o.event_type = n.event_type""")
+@query("""with o as (select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_type in ('view', 'click') group by user_id),
+n as (select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events where event_type not in ('view', 'click') group by user_id)
+select coalesce(n.user_id, o.user_id) as user_id, case when n.user_id is not null then n.event_id else o.event_id end as event_id, case when o.user_id is not null then o.value else n.value end as value
+from o full join n on o.user_id = n.user_id""")
 def upsert_keeping_columns(spark, d):
-    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", F.col("event_id").alias("arrival"))
-    last = lambda part: upsert.latest_wins(part, ["user_id", "event_type"], ["arrival"]).drop("arrival")
-    return upsert.upserted(last(rows.where("event_id % 2 = 0")), last(rows.where("event_id % 2 = 1")), ["user_id", "event_type"], keep=["value"])
+    """What users did is taken over from one feed to the other; the value stays as first known."""
+    rows = table(spark, d, "events").withColumn("seen", F.col("event_type").isin("view", "click")).select("user_id", "event_id", "value", "seen", F.col("event_id").alias("arrival"))
+    last = lambda part: upsert.latest_wins(part.drop("seen"), ["user_id"], ["arrival"]).drop("arrival")
+    return upsert.upserted(last(rows.where("seen")), last(rows.where("not seen")), ["user_id"], keep=["value"])
 
 
-_SIDES = """with s as (select l_orderkey, l_partkey, l_linenumber % 2 as side, min(l_suppkey) as supp, max(l_returnflag) as flag, max(l_linestatus) as line from lineitem group by all),
-o as (select l_orderkey, l_partkey, supp % 2 as sha, case when line = 'F' then 'path' end as path, case flag when 'R' then 'delivered' when 'A' then 'review' else 'downloaded' end as status from s where side = 0),
-n as (select l_orderkey, l_partkey, supp % 2 as sha, case when line = 'O' then 'new' end as path, case flag when 'R' then 'downloaded' when 'A' then 'verified' else 'failed' end as status from s where side = 1)
+_SIDES = """with s as (select l_orderkey, l_partkey, l_linestatus as side, min(l_suppkey) as supp, max(l_returnflag) as flag, max(l_quantity) as q from lineitem group by all),
+o as (select l_orderkey, l_partkey, supp % 2 as sha, case when q > 20 then 'path' end as path, case flag when 'R' then 'delivered' when 'A' then 'review' else 'downloaded' end as status from s where side = 'F'),
+n as (select l_orderkey, l_partkey, supp % 2 as sha, case when q > 30 then 'new' end as path, case flag when 'R' then 'downloaded' when 'A' then 'verified' else 'failed' end as status from s where side = 'O')
 """
 
 
@@ -38,9 +39,10 @@ n as (select l_orderkey, l_partkey, supp % 2 as sha, case when line = 'O' then '
  case when n.sha is null then o.status when o.sha = n.sha and o.status in ('delivered', 'review') and n.status in ('downloaded', 'verified') then o.status else n.status end as status
 from o full join n on o.l_orderkey = n.l_orderkey and o.l_partkey = n.l_partkey""")
 def merge_sticky_status(spark, d):
-    sides = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", (F.col("l_linenumber") % 2).alias("side")).agg(F.min("l_suppkey").alias("supp"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line"))
-    pick = lambda side, a, b, c, line, path: sides.where(F.col("side") == side).select("l_orderkey", "l_partkey", (F.col("supp") % 2).cast("string").alias("sha256"), F.when(F.col("line") == line, path).alias("delivery_path"), F.when(F.col("flag") == "R", a).when(F.col("flag") == "A", b).otherwise(c).alias("status"))
-    return upsert.merged_artifacts(pick(0, "delivered", "review", "downloaded", "F", "path"), pick(1, "downloaded", "verified", "failed", "O", "new"), ["l_orderkey", "l_partkey"])
+    """Finished lines are the files that are there, open ones the new downloads."""
+    sides = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linestatus").agg(F.min("l_suppkey").alias("supp"), F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("q"))
+    pick = lambda side, a, b, c, least, path: sides.where(F.col("l_linestatus") == side).select("l_orderkey", "l_partkey", (F.col("supp") % 2).cast("string").alias("sha256"), F.when(F.col("q") > least, path).alias("delivery_path"), F.when(F.col("flag") == "R", a).when(F.col("flag") == "A", b).otherwise(c).alias("status"))
+    return upsert.merged_artifacts(pick("F", "delivered", "review", "downloaded", 20, "path"), pick("O", "downloaded", "verified", "failed", 30, "new"), ["l_orderkey", "l_partkey"])
 
 
 @query("""with o as (select l_orderkey, case max(l_returnflag) when 'R' then 'downloaded' when 'N' then 'failed' else 'restricted' end as status from lineitem where l_linestatus = 'F' group by l_orderkey),
@@ -66,14 +68,15 @@ def manifest_versions(spark, d):
     return table(spark, d, "conversations").join(docs, "conv_id").select("conv_id", "turn", "role", F.sha2("text", 256).alias("sha256"), "source")
 
 
-@query("""with o as (select doc_id, sha256(text) as s from documents where doc_id % 5 <> 0), n as (select doc_id, case when doc_id % 7 = 0 then sha256(text || '.') else sha256(text) end as s from documents where doc_id % 11 <> 0)
-select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.doc_id is null then 'added' when n.doc_id is null then 'removed' when o.s is not distinct from n.s then 'unchanged' else 'changed' end as change from o full join n on o.doc_id = n.doc_id""")
+@query("""with o as (select conv_id, sha256(string_agg(role, ',' order by turn)) as s from conversations group by conv_id), n as (select doc_id, sha256(case when n_chars > 2500 then 'user,assistant' else 'user,assistant,user,assistant' end) as s from documents)
+select coalesce(o.conv_id, n.doc_id) as conv_id, case when o.conv_id is null then 'added' when n.doc_id is null then 'removed' when o.s is not distinct from n.s then 'unchanged' else 'changed' end as change from o full join n on o.conv_id = n.doc_id""")
 def change_detection(spark, d):
-    """Two states of the documents: the shares that are missing or edited stand for what a second scan finds."""
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("text", F.lit(".")), 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
-    return upsert.changes(old, new, "doc_id", "sha256")
+    """Conversations as the first scan, documents as the second, by a hash of their shape."""
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
+    old = table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(turns, 256).alias("sha256"))
+    shape = F.when(F.col("n_chars") > 2500, "user,assistant").otherwise("user,assistant,user,assistant")
+    new = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.sha2(shape, 256).alias("sha256"))
+    return upsert.changes(old, new, "conv_id", "sha256")
 
 
 @query("select min(doc_id) as doc_id, count(*) as copies from documents group by sha256(text)")
