@@ -117,19 +117,26 @@ def _find_segments(window: int, seed: int):
 def _extend(window: int):
     """Each row is a document and the segments that it stands for; gives the fingerprint of every window of these."""
 
+    def told(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc", "anchor", "body", "offset", "print"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for part in slices(batch, 128):
-                out = []
+            for part in slices(batch, 32):
+                out, rows = [], 0
                 for doc, text, todo in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     roll = Rolling(_hashes(text, known), BASE_2)
                     anchor, body, start, count = (np.array([x[k] for x in todo], np.int64) for k in ("anchor", "body", "start", "windows"))
                     seg = np.repeat(np.arange(len(start)), count)
                     offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
                     out.append((np.full(len(seg), doc, np.int64), anchor[seg], body[seg], offset.astype(np.int32), roll.of(start[seg] + offset, window).view(np.int64)))
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.record_batch([pa.array(x) for x in cols], ["doc", "anchor", "body", "offset", "print"])
+                    rows += len(seg)
+                    if rows >= 50_000:  # windows are many more than segments: no more of them at once than this and one text's
+                        yield told(out)
+                        out, rows = [], 0
+                if out:
+                    yield told(out)
 
     return run
 
