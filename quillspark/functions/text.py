@@ -56,9 +56,15 @@ def letters_key(text: Column) -> Column:
 
 
 def shingles(text: Column, width: int) -> Column:
-    """The distinct substrings of ``width`` characters; a shorter text is one, an empty one none."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))
-    return F.when(F.length(text) > 0, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+    """The distinct substrings of ``width`` characters; a shorter text is one, an empty one none.
+
+    The text is split into characters once: to find a place in it takes a walk from its beginning.
+    """
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    places = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c) - (width - 1), F.lit(1)))
+    # a lambda over one element binds the characters to a name, so that they are not split again at every place
+    runs = F.flatten(F.transform(F.array(letters), lambda c: F.transform(places(c), lambda i: F.array_join(F.slice(c, i, F.lit(width)), ""))))
+    return F.when(F.length(text) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def overlap(a: Column, b: Column, of: Column) -> Column:
@@ -68,8 +74,8 @@ def overlap(a: Column, b: Column, of: Column) -> Column:
 
 def same_rendering(a: Column, b: Column, least: float = 0.55) -> Column:
     """Whether two normalised texts say the same: one contains the other, or enough of the smaller one's 4-character shingles."""
-    sa, sb = shingles(a, 4), shingles(b, 4)
-    share = overlap(sa, sb, F.least(F.size(sa), F.size(sb)))
+    both = F.array(F.struct(shingles(a, 4).alias("a"), shingles(b, 4).alias("b")))
+    share = F.transform(both, lambda s: overlap(s["a"], s["b"], F.least(F.size(s["a"]), F.size(s["b"]))))[0]
     return F.when((a == "") | (b == ""), a == b).otherwise(F.contains(a, b) | F.contains(b, a) | (share >= least))
 
 
