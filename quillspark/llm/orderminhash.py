@@ -3,9 +3,11 @@
 A text's words (lower case, without the marks around them) give runs of five words, each labelled with its occurrence in
 the text. Each of ``TABLES`` hash functions takes the two smallest labelled runs and keeps them in text order; texts that
 agree on such a pair are candidates. Exact copies are one text from the start. Within a bucket every text meets the one with the smallest id,
-and the alignment decides; texts that it joins are one part from then on. Where a bucket still holds several parts, the
-texts of different parts that are nearest by their words meet, round after round until no new link is found. So a group
-of n copies costs about n alignments, not n * n, and a hot bucket is compared in pairs of blocks. Candidates are
+and the alignment decides; texts that it joins are one part from then on. Where a bucket still holds several parts, every
+two texts of different parts meet in one bucket that both have: whole blocks of texts at once, where the words that they
+have in common, order aside, are counted exactly, and all pairs that can reach the threshold by these are aligned, the
+nearest first, until their parts are one. So a group of n copies costs about n alignments, not n * n, and a hot bucket is
+compared in pairs of blocks. The first meetings, with the smallest id, are
 aligned only if their words, order aside, can reach the threshold: 128 MinHash values of the labelled words, of two bits
 each, may differ in as many places as three standard deviations beyond what is expected at the threshold allow.
 
@@ -29,10 +31,9 @@ WORDS = 5
 THRESHOLD = 0.8
 TABLES = 32
 MULTIPLIERS = mix(np.arange(1, 1 + 4096, dtype=np.uint64)) | np.uint64(1)
-#: Texts of a bucket are dealt into blocks of about so many; every two blocks meet.
+#: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; every two blocks meet.
 BLOCK = 1024
-#: So many pairs of each bucket are tried between a part of several texts and another part, in each round.
-NEAREST = 8
+BLOCK_WORDS = 1 << 18
 BAG_MULTIPLIERS = (mix(np.arange(5000, 5128, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Marks that don't count at a word's ends.
 MARKS = b".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -215,68 +216,118 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, e
     return out
 
 
-def _across(threshold: float, near: int):
-    """Rows of one (bucket, i, j) come together; gives the pairs of texts in different parts that are worth an alignment.
+def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one (bucket, i, j) that have to be looked at: texts of different parts whose lengths allow a link, in the smallest bucket that both have, so each pair once."""
+    part, n, buckets, block = (c[k][own] for k in ("part", "n", "buckets", "block"))
+    none = np.zeros(0, np.int64)
+    if (part == part[0]).all():
+        return none, none
+    most = np.maximum(n[:, None], n[None, :])
+    fit = (part[:, None] != part[None, :]) & (most - np.minimum(n[:, None], n[None, :]) <= (1 - threshold) * most + 1e-9)
+    if c["i"][own.start] != c["j"][own.start]:
+        fit &= block[:, None] != block[None, :]
+    x, y = np.nonzero(np.triu(fit))
+    last = np.iinfo(np.int64).max
+    once = [none == 0]
+    for at in range(0, len(x), 50_000):
+        ku, kv = buckets[x[at : at + 50_000]], buckets[y[at : at + 50_000]]
+        once.append(np.where(ku == kv, ku, last).min(1, initial=last) == c["bucket"][own.start])
+    kept = np.concatenate(once)
+    return x[kept], y[kept]
+
+
+_PLACE = ("bucket", "i", "j", "block", "doc", "n", "part")
+_SEATS = "bucket long, i int, j int, block int, doc long, n int, part long, buckets array<long>"
+
+
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    c = {k: table.column(k).to_numpy() for k in _PLACE}
+    lists = table.column("buckets").combine_chunks()
+    c["buckets"] = (lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy().reshape(table.num_rows, -1)
+    return c
 
-    A pair is looked at in the smallest bucket that both have, so it is given once. Of texts that nothing is linked to yet,
-    every pair whose bags and lengths allow it; towards a part of several texts the NEAREST of the bucket by bags and
-    lengths: one link is enough to join it.
-    """
 
-    def pairs_of(own: slice, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        part, n, bags_, buckets_, block = (c[k][own] for k in ("part", "n", "bag", "buckets", "block"))
-        if (part == part[0]).all():
-            return None
-        fit = (part[:, None] != part[None, :]) & (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]))
-        if c["i"][own.start] != c["j"][own.start]:
-            fit &= block[:, None] != block[None, :]
-        fresh = c["fresh"][own]
-        fit &= fresh[:, None] | fresh[None, :]
-        x, y = np.nonzero(np.triu(fit))
-        kept = []
-        for at in range(0, len(x), 50_000):
-            u, v = x[at : at + 50_000], y[at : at + 50_000]
-            z = bags_[u] ^ bags_[v]
-            apart = np.bitwise_count((z | z >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
-            u, v, apart = u[apart <= near], v[apart <= near], apart[apart <= near]
-            ku, kv = buckets_[u], buckets_[v]
-            once = np.where(ku == kv, ku, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == c["bucket"][own.start]
-            kept.append((u[once], v[once], apart[once]))
-        if not kept:
-            return None
-        x, y, apart = (np.concatenate(k) for k in zip(*kept, strict=True))
-        if not len(x):
-            return None
-        single = ~(c["linked"][own][x] | c["linked"][own][y])
-        keep = single.copy()
-        rest = np.flatnonzero(~single)
-        p, q = np.minimum(part[x[rest]], part[y[rest]]), np.maximum(part[x[rest]], part[y[rest]])
-        common = 1 - apart[rest] / 96  # of the words of both, by the bags; more words in common than this allows no alignment has
-        na, nb = n[x[rest]], n[y[rest]]
-        hope = common / (1 + common) * (na + nb) / np.maximum(na, nb)
-        order = np.lexsort((-hope, q, p))
-        rest, p, q = rest[order], p[order], q[order]
-        first = np.flatnonzero(np.r_[len(p) > 0, (p[1:] != p[:-1]) | (q[1:] != q[:-1])][: len(p)])
-        rank = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)]))
-        keep[rest[rank < NEAREST]] = True
-        doc = c["doc"][own]
-        a, b = doc[x[keep]], doc[y[keep]]
-        return np.minimum(a, b), np.maximum(a, b)
+def _seats(threshold: float):
+    """Rows of one (bucket, i, j) come together; gives those that have a pair to be looked at there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in whole_groups(batches, ("bucket", "i", "j")):
-            c = {k: table.column(k).to_numpy() for k in ("bucket", "i", "j", "block", "doc", "n", "part", "linked", "fresh")}
-            for k in ("bag", "buckets"):
-                lists = table.column(k).combine_chunks()
-                c[k] = (lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy().reshape(table.num_rows, -1)
-            c["bag"] = c["bag"].view(np.uint64)
-            out = [x for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1 and (x := pairs_of(slice(s, e), c))]
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+            c = _columns(table)
+            found = [np.unique(np.concatenate(_to_meet(slice(s, e), c, threshold))) + s for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
+            if found and len(at := np.concatenate(found)):
+                yield from table.take(pa.array(at)).to_batches(max_chunksize=4096)
 
     return run
 
 
+def _common_words(words: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Size of the intersection as multisets of texts x and y; x is in order."""
+    used, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    labelled = [labelled_runs(words[i], 1) for i in used.tolist()]
+    starts = np.r_[0, np.cumsum([len(w) for w in labelled])]
+    known, flat = np.unique(np.concatenate(labelled), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    out = np.empty(len(x), np.int64)
+    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]).tolist()
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        own = flat[starts[place[s]] : starts[place[s] + 1]]
+        mark[own] = True
+        out[s:e] = np.add.reduceat(mark[flat], starts[:-1], dtype=np.int64)[place[len(x) + s : len(x) + e]]
+        mark[own] = False
+    return out
+
+
+def joined(docs: np.ndarray, part: np.ndarray, words: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different parts. Of the pairs (x, y), x in order, every one is aligned whose words, order aside, allow a link, unless links found before have made its parts one."""
+    n = np.array([len(w) for w in words])
+    most = np.maximum(n[x], n[y])
+    common = _common_words(words, x, y)
+    order = np.argsort(-common / most, kind="stable")
+    order = order[(most - common <= (1 - threshold) * most + 1e-9)[order]]
+    x, y, part, links, take = x[order], y[order], part.copy(), [], 4
+    while len(x):
+        p, q = np.minimum(part[x], part[y]), np.maximum(part[x], part[y])
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        by = np.lexsort((np.arange(len(x)), q, p))  # of each two parts the pairs with most words in common first
+        first = np.flatnonzero(np.r_[True, (p[by][1:] != p[by][:-1]) | (q[by][1:] != q[by][:-1])][: len(by)])
+        now = np.zeros(len(x), bool)
+        now[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)])) < take
+        u, v = x[now].tolist(), y[now].tolist()
+        for at in range(0, len(u), 512):
+            a, b = u[at : at + 512], v[at : at + 512]
+            for i, j, s in zip(a, b, similarities([(words[i], words[j]) for i, j in zip(a, b, strict=True)], threshold, exact=False).tolist(), strict=True):
+                if s >= 0 and part[i] != part[j]:
+                    links.append((min(docs[i], docs[j]), max(docs[i], docs[j])))
+                    part[part == part[j]] = part[i]
+        x, y, take = x[~now], y[~now], take * 4
+    return links
+
+
+def _links(threshold: float):
+    """Rows of one (bucket, i, j), with their words, come together; gives links that make parts one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_groups(batches, ("bucket", "i", "j")):
+            c, found = _columns(table), []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                x, y = _to_meet(slice(s, e), c, threshold)
+                if len(x):
+                    words = [np.frombuffer(w, np.uint64) for w in table.column("words").slice(s, e - s).to_pylist()]
+                    found += joined(c["doc"][s:e], c["part"][s:e], words, x, y, threshold)
+            if found:
+                yield pa.record_batch([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Plain()
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.record_batch([part.column(0), pa.array([word_hashes(x, known).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["doc", "words"])
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Plain()
@@ -312,7 +363,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     exact = written(rows.where("doc is not null and text is not null").groupBy("content").agg(F.min("doc").alias("first")), "exact")
     texts = rows.where("text is not null").join(exact.select("content", F.col("first").alias("doc")), ["doc", "content"]).select("doc", "text")
     sketches = written(mapped(texts, _sketches(tables, k), "doc long, n int, bag array<long>, buckets array<long>"), "sketches")
-    buckets = sketches.select("doc", F.explode("buckets").alias("bucket"))
+    buckets = sketches.select("doc", "n", F.explode("buckets").alias("bucket"))
     # written, so that both sides of the join are dealt out for it and a hot bucket's rows can be split
     shared = written(buckets.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket", "lo"), "shared")
     met = written(buckets.join(shared, "bucket"), "met")
@@ -323,27 +374,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     texts = written(texts.join(met.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")), "texts")
     links = written(aligned(first, texts, threshold), "links")
     parts = written(components(links), "parts")
-    tested, changed = first, None
-    while True:
-        met_parts = met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left")
-        met_parts = met_parts.select("bucket", "doc", F.coalesce("component", "doc").alias("part"), F.col("component").isNotNull().alias("linked"))
-        many = written(met_parts.groupBy("bucket").agg(F.count("*").alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1 and size > 2").select("bucket", "size"), "many")
-        if changed is None:
-            met_parts = met_parts.withColumn("fresh", F.lit(True))
-        else:  # later rounds are about texts whose part has changed, and their buckets; all else was tried
-            met_parts = met_parts.join(changed.withColumn("new", F.lit(True)), "doc", "left").withColumn("fresh", F.coalesce("new", F.lit(False))).drop("new")
-            many = many.join(written(met.join(changed, "doc", "left_semi").select("bucket").distinct(), "touched"), "bucket", "left_semi")
-        spread = in_block_pairs(met_parts.join(many, "bucket"), "bucket", "doc", "size", BLOCK).join(sketches.select("doc", "n", "bag", "buckets"), "doc")
-        dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "doc", "n", "part", "linked", "fresh", "bag", "buckets")
-        pairs = mapped(dealt, _across(threshold, near), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(aligned(pairs, texts, threshold), "links")
-        if new.isEmpty():
-            break
-        tested = tested.union(pairs)
-        links, before = links.union(new), parts.select("node", F.col("component").alias("before"))
-        parts = written(components(links.select("a", "b")), "parts")
-        changed = parts.join(before, "node", "left").where("before is null or before <> component").select(F.col("node").alias("doc"))
+    met_parts = met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    many = met_parts.groupBy("bucket").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / BLOCK_WORDS * BLOCK)).alias("size"), F.count("*").alias("count"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+    many = written(many.where("p0 < p1 and count > 2").select("bucket", "size"), "many")
+    spread = in_block_pairs(met_parts.select("bucket", "doc", "n", "part").join(many, "bucket"), "bucket", "doc", "size", BLOCK).join(sketches.select("doc", "n", "buckets"), ["doc", "n"])
+    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*_PLACE, "buckets")
+    seats = written(mapped(dealt, _seats(threshold), _SEATS), "seats")
+    words = mapped(texts.join(seats.select("doc").distinct(), "doc", "left_semi"), _words, "doc long, words binary")
+    seated = seats.join(words, "doc").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*_PLACE, "buckets", "words")
+    new = written(mapped(seated, _links(threshold), "a long, b long"), "links")
+    parts = written(components(links.select("a", "b").union(new)), "parts")
     found = exact.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").select("content", F.coalesce("component", "first").alias("class_id"))
     named = rows.select("doc", "content", F.expr("text is null").alias("void")).join(written(found, "classes"), "content", "left")
     return named.select(F.col("doc").alias(key), "content", F.expr("case when doc is null then null when void then doc else class_id end").alias("class_id"))

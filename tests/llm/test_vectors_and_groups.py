@@ -205,3 +205,14 @@ def test_repeats_against_brute_force(spark, seed):
     assert whole.columns == docs.columns
     assert all(" ".join(r["text"].split()) == plain[r["doc_id"]] for r in whole.where("doc_id < 400 and doc_id <> 7").collect())
     assert seedextend.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_a_text_joins_a_large_part_by_its_only_link(spark):
+    """All texts are in the one bucket; the one that the last links to has fewer words in common with it than 20 others, which don't reach the threshold for their order."""
+    base = [f"p2w{i}" for i in range(100)]
+    near = [[f"x{i}"] + base[1:] for i in range(20)]
+    last = base[:39] + ["s"] + base[40:62][::-1] + ["t"] + base[63:]
+    link = base[:8] + ["y1", "y2", "y3"] + base[11:40] + last[40:44] + base[44:58] + last[58:62] + base[62:]
+    assert edits(last, link) <= 20 < min(edits(last, x) for x in near[:3]) and edits(link, near[0]) <= 20
+    rows = [(i, " ".join(x), "", "") for i, x in enumerate([*near, link, last])]
+    assert {x["class_id"] for x in orderminhash.classes(documents(spark, rows), tables=1).collect()} == {0}
