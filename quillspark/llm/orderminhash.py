@@ -1,7 +1,7 @@
 """Near duplicates by order MinHash: sketches that keep the order of sampled word runs, verified by banded alignment.
 
 A text's words (lower case, without the marks around them) give runs of five words, each labelled with its occurrence in
-the text. Each of ``TABLES`` hash functions takes the two smallest labelled runs and keeps them in text order; texts that
+the text; short runs do so too, and the words of a short text. Each of some hash functions (``TABLES`` and so on) takes the two smallest labelled runs and keeps them in text order; texts that
 agree on such a pair are candidates. Exact copies are one text from the start. Within a bucket every text meets the one with the smallest id,
 and the alignment decides; texts that it joins are one part from then on. Where a bucket still holds several parts, every
 two texts of different parts meet in one bucket that both have: whole blocks of texts at once, where the words that they
@@ -29,7 +29,10 @@ from .common import WordHashes, components, in_block_pairs, mapped, mix, slices,
 
 WORDS = 5
 THRESHOLD = 0.8
-TABLES = 32
+TABLES = 16
+#: Tables of shorter runs, which edits at even distances leave whole; and, for texts of up to SHORT words, of single words.
+SHORT_WORDS, SHORT_TABLES = 3, 48
+SHORT, WORD_TABLES = 20, 16
 MULTIPLIERS = mix(np.arange(1, 1 + 4096, dtype=np.uint64)) | np.uint64(1)
 #: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; every two blocks meet.
 BLOCK = 1024
@@ -106,7 +109,17 @@ def bags_may_differ(threshold: float) -> int:
     return math.floor(128 * differ + 3 * math.sqrt(128 * differ * (1 - differ)))
 
 
-def _sketches(tables: int, k: int):
+def buckets_of(words: np.ndarray, tables: int = TABLES, k: int = WORDS, short_tables: int = SHORT_TABLES) -> np.ndarray:
+    """The sketches by runs of k words, by short runs, and of a short text by words; without ``short_tables`` the first only."""
+    found = [sketch(words, tables, k)]
+    if short_tables:
+        found.append(mix(sketch(words, short_tables, SHORT_WORDS) + np.uint64(1)))
+        if len(words) <= SHORT:
+            found.append(mix(sketch(words, WORD_TABLES, 1) + np.uint64(2)))
+    return np.concatenate(found)
+
+
+def _sketches(tables: int, k: int, short_tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Plain()
         for batch in batches:
@@ -117,7 +130,7 @@ def _sketches(tables: int, k: int):
                     if len(words):
                         ids.append(doc)
                         n.append(len(words))
-                        keys.append(sketch(words, tables, k).view(np.int64))
+                        keys.append(buckets_of(words, tables, k, short_tables).view(np.int64))
                         bags.append(bag(words).view(np.int64))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(bags, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc", "n", "bag", "buckets"])
 
@@ -243,7 +256,10 @@ _SEATS = "bucket long, i int, j int, block int, doc long, n int, part long, buck
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     c = {k: table.column(k).to_numpy() for k in _PLACE}
     lists = table.column("buckets").combine_chunks()
-    c["buckets"] = (lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy().reshape(table.num_rows, -1)
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().to_numpy()
+    c["buckets"] = np.repeat(np.iinfo(np.int64).min + np.arange(table.num_rows)[:, None], size.max(initial=0), 1)  # a shorter list goes on with what no other has
+    c["buckets"][np.arange(size.max(initial=0)) < size[:, None]] = lists.flatten().to_numpy()
     return c
 
 
@@ -352,7 +368,7 @@ def _content(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit("salt"), text).alias("y"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tables: int = TABLES, k: int = WORDS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tables: int = TABLES, k: int = WORDS, short_tables: int = SHORT_TABLES) -> DataFrame:
     """(key, content, class_id) of every row: class_id is the smallest key of the texts that are linked to its own, over any number of links.
 
     Texts link if they are equal or their similarity reaches the threshold. A null text links with nothing; a text
@@ -362,8 +378,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     rows = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text")).withColumn("content", _content(F.col("text")))
     exact = written(rows.where("doc is not null and text is not null").groupBy("content").agg(F.min("doc").alias("first")), "exact")
     texts = rows.where("text is not null").join(exact.select("content", F.col("first").alias("doc")), ["doc", "content"]).select("doc", "text")
-    sketches = written(mapped(texts, _sketches(tables, k), "doc long, n int, bag array<long>, buckets array<long>"), "sketches")
-    buckets = sketches.select("doc", "n", F.explode("buckets").alias("bucket"))
+    sketches = written(mapped(texts, _sketches(tables, k, short_tables), "doc long, n int, bag array<long>, buckets array<long>"), "sketches")
+    buckets = sketches.select("doc", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
     # written, so that both sides of the join are dealt out for it and a hot bucket's rows can be split
     shared = written(buckets.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket", "lo"), "shared")
     met = written(buckets.join(shared, "bucket"), "met")

@@ -215,4 +215,22 @@ def test_a_text_joins_a_large_part_by_its_only_link(spark):
     link = base[:8] + ["y1", "y2", "y3"] + base[11:40] + last[40:44] + base[44:58] + last[58:62] + base[62:]
     assert edits(last, link) <= 20 < min(edits(last, x) for x in near[:3]) and edits(link, near[0]) <= 20
     rows = [(i, " ".join(x), "", "") for i, x in enumerate([*near, link, last])]
-    assert {x["class_id"] for x in orderminhash.classes(documents(spark, rows), tables=1).collect()} == {0}
+    assert {x["class_id"] for x in orderminhash.classes(documents(spark, rows), tables=1, short_tables=0).collect()} == {0}
+
+
+def test_edits_at_the_threshold_are_met():
+    """Isolated pairs at similarity 0.8 and a little more, with edits evenly spaced or at random, and short texts with one word changed."""
+    r = np.random.default_rng(8)
+    met = {}
+    for n in (6, 9, 200):
+        for how in ("even", "random"):
+            edited = n // 5
+            found = 0
+            for _ in range(100):
+                a = r.integers(1, 1 << 62, n).astype(np.uint64)
+                b = a.copy()
+                at = [n // 2] if n < 10 else np.arange(edited) * 5 if how == "even" else r.choice(n, edited, replace=False)
+                b[at] = r.integers(1 << 62, 1 << 63, len(at)).astype(np.uint64)
+                found += len(np.intersect1d(orderminhash.buckets_of(a), orderminhash.buckets_of(b))) > 0
+            met[n, how] = found
+    assert min(met.values()) >= 85, met
