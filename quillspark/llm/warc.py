@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from .common import mapped, slices
 
 VERSION = "WARC/1.1"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: To the end of the page where the end is missing.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Without what _HIDDEN finds. Where the end is missing, these tags count as nothing; a title ends at the next tag then.
+_ASIDE = re.compile(r"<(noscript|template)\b[^>]*>.*?</\1\s*>|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)", re.S | re.I)
+#: What is left of the head then: it ends at its end tag, or before text or the first tag that can't stand in it.
+_HEAD = re.compile(r"<head\b[^>]*>(?:\s|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|</?(?:noscript|template)\b[^>]*>)*(?:</head\s*>)?", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -39,7 +44,8 @@ def digest(data: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """The visible text: without scripts, styles, comments and the head; block elements end lines; runs of blanks are one."""
-    shown = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    shown = _HEAD.sub(" ", _ASIDE.sub(" ", _HIDDEN.sub(" ", page)))
+    shown = _TAG.sub("", _BREAK.sub("\n", shown))
     lines = (x.strip() for x in _BLANK.sub(" ", html.unescape(shown)).split("\n"))
     return "\n".join(x for x in lines if x)
 

@@ -243,3 +243,8 @@ def test_trees_learn():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     forest = urltrees.boost(x[:2000], y[:2000])
     assert ((forest.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+
+
+def test_an_unclosed_head_ends_where_the_body_begins():
+    pages = {"<html><head><title>t</title><body><p>Hello</p>": "Hello", "<head><meta x><title>t</title>Hello <b>x</b>": "Hello x", "a<noscript>b<p>c": "ab\nc", "a<template>b": "ab", "a<script>b<p>c": "a", "<head><title>t</title></head>a<noscript>b</noscript>c": "a c"}
+    assert {p: warc.plain_text(p) for p in pages} == pages
