@@ -14,10 +14,11 @@ import html
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\
 _ASIDE = re.compile(r"<(noscript|template)\b[^>]*>.*?</\1\s*>|<title\b[^>]*>(?:.*?</title\s*>|[^<]*)", re.S | re.I)
 #: What is left of the head then: it ends at its end tag, or before text or the first tag that can't stand in it.
 _HEAD = re.compile(r"<head\b[^>]*>(?:\s|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|</?(?:noscript|template)\b[^>]*>)*(?:</head\s*>)?", re.I)
+_START = re.compile(rb"\r\n(?=WARC/\d)")
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -99,17 +101,23 @@ def serialised(record: Derived) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + record.block.encode() + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of each record of a WARC file, compressed by record or not; it ends at the first broken record."""
+def records(data: bytes, skipped: Callable[[int], None] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with names in lower case, block) of each record of a WARC file, compressed by record or not. A broken record is left out up to the next record's start; ``skipped`` is told its bytes."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        first, *lines = data[at:end].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(end, at)].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         length = headers.get("content-length", "")
         if not first.startswith("WARC/") or not length.isdigit() or end + 4 + int(length) > len(data):
-            return
+            start = _START.search(data, at + 1)
+            upto = start.end() if start else len(data)
+            if skipped:
+                skipped(upto - at)
+            at = upto
+            continue
         block = data[end + 4 : end + 4 + int(length)]
         yield headers, block
         at = end + 4 + int(length)
@@ -117,13 +125,13 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, target_uri, warc_date, http_headers, payload) of the response records in WARC files; one task reads a file."""
+def read_responses(spark: SparkSession, path: str, skipped: Accumulator | None = None) -> DataFrame:
+    """(record_id, target_uri, warc_date, http_headers, payload) of the response records in WARC files; one task reads a file. ``skipped`` counts the broken records left out, again in a task that runs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                found = [(h, *b.partition(b"\r\n\r\n")[::2]) for h, b in records(data.as_py()) if h.get("warc-type") == "response"]
+                found = [(h, *b.partition(b"\r\n\r\n")[::2]) for h, b in records(data.as_py(), skipped and (lambda _: skipped.add(1))) if h.get("warc-type") == "response"]
                 cols = [[h.get(k) for h, _, _ in found] for k in ("warc-record-id", "warc-target-uri", "warc-date")]
                 cols += [[head.decode("latin-1") for _, head, _ in found], [body.decode("utf-8", "replace") for _, _, body in found]]
                 yield pa.record_batch([pa.array(c, pa.string()) for c in cols], ["record_id", "target_uri", "warc_date", "http_headers", "payload"])

@@ -248,3 +248,11 @@ def test_trees_learn():
 def test_an_unclosed_head_ends_where_the_body_begins():
     pages = {"<html><head><title>t</title><body><p>Hello</p>": "Hello", "<head><meta x><title>t</title>Hello <b>x</b>": "Hello x", "a<noscript>b<p>c": "ab\nc", "a<template>b": "ab", "a<script>b<p>c": "a", "<head><title>t</title></head>a<noscript>b</noscript>c": "a c"}
     assert {p: warc.plain_text(p) for p in pages} == pages
+
+
+def test_good_records_after_a_broken_one_are_read():
+    meta, text = map(warc.serialised, warc.derive_one("<urn:uuid:1>", None, None, None, PAGE))
+    for broken in (meta.replace(b"Content-Length: ", b"Content-Length: x"), meta.replace(b"Content-Length: ", b"Content-Length: 99999")):
+        skipped = []
+        found = list(warc.records(meta + broken + text, skipped.append))
+        assert [h["warc-type"] for h, _ in found] == ["metadata", "conversion"] and skipped == [len(broken)]
