@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,15 @@ CACHE = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine if Spark runs in this process alone, as in tests; else an error, since executors
+    would each write to a disk of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,11 +57,20 @@ def own_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here, and lost executors lose none of it.
 
-    Tables stay while the application runs, since results that are read later may need them.
+    A table stays while the application runs, since results that are read later may need it, unless dropped() removes it.
     """
     path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing will read any more: all that was made from them is written itself."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -154,7 +170,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends_b = up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = edges.join(ends_a, "a").join(ends_b, "b").where("ua <> ub")
         moved = moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        edges = written(moved, "edges")
+        last, edges = edges, written(moved, "edges")
+        dropped(last)
         if edges.isEmpty():
             break
     roots = maps.pop()

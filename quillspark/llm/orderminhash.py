@@ -1,23 +1,31 @@
 """Near duplicates by order MinHash: sketches that keep the order of sampled word runs, verified by banded alignment.
 
 A text's words (lower case, without the marks around them) give runs of five words, each labelled with its occurrence in
-the text; short runs do so too, and the words of a short text. Each of some hash functions (``TABLES`` and so on) takes the two smallest labelled runs and keeps them in text order; texts that
-agree on such a pair are candidates. Exact copies are one text from the start. Within a bucket every text meets the one with the smallest id,
-and the alignment decides; texts that it joins are one part from then on. Where a bucket still holds several parts, every
-two texts of different parts meet in one bucket that both have: whole blocks of texts at once, where the words that they
-have in common, order aside, are counted exactly, and all pairs that can reach the threshold by these are aligned, the
-nearest first, until their parts are one. So a group of n copies costs about n alignments, not n * n, and a hot bucket is
-compared in pairs of blocks. The first meetings, with the smallest id, are
-aligned only if their words, order aside, can reach the threshold: 128 MinHash values of the labelled words, of two bits
-each, may differ in as many places as three standard deviations beyond what is expected at the threshold allow.
+the text; short runs do so too, and the words of a short text. Each of some hash functions (``TABLES`` and so on) takes
+the two smallest labelled runs and keeps them in text order; texts that agree on such a pair are candidates. Exact copies
+are one text from the start.
+
+Candidates meet three times, and texts that an alignment links are one part from then on. First every text of a bucket
+meets the one with the smallest id. Then, where a bucket still holds several parts, those outside its largest part meet
+one text of that part, another one in each bucket. What both meetings leave is looked at exhaustively: every two texts of
+different parts that share a bucket meet in one bucket that both have, whole blocks of texts at once, where the words
+that they have in common, order aside, are counted exactly, and all pairs that can reach the threshold by these are
+aligned, the nearest first, until their parts are one. Texts of the largest part are only set against the others, never
+against each other, and in a hot bucket only texts of like length meet; so a bucket of one large part and few others
+costs its size, and only a bucket of many texts that are all different is compared in all pairs of blocks.
+
+In the first two meetings texts are joined for alignment only if 128 MinHash values of their labelled words, of two bits
+each, differ in no more places than five standard deviations beyond what is expected at the threshold allow.
 
 Similarity is 1 - edits / words of the longer text, from an alignment of words in a band that is widened until the number
-of edits is certain or exceeds what the threshold allows.
+of edits is certain or exceeds what the threshold allows. Long texts are first held against two bounds in linear time:
+word runs that must be found nearby, and an alignment along runs that both have once.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, in_block_pairs, mapped, mix, slices, whole_groups, written
+from .common import WordHashes, components, dropped, mapped, mix, slices, whole_groups, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -33,10 +41,12 @@ TABLES = 16
 #: Tables of shorter runs, which edits at even distances leave whole; and, for texts of up to SHORT words, of single words.
 SHORT_WORDS, SHORT_TABLES = 3, 48
 SHORT, WORD_TABLES = 20, 16
-MULTIPLIERS = mix(np.arange(1, 1 + 4096, dtype=np.uint64)) | np.uint64(1)
-#: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; every two blocks meet.
+MULTIPLIERS = (mix(np.arange(1, 1 + 4096, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; blocks meet in pairs.
 BLOCK = 1024
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 20
+#: Pairs of texts with more words than this, beside what both begin and end with, are held against bounds before they are aligned.
+LONG = 4096
 BAG_MULTIPLIERS = (mix(np.arange(5000, 5128, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Marks that don't count at a word's ends.
 MARKS = b".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -54,35 +64,35 @@ def word_hashes(text: str, known: WordHashes) -> np.ndarray:
 
 
 def labelled_runs(words: np.ndarray, k: int = WORDS) -> np.ndarray:
-    """A hash for each run of k words together with the number of its earlier occurrences; a shorter text is one run."""
+    """A hash for each run of k words, together with the number of its earlier occurrences if there are any; a shorter text is one run."""
     k = min(k, len(words))
     runs = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
         runs = mix(runs + words[i : len(words) - k + 1 + i])
+    ranked = np.sort(runs)
+    if (ranked[1:] != ranked[:-1]).all():
+        return runs
     order = np.argsort(runs, kind="stable")
     ranked = runs[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    if len(first) == len(runs):
-        return runs
-    nth = np.empty(len(runs), np.uint64)
-    nth[order] = np.arange(len(runs)) - np.repeat(first, np.diff(np.r_[first, len(runs)]))
-    return mix(runs + nth * np.uint64(0x9E3779B97F4A7C15))
+    nth = np.arange(len(runs)) - np.repeat(first, np.diff(np.r_[first, len(runs)]))
+    again = order[nth > 0]  # a first occurrence keeps its hash, so that texts with and without repeats agree on it
+    runs[again] = mix(runs[again] + nth[nth > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return runs
 
 
 def sketch(words: np.ndarray, tables: int, k: int = WORDS) -> np.ndarray:
     """For each table, a hash of its two smallest labelled runs in text order."""
     runs = labelled_runs(words, k)
+    short = (runs >> np.uint64(32)).astype(np.uint32)
     out = np.empty(tables, np.uint64)
-    at_once = max(1, (1 << 19) // len(runs))
+    at_once = max(1, (1 << 17) // len(runs))
     for t in range(0, tables, at_once):
-        ranks = runs[None, :] * MULTIPLIERS[t : min(t + at_once, tables), None]
-        row = np.arange(len(ranks))
+        ranks = short[None, :] * MULTIPLIERS[t : min(t + at_once, tables), None]
         a = ranks.argmin(1)
-        low = ranks[row, a]
-        ranks[row, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        ranks[np.arange(len(ranks)), a] = 0xFFFFFFFF
         b = ranks.argmin(1)
-        high = ranks[row, b]
-        first, second = np.where(a <= b, low, high), np.where(a <= b, high, low)
+        first, second = runs[np.minimum(a, b)], runs[np.maximum(a, b)]
         out[t : t + len(ranks)] = mix(first) ^ (second << np.uint64(1) | second >> np.uint64(63))
     return mix(out + np.arange(tables, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -106,7 +116,7 @@ def bags_differ(a: str, b: str) -> Column:
 def bags_may_differ(threshold: float) -> int:
     common = threshold / (2 - threshold)
     differ = 0.75 * (1 - common)
-    return math.floor(128 * differ + 3 * math.sqrt(128 * differ * (1 - differ)))
+    return math.floor(128 * differ + 5 * math.sqrt(128 * differ * (1 - differ)))
 
 
 def buckets_of(words: np.ndarray, tables: int = TABLES, k: int = WORDS, short_tables: int = SHORT_TABLES) -> np.ndarray:
@@ -155,6 +165,63 @@ def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def _runs_nearby(a: np.ndarray, b: np.ndarray, k: int, reach: int) -> int:
+    """How many runs of k words of a are in b too, at most ``reach`` places from where they are in a."""
+    keys = []
+    for x in (a, b):
+        run = np.zeros(len(x) - k + 1, np.uint64)
+        for i in range(k):
+            run = mix(run + x[i : len(x) - k + 1 + i])
+        keys.append(run)
+    n, span = len(keys[0]), max(map(len, keys)) + 1
+    kind = np.unique(np.concatenate(keys), return_inverse=True)[1] * span
+    there = np.sort(kind[n:] + np.arange(len(keys[1])))
+    place = np.arange(n)
+    at = np.searchsorted(there, kind[:n] + np.maximum(place - reach, 0))
+    return int((there[np.minimum(at, len(there) - 1)] <= kind[:n] + np.minimum(place + reach, span - 1))[at < len(there)].sum())
+
+
+def _too_far(a: np.ndarray, b: np.ndarray, allowed: int) -> bool:
+    """Whether a and b differ by more than ``allowed`` edits for certain: an edit breaks k runs of k words at most, and moves none further than one place."""
+    return any(_runs_nearby(a, b, k, allowed) < len(a) - k + 1 - k * allowed for k in (2, 3, 4) if min(len(a), len(b)) >= k)
+
+
+def _edits_by_anchors(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """Edits of one alignment, so never fewer than the least number: along the longest chain of runs of k words that each of a and b has once."""
+    once = []
+    for x in (a, b):
+        run = np.zeros(max(0, len(x) - k + 1), np.uint64)
+        for i in range(k):
+            run = mix(run + x[i : len(x) - k + 1 + i])
+        value, place, count = np.unique(run, return_index=True, return_counts=True)
+        once.append((value[count == 1], place[count == 1]))
+    _, ia, ib = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    pa, pb = once[0][1][ia], once[1][1][ib]
+    order = np.argsort(pa)
+    pa, pb = pa[order], pb[order]
+    ends, top, before = [], [], np.full(len(pb), -1)
+    for i, x in enumerate(pb.tolist()):
+        j = bisect_left(ends, x)
+        before[i] = top[j - 1] if j else -1
+        ends[j : j + 1], top[j : j + 1] = [x], [i]
+    chain = []
+    i = top[-1] if top else -1
+    while i >= 0:
+        chain.append(i)
+        i = int(before[i])
+    chain = np.array(chain[::-1], np.int64)
+    pa, pb = np.r_[pa[chain], len(a)], np.r_[pb[chain], len(b)]
+    met = np.minimum(k, np.minimum(np.diff(pa), np.diff(pb)))
+    sa, sb = np.r_[0, pa[:-1] + met], np.r_[0, pb[:-1] + met]  # the gaps: from here to the next anchor
+    la, lb = pa - sa, pb - sb
+    steps = np.r_[0, np.cumsum(la)]
+    place = np.arange(steps[-1]) - np.repeat(steps[:-1], la)
+    even = np.repeat(la == lb, la)
+    same = np.zeros(len(place), bool)
+    same[even] = a[(np.repeat(sa, la) + place)[even]] == b[(np.repeat(sb, la) + place)[even]]
+    return int(np.maximum(la, lb).sum() - same.sum())
+
+
 def banded(pairs: list[tuple[np.ndarray, np.ndarray]], half: int) -> np.ndarray:
     """Edits of each pair, all pairs at once, along paths at most ``half`` off the diagonal; exact where the result is at most ``half``."""
     n, m = (np.array([len(x[i]) for x in pairs]) for i in (0, 1))
@@ -195,7 +262,8 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, e
     """Similarity of each pair of word arrays; -1 where it is under the threshold.
 
     Edits along a narrow band are never fewer than without it. Unless ``exact``, a pair that reaches the threshold within
-    a band is done, and its similarity is a lower bound; which pairs reach the threshold is the same either way.
+    a band is done, and its similarity is a lower bound; which pairs reach the threshold is the same either way. A pair of
+    long texts that no bound decides takes time by the square of its length.
     """
     out = np.full(len(pairs), -1.0)
     todo = []
@@ -208,6 +276,12 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, e
         if not len(ta) or not len(tb):
             out[i] = 1 - max(len(ta), len(tb)) / most
             continue
+        if min(len(ta), len(tb)) > LONG:
+            if _too_far(ta, tb, allowed):
+                continue
+            if not exact and (edits := min(_edits_by_anchors(ta, tb, k) for k in (3, 4))) <= allowed:
+                out[i] = 1 - edits / most
+                continue
         todo.append((i, ta, tb, allowed, most))
     half = 32 if exact else 8
     while todo:
@@ -230,8 +304,8 @@ def similarities(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float, e
 
 
 def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of one (bucket, i, j) that have to be looked at: texts of different parts whose lengths allow a link, in the smallest bucket that both have, so each pair once."""
-    part, n, buckets, block = (c[k][own] for k in ("part", "n", "buckets", "block"))
+    """The pairs of one (bucket, band, i, j) that have to be looked at: texts of different parts whose lengths allow a link, in the smallest bucket that both have and the band of the longer, so each pair once."""
+    part, n, buckets, block, size = (c[k][own] for k in ("part", "n", "buckets", "block", "size"))
     none = np.zeros(0, np.int64)
     if (part == part[0]).all():
         return none, none
@@ -239,6 +313,8 @@ def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np
     fit = (part[:, None] != part[None, :]) & (most - np.minimum(n[:, None], n[None, :]) <= (1 - threshold) * most + 1e-9)
     if c["i"][own.start] != c["j"][own.start]:
         fit &= block[:, None] != block[None, :]
+    at_home = size == c["band"][own.start]
+    fit &= at_home[:, None] | at_home[None, :]
     x, y = np.nonzero(np.triu(fit))
     last = np.iinfo(np.int64).max
     once = [none == 0]
@@ -249,8 +325,9 @@ def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np
     return x[kept], y[kept]
 
 
-_PLACE = ("bucket", "i", "j", "block", "doc", "n", "part")
-_SEATS = "bucket long, i int, j int, block int, doc long, n int, part long, buckets array<long>"
+_GROUP = ("bucket", "band", "i", "j")
+_PLACE = (*_GROUP, "block", "size", "doc", "n", "part")
+_SEATS = "bucket long, band int, i int, j int, block int, size int, doc long, n int, part long, buckets array<long>"
 
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
@@ -264,10 +341,10 @@ def _columns(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _seats(threshold: float):
-    """Rows of one (bucket, i, j) come together; gives those that have a pair to be looked at there."""
+    """Rows of one (bucket, band, i, j) come together; gives those that have a pair to be looked at there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, ends in whole_groups(batches, ("bucket", "i", "j")):
+        for table, starts, ends in whole_groups(batches, _GROUP):
             c = _columns(table)
             found = [np.unique(np.concatenate(_to_meet(slice(s, e), c, threshold))) + s for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
             if found and len(at := np.concatenate(found)):
@@ -321,10 +398,10 @@ def joined(docs: np.ndarray, part: np.ndarray, words: list[np.ndarray], x: np.nd
 
 
 def _links(threshold: float):
-    """Rows of one (bucket, i, j), with their words, come together; gives links that make parts one."""
+    """Rows of one (bucket, band, i, j), with their words, come together; gives links that make parts one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, ends in whole_groups(batches, ("bucket", "i", "j")):
+        for table, starts, ends in whole_groups(batches, _GROUP):
             c, found = _columns(table), []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 x, y = _to_meet(slice(s, e), c, threshold)
@@ -368,6 +445,50 @@ def _content(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit("salt"), text).alias("y"))
 
 
+def _linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose texts an alignment links."""
+    bags_a, bags_b = (sketches.select(F.col("doc").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
+    near = pairs.distinct().join(bags_b, "b").join(bags_a, "a").where(bags_differ("bag_a", "bag_b") <= bags_may_differ(threshold))
+    near = written(near.select("a", "b"), "pairs")
+    links = written(aligned(near, texts, threshold).select("a", "b"), "links")
+    dropped(near)
+    return links
+
+
+def _in_parts(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """met with the part of each text: the smallest one that it is linked with so far."""
+    return met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+
+
+def _dealt(members: DataFrame, threshold: float) -> DataFrame:
+    """Members (bucket, doc, n, part) of buckets with several parts, with band, size, block, i and j, each as often as needed.
+
+    Two texts of different parts meet in one (bucket, band, i, j) at least, if their lengths allow a link. A bucket of up
+    to a block is one group. In a larger one a text stands in the band of its length and in the next; bands are wide
+    enough for texts that may link to be in the same or in neighbouring ones. A band's texts of the bucket's largest
+    part and the others are dealt into blocks apart; the others' blocks meet all blocks, those of the largest part meet
+    the others' only.
+    """
+    by_part = members.groupBy("bucket", "part").agg(F.count("*").alias("count"), F.sum("n").alias("words"))
+    many = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("count").alias("count"), F.sum("words").alias("words"), F.max_by("part", F.struct("count", "part")).alias("largest"))
+    # written, so that both sides of the join are dealt out for it and a hot bucket's rows can be split
+    many = written(many.where("parts > 1 and count > 2").select("bucket", "largest", ((F.col("count") > BLOCK) | (F.col("words") > BLOCK_WORDS)).alias("hot")), "many")
+    rows = members.join(many, "bucket").withColumn("large", F.col("part") == F.col("largest")).drop("largest")
+    size = F.when(F.col("hot"), F.floor(F.log("n") / F.lit(math.log(1.01 / threshold)))).otherwise(0).cast("int")
+    rows = rows.withColumn("size", size).withColumn("band", F.explode(F.when(F.col("hot"), F.array(F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))))
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("n"))) / BLOCK_WORDS))
+    banded_ = rows.where("hot").groupBy("bucket", "band").agg(blocks(~F.col("large")).alias("others"), F.coalesce(blocks(F.col("large")), F.lit(0)).alias("larges"))
+    banded_ = written(banded_.where("others > 0"), "bands")
+    cold = rows.where("not hot").withColumns({"block": F.lit(0), "other": F.lit(0)})
+    hot = rows.where("hot").join(banded_, ["bucket", "band"])
+    hashed = F.xxhash64("doc")
+    hot = hot.withColumn("block", F.when(F.col("large"), F.col("others") + F.pmod(hashed, F.greatest("larges", F.lit(1)))).otherwise(F.pmod(hashed, F.col("others"))))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("others")).otherwise(F.col("others") + F.col("larges")) - 1)))
+    columns = ["bucket", "band", "size", "doc", "n", "part", *(F.col(c).cast("int").alias(c) for c in ("block", "other"))]
+    rows = cold.select(*columns).union(hot.select(*columns))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tables: int = TABLES, k: int = WORDS, short_tables: int = SHORT_TABLES) -> DataFrame:
     """(key, content, class_id) of every row: class_id is the smallest key of the texts that are linked to its own, over any number of links.
 
@@ -384,36 +505,40 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     shared = written(buckets.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("bucket", "lo"), "shared")
     met = written(buckets.join(shared, "bucket"), "met")
     first = met.where("lo < doc").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct()
-    bags_a, bags_b = (sketches.select(F.col("doc").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-    near = bags_may_differ(threshold)
-    first = written(first.join(bags_b, "b").join(bags_a, "a").where(bags_differ("bag_a", "bag_b") <= near).select("a", "b"), "pairs")
     texts = written(texts.join(met.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")), "texts")
-    links = written(aligned(first, texts, threshold), "links")
+    links = _linked(met.where("lo < doc").select(F.col("lo").alias("a"), F.col("doc").alias("b")), sketches, texts, threshold)
     parts = written(components(links), "parts")
-    met_parts = met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    many = met_parts.groupBy("bucket").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / BLOCK_WORDS * BLOCK)).alias("size"), F.count("*").alias("count"), F.min("part").alias("p0"), F.max("part").alias("p1"))
-    many = written(many.where("p0 < p1 and count > 2").select("bucket", "size"), "many")
-    spread = in_block_pairs(met_parts.select("bucket", "doc", "n", "part").join(many, "bucket"), "bucket", "doc", "size", BLOCK).join(sketches.select("doc", "n", "buckets"), ["doc", "n"])
-    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*_PLACE, "buckets")
+    members = _in_parts(met, parts)
+    by_part = members.groupBy("bucket", "part").agg(F.count("*").alias("count"), F.min_by("doc", F.xxhash64("doc", "bucket")).alias("one"))
+    many = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by(F.struct("part", "one"), F.struct("count", "part")).alias("largest"))
+    many = written(many.where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), F.col("largest.one").alias("one")), "many")
+    again = members.join(many, "bucket").where("part <> largest and one <> lo and doc <> lo")
+    more = _linked(again.select(F.least("one", "doc").alias("a"), F.greatest("one", "doc").alias("b")), sketches, texts, threshold)
+    parts_now = written(components(links.union(more)), "parts")
+    dealt = _dealt(_in_parts(met.select("bucket", "doc", "n"), parts_now), threshold).join(sketches.select("doc", "n", "buckets"), ["doc", "n"])
+    dealt = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).select(*_PLACE, "buckets")
     seats = written(mapped(dealt, _seats(threshold), _SEATS), "seats")
     words = mapped(texts.join(seats.select("doc").distinct(), "doc", "left_semi"), _words, "doc long, words binary")
-    seated = seats.join(words, "doc").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*_PLACE, "buckets", "words")
+    seated = seats.join(words, "doc").repartition(*_GROUP).sortWithinPartitions(*_GROUP).select(*_PLACE, "buckets", "words")
     new = written(mapped(seated, _links(threshold), "a long, b long"), "links")
-    parts = written(components(links.select("a", "b").union(new)), "parts")
+    dropped(sketches, shared, met, texts, parts, many, seats, parts_now)
+    parts = written(components(links.union(more).union(new)), "parts")
+    dropped(links, more, new)
     found = exact.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").select("content", F.coalesce("component", "first").alias("class_id"))
-    named = rows.select("doc", "content", F.expr("text is null").alias("void")).join(written(found, "classes"), "content", "left")
+    found = written(found, "classes")
+    dropped(exact, parts)
+    named = rows.select("doc", "content", F.expr("text is null").alias("void")).join(found, "content", "left")
     return named.select(F.col("doc").alias(key), "content", F.expr("case when doc is null then null when void then doc else class_id end").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the smallest key, with all its columns, once.
 
-    Rows with a null key or text stay as they are.
+    Rows with a null key or text stay as they are. Other columns are carried along whatever their names.
     """
-    content = _content(docs[text])
-    void = docs.where(docs[key].isNull() | docs[text].isNull())
-    kept = classes(docs, key, text, **how).where(F.col(key) == F.col("class_id")).select(F.col(key).cast("long").alias("kept_key"), F.col("content").alias("kept_content")).distinct()
-    rows = docs.where(docs[key].isNotNull() & docs[text].isNotNull()).withColumn("kept_content", content).withColumn("kept_key", docs[key].cast("long"))
-    found = rows.join(kept, ["kept_key", "kept_content"])
-    nth = F.row_number().over(Window.partitionBy("kept_key", "kept_content").orderBy("kept_key"))
-    return found.withColumn("kept_nth", nth).where("kept_nth = 1").select(docs.columns).union(void.select(docs.columns))
+    kept = classes(docs, key, text, **how).where(F.col(key) == F.col("class_id")).select(F.col(key).cast("long").alias("id"), "content").distinct()
+    void = docs[key].isNull() | docs[text].isNull()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].cast("long").alias("id"), _content(docs[text]).alias("content"), void.alias("void"))
+    nth = F.row_number().over(Window.partitionBy("id", "content").orderBy("id"))
+    found = rows.where("not void").join(kept, ["id", "content"]).withColumn("nth", nth).where("nth = 1")
+    return found.select("row.*").union(rows.where("void").select("row.*"))
