@@ -45,6 +45,23 @@ EVENTS = (
 VENDOR_HEADERS = ("供应商名称", "中标供应商", "成交供应商", "中标成交供应商", "中标成交供应商名称")
 AMOUNT_HEADERS = ("中标金额", "成交金额", "中标成交金额")
 TITLE_ENDS = ("政府采购意向", "采购意向", "招标公告", "采购公告", "中标公告", "成交公告")
+BUYER_CONTACTS = ("采购人联系人", "采购单位联系人", "客户联系人")
+SECTION_CONTACTS = ("联系人", "项目联系人")
+SUMMARIES = ("项目概况", "采购需求概况", "采购需求", "采购内容")
+PACKAGES = ("包号", "标包编号", "标项编号")
+#: Keys under which a notice's own data may have a field already, in order of precedence.
+GIVEN = {
+    "buyer_contact": ("buyer_contact", "purchaser_contact", "customer_contact", "contact"),
+    "buyer_phone": ("buyer_phone", "purchaser_phone", "customer_phone", "contact_phone", "phone"),
+    "winning_vendor_contact": ("winning_vendor_contact", "supplier_contact", "vendor_contact"),
+    "winning_vendor_phone": ("winning_vendor_phone", "supplier_phone", "vendor_phone"),
+    "project_summary": ("project_summary", "summary", "description", "project_info"),
+}
+SECTION = r"(?s)(?:^|\n)\s*(?:[0-9]+[.、]\s*|[一-十]+、\s*)?(?:采购人|采购单位)信息\s*[:：]?\s*(.*?)(?:(?:\n\s*(?:[0-9]+[.、]|[一-十]+、)\s*)?(?:采购代理机构|代理机构|项目联系人)信息|$(?![\s\S]))"
+BUYER_LINE = r"(?:^|\n)(?:招\s*标\s*人|采\s*购\s*人|采\s*购\s*单\s*位)\s*[:：]\s*([^\n]{2,150})"
+VALUE_ENDS = r"(?s)^(.*?)(?:\s{2,}|地址\s*[:：]|联系人\s*[:：]|统一社会信用代码\s*[:：]|$)"
+PHONE_LABELS = r"(?i)(?:联系方式|联系电话|电话|手机)\s*[:：]?\s*"
+BUYER_PHONE_LABELS = r"(?i)(?:采购人|采购单位|客户)(?:联系电话|电话|联系方式)\s*[:：]?\s*"
 PHONE = r"((?:\+?86[- ]?)?(?:0[0-9]{2,3}[- ]?)?(?:1[3-9][0-9]{9}|[0-9]{7,8})(?:[-转 ][0-9]{1,6})?)"
 
 _TRIM = " ：:，,;；"
@@ -57,7 +74,7 @@ def _trimmed(value: Column) -> Column:
 def labelled(source: Column, labels: Sequence[str], most: int = 160) -> Column:
     """What follows the first label with something after it, to the end of the line or the next label; the value may stand on the next line."""
     found = F.regexp_extract(source, f"(?i)(?:{spaced(labels)})" + r"\s*[:：]?\s*([^\n]{1," + str(most) + "})", 1)
-    return _trimmed(F.regexp_extract(found, r"(?s)^(.*?)(?:\s{2,}|地址\s*[:：]|联系人\s*[:：]|统一社会信用代码\s*[:：]|$)", 1))
+    return _trimmed(F.regexp_extract(found, VALUE_ENDS, 1))
 
 
 def clean_code(value: Column) -> Column:
@@ -74,19 +91,18 @@ def project_code(source: Column) -> Column:
 
 def buyer_section(source: Column) -> Column:
     """The lines under the purchaser's heading, up to the agency's or the contact's, 2500 characters at most."""
-    pattern = r"(?s)(?:^|\n)\s*(?:[0-9]+[.、]\s*|[一-十]+、\s*)?(?:采购人|采购单位)信息\s*[:：]?\s*(.*?)(?:(?:\n\s*(?:[0-9]+[.、]|[一-十]+、)\s*)?(?:采购代理机构|代理机构|项目联系人)信息|$(?![\s\S]))"
-    return F.left(F.regexp_extract(source, pattern, 1), F.lit(2500))
+    return F.left(F.regexp_extract(source, SECTION, 1), F.lit(2500))
 
 
-def buyer(source: Column) -> Column:
+def buyer(source: Column, section: Column) -> Column:
     """The purchaser's name by explicit labels only."""
-    line = F.regexp_extract(source, r"(?:^|\n)(?:招\s*标\s*人|采\s*购\s*人|采\s*购\s*单\s*位)\s*[:：]\s*([^\n]{2,150})", 1)
-    found = F.coalesce(text.first_filled(labelled(source, BUYERS, 150), line, labelled(buyer_section(source), ("名称",), 150)), F.lit(""))
+    found = F.coalesce(text.first_filled(labelled(source, BUYERS, 150), F.regexp_extract(source, BUYER_LINE, 1), labelled(section, ("名称",), 150)), F.lit(""))
     return F.when(found.rlike("[:：]|项目编号|联系电话"), "").otherwise(found)
 
 
-def phone(source: Column) -> Column:
-    return F.trim(F.regexp_extract(source, r"(?i)(?:联系方式|联系电话|电话|手机)\s*[:：]?\s*" + PHONE + "(?![0-9])", 1))
+def phone(source: Column, labels: str = PHONE_LABELS) -> Column:
+    """The first number after a label, with area code and extension."""
+    return F.trim(F.regexp_extract(source, labels + PHONE + "(?![0-9])", 1))
 
 
 def event_type(notice_type: Column, title: Column, source: Column) -> Column:
@@ -165,30 +181,48 @@ def table_values(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield frame.astype({"award": "Int64", "budget": "Int64"})
 
 
-def extracted(notices: DataFrame, title: str = "title", kind: str = "notice_type", body: str = "text") -> DataFrame:
-    """notices with event type, codes, amounts in cents, vendor, dates, expected month, summary and purchaser's name.
+def extracted(notices: DataFrame, title: str = "title", kind: str = "notice_type", body: str = "text", data: str | None = None, cities: Sequence[str] = ()) -> DataFrame:
+    """notices with event type, codes, amounts in cents, vendor, dates, expected month, summary, and the purchaser's name, address, contact, phone and city.
 
-    Null titles, types and texts count as empty. The evidence map has the text that a filled field came from.
+    data: a map<string,string> column of what is known of a notice already; under the keys in GIVEN it comes before the text. cities: the
+    names that city is looked for among, in address, purchaser, title and text in turn. Null titles, types and texts count as empty. The
+    evidence map has the text that a filled field came from. What is used more than once has a projection of its own.
     """
-    rows = notices.withColumn("x_t", table_values(F.coalesce(F.col(title), F.lit("")), text.clean_lines(F.coalesce(F.col(body), F.lit("")))))
-    source = F.col("x_t.scoped")
-    event = event_type(F.col(kind), F.col(title), source)
-    amounts = {name: money.after_label(source, labels) for name, labels in AMOUNTS.items()}
-    amounts["award_amount_minor"] = F.coalesce(F.col("x_t.award"), amounts["award_amount_minor"])
-    amounts["budget_amount_minor"] = F.coalesce(amounts["budget_amount_minor"], F.when(event == "采购意向", F.col("x_t.budget")))
-    month = F.regexp_extract(source, r"(?m)^\s*(20[0-9]{2}\s*年\s*[0-9]{1,2}\s*月)\s*$", 1)
-    expected = F.when(source.rlike(r"预计采购时间\s*[:：]?\s*20[0-9]{2}\s*[-/.年]\s*[0-9]{1,2}"), dates.expected_month(source)).when((event == "采购意向") & (month != ""), dates.expected_month(F.concat(F.lit("预计采购时间"), month))).otherwise("")
-    found = {
-        "event_type": event,
+    c = F.col
+    rows = notices.withColumn("x_t", table_values(F.coalesce(c(title), F.lit("")), text.clean_lines(F.coalesce(c(body), F.lit("")))))
+    rows = rows.withColumn("x_source", c("x_t.scoped"))
+    source, section = c("x_source"), c("x_section")
+    known = lambda field: [c(data)[key] for key in GIVEN[field]] if data else []
+    rows = rows.withColumns({"event_type": event_type(c(kind), c(title), source), "x_section": buyer_section(source)})
+    rows = money.with_amounts(rows, source, AMOUNTS)
+    intention = c("event_type") == "采购意向"
+    month = r"(?m)^\s*(20[0-9]{2}\s*年\s*[0-9]{1,2}\s*月)\s*$"
+    rows = rows.withColumns({
+        "award_amount_minor": F.coalesce("x_t.award", "award_amount_minor"),
+        "budget_amount_minor": F.coalesce("budget_amount_minor", F.when(intention, c("x_t.budget"))),
         "project_code": project_code(source),
-        "package_no": labelled(source, ("包号", "标包编号", "标项编号"), 60),
-        **amounts,
+        "package_no": labelled(source, PACKAGES, 60),
         "winning_vendor": F.coalesce("x_t.vendor", labelled(source, VENDORS)),
-        "project_summary": labelled(source, ("项目概况", "采购需求概况", "采购需求", "采购内容"), 500),
+        "project_summary": F.coalesce(text.first_filled(*known("project_summary"), labelled(source, SUMMARIES, 500)), F.lit("")),
         **{name: dates.labelled_date(source, labels) for name, labels in DATES.items()},
-        "expected_purchase_date": expected,
-        "buyer_name": buyer(source),
-    }
-    filled = rows.withColumns(found)
-    quoted = [F.when(F.col(n).cast("string") != "", F.struct(F.lit(n).alias("key"), F.left(F.regexp_extract(source, f"((?:{one_of(labels)})[^\n]*)", 1), F.lit(200)).alias("value"))) for n, labels in {**AMOUNTS, **DATES, "winning_vendor": VENDORS, "project_code": CODES}.items()]
-    return filled.withColumn("evidence", F.map_from_entries(F.array_compact(F.array(*quoted)))).drop("x_t")
+        "x_month": F.when(intention, F.regexp_extract(source, month, 1)).otherwise(""),
+        "buyer_name": buyer(source, section),
+        "buyer_address": labelled(section, ("地址",), 200),
+        "buyer_contact": F.coalesce(text.first_filled(*known("buyer_contact"), labelled(source, BUYER_CONTACTS, 60), labelled(section, SECTION_CONTACTS, 60)), F.lit("")),
+        "buyer_phone": F.coalesce(text.first_filled(*known("buyer_phone"), phone(source, BUYER_PHONE_LABELS), phone(section)), F.lit("")),
+        "winning_vendor_contact": F.coalesce(text.first_filled(*known("winning_vendor_contact"), F.lit("")), F.lit("")),
+        "winning_vendor_phone": F.coalesce(text.first_filled(*known("winning_vendor_phone"), F.lit("")), F.lit("")),
+    })
+    said = F.when(source.rlike(r"预计采购时间\s*[:：]?\s*20[0-9]{2}\s*[-/.年]\s*[0-9]{1,2}"), source).when(c("x_month") != "", F.concat(F.lit("预计采购时间"), c("x_month")))
+    rows = rows.withColumn("expected_purchase_date", F.coalesce(dates.expected_month(said), F.lit("")))
+    place = F.coalesce(*(F.nullif(unique_name(c(x), cities), F.lit("")) for x in ("buyer_address", "buyer_name", title, "x_source")), F.lit("")) if cities else F.lit("")
+    rows = rows.withColumns({"city": place, "published_at": c("published_at") if "published_at" in notices.columns else F.lit("")})
+    labels = {**AMOUNTS, **DATES, "winning_vendor": VENDORS, "project_code": CODES, "package_no": PACKAGES, "project_summary": SUMMARIES, "buyer_contact": (*BUYER_CONTACTS, *SECTION_CONTACTS), "expected_purchase_date": ("预计采购时间",)}
+    quoted = [F.when(c(n).cast("string") != "", F.struct(F.lit(n).alias("key"), F.left(F.regexp_extract(source, f"((?:{one_of(of)})[^\n]*)", 1), F.lit(200)).alias("value"))) for n, of in labels.items()]
+    return rows.withColumn("evidence", F.map_from_entries(F.array_compact(F.array(*quoted)))).drop("x_t", "x_source", "x_section", "x_month")
+
+
+def unique_name(said: Column, names: Sequence[str]) -> Column:
+    """The one of the names that stands in a text; empty if none does, or several."""
+    hits = F.filter(F.array(*(F.lit(x) for x in names)), lambda x: F.contains(F.coalesce(said, F.lit("")), x))
+    return F.when(F.size(hits) == 1, hits[0]).otherwise("")

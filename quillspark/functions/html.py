@@ -24,6 +24,16 @@ FIREWALL = (r"waf[\s_-]*challenge", r"cloudflare\s+ray\s+id", r"cf-chl-", r"acce
 LOGIN = (r"<input[^>]+type\s*=\s*['\"]?password", r"登录后(?:查看|下载|访问|获取)", r"请先登录", r"账号密码登录", r"<title[^>]*>\s*(?:用户)?登录\s*</title>")
 REDIRECT_KEYS = ("url", "target", "targeturl", "target_url", "redirect", "redirecturl", "redirect_url", "jump", "jumpurl", "jump_url", "sourceurl", "source_url", "originalurl", "original_url")
 
+DATA_ATTRIBUTES = ("data-url", "data-href", "data-download-url", "data-target", "data-source-url", "data-original-url")
+CALLED = r"['\"]((?:https?:)?//[^'\"]+|/[^'\"]+|[^'\"]+(?:\.pdf|\.docx?|\.xlsx?|\.zip|download|filedown)[^'\"]*)['\"]"
+FILE_NAME = r"\.(?:pdf|docx?|xlsx?|zip|rar|7z|ofd|txt)(?:\b|\s|[（(])"
+FILE_ROUTE = r"(?:^|[/_.-])(?:download(?:file)?|attachment|filedown|getfile|files?|documents?)(?:$|[/_.-])"
+FILE_KEYS = ("id", "uuid", "guid", "token", "key", "code", "f", "url", "path", "name", "filename")
+FILE_KEY_PARTS = ("file", "attachment", "document", "download")
+#: Hosts and paths whose pages have their text in one element of a class.
+ARTICLES = {("www.jl.gov.cn", "/ggzy/"): "ewb-article", ("jl.gov.cn", "/ggzy/"): "ewb-article"}
+SHELL_MARKS = (r"<script\b", r"<(?:div|main)[^>]+id\s*=\s*['\"](?:app|root|__next|rootapp)['\"]")
+
 TITLE_PATTERN = "(?is)<title[^>]*>(.*?)</title>"
 LINK_PATTERN = '(?i)<a[^>]*href="([^"]*)"[^>]*>'
 
@@ -63,7 +73,7 @@ def is_empty_shell(page: Column, visible: Column, least: int = 80) -> Column:
     """A page with hardly any text of its own, but with scripts or a place to mount an application."""
     n = F.length(F.regexp_replace(visible, r"[^\p{L}\p{N}]", ""))
     low = F.lower(page)
-    return (n < least) & ((n < 20) | F.rlike(low, F.lit(r"<script\b")) | F.rlike(low, F.lit(r"<(?:div|main)[^>]+id\s*=\s*['\"](?:app|root|__next|rootapp)['\"]")))
+    return (n < least) & ((n < 20) | F.rlike(low, F.lit(SHELL_MARKS[0])) | F.rlike(low, F.lit(SHELL_MARKS[1])))
 
 
 class _Page(HTMLParser):
@@ -71,10 +81,11 @@ class _Page(HTMLParser):
 
     SKIP = {"script", "style", "noscript", "template"}
     LINES = {"p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "dt", "dd"}
-    DATA = ("data-url", "data-href", "data-target", "data-source-url", "data-original-url")
 
-    def __init__(self) -> None:
+    def __init__(self, article: str = "") -> None:
+        """article: the class of the one element that counts, if only that does."""
         super().__init__(convert_charrefs=True)
+        self.article, self.depth, self.found = article, 0 if article else 1, False
         self.skip, self.text, self.title, self.headings, self.outside = 0, [""], [], [], []
         self.links: list[tuple[str, str, str]] = []
         self.rows: list[dict] = []
@@ -84,6 +95,11 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         have = {k: v or "" for k, v in attrs}
+        if self.article and tag == "div":
+            if self.depth or (not self.found and self.article in have.get("class", "").split()):
+                self.depth, self.found = self.depth + 1, True
+        if not self.depth:
+            return
         if tag in self.SKIP:
             self.skip += 1
         if tag in self.LINES:
@@ -92,10 +108,10 @@ class _Page(HTMLParser):
             self.within.append(tag)
         if tag in ("tr", "li"):
             self.row.append({"text": [], "links": []})
-        extra = [have[k] for k in self.DATA if have.get(k)]
+        extra = [have[k] for k in DATA_ATTRIBUTES if have.get(k)]
         if tag in ("iframe", "embed", "object"):
             extra += [x for x in (have.get("src") or have.get("data") or have.get("data-src"),) if x]
-        called = re.search(r"['\"]((?:https?:)?//[^'\"]+|/[^'\"]+)['\"]", have.get("onclick", ""))
+        called = re.search(CALLED, have.get("onclick", ""), re.I)
         extra += [called[1]] if called else []
         label = (have.get("aria-label") or have.get("title") or have.get("value") or "").strip()
         if tag == "a":
@@ -116,6 +132,9 @@ class _Page(HTMLParser):
         self.anchor = None
 
     def handle_endtag(self, tag):
+        if not self.depth:
+            return
+        self.depth -= bool(self.article and tag == "div")
         if tag in self.SKIP and self.skip:
             self.skip -= 1
         if tag in self.LINES:
@@ -128,6 +147,8 @@ class _Page(HTMLParser):
             self.within.pop()
 
     def handle_data(self, data):
+        if not self.depth:
+            return
         for found in re.findall(r"(?:https?:)?//[^\s<>\"'`\\]+", data):
             self.links.append((found.rstrip(".,;:!?，。；：！？、)]}）】》>"), "", "text"))
         if self.skip:
@@ -149,12 +170,29 @@ class _Page(HTMLParser):
             self.outside.append(tidy)
 
 
-def parse(page: str | None) -> dict:
-    """text, title, headings, text outside links, links (url, label, origin) and rows (text, links) of one page."""
-    parser = _Page()
-    parser.feed(page or "")
+def _fed(page: str, article: str = "") -> _Page:
+    parser = _Page(article)
+    parser.feed(page)
     parser.close()
     parser.close_anchor()
+    return parser
+
+
+def article_of(url: str) -> str:
+    """The class of the element that has a page's text, if its host is one where only that counts."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return ""
+    return next((name for (host, start), name in ARTICLES.items() if parts.hostname == host and parts.path.startswith(start)), "")
+
+
+def parse(page: str | None, url: str = "") -> dict:
+    """text, title, headings, text outside links, links (url, label, origin) and rows (text, links) of one page; of its article alone where the address says so and there is one."""
+    article = article_of(url) if url else ""
+    parser = _fed(page or "", article)
+    if article and not parser.found:
+        parser = _fed(page or "")
     rows = [{"text": " ".join(r["text"]), "links": [{"url": u, "label": v} for u, v in r["links"]]} for r in parser.rows]
     return {"text": "\n".join(x for x in parser.text if x), "title": " ".join(parser.title), "headings": " ".join(parser.headings), "outside": " ".join(parser.outside), "links": [{"url": u, "label": v, "origin": o} for u, v, o in parser.links], "rows": rows}
 
@@ -170,6 +208,35 @@ def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse(x) for x in batch], columns=names)
 
 
+@vectorised(PARSED)
+def parsed_at(pages: pd.Series, url: pd.Series) -> pd.DataFrame:
+    """Columns of pages and their addresses -> struct with what parse() gives."""
+    return pd.DataFrame([parse(x, u or "") for x, u in zip(pages, url, strict=True)], columns=[x.split()[0] for x in PARSED.split(", ")])
+
+
+def strong_attachment(url: Column, label: Column) -> Column:
+    """Whether a link is to a file for certain: by extension, by a file name in its label, or by a file route together with what identifies a file.
+
+    A caption alone doesn't: many sites have a link to "downloads" on every page.
+    """
+    path = F.lower(F.coalesce(F.try_url_decode(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1)), F.lit("")))
+    asked = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    named = path.rlike(r"\.(?:" + "|".join(EXTENSIONS) + ")$") | F.lower(F.coalesce(label, F.lit(""))).rlike(FILE_NAME)
+    value = lambda x: F.trim(F.coalesce(F.try_url_decode(F.regexp_replace(x, "^[^=]*=?", "")), F.lit("")))
+    key = lambda x: F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(F.substring_index(x, "=", 1)), F.lit(""))), "[^a-z0-9]", "")
+    identity = lambda x: (value(x) != "") & (key(x).isin(*FILE_KEYS) | key(x).rlike("|".join(FILE_KEY_PARTS)) | value(x).rlike(r"(?i)^(?=.*[a-z])(?=.*[0-9]).{12,}$"))
+    rest = F.substring_index(F.regexp_replace(F.regexp_replace(path, r"(?s)^.*?" + FILE_ROUTE, ""), "^[/_.-]+", ""), "/", 1)
+    own = rest.rlike("^[0-9]+$|^[a-f0-9-]{12,}$") | ((F.length(rest) >= 6) & rest.rlike("[a-z]") & rest.rlike("[0-9]"))
+    by_route = path.rlike(FILE_ROUTE) & (F.exists(F.split(asked, "&"), identity) | asked.rlike("(?i)^[a-z0-9_-]{4,}$") | own)
+    return F.coalesce(named | by_route, F.lit(False))
+
+
+@vectorised("string")
+def unescaped(value: pd.Series) -> pd.Series:
+    """Entities as the characters that they stand for."""
+    return pd.Series([None if x is None else unescape(x) for x in value])
+
+
 def resolved(base: str, url: str) -> list[str]:
     """The absolute form of a link and the targets that its query hands on, each decoded up to twice."""
     try:

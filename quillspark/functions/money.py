@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import one_of
@@ -22,11 +22,23 @@ def minor(number: Column, unit: Column) -> Column:
     return F.when((value >= 0) & (value <= 10**16) & (cents <= 10**18), cents.try_cast("long"))
 
 
-def after_label(text: Column, labels: Sequence[str]) -> Column:
-    """The amount after the first label that one follows; its unit stands behind it or in brackets behind the label."""
+def named(text: Column, labels: Sequence[str]) -> tuple[Column, Column]:
+    """(number, unit) after the first label that one follows; the unit stands behind it or in brackets behind the label."""
     pattern = f"(?i)(?:{one_of(labels)})" + r"\s*((?:（[^）]{0,20}）|\([^)]{0,20}\))?)\s*[:：]?\s*" + NUMBER + r"\s*" + UNIT + "?"
     unit = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 3), F.lit("")), F.regexp_extract(F.regexp_extract(text, pattern, 1), UNIT, 1))
-    return minor(F.regexp_extract(text, pattern, 2), unit)
+    return F.regexp_extract(text, pattern, 2), unit
+
+
+def after_label(text: Column, labels: Sequence[str]) -> Column:
+    """The amount after the first label that one follows. Where several are wanted, with_amounts() looks into the text less often."""
+    return minor(*named(text, labels))
+
+
+def with_amounts(rows: DataFrame, text: Column, amounts: dict[str, Sequence[str]]) -> DataFrame:
+    """rows with the amount after the labels of each name. Numbers and units have a projection of their own, so that each pattern is applied once."""
+    found = {f"{part}_{name}": c for name, labels in amounts.items() for part, c in zip(("x_n", "x_u"), named(text, labels), strict=True)}
+    rows = rows.withColumns(found)
+    return rows.withColumns({name: minor(F.col(f"x_n_{name}"), F.col(f"x_u_{name}")) for name in amounts}).drop(*found)
 
 
 def yuan(amount: Column) -> Column:

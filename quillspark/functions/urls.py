@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import spread_join
+from ..shipping import vectorised
+from . import text
 
 #: Query parameters that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "from", "spm")
@@ -35,6 +38,12 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def _spelled(part: Column) -> Column:
+    """A query's key or value, decoded and encoded again: one spelling of each text. What can't be decoded is taken as it stands."""
+    plain = F.coalesce(F.try_url_decode(part), part)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_key(url: Column) -> Column:
     """Host, port unless a default, path and sorted query: what two spellings of one address have in common.
 
@@ -42,14 +51,49 @@ def canonical_key(url: Column) -> Column:
     """
     number = port(url)
     shown = F.when((number == "") | number.isin("80", "443"), "").otherwise(F.concat(F.lit(":"), number))
-    tidy = F.regexp_replace(F.regexp_replace(path(url), "/+", "/"), "/$", "")
-    pairs = F.filter(F.split(query(url), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
-    # pairs sort by key, then value: the separator gives way to a character below all others
-    spelled = F.transform(pairs, lambda x: F.concat(F.substring_index(x, "=", 1), F.lit("\x01"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")))
-    joined = F.array_join(F.transform(F.array_sort(spelled), lambda x: F.replace(x, F.lit("\x01"), F.lit("="))), "&")
+    tidy = F.regexp_replace(F.regexp_replace(path(url), "/+", "/"), "/+$", "")
+    pairs = F.filter(F.split(query(url), "&"), lambda x: x != "")
+    # pairs sort by key, then value, as decoded
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    halves = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")))
+    sortable = F.transform(halves, lambda x: F.struct(decoded(x["k"]).alias("key"), decoded(x["v"]).alias("value"), x["k"].alias("k"), x["v"].alias("v")))
+    kept = F.array_sort(F.filter(sortable, lambda x: ~F.lower(x["key"]).isin(*TRACKING)))
+    joined = F.array_join(F.transform(kept, lambda x: F.concat(_spelled(x["k"]), F.lit("="), _spelled(x["v"]))), "&")
     return F.concat(host(url), shown, F.when(tidy == "", "/").otherwise(tidy), F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
 
 
+def file_name(url: Column, fallback: str = "source.bin") -> Column:
+    """The last part of the path as a safe name."""
+    return text.safe_component(F.coalesce(F.nullif(F.regexp_extract(path(url), "([^/]*)/*$", 1), F.lit("")), F.lit(fallback)), fallback)
+
+
+@vectorised("string")
+def _ascii_hosts(names: pd.Series) -> pd.Series:
+    def one(name: str | None) -> str | None:
+        try:
+            return None if name is None else name.encode("idna").decode("ascii")
+        except UnicodeError:
+            return ""
+
+    return pd.Series([one(x) for x in names])
+
+
+def ascii_host(name: Column) -> Column:
+    """A host name in lower case and ASCII; empty if it is none: no dot, a dot at its end, an empty, long or hyphened label, an IP literal."""
+    plain = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    short = F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(_ascii_hosts(plain))
+    label = r"(?!-)[a-z0-9-]{1,63}(?<!-)"
+    return F.when(short.rlike(rf"^{label}(\.{label})+$"), short).otherwise("")
+
+
+def official_address(url: Column, name: Column) -> Column:
+    """The one spelling of an HTTPS address, given its ASCII host: no fragment, no default port, a path; empty for others."""
+    number, asked = port(url), F.regexp_extract(url, r"^[^#?]*(\?[^#]*)", 1)
+    place = F.when(path(url) == "", "/").otherwise(path(url))
+    whole = F.concat(F.lit("https://"), name, F.when(number.isin("", "443"), "").otherwise(F.concat(F.lit(":"), number)), place, asked)
+    return F.when((policy_error(url) == "") & (scheme(url) == "https") & (name != ""), whole).otherwise("")
+
+
 def is_https(url: Column) -> Column:
     return F.coalesce(F.startswith(F.lower(url), F.lit("https://")), F.lit(False))
 

@@ -234,5 +234,6 @@ select o_orderkey, (round(t::decimal(38,6) * case when big then 1000000 else 100
  ((round(t::decimal(38,6) * case when big then 1000000 else 100 end))::bigint // 100)::varchar || '.' || lpad(((round(t::decimal(38,6) * case when big then 1000000 else 100 end))::bigint % 100)::varchar, 2, '0') as yuan from m""")
 def money_minor_and_yuan(spark, d):
     shown = F.concat(F.lit("预算金额："), F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 5 == 0, F.lit("万元")).otherwise(F.lit("元")))
-    amount = money.after_label(shown, ("预算金额", "采购预算"))
-    return table(spark, d, "orders").select("o_orderkey", amount.alias("amount_minor"), money.yuan(amount).alias("yuan"))
+    rows = table(spark, d, "orders").select("o_orderkey", shown.alias("shown"))
+    rows = money.with_amounts(rows, F.col("shown"), {"amount_minor": ("预算金额", "采购预算")})
+    return rows.select("o_orderkey", "amount_minor", money.yuan(F.col("amount_minor")).alias("yuan"))

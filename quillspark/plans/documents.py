@@ -150,7 +150,24 @@ def html_links_exploded(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(html.link_targets(F.col("html"))).alias("target"))
 
 
-@query()
+#: The visible text of a page in SQL: what isn't shown goes, block tags end lines, other tags are blanks.
+_TAGLESS = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<(?:script|style|noscript|template|title)\b.*?</(?:script|style|noscript|template|title)>', '', 'g'),
+ '(?i)</?(?:p|div|br|li|tr|td|th|h[1-6]|section|article|table|ul|ol|dt|dd)\b[^>]*>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"""
+
+
+def _plain(sql: str) -> str:
+    """Entities of the pages as characters."""
+    for entity, mark in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&"), ("&amp", "&")):
+        sql = f"replace({sql}, '{entity}', '{mark}')"
+    return sql
+
+
+_SHOWN = _plain(_TAGLESS)
+
+
+@query(f"""with l as (select *, list_filter(list_transform(string_split({_SHOWN}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as lines from pages)
+select page_id, {_plain("trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))")} as title, length(array_to_string(lines, chr(10)))::int as n_chars,
+len(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]+)"', 1))::int as n_links, len(regexp_extract_all(html, '(?i)</(?:li|tr)>'))::int as n_rows, {_plain("trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '\\s+', ' ', 'g'))")} as headings from l""")
 def html_parsed(spark, d):
     p = F.col("p")
     rows = table(spark, d, "pages").withColumn("p", html.parsed(F.col("html")))
@@ -180,7 +197,10 @@ def rejection_histogram(spark, d):
     return table(spark, d, "pages").select(reason.alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with p as (select page_id, url, {_HOST} as h from pages),
+l as (select a.page_id, b.h, 'https://' || regexp_replace(regexp_replace(b.url, '#.*$', ''), '(?i)^https?://', '') as official_url from p a join p b on b.page_id = a.page_id + 1 where a.h <> b.h),
+m as (select l.*, r.role, row_number() over (partition by l.page_id order by length(r.domain) desc) as rn from l join {_REGISTRY_SQL} on l.h = r.domain or (not r.exact_only and l.h like '%.' || r.domain))
+select page_id as lead_identity, official_url, exists (select 1 from p where regexp_replace(p.url, '#.*$', '') = m.official_url) as verified from m where rn = 1 and role = 'official'""")
 def provenance_edges(spark, d):
     """Each page with a link to another page of the table stands for a lead; pages served over HTTPS pass."""
     pages = table(spark, d, "pages")
@@ -191,7 +211,20 @@ def provenance_edges(spark, d):
     return provenance.resolved(found, passed)
 
 
-@query()
+@query(f"""with p as (select *, {_HOST} as host, case when page_id % 7 = 0 then 'json' else 'html' end as kind, case page_id % 4 when 0 then 'html' when 1 then 'pdf' when 2 then 'json' end as mime,
+  nullif(regexp_extract({_PATH}, '\\.([A-Za-z0-9]+)$', 1), '') as named, lower(html) as low, length(regexp_replace({_SHOWN}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) as letters,
+  regexp_replace(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[^\\p{{L}}\\p{{N}}]', '', 'g') as title from pages),
+c as (select *, list_filter([
+  case when not url ilike 'https://%' then 'insecure_origin_transport' end, case when not url ilike 'https://%' then 'insecure_final_transport' end,
+  case when host <> 'example.com' then 'unregistered_official_host' end,
+  case when kind = 'html' and regexp_matches(low, '(?s)(?:captcha|geetest|hcaptcha|recaptcha)(?:[\\s_./?''\"=-]|$)|challenge-platform|aliyun.*captcha') then 'captcha_page' end,
+  case when kind = 'html' and regexp_matches(low, '(?s)access\\s+denied|request\\s+blocked|cf-chl-|cloudflare\\s+ray\\s+id|waf[\\s_-]*challenge') then 'waf_block_page' end,
+  case when kind = 'html' and regexp_matches(low, '(?s)<input[^>]+type\\s*=\\s*[''\"]?password') then 'login_page' end,
+  case when mime <> kind or case when named in ('html', 'htm') then 'html' when named = 'json' then 'json' end <> kind or (mime is null and kind = 'json' and coalesce(named, '') <> 'json') then 'mime_magic_mismatch' end,
+  case when kind = 'html' and (letters < 20 or (letters < 80 and contains(low, '<script'))) then 'empty_spa_shell' end,
+  case when kind = 'json' and title <> '' and not contains('a12', title) then 'expected_title_mismatch' end], lambda x: x is not null) as codes from p)
+select page_id, case when len(codes) > 0 then 'reject' else 'allow' end as verdict, array_to_string(codes, ',') as codes, kind as detected_kind, host as final_host,
+sha256(case when kind = 'json' then '{{"a": [1, 2]}}' else html end) as raw_sha256 from c""")
 def mime_magic_verdict(spark, d):
     mime = F.element_at(F.array(*(F.lit(x) for x in ("text/html; charset=utf-8", "application/pdf", "application/json", ""))), (F.col("page_id") % 4 + 1).cast("int"))
     body = F.when(F.col("page_id") % 7 == 0, F.encode(F.lit('{"a": [1, 2]}'), "UTF-8")).otherwise(F.encode("html", "UTF-8"))
@@ -211,11 +244,30 @@ def safe_component(spark, d):
     return table(spark, d, "pages").select("page_id", text.safe_component(urls.path(F.col("url"))).alias("name"), text.stable_id(F.col("url")).alias("id"))
 
 
-@query()
+@query("""select o_orderkey, '中标公告' as event_type, 'XM-' || o_orderkey::varchar as project_code, round(printf('%.6f', o_totalprice / 10000)::decimal(38,6) * 1000000)::bigint as budget_amount_minor,
+round(printf('%.2f', o_totalprice)::decimal(38,6) * 100)::bigint as award_amount_minor, '供应商' || o_custkey::varchar as winning_vendor, strftime(o_orderdate + interval 20 year, '%Y-%m-%d') || ' 09:30' as opening_at,
+printf('%.2f', o_totalprice) as award_yuan, '单位' || o_custkey::varchar as buyer_name, case when o_orderkey % 2 = 0 then '南' else '北' end || '城' || (o_orderkey % 90)::varchar || '号' as buyer_address,
+'联系人' || (o_custkey % 7)::varchar as buyer_contact, '0431-8' || lpad((o_custkey % 1000000)::varchar, 6, '0') || case when o_custkey % 3 = 0 then '-12' else '' end as buyer_phone,
+case when o_orderkey % 2 = 0 then '南城' else '北城' end as city, '包' || (o_orderkey % 5)::varchar as package_no from orders""")
 def field_extraction(spark, d):
-    """Notices written from orders: labels, amounts and dates as the official templates have them."""
+    """Notices written from orders: labels, amounts, dates, contacts and a table as the official templates have them."""
     o = table(spark, d, "orders")
-    body = F.concat_ws("\n", F.concat(F.lit("项目编号：XM-"), F.col("o_orderkey").cast("string")), F.concat(F.lit("预算金额（万元）："), F.format_number(F.col("o_totalprice") / 10000, 6)), F.concat(F.lit("开标时间："), F.date_format("o_orderdate", "yyyy年M月d日"), F.lit(" 9时30分")), F.lit("序号\n供应商名称\n中标金额\n1"), F.concat(F.lit("供应商"), F.col("o_custkey").cast("string")), F.concat(F.format_number("o_totalprice", 2), F.lit("元")))
-    rows = o.select("o_orderkey", F.concat(F.lit("关于项目"), F.col("o_orderkey").cast("string"), F.lit("的采购")).alias("title"), F.lit("中标公告").alias("notice_type"), body.alias("text"))
-    found = fields.extracted(rows)
-    return found.select("o_orderkey", "event_type", "project_code", "budget_amount_minor", "award_amount_minor", "winning_vendor", "opening_at", money.yuan(F.col("award_amount_minor")).alias("award_yuan"))
+    c, n = F.col, lambda x: F.col(x).cast("string")
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("项目编号：XM-"), n("o_orderkey")),
+        F.concat(F.lit("包号：包"), (c("o_orderkey") % 5).cast("string")),
+        F.concat(F.lit("预算金额（万元）："), F.format_number(c("o_totalprice") / 10000, 6)),
+        F.concat(F.lit("开标时间："), F.date_format(F.add_months("o_orderdate", 240), "yyyy年M月d日"), F.lit(" 9时30分")),
+        F.concat(F.lit("一、采购人信息\n名 称：单位"), n("o_custkey")),
+        F.concat(F.lit("地址："), F.when(c("o_orderkey") % 2 == 0, "南").otherwise("北"), F.lit("城"), (c("o_orderkey") % 90).cast("string"), F.lit("号")),
+        F.concat(F.lit("联系人：联系人"), (c("o_custkey") % 7).cast("string")),
+        F.concat(F.lit("联系电话：0431-8"), F.lpad((c("o_custkey") % 1000000).cast("string"), 6, "0"), F.when(c("o_custkey") % 3 == 0, "-12").otherwise("")),
+        F.lit("二、采购代理机构信息\n名 称：代理\n联系人：他人\n联系电话：0431-99999999"),
+        F.lit("序号\n供应商名称\n中标金额\n1"),
+        F.concat(F.lit("供应商"), n("o_custkey")),
+        F.concat(F.format_number("o_totalprice", 2), F.lit("元")),
+    )
+    rows = o.select("o_orderkey", F.concat(F.lit("关于项目"), n("o_orderkey"), F.lit("的采购")).alias("title"), F.lit("中标公告").alias("notice_type"), body.alias("text"))
+    found = fields.extracted(rows, cities=("南城", "北城", "东城"))
+    return found.select("o_orderkey", "event_type", "project_code", "budget_amount_minor", "award_amount_minor", "winning_vendor", "opening_at", money.yuan(F.col("award_amount_minor")).alias("award_yuan"), "buyer_name", "buyer_address", "buyer_contact", "buyer_phone", "city", "package_no")

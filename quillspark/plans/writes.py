@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import upsert
+from ..shared import shared_dir
 from .registry import query, table
 
 
@@ -100,8 +100,7 @@ def streamed_upsert(spark, d):
     """The events as a stream, merged batch by batch into a table; it ends as the batch form does."""
     from ..streaming import incremental
 
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    place = f"{place.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema  # a pattern: a source takes a folder or a pattern, never one file
     rows = incremental.stream_of(spark, f"{d}/events.parque[t]", schema).select("user_id", "event_type", "event_id", "value")
     incremental.merge_into(rows, f"{place}/table", f"{place}/offsets", ["user_id", "event_type"], ["event_id"]).awaitTermination()
