@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -11,9 +9,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..shipping import ship
 
 #: A word is a run of characters other than space and the controls U+0009 to U+000D; bytes.split() splits UTF-8 just so.
@@ -23,21 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 CACHE = 150_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where that is unset, a folder of this machine if Spark runs in this process alone, as in tests; else an error, since executors
-    would each write to a disk of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _FOLDERS: dict[str, str] = {}
 
 
@@ -79,11 +63,29 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def sampled(rows: DataFrame, order: str, n: int, total: int) -> DataFrame:
-    """The n rows with the smallest ``order``, a 64-bit hash, of about ``total``: a threshold keeps what a task sends to the driver to its share of n."""
-    share = min(1.0, (n + 6 * n**0.5 + 50) / max(total, 1))
-    near = rows if share == 1 else rows.where(F.col(order) < F.lit(int(-(1 << 63) + share * (1 << 64))))
-    return near.orderBy(order).limit(n)
+def sampled(rows: DataFrame, order: str, n: int, by: str | None = None) -> DataFrame:
+    """Up to about n of the rows that differ in ``order``, a 64-bit hash: those with the smallest. With ``by``, a column of few values, each value has its share of n, and what some can't fill goes to the others.
+
+    Rows with one ``order`` count as one. The driver gets a count for each value of ``by``. A threshold from the numbers of
+    distinct rows keeps what a task passes on to its share of the sample.
+    """
+    columns = rows.columns
+    rows = rows.withColumn("sample_of", F.lit("") if by is None else F.col(by).cast("string"))
+    counts = {r[0]: max(r[1], 1) for r in rows.groupBy("sample_of").agg(F.approx_count_distinct(order, 0.05)).collect()}
+    left, quota = n, {}
+    for i, (of, count) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0] or ""))):
+        quota[of] = left // (len(counts) - i)
+        left -= min(quota[of], count)
+    if not quota:
+        return rows.select(columns).limit(0)
+    near, most = F.lit(False), F.lit(0)
+    for of, q in quota.items():
+        share = 1.3 * (q + 6 * q**0.5 + 50) / counts[of]
+        own = F.col("sample_of").eqNullSafe(F.lit(of))
+        near, most = near | (own if share >= 1 else own & (F.col(order) < F.lit(int(-(1 << 63) + share * (1 << 64))))), F.when(own, F.lit(q)).otherwise(most)
+    one = rows.where(near).groupBy("sample_of", order).agg(*(F.first(c).alias(c) for c in columns if c != order))
+    nth = F.row_number().over(Window.partitionBy("sample_of").orderBy(order))
+    return one.withColumn("nth_of", nth).where(F.col("nth_of") <= most).select(columns)
 
 
 class WordHashes(dict):

@@ -1,12 +1,12 @@
 """Near-duplicate embeddings by lattice hashing, verified by cosine in double precision.
 
-Vectors of length 1 are projected at random to 16 dimensions, twice 8, and each half is decoded to the nearest point of the
-E8 lattice. A table's cell is the pair of points; a vector also stands in the cells that have its second nearest point in
-one half or in both, so four cells for each of ``TABLES`` tables. Vectors that share a cell are compared.
+Vectors of length 1 are projected at random to 16 dimensions or more, 8 for each part, and each part is decoded to the nearest point of
+the E8 lattice. A table's cell is the tuple of points; a vector also stands in the cells that have its second nearest
+point in some or all parts. Vectors that share a cell are compared.
 
-With the scale 3.5 two vectors at cosine 0.9 share a cell of one table with probability 0.44, at random 0.0016; ten tables
-miss 0.3 % of the links at the threshold, and fewer above it. A table row for N vectors costs N * 0.0016 / 4 comparisons:
-for much larger N raise ``halves`` (each divides that by about 25) and the number of tables.
+With the scale 3.5 and two parts, two vectors at cosine 0.901 share a cell of one table with probability 0.45, at random
+0.0009; more parts divide the latter by about 50 each, so that the comparisons of a vector don't grow with their number,
+and need more tables: see ``SETTINGS``.
 
 Equal vectors are one vector with a count. A cell with more than ``BLOCK`` vectors is cut into blocks, and every pair of
 blocks is a task's group of its own: a hot cell never meets in one task. Blocks compare by one matrix product and emit one
@@ -17,6 +17,7 @@ that shares several cells counts in the smallest only.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_block_pairs, mapped, mix, whole_groups, written
+from .common import components, dropped, in_block_pairs, mapped, mix, whole_groups, written
 
 THRESHOLD = 0.9
-TABLES = 10
-HALVES = 2
+#: Up to so many different vectors: parts of a cell, and tables. Recall at cosine 0.901 was measured as 0.998, 0.996 and 1.0.
+SETTINGS = ((1_000_000, 2, 10), (50_000_000, 3, 20), (math.inf, 4, 36))
 SCALE = 3.5
 BLOCK = 256
 
@@ -113,7 +114,9 @@ def _hash(planes_of, width: int):
                     unit = raw / peak
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     blobs = pa.array([x.tobytes() for x in (raw.astype(np.float32) if width == 4 else raw)], pa.binary())
-                    yield pa.record_batch([own.column(0), own.column(1), blobs, pa.array(list(cells(unit, planes_of(dim))), pa.list_(pa.int64()))], ["rep", "copies", "vector", "cells"])
+                    found = cells(unit, planes_of(dim))
+                    marks = pa.array([x.tobytes() for x in found.astype(np.uint32)], pa.binary())  # the table follows from the place
+                    yield pa.record_batch([own.column(0), own.column(1), blobs, marks, pa.array(list(found), pa.list_(pa.int64()))], ["rep", "copies", "vector", "marks", "cells"])
 
     return run
 
@@ -129,17 +132,22 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _bytes(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a binary column start and end, and the bytes."""
+    column = rows.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    _, ends, data = column.buffers()
+    return np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1], np.frombuffer(data, np.uint8)
+
+
 class _Rows:
     """Columns of a table of rows as arrays; vectors of each length are one matrix of unit vectors."""
 
     def __init__(self, rows: pa.Table, kind: type, per_table: int) -> None:
         self.n = rows.num_rows
         self.cell, self.i, self.j, self.block, self.rep, self.copies = (rows.column(k).to_numpy() for k in ("cell", "i", "j", "block", "rep", "copies"))
-        blobs = rows.column("vector").combine_chunks()
-        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
-        _, ends, data = blobs.buffers()
-        ends = np.frombuffer(ends, np.int32)[blobs.offset : blobs.offset + self.n + 1]
-        self.length, data = np.diff(ends), np.frombuffer(data, np.uint8)
+        ends, data = _bytes(rows, "vector")
+        self.length = np.diff(ends)
         self.place, self.units = np.empty(self.n, np.int64), {}
         for size in np.unique(self.length).tolist():
             own = np.flatnonzero(self.length == size)
@@ -147,9 +155,8 @@ class _Rows:
             unit = raw / np.abs(raw).max(1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             self.place[own], self.units[size] = np.arange(len(own)), unit
-        cells_ = rows.column("cells").combine_chunks()
-        cells_ = cells_.chunk(0) if isinstance(cells_, pa.ChunkedArray) else cells_
-        self.cells = cells_.flatten().to_numpy().reshape(self.n, -1, per_table)
+        ends, data = _bytes(rows, "marks")
+        self.marks = data[ends[0] : ends[-1]].view(np.uint32).reshape(self.n, -1, per_table)
 
     def near(self, own: slice, threshold: float) -> np.ndarray:
         """Which rows of the slice reach the threshold with each other."""
@@ -168,7 +175,6 @@ class _Rows:
 def _compare(threshold: float, width: int, per_table: int):
     """Rows of one group (cell, i, j) come together; i and j number its blocks."""
     kind = np.float32 if width == 4 else np.float64
-    most = np.iinfo(np.int64).max
 
     def group(rows: _Rows, own: slice) -> tuple[np.ndarray, ...] | None:
         linked = rows.near(own, threshold)
@@ -183,15 +189,15 @@ def _compare(threshold: float, width: int, per_table: int):
             linked &= block[:, None] != block[None, :]
         a, b = np.nonzero(np.triu(linked))
         n = np.zeros(len(rep), np.int64)
-        keys = rows.cells[own][order]
+        marks = rows.marks[own][order]
+        table, mark = divmod(int(rows.cell[own.start]), 1 << 32)
         for at in range(0, len(a), 20_000):
             x, y = a[at : at + 20_000], b[at : at + 20_000]
-            least = np.full(len(x), most)
-            for p in range(per_table):
-                for q in range(per_table):
-                    one = keys[x, :, p]
-                    least = np.minimum(least, np.where(one == keys[y, :, q], one, most).min(1))
-            first = least == rows.cell[own.start]
+            for t in range(table):  # pairs that an earlier table has too count there
+                apart = ~(marks[x, t][:, :, None] == marks[y, t][:, None, :]).any((1, 2))
+                x, y = x[apart], y[apart]
+            mx = marks[x, table]
+            first = ~((mx[:, :, None] == marks[y, table][:, None, :]) & (mx < mark)[:, :, None]).any((1, 2))
             np.add.at(n, x[first], copies[y[first]])
             np.add.at(n, y[first], copies[x[first]])
         some = (n > 0) | (root != rep)
@@ -207,12 +213,13 @@ def _compare(threshold: float, width: int, per_table: int):
     return run
 
 
-def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, halves: int = HALVES, scale: float = SCALE, seed: int = 7) -> DataFrame:
+def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tables: int | None = None, halves: int | None = None, scale: float = SCALE, seed: int = 7) -> DataFrame:
     """(key, n_links, component_id, kept) for each row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of different
     lengths don't link. Rows that repeat a key are vectors of their own. A row with a null key counts for others as a
-    vector, names no component unless all do, and is kept. No rows give no rows.
+    vector, names no component unless all do, and is kept. No rows give no rows. Other columns are left out, so their names
+    can't clash. ``halves`` and ``tables`` follow from the number of different vectors unless they are given.
     """
     width = 4 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else 8
     v = F.col("vector")
@@ -222,18 +229,23 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     exact = rows.where("good").groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     exact = written(exact.withColumn("rep", F.coalesce("rep", F.lit(1 << 62) + F.pmod("x", F.lit(1 << 60)))), "vectors")
 
+    if halves is None or tables is None:
+        n = exact.count()
+        halves, tables = next((halves or h, tables or t) for most, h, t in SETTINGS if n <= most)
+
     def planes_of(dim: int, known: dict = {}) -> np.ndarray:  # noqa: B006  one set of planes for each length and process
         if dim not in known:
             known[dim] = projections(dim, tables, halves, scale, seed)
         return known[dim]
 
-    hashed = written(mapped(exact.select("rep", "copies", "vector"), _hash(planes_of, width), "rep long, copies long, vector binary, cells array<long>"), "cells")
+    hashed = written(mapped(exact.select("rep", "copies", "vector"), _hash(planes_of, width), "rep long, copies long, vector binary, marks binary, cells array<long>"), "cells")
     # a cell may come twice among one vector's cells
     spread = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
     sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    spread = in_block_pairs(written(spread.join(sizes, "cell"), "spread"), "cell", "rep", "n", BLOCK)
-    full = spread.join(hashed, "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    met = written(mapped(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "cells"), _compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
+    places = written(spread.join(sizes, "cell"), "spread")
+    full = in_block_pairs(places, "cell", "rep", "n", BLOCK).join(hashed.drop("cells"), "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    met = written(mapped(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "marks"), _compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
+    dropped(sizes, places, hashed)
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     found = exact.join(counts, "rep", "left").join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")

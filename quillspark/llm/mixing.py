@@ -86,12 +86,13 @@ def plan(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id",
 def mixed(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST) -> DataFrame:
     """The mix itself: the rows of docs with their columns, each as often as the mix takes it (not at all, or up to ``most`` times).
 
-    The plan holds no texts; it meets the rows on key, text hash and, for rows that repeat both, their number.
+    The plan holds no texts; it meets the rows on key, text hash and, for rows that repeat both, their number. Nulls, empty
+    texts and repeated rows are as in plan(); other columns are carried along whatever their names.
     """
-    nth = F.row_number().over(Window.partitionBy("mix_key", "mix_content").orderBy("mix_key"))
-    planned = plan(docs, labels, key, text, source, most=most).select(F.col(key).alias("mix_key"), F.col("content").alias("mix_content"), "copies")
-    planned = planned.withColumn("plan_nth", nth).where("copies > 0").withColumnsRenamed({"mix_key": "plan_key", "mix_content": "plan_content", "copies": "plan_copies"})
-    rows = docs.withColumn("mix_key", docs[key]).withColumn("mix_content", F.xxhash64(docs[text])).withColumn("mix_nth", nth)
+    nth = F.row_number().over(Window.partitionBy("id", "content").orderBy("id"))
+    planned = plan(docs, labels, key, text, source, most=most).select(F.col(key).alias("id"), "content", "copies").withColumn("nth", nth)
+    planned = planned.where("copies > 0").toDF("plan_id", "plan_content", "copies", "plan_nth")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].alias("id"), F.xxhash64(docs[text]).alias("content")).withColumn("nth", nth)
     # the number isn't a join key, so both windows' partitioning serves the join too
-    same = rows["mix_key"].eqNullSafe(planned["plan_key"]) & (rows["mix_content"] == planned["plan_content"]) & (rows["mix_nth"] - planned["plan_nth"] == 0)
-    return rows.join(planned, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("plan_copies")))).select(*(F.col(c) for c in docs.columns))
+    same = rows["id"].eqNullSafe(planned["plan_id"]) & (rows["content"] == planned["plan_content"]) & (rows["nth"] - planned["plan_nth"] == 0)
+    return rows.join(planned, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

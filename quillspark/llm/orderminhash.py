@@ -43,7 +43,7 @@ SHORT_WORDS, SHORT_TABLES = 3, 48
 SHORT, WORD_TABLES = 20, 16
 MULTIPLIERS = (mix(np.arange(1, 1 + 4096, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; blocks meet in pairs.
-BLOCK = 1024
+BLOCK = 512
 BLOCK_WORDS = 1 << 20
 #: Pairs of texts with more words than this, beside what both begin and end with, are held against bounds before they are aligned.
 LONG = 4096

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mapped, mix, slices, written
+from .common import WordHashes, dropped, mapped, mix, slices, written
 
 SEED = 12
 WINDOW = 50
@@ -156,6 +156,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
     # written, so that both sides of the join are dealt out for it and a hot anchor's rows can be split
     shared = written(shared.where("lo < hi").select("anchor", F.expr("b0 <> b1").alias("differ")), "shared")
     met = written(found.join(shared, "anchor"), "met")
+    dropped(found)
     classes = met.groupBy("anchor", "body").agg(F.min(F.struct("doc", "content", "start")).alias("first"), F.max("doc").alias("hi"), F.first("windows").alias("windows"), F.first("differ").alias("differ"))
     classes = written(classes.select("anchor", "body", "windows", "differ", "hi", F.col("first.doc").alias("lo"), F.col("first.content").alias("at"), F.col("first.start").alias("start")), "classes")
     todo = classes.where("differ").groupBy(F.col("lo").alias("doc"), F.col("at").alias("content")).agg(F.collect_list(F.struct("anchor", "body", "start", "windows")).alias("todo"))
@@ -165,6 +166,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
     part = prints.join(best, ["anchor", "print"]).where("best < doc").groupBy("anchor", "body").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("part"))
     known = classes.join(written(part, "part"), ["anchor", "body"], "left").where("part is not null or lo < hi").select("anchor", "body", "lo", F.coalesce("part", F.lit(0)).alias("part"))
     known = written(known, "known")
+    dropped(shared, classes, prints, best)
     hit = met.join(known, ["anchor", "body"]).select("doc", "content", "start", F.expr("case when doc > lo then shiftleft(1L, windows) - 1 else part end").alias("mask")).where("mask <> 0")
     return hit.groupBy("doc", "content").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
@@ -182,11 +184,11 @@ def covered(n_words: int, spans: list[dict] | None, window: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, window: int, seed: int, key: str, text: str) -> DataFrame:
-    """docs with the spans of each row's repeats as rep_spans."""
-    found = repeats(docs, window, seed, key, text).withColumnsRenamed({"doc": "rep_doc", "content": "rep_content", "spans": "rep_spans"})
-    rows = docs.withColumn("rep_key", docs[key].cast("long")).withColumn("rep_hash", F.xxhash64(docs[text]))
-    same = (rows["rep_key"] == found["rep_doc"]) & (rows["rep_hash"] == found["rep_content"])
-    return rows.join(found, same, "left").select(*(rows[c] for c in docs.columns), "rep_spans")
+    """docs, its columns by number, with the spans of each row's repeats last."""
+    found = repeats(docs, window, seed, key, text)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("hash"))
+    marked = rows.join(found, (rows["id"] == found["doc"]) & (rows["hash"] == found["content"]), "left")
+    return marked.select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), "spans")
 
 
 def _kept(text: str | None, spans: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
@@ -222,13 +224,14 @@ def cleaned(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
     """The rows of docs with their columns and without repeats in ``text``; ``count`` names a column that gets the new length.
 
     Texts that lose nothing stay as they are, to the character, and others are the kept words joined by one space. Rows
-    that lose all their words go. Nulls, empty texts and repeated keys are as in without_repeats().
+    that lose all their words go. Nulls, empty texts and repeated keys are as in without_repeats(); other columns are
+    carried along whatever their names.
     """
     marked = _marked(docs, window, seed, key, text)
+    at, spans_at, names = docs.columns.index(text), len(docs.columns), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, spans_at = batch.schema.get_field_index(text), batch.num_columns - 1
             for part in slices(batch, 128):
                 out = part.column(at).to_pylist()
                 for i, spans in enumerate(part.column(spans_at).to_pylist()):
@@ -237,7 +240,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key: str =
                         out[i] = b" ".join(words).decode() if words else None
                 lost = pa.array([bool(s) and x is None for s, x in zip(part.column(spans_at).to_pylist(), out, strict=True)], pa.bool_())
                 part = part.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select(range(spans_at))
-                yield part.filter(pa.compute.invert(lost))
+                yield part.rename_columns(names).filter(pa.compute.invert(lost))
 
     rows = mapped(marked, run, docs.schema)
     return rows if count is None else rows.withColumn(count, F.length(text).cast(docs.schema[count].dataType)).select(docs.columns)

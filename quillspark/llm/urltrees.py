@@ -27,6 +27,8 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, SMOOTH = 60, 3, 0.2, 32, 5.0
 #: A suffix's share of blocked URLs counts so many URLs of the overall share with its own.
 PRIOR = 10.0
+#: A learned URL has its suffix's share from the other folds, so that its own label isn't among its features.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_part", "is_https", "has_fragment", "suffix_block_rate", "suffix_log_count")
 
 
@@ -135,48 +137,85 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
     return Forest(base, tuple(out))
 
 
-def _matrix(part: pa.RecordBatch, rate: np.ndarray, count: np.ndarray) -> np.ndarray:
-    own = [lexical(*x) for x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
-    suffix = part.column(3).to_numpy()
-    return np.column_stack([np.array(own, np.float64).reshape(-1, len(FEATURES) - 2), rate[suffix], count[suffix]])
+class Suffixes(NamedTuple):
+    """What is known of each suffix bucket. rate[0]: share of blocked URLs; rate[1 + fold]: the same without that fold; count: log of its number of URLs."""
 
+    rate: np.ndarray
+    count: np.ndarray
 
-def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
-    """(key, host, path, rule, verdict, score) for each row: the rule's verdict where one fits, else that of the trees.
 
-    rules: 'host/path' -> 'allow' or 'block'. URLs that a rule fits are the labelled ones; score is the trees' probability
-    of 'block' (0.5 and more blocks). A null URL and one without '://' have an empty host and path and are judged by the trees. Where no URL
-    has a label, the trees have nothing to learn and allow. Repeated rows give repeated results; no rows give no rows.
-    """
+def suffixes(known: list[tuple[int, int, int, int, int]]) -> Suffixes:
+    """From (bucket, fold, URLs, labelled, blocked); a suffix without labels is like all others."""
+    labelled, blocked, n = (np.zeros((FOLDS, BUCKETS)) for _ in range(3))
+    for bucket, fold, *counts in known:
+        for table, x in zip((n, labelled, blocked), counts, strict=True):
+            table[fold, bucket] += x
+    rate = np.empty((1 + FOLDS, BUCKETS))
+    for i in range(1 + FOLDS):
+        use = np.arange(FOLDS) != i - 1
+        overall = (blocked[use].sum() + 1) / (labelled[use].sum() + 2)
+        rate[i] = (blocked[use].sum(0) + PRIOR * overall) / (labelled[use].sum(0) + PRIOR)
+    return Suffixes(rate, np.log1p(n.sum(0)))
+
+
+class Judge(NamedTuple):
+    """What judged() learns."""
+
+    suffixes: Suffixes
+    forest: Forest
+
+    def features(self, part: pa.RecordBatch, fold: np.ndarray | int = -1) -> np.ndarray:
+        """From a batch (url, host, path, suffix, ...); with each row's fold, without what its fold tells of its suffix."""
+        own = [lexical(*x) for x in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)]
+        at = part.column(3).to_numpy()
+        return np.column_stack([np.array(own, np.float64).reshape(-1, len(FEATURES) - 2), self.suffixes.rate[1 + fold, at], self.suffixes.count[at]])
+
+
+def _placed(pages: DataFrame, rules: dict[str, str], key: str, url: str) -> DataFrame:
+    """(url, host, path, suffix, key, rule, listed, order, fold) of each row."""
     rows = pages.select(pages[url].alias("url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), pages[key].alias("key"))
     rows = rows.withColumn("suffix", suffix_of(F.col("host"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     listed = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair)) if rules else F.lit(None).cast("map<string,string>")
-    rows = rows.withColumn("listed", listed[F.col("rule")])
-    known = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count("listed").alias("labelled"), F.count_if(F.col("listed") == "block").alias("blocked"))
-    known = known.collect()  # at most BUCKETS rows
-    overall = (sum(r["blocked"] for r in known) + 1) / (sum(r["labelled"] for r in known) + 2)
-    rate, count = np.full(BUCKETS, overall), np.zeros(BUCKETS)  # a suffix without labels is like all others
-    for r in known:
-        rate[r["suffix"]], count[r["suffix"]] = (r["blocked"] + PRIOR * overall) / (r["labelled"] + PRIOR), math.log1p(r["n"])
+    rows = rows.withColumn("listed", listed[F.col("rule")]).withColumn("order", F.xxhash64(F.lit("sample"), "url"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int"))  # equal URLs are in one fold
+
+
+def learned(rows: DataFrame, sample: int = SAMPLE) -> Judge:
+    """From the rows of _placed() with a label in ``listed``; the suffixes' numbers count all rows."""
+    counts = (F.count("*").alias("n"), F.count("listed").alias("labelled"), F.count_if(F.col("listed") == "block").alias("blocked"))
+    known = suffixes([tuple(r) for r in rows.groupBy("suffix", "fold").agg(*counts).collect()])  # at most BUCKETS * FOLDS rows
+    bare = Judge(known, Forest(-20.0, ()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2048):
-                yield pa.record_batch([pa.array(list(_matrix(part, rate, count)), pa.list_(pa.float64())), part.column(4)], ["x", "blocked"])
+                yield pa.record_batch([pa.array(list(bare.features(part, part.column(4).to_numpy())), pa.list_(pa.float64())), part.column(5)], ["x", "blocked"])
 
-    labelled = rows.where("listed is not null").withColumn("order", F.xxhash64(F.lit("sample"), "url", "key"))
-    chosen = sampled(labelled.select("url", "host", "path", "suffix", (F.col("listed") == "block").alias("blocked"), "order"), "order", sample, sum(r["labelled"] for r in known))
-    got = mapped(chosen.select("url", "host", "path", "suffix", "blocked"), features, "x array<double>, blocked boolean").collect()
+    labelled = rows.where("listed is not null").select("url", "host", "path", "suffix", "fold", (F.col("listed") == "block").alias("blocked"), "order")
+    got = mapped(sampled(labelled, "order", sample).drop("order"), features, "x array<double>, blocked boolean").collect()
+    if not got:
+        return bare
     got.sort(key=lambda r: (r["x"], r["blocked"]))
-    examples = np.array([r["x"] for r in got], np.float64).reshape(-1, len(FEATURES))
-    forest = boost(examples, np.array([float(r["blocked"]) for r in got])) if got else Forest(-20.0, ())
+    return Judge(known, boost(np.array([r["x"] for r in got], np.float64), np.array([float(r["blocked"]) for r in got])))
+
+
+def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
+    """(key, host, path, rule, verdict, score) for each row: the rule's verdict where one fits, else that of the trees.
+
+    rules: 'host/path' -> 'allow' or 'block'. URLs that a rule fits are the labelled ones; score is the trees' probability
+    of 'block' (0.5 and more blocks). A null URL and one without '://' have an empty host and path and are judged by the trees. Where no URL
+    has a label, the trees have nothing to learn and allow. Equal URLs are one example; repeated rows give repeated results; no rows give no
+    rows. Very long URLs are read whole; other columns are left out, so their names can't clash.
+    """
+    rows = _placed(pages, rules, key, url)
+    judge = learned(rows, sample)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2048):
-                score = forest.probability(_matrix(part, rate, count))
+                score = judge.forest.probability(judge.features(part))
                 verdict = [x or ("block" if s >= 0.5 else "allow") for x, s in zip(part.column(6).to_pylist(), score.tolist(), strict=True)]
                 yield pa.record_batch([part.column(4), part.column(1), part.column(2), part.column(5), pa.array(verdict, pa.string()), pa.array(score)], ["key", "host", "path", "rule", "verdict", "score"])
 
     fields = f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double"
-    return mapped(rows.select("url", "host", "path", "suffix", "key", "rule", "listed"), judge, fields).withColumnRenamed("key", key)
+    return mapped(rows.select("url", "host", "path", "suffix", "key", "rule", "listed"), run, fields).withColumnRenamed("key", key)

@@ -1,19 +1,22 @@
 """WARC derivatives: from each response a metadata record and a plain-text conversion, linked to it and to each other.
 
 Both refer to the response by its record id (WARC-Refers-To), name its target and date, and carry the digests of its
-payload; the metadata record also holds the response's HTTP headers, its title and its links. Record ids follow from the
-response's id, so a task that runs again makes the same records.
+payload and block as the source gives them; the metadata record also holds the response's HTTP headers, whether the
+payload agrees with its digest, its title and its links. Payloads are bytes: a chunked or compressed body is undone and decoded by its
+charset for the text alone. Record ids follow from the response's id, so a task that runs again makes the same records.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -32,6 +35,11 @@ _ASIDE = re.compile(r"<(noscript|template)\b[^>]*>.*?</\1\s*>|<title\b[^>]*>(?:.
 #: What is left of the head then: it ends at its end tag, or before text or the first tag that can't stand in it.
 _HEAD = re.compile(r"<head\b[^>]*>(?:\s|<(?:base|basefont|bgsound|link|meta)\b[^>]*>|</?(?:noscript|template)\b[^>]*>)*(?:</head\s*>)?", re.I)
 _START = re.compile(rb"\r\n(?=WARC/\d)")
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_META = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+#: Fixed value: so many bytes of a page are searched for its charset, as browsers do.
+_SNIFFED = 1024
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -52,25 +60,91 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def header(http_headers: str, name: str) -> str:
+    """The last value of an HTTP header, or the empty text."""
+    found = ""
+    for line in http_headers.split("\r\n")[1:]:
+        key, _, value = line.partition(":")
+        if key.strip().lower() == name:
+            found = value.strip()
+    return found
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked message; what isn't chunked, though it is said to be, stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return body if not out else b"".join(out)
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """The body without gzip or deflate; cut short where it is damaged, and as it is if it isn't compressed."""
+    for bits in (47,) if coding == "gzip" else (15, -15):
+        out, rest = [], body
+        try:
+            while rest:
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest))
+                rest = one.unused_data
+        except zlib.error:
+            pass
+        if out:
+            return b"".join(out)
+    return body
+
+
+def decoded(payload: bytes, http_headers: str) -> str:
+    """The payload as text: transfer and content codings undone, in the charset of its byte order mark, its header, its meta element, or UTF-8; bytes that don't fit are U+FFFD.
+
+    Latin-1 and ASCII are read as windows-1252, as browsers do. A coding other than gzip and deflate is left as it is.
+    """
+    if header(http_headers, "transfer-encoding").lower() == "chunked":
+        payload = _dechunked(payload)
+    for coding in reversed(header(http_headers, "content-encoding").lower().replace("x-gzip", "gzip").split(",")):
+        if coding.strip() in ("gzip", "deflate"):
+            payload = _inflated(payload, coding.strip())
+    for mark, name in _BOMS:
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
+    said, meta = _CHARSET.search(header(http_headers, "content-type")), _META.search(payload[:_SNIFFED])
+    for name in (said and said[1], meta and meta[1].decode()):
+        try:
+            if name and (known := codecs.lookup(name)) and known._is_text_encoding:
+                return payload.decode("cp1252" if known.name in ("iso8859-1", "ascii") else known.name, "replace")
+        except (LookupError, UnicodeError):
+            continue
+    return payload.decode("utf-8", "replace")
+
+
 class Derived(NamedTuple):
     record_type: str
     record_id: str
     refers_to: str
-    concurrent_to: str
+    concurrent_to: str | None
     target_uri: str | None
     warc_date: str | None
     content_type: str
     content_length: int
     block_digest: str
     source_payload_digest: str
-    source_headers: str
+    source_block_digest: str | None
+    source_headers: str | None
     block: str
 
 
-def derive_one(record_id: str, target_uri: str | None, warc_date: str | None, http_headers: str | None, payload: str | None) -> tuple[Derived, Derived]:
-    """The metadata record and the conversion record of one response."""
-    page, headers = payload or "", http_headers or ""
-    source = digest(page.encode())
+def derive_one(record_id: str, target_uri: str | None = None, warc_date: str | None = None, http_headers: str | None = None, payload: bytes | None = None, payload_digest: str | None = None, block_digest: str | None = None) -> tuple[Derived, Derived]:
+    """The metadata record and the conversion record of one response. The source's digests are carried on; where it has none of the payload, one is computed."""
+    payload, headers = payload or b"", http_headers or ""
+    computed = digest(payload)
+    page = decoded(payload, headers)
+    source = payload_digest or computed
     ids = [f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{kind}')}>" for kind in ("metadata", "conversion")]
     text = plain_text(page)
     title = _TITLE.search(page)
@@ -83,14 +157,15 @@ def derive_one(record_id: str, target_uri: str | None, warc_date: str | None, ht
         "status-line": status,
         "headers": [[k.strip(), v.strip()] for k, _, v in named],
         "payload-digest": source,
-        "payload-length": len(page.encode()),
+        "payload-agrees": source.lower() == computed.lower() if source.lower().startswith("sha1:") else None,
+        "payload-length": len(payload),
         "title": _BLANK.sub(" ", html.unescape(title[1])).strip() if title else None,
         "links": links,
     }
     out = []
     for i, (kind, mime, block) in enumerate((("metadata", "application/json", json.dumps(about, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", text))):
-        data = block.encode()
-        out.append(Derived(kind, ids[i], record_id, ids[1 - i], target_uri, warc_date, mime, len(data), digest(data), source, headers, block))
+        data = block.encode("utf-8", "replace")
+        out.append(Derived(kind, ids[i], record_id, record_id if kind == "metadata" else None, target_uri, warc_date, mime, len(data), digest(data), source, block_digest, http_headers, data.decode()))
     return tuple(out)
 
 
@@ -125,48 +200,76 @@ def records(data: bytes, skipped: Callable[[int], None] | None = None) -> Iterat
             at += 2
 
 
-def read_responses(spark: SparkSession, path: str, skipped: Accumulator | None = None) -> DataFrame:
-    """(record_id, target_uri, warc_date, http_headers, payload) of the response records in WARC files; one task reads a file. ``skipped`` counts the broken records left out, again in a task that runs again."""
+_RESPONSE = ("warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest")
+_RESPONSE_FIELDS = "record_id string, target_uri string, warc_date string, payload_digest string, block_digest string, http_headers string, payload binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _responses(found: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
+    found = [(h, *b.partition(b"\r\n\r\n")[::2]) for h, b in found if h.get("warc-type") == "response"]
+    cols = [pa.array([h.get(k) for h, _, _ in found], pa.string()) for k in _RESPONSE]
+    cols += [pa.array([head.decode("latin-1") for _, head, _ in found], pa.string()), pa.array([body for _, _, body in found], pa.binary())]
+    return pa.record_batch(cols, [x.split()[0] for x in _RESPONSE_FIELDS.split(", ")])
+
+
+def read_responses(spark: SparkSession, path: str, skipped: Accumulator | None = None, whole_files: bool = False) -> DataFrame:
+    """The response records in WARC files, with the columns that derive() takes: ids, digests and HTTP headers as they stand there, payloads as bytes.
+
+    Spark reads the files record by record, each up to the start of the next, so a task holds few records at a time; files
+    that aren't compressed are read in parts, and .gz files, compressed by record or as a whole, as a stream. A broken
+    record is left out and the next one read; ``skipped`` counts those left out, again in a task that runs again. A record that
+    quotes the start of another after an empty line counts as broken; ``whole_files`` reads such files rightly, each in
+    the memory of one task.
+    """
+    tell = skipped and (lambda _: skipped.add(1))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 128):
+                found = []
+                for data in part.column(0).to_pylist():
+                    if data.strip():
+                        start = b"" if data.startswith(b"WARC/") else b"WARC/"
+                        found += records(start + data + b"\r\n\r\n", tell)
+                yield _responses(found)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                found = [(h, *b.partition(b"\r\n\r\n")[::2]) for h, b in records(data.as_py(), skipped and (lambda _: skipped.add(1))) if h.get("warc-type") == "response"]
-                cols = [[h.get(k) for h, _, _ in found] for k in ("warc-record-id", "warc-target-uri", "warc-date")]
-                cols += [[head.decode("latin-1") for _, head, _ in found], [body.decode("utf-8", "replace") for _, _, body in found]]
-                yield pa.record_batch([pa.array(c, pa.string()) for c in cols], ["record_id", "target_uri", "warc_date", "http_headers", "payload"])
+                yield _responses(list(records(data.as_py(), tell)))
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return mapped(files, run, "record_id string, target_uri string, warc_date string, http_headers string, payload string")
+    if whole_files:
+        return mapped(spark.read.format("binaryFile").load(path).select("content"), files, _RESPONSE_FIELDS)
+    rows = spark.read.option("lineSep", "\r\n\r\nWARC/").text(path)
+    return mapped(rows.select(F.col("value").cast("binary")), parts, _RESPONSE_FIELDS)
 
 
-def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Pages as responses, with ``key`` beside the columns that derive() takes: ids from key and URL, and the headers that a server would have sent with the page."""
+def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """Pages as responses, with ``key`` beside the columns that derive() takes: ids from key and URL; no dates, headers and digests, since pages have none."""
     name = F.sha1(F.concat_ws("|", F.coalesce(pages[key].cast("string"), F.lit("null")), F.coalesce(pages[url], F.lit(""))).cast("binary"))
     parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
     record_id = F.concat(F.lit("<urn:uuid:"), parts[0], F.lit("-"), parts[1], F.lit("-5"), parts[2], F.lit("-8"), parts[3], F.lit("-"), parts[4], F.lit(">"))
-    length = F.coalesce(F.octet_length(pages[page]), F.lit(0)).cast("string")
-    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length)
-    return pages.select(pages[key].alias(key), record_id.alias("record_id"), pages[url].alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), pages[page].alias("payload"))
+    none = F.lit(None).cast("string")
+    return pages.select(pages[key].alias(key), record_id.alias("record_id"), pages[url].alias("target_uri"), none.alias("warc_date"), none.alias("payload_digest"), none.alias("block_digest"), none.alias("http_headers"), pages[page].cast("binary").alias("payload"))
 
 
-FIELDS = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_headers string, block string"
+FIELDS = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, source_block_digest string, source_headers string, block string"
 
 
 def derive(source: DataFrame, key: str | None = None) -> DataFrame:
     """Two rows for each response, metadata first, with the columns of Derived, after ``key`` if given.
 
-    A null payload counts as empty: its conversion has an empty block. A null target or date stays null. Repeated
-    responses give repeated records with the same ids; no rows give no rows.
+    A null payload counts as empty: its conversion has an empty block. Null targets, dates, headers and block digests stay null.
+    Repeated responses give repeated records with the same ids; no rows give no rows. Other columns are left out, so their
+    names can't clash.
     """
     lead = [F.lit(0).alias("key") if key is None else source[key].alias("key")]
-    rows = source.select(*lead, "record_id", "target_uri", "warc_date", "http_headers", "payload")
+    rows = source.select(*lead, "record_id", "target_uri", "warc_date", "http_headers", F.col("payload").cast("binary").alias("payload"), "payload_digest", "block_digest")
     names = ["key", *(x.split()[0] for x in FIELDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 128):
-                made = [x for r in zip(*(part.column(i).to_pylist() for i in range(1, 6)), strict=True) for x in derive_one(*r)]
+                made = [x for r in zip(*(part.column(i).to_pylist() for i in range(1, 8)), strict=True) for x in derive_one(*r)]
                 at = pa.array([i for i in range(part.num_rows) for _ in range(2)])
                 cols = [pa.array(c, pa.int64() if n == "content_length" else pa.string()) for n, c in zip(names[1:], zip(*made, strict=True), strict=True)]
                 yield pa.record_batch([part.column(0).take(at), *cols], names)

@@ -1,7 +1,8 @@
 """Quality classifier from weak labels.
 
-Eight heuristic labellers vote good (1), bad (0) or abstain on each whole text. How often each combination of votes occurs
-is counted over all documents - at most 3 ** 8 combinations - and expectation maximisation on these counts estimates each
+Eight heuristic labellers vote good (1) or bad (0) on each whole text, or abstain: undecided (2), where a measure lies between its bounds, or
+for want of evidence (3), where a text has too little to measure. How often each combination of votes occurs
+is counted over all documents - at most 4 ** 8 combinations - and expectation maximisation on these counts estimates each
 labeller's accuracy and the share of good documents, as if labellers err independently given the true class. The
 posterior of a document's combination is its soft label. A linear scorer on hashed words and word shapes is fitted to the soft labels of
 a bounded sample, and then scores every whole text.
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, mapped, slices
+from .common import CACHE, mapped, sampled, slices
 
-ABSTAIN = 2
-#: A text of fewer words is too short for shares of its words to mean much: it has the benefit of the doubt.
+#: Undecided, which may be likelier in one class; and no evidence, which tells nothing of the class.
+UNDECIDED, SILENT = 2, 3
+#: A text of fewer words is too short for shares of its words to mean much: labellers that need them abstain.
 FEW = 12
 SPACE = 1 << 16
-#: At most about so many documents are fitted to: those with the smallest hash of the key and the text.
+#: About so many different documents at most are fitted to: those with the smallest hash of the text.
 SAMPLE = 4000
 LABELLERS = ("symbols", "sentence_ends", "repeated_lines", "word_length", "function_words", "repeated_runs", "capitals", "separators")
 #: Frequent function words of English, German, French and Spanish.
@@ -36,14 +38,14 @@ _ENDS = (b".", b"!", b"?", b":", b";", b'."', b".)")
 
 
 def votes(text: str | None) -> tuple[int, ...]:
-    """One vote for each of LABELLERS. A text without words gets bad from the labeller of word length, and abstentions."""
+    """One vote for each of LABELLERS. A text without words gets bad from the labeller of word length, and silence."""
     text = text or ""
     words = text.encode().split()
     n = len(words)
     if not n:
-        return tuple(0 if x == "word_length" else ABSTAIN for x in LABELLERS)
+        return tuple(0 if x == "word_length" else SILENT for x in LABELLERS)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    choose = lambda x, bad, good: 0 if x >= bad else 1 if x <= good else ABSTAIN
+    choose = lambda x, bad, good: 0 if x >= bad else 1 if x <= good else UNDECIDED
     few = n < FEW
     runs = list(zip(words, words[1:], words[2:], strict=False))
     letters = sum(map(len, words)) / n
@@ -53,17 +55,17 @@ def votes(text: str | None) -> tuple[int, ...]:
     return (
         choose(sum(map(text.count, "#*$%&<>")) / n, 0.2, 0.02),
         choose(1 - ended, 0.7, 0.1),
-        choose(1 - len(set(lines)) / len(lines), 0.3, 0.05) if len(lines) > 3 else 1,
-        1 if few else choose(abs(letters - 6.5), 5.0, 2.0),
-        1 if few else 0 if known < 0.03 else 1 if known > 0.12 else ABSTAIN,
-        choose(1 - len(set(runs)) / len(runs), 0.3, 0.05) if len(runs) > 20 else 1,
+        choose(1 - len(set(lines)) / len(lines), 0.3, 0.05) if len(lines) > 3 else SILENT,
+        SILENT if few else choose(abs(letters - 6.5), 5.0, 2.0),
+        SILENT if few else 0 if known < 0.03 else 1 if known > 0.12 else UNDECIDED,
+        choose(1 - len(set(runs)) / len(runs), 0.3, 0.05) if len(runs) > 20 else SILENT,
         choose(upper, 0.3, 0.02),
         choose(sum(map(text.count, "|»•›")) / n, 0.15, 0.01),
     )
 
 
 class LabelModel(NamedTuple):
-    """share: prior of good. chance[class, labeller, vote]: probability of a vote given the class."""
+    """share: prior of good. chance[class, labeller, vote]: probability of a vote given the class, where the labeller has evidence; without, it has 1."""
 
     share: float
     chance: np.ndarray
@@ -76,23 +78,22 @@ class LabelModel(NamedTuple):
 
     def accuracy(self) -> np.ndarray:
         """For each labeller, how probable its vote is right where it votes."""
-        prior = np.array([1 - self.share, self.share])
+        prior = (1 - self.share, self.share)
         right = sum(prior[c] * self.chance[c, :, c] for c in (0, 1))
-        voted = sum(prior[c] * (1 - self.chance[c, :, ABSTAIN]) for c in (0, 1))
-        return right / np.maximum(voted, 1e-12)
+        return right / np.maximum(sum(prior[c] * self.chance[c, :, :UNDECIDED].sum(1) for c in (0, 1)), 1e-12)
 
 
 def estimate(ballots: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
     """Expectation maximisation on distinct combinations and their counts, from the majority of votes on; add-one smoothing."""
     majority = (ballots == 1).sum(1) - (ballots == 0).sum(1)
     belief = 1 / (1 + np.exp(-majority.astype(float)))
-    model = LabelModel(0.5, np.full((2, ballots.shape[1], 3), 1 / 3))
+    model = LabelModel(0.5, np.ones((2, ballots.shape[1], 4)))
     for _ in range(rounds):
-        chance = np.empty((2, ballots.shape[1], 3))
+        chance = np.ones((2, ballots.shape[1], 4))
         for c, weight in ((1, counts * belief), (0, counts * (1 - belief))):
-            for vote in range(3):
+            for vote in range(SILENT):
                 chance[c, :, vote] = ((ballots == vote) * weight[:, None]).sum(0) + 1
-            chance[c] /= chance[c].sum(1, keepdims=True)
+            chance[c, :, :SILENT] /= chance[c, :, :SILENT].sum(1, keepdims=True)
         model = LabelModel(float(np.clip((counts * belief).sum() / max(counts.sum(), 1), 0.001, 0.999)), chance)
         new = model.posterior(ballots)
         done = len(new) == 0 or np.abs(new - belief).max() < 1e-9
@@ -178,15 +179,17 @@ def _table(ballots: list[str]) -> np.ndarray:
     return np.array([[int(v) for v in x] for x in ballots], np.int64).reshape(-1, len(LABELLERS))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """Accuracies from the votes on all documents, and the scorer from a sample of about ``sample`` of them, chosen by hash."""
-    counted = mapped(docs.select(docs[text].alias("text")), _vote, "ballot string").groupBy("ballot").agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 rows
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
+    """Accuracies from the votes on all documents, and the scorer from a sample of about ``sample`` different texts, chosen by hash.
+
+    A null text votes as an empty one; equal texts count as often as they are there for the accuracies, and as one for the
+    scorer. No rows give the model that knows nothing: every text is as likely good as bad.
+    """
+    counted = mapped(docs.select(docs[text].alias("text")), _vote, "ballot string").groupBy("ballot").agg(F.count("*").alias("n")).collect()  # at most 4 ** 8 rows
     counted.sort()
     model = estimate(_table([r["ballot"] for r in counted]), np.array([r["n"] for r in counted], float))
-    total = sum(r["n"] for r in counted)
-    order = F.pmod(F.xxhash64(F.lit("sample"), docs[key], docs[text]), F.lit(1 << 40))
-    part = docs.where(order < F.lit(int((1 << 40) * min(1.0, sample / max(total, 1))))).select(docs[text].alias("text"))
-    got = mapped(part, _example, "ballot string, at array<int>, share array<float>").collect()
+    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("order", F.xxhash64(F.lit("sample"), "text"))
+    got = mapped(sampled(rows, "order", sample).select("text"), _example, "ballot string, at array<int>, share array<float>").collect()
     got.sort(key=lambda r: (r["ballot"], r["at"], r["share"]))
     rows = [(np.array(r["at"], np.int64), np.array(r["share"])) for r in got]
     return model, fit_scorer(rows, model.posterior(_table([r["ballot"] for r in got])))

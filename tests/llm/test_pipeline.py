@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -50,3 +51,25 @@ def test_empty_table(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path / "a"))
         assert docs.count() == 0
     assert orderminhash.THRESHOLD == 0.8 and orderminhash.WORDS == 5 and seedextend.WINDOW == 50
+
+
+CLASHING = ["row", "id", "content", "nth", "copies", "spans", "hash", "void", "rep_key", "rep_hash", "rep_spans", "mix_key", "mix_nth", "mix_copy", "plan_key", "plan_copies", "kept_key", "kept_content", "kept_nth", "key", "size", "lang_pred", "c0", "word"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_clashing_names_are_carried_along(spark, tmp_path, stage):
+    planted(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 110")
+    wide = docs.withColumns({x: F.concat(F.lit(x), F.col("doc_id")) for x in CLASHING})
+    (_, run), columns = corpus_pipeline.STAGES[stage], docs.columns
+    got = run(spark, wide, str(tmp_path))
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert all(r[x] == f"{x}{r['doc_id']}" for r in rows for x in CLASHING)
+    assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(map(tuple, run(spark, docs, str(tmp_path)).collect()))
+
+
+def test_a_corpus_without_labels_passes(spark, tmp_path):
+    planted(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()} == {104, 105, 106}

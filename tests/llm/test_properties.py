@@ -51,7 +51,7 @@ def test_repeated_words(words):
 @given(st.text(max_size=200))
 def test_any_page_makes_two_records(page):
     page = page.encode("utf-8", "replace").decode()
-    for record in warc.derive_one("<urn:uuid:0>", None, None, None, page):
+    for record in warc.derive_one("<urn:uuid:0>", payload=page.encode()):
         ((headers, block),) = warc.records(warc.serialised(record))
         assert block.decode() == record.block and headers["warc-refers-to"] == "<urn:uuid:0>"
 

@@ -141,9 +141,9 @@ PAGE = "<html><head><title>A &amp; b</title><style>x{}</style></head><body><!--
 
 
 def test_warc_records(spark):
-    meta, text = warc.derive_one("<urn:uuid:1>", "https://a.test/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: x", PAGE)
+    meta, text = warc.derive_one("<urn:uuid:1>", "https://a.test/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: x", PAGE.encode(), None, "sha1:BLOCK")
     assert text.block == "One two\nthree\nfour" and text.refers_to == meta.refers_to == "<urn:uuid:1>"
-    assert text.concurrent_to == meta.record_id and meta.concurrent_to == text.record_id
+    assert text.concurrent_to is None and b"Concurrent" not in warc.serialised(text) and meta.concurrent_to == "<urn:uuid:1>" and meta.source_block_digest == "sha1:BLOCK"
     about = json.loads(meta.block)
     assert about["title"] == "A & b" and about["links"] == ["/x?a=1&b=2"] and about["headers"] == [["Server", "x"]]
     assert about["payload-digest"] == text.source_payload_digest == warc.digest(PAGE.encode())
@@ -196,7 +196,7 @@ def test_weak_labels_recover_accuracies():
     true = rng.random(4000) < 0.7
     acc = np.array([0.9, 0.85, 0.7, 0.8, 0.95, 0.75, 0.9, 0.6])
     ballots = np.where(rng.random((4000, 8)) < acc, true[:, None], ~true[:, None]).astype(int)
-    ballots[rng.random(ballots.shape) < 0.3] = weaklabel.ABSTAIN
+    ballots[rng.random(ballots.shape) < 0.3] = weaklabel.SILENT
     rows, counts = np.unique(ballots, axis=0, return_counts=True)
     model = weaklabel.estimate(rows, counts.astype(float))
     assert abs(model.share - 0.7) < 0.03
@@ -251,8 +251,180 @@ def test_an_unclosed_head_ends_where_the_body_begins():
 
 
 def test_good_records_after_a_broken_one_are_read():
-    meta, text = map(warc.serialised, warc.derive_one("<urn:uuid:1>", None, None, None, PAGE))
+    meta, text = map(warc.serialised, warc.derive_one("<urn:uuid:1>", payload=PAGE.encode()))
     for broken in (meta.replace(b"Content-Length: ", b"Content-Length: x"), meta.replace(b"Content-Length: ", b"Content-Length: 99999")):
         skipped = []
         found = list(warc.records(meta + broken + text, skipped.append))
         assert [h["warc-type"] for h, _ in found] == ["metadata", "conversion"] and skipped == [len(broken)]
+
+
+def record(block, uri="http://a.test", **more):
+    more = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in more.items())
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWARC-Target-URI: {uri}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_payloads_are_bytes_in_their_charset(spark, tmp_path):
+    """Source digests, header and meta charsets, chunks and gzip; a broken record between good ones; both ways of reading."""
+    latin = "caf\u00e9 <p>na\u00efve".encode("latin-1")
+    ok = b"HTTP/1.1 200 OK\r\n"
+    zipped = gzip.compress("<p>\u6f22\u5b57".encode())
+    rows = {
+        "a": record(ok + b"Content-Type: text/html; charset=ISO-8859-1\r\n\r\n" + latin, "a", WARC_Payload_Digest=warc.digest(latin), WARC_Block_Digest="sha1:X"),
+        "b": record(ok + b"\r\n<meta charset='windows-1251'>" + "\u0434\u0430".encode("cp1251"), "b", WARC_Payload_Digest="sha1:WRONG"),
+        "broken": record(ok + b"\r\nx").replace(b"Content-Length: ", b"Content-Length: 99999999"),
+        "c": record(ok + b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped), "c"),
+        "d": record(ok + b"\r\n\xef\xbb\xbfz\r\n\r\nzz" + b"y" * 300_000, "d"),
+        "e": record(ok + b"Content-Type: text/html; charset=nonsense\r\n\r\n\xff", "e"),
+    }
+    (tmp_path / "x.warc").write_bytes(b"".join(rows.values()))
+    (tmp_path / "y.warc.gz").write_bytes(b"".join(map(gzip.compress, rows.values())))
+    want = {"a": "caf\u00e9\nna\u00efve", "b": "\u0434\u0430", "c": "\u6f22\u5b57", "d": "z\nzz" + "y" * 300_000, "e": "\ufffd"}
+    for whole in (False, True):
+        skipped = spark.sparkContext.accumulator(0)
+        source = warc.read_responses(spark, str(tmp_path), skipped, whole_files=whole)
+        got = warc.derive(source).collect()
+        assert skipped.value == 2 and len(got) == 20
+        assert {(r["target_uri"], r["block"]) for r in got if r["record_type"] == "conversion"} == set(want.items())
+        about = {r["target_uri"]: json.loads(r["block"]) for r in got if r["record_type"] == "metadata"}
+        assert (about["a"]["payload-agrees"], about["b"]["payload-agrees"], about["c"]["payload-agrees"]) == (True, False, True)
+        assert {r["source_payload_digest"] for r in got if r["target_uri"] == "a"} == {warc.digest(latin)} and {r["source_block_digest"] for r in got if r["target_uri"] == "a"} == {"sha1:X"}
+    assert spark.read.option("lineSep", "\r\n\r\nWARC/").text(str(tmp_path)).count() == 12
+
+
+def test_samples(spark):
+    """Equal rows are one, each value has its share, and what one can't fill goes to the others."""
+    from quillspark.llm.common import sampled
+
+    rows = spark.range(60_000).selectExpr("case when id < 50000 then 7 else xxhash64(id) end as h", "case when id < 50000 then 'same' when id % 100 = 0 then null else 'many' end as k")
+    got = [r["k"] for r in sampled(rows, "h", 3000, by="k").collect()]
+    assert got.count("same") == 1 and got.count(None) == 100 and 2500 < got.count("many") <= 3000
+    got = [r["h"] for r in sampled(rows, "h", 500).collect()]
+    assert len(got) == 500 == len(set(got)) and sampled(rows.limit(0), "h", 5).count() == 0
+
+
+def logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def test_language_network_against_a_plain_one():
+    """Position by position, with one state vector at a time."""
+    rng = np.random.default_rng(5)
+    gru = lambda: langid.Gru(rng.normal(size=(9, 256)).astype(np.float32), rng.normal(size=(9, 3)).astype(np.float32))
+    model = langid.Model(("a", "b"), gru(), gru(), rng.normal(size=(2, 6)).astype(np.float32), rng.normal(size=(2, 1)).astype(np.float32))
+    texts = ["x", "na\u00efve caf\u00e9", "abc def " * 20, None, "12"]
+    got = langid.predict(model, texts, window=16)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        if text is None or text == "12":
+            assert (lang, score) == ("und", 0.0)
+            continue
+        data = text.encode()
+        starts = list(range(0, len(data) - len(data) % 16, 16)) + ([len(data) - 16] if len(data) > 16 and len(data) % 16 else [0] if len(data) < 16 else [])
+        total, seen = np.zeros(2), set()
+        for at in starts:
+            window = data[at : at + 16].ljust(16, b"\0") if at >= 0 else data.ljust(16, b"\0")
+            states = []
+            for g, order in ((model.forward, range(16)), (model.backward, range(15, -1, -1))):
+                h, out = np.zeros(3), {}
+                for t in order:
+                    i, s = g.byte[:, window[t]], g.state @ h
+                    z, r = logistic(i[:3] + s[:3]), logistic(i[3:6] + s[3:6])
+                    h = (1 - z) * np.tanh(i[6:] + r * s[6:]) + z * h
+                    out[t] = h
+                states.append(out)
+            for t in range(16):
+                if at + t < len(data) and at + t not in seen:
+                    seen.add(at + t)
+                    e = np.exp(model.out @ np.concatenate([states[0][t], states[1][t]]) + model.bias[:, 0])
+                    total += e / e.sum()
+        assert len(seen) == len(data)
+        assert lang == "ab"[total.argmax()] and abs(score - total.max() / len(data)) < 1e-4
+
+
+def test_what_the_network_rejects(spark):
+    rows = [(i, ("the cat and the dog were there. " if i % 2 else "le chat et le chien sont ici. ") * 30, "en" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert langid.spoken(docs, model).count() == 60
+    assert {r["lang"] for r in langid.spoken(docs, model, langs=("fr",)).collect()} == {"fr"}
+    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs, model).collect()}
+    limit = (min(scores.values()) + max(scores.values())) / 2
+    assert {r["doc_id"] for r in langid.spoken(docs, model, least=limit).collect()} == {k for k, v in scores.items() if v >= limit} != set(scores)
+    bare = docs.withColumn("lang", F.lit(None).cast("string")).union(spark.createDataFrame([(90, "1 2", None), (91, None, None)], docs.schema))
+    assert langid.fit(bare) is None and langid.spoken(bare, None).count() == 60
+    with pytest.raises(ValueError):
+        langid.spoken(bare, None, langs=("fr",))
+    keyless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.fit(keyless).langs == ("en", "fr")
+
+
+def test_weak_label_scores_against_plain_ones(spark):
+    """Posterior and score of each text from the models' definitions, one labeller and one word at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    model, scorer = weaklabel.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    slots = weaklabel._Slots()
+    for r in weaklabel.scored(docs, model, scorer).collect():
+        p = [1 - model.share, model.share]
+        for c in (0, 1):
+            for i, v in enumerate(weaklabel.votes(texts[r["doc_id"]])):
+                p[c] *= model.chance[c, i, v]
+        words = texts[r["doc_id"]].encode().split()
+        pairs = list(zip(words, words[1:], strict=False))
+        at = [x for w in words for x in slots[w]] + [weaklabel.AGAIN] * (len(pairs) - len(set(pairs)))
+        score = logistic(sum(float(scorer.weight[x]) for x in at) / (len(at) + weaklabel.CALM) + scorer.bias)
+        assert abs(r["posterior"] - p[1] / sum(p)) < 1e-9 and abs(r["score"] - score) < 1e-6 and r["kept"] == (bool(words) and score >= 0.5)
+
+
+def test_labellers_abstain_without_evidence():
+    few = dict(zip(weaklabel.LABELLERS, weaklabel.votes("One plain sentence."), strict=True))
+    assert [few[x] for x in ("repeated_lines", "word_length", "function_words", "repeated_runs")] == [weaklabel.SILENT] * 4
+    assert set(weaklabel.votes("")) == {0, weaklabel.SILENT}
+
+
+def test_equal_rows_are_one_example(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weaklabel, "fit_scorer", lambda rows, labels: seen.append(len(rows)) or weaklabel.Scorer(np.zeros(2 * weaklabel.SPACE + 1), 0.0))
+    weaklabel.fit(spark.range(20_000).selectExpr("id as doc_id", "'the same text for all of them' as text"), sample=100)
+    assert seen == [1]
+
+
+def test_suffix_rates_leave_out_the_own_fold(spark):
+    rows = [(0, 0, 10, 8, 8), (0, 1, 10, 4, 0), (3, 2, 5, 0, 0), (3, 4, 7, 6, 3)]
+    got = urltrees.suffixes(rows)
+    for fold in (None, *range(urltrees.FOLDS)):
+        use = [r for r in rows if r[1] != fold]
+        overall = (sum(r[4] for r in use) + 1) / (sum(r[3] for r in use) + 2)
+        for bucket in (0, 3, 9):
+            own = [r for r in use if r[0] == bucket]
+            want = (sum(r[4] for r in own) + urltrees.PRIOR * overall) / (sum(r[3] for r in own) + urltrees.PRIOR)
+            assert abs(got.rate[0 if fold is None else fold + 1, bucket] - want) < 1e-12
+    assert abs(np.expm1(got.count[0]) - 20) < 1e-9 and got.count[9] == 0
+
+
+def test_tree_scores_against_plain_ones(spark):
+    """Each URL's features one by one, each tree node by node."""
+    urls = [f"http{'s' * (i % 2)}://h{i % 7}.{'com' if i % 3 else 'org'}/{'de' if i % 5 else 'fr'}/{i}?a={i}&b=1#x" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "http://other.net/x-y_z"])), "page_id long, url string")
+    judge = urltrees.learned(urltrees._placed(pages, RULES, "page_id", "url"))
+    placed = {r["key"]: r for r in urltrees._placed(pages, RULES, "page_id", "url").collect()}
+    assert len(judge.forest.trees) == urltrees.TREES
+    for r in urltrees.judged(pages, RULES).collect():
+        at = placed[r["page_id"]]
+        x = [*urltrees.lexical(at["url"], at["host"], at["path"]), judge.suffixes.rate[0, at["suffix"]], judge.suffixes.count[at["suffix"]]]
+        score = judge.forest.base
+        for tree in judge.forest.trees:
+            node = 0
+            while node < len(tree.feature):
+                node = 2 * node + (2 if x[tree.feature[node]] > tree.threshold[node] else 1)
+            score += urltrees.RATE * tree.value[node - len(tree.feature)]
+        assert abs(r["score"] - logistic(score)) < 1e-9
+        assert r["verdict"] == (RULES[r["rule"]] if r["rule"] else "block" if r["score"] >= 0.5 else "allow")
+
+
+def test_very_long_texts_of_row_operators(spark):
+    long = "word " * 300_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, "b", "a"), (3, long, None)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.plan(docs).collect()} == {1: 300_000, 2: 1, 3: 300_000}
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x/" * 200_000, "<p>" + long)], "page_id long, url string, html string")
+    assert warc.derive(warc.responses(pages)).where("record_type = 'conversion'").first()["block"] == long.strip()
+    assert urltrees.judged(pages, RULES).first()["path"] == "/" + "x/" * 200_000
