@@ -14,7 +14,10 @@ from quillspark.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: without a letter there is none, and a null text goes too. Learns from the labelled documents, as op2 does."""
+    """Documents in a language: what the network, learned from the labelled documents as in op2, gives a low score goes, and so do null texts and those without a letter.
+
+    Where no document is labelled, nothing is learned, and only the latter go.
+    """
     model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
     return langid.spoken(docs, model)
 
@@ -43,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("tokens", tokens)]
 
-#: SQL can't express the language network and the alignment; tests hold each stage against a brute-force version.
+#: SQL can't express the language network and the alignment; the tests hold the stages' operators against brute force, and the stages together against planted cases.
 ORACLE_SQL = None
 
 
