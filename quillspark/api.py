@@ -52,18 +52,18 @@ class Catalog:
         fit = a["delivery_eligible"] & a["origin_verified"] & (a["gate_status"] == "allowed") & (a["source_role"] == "official")
         return a.where(fit & F.lower("source_url").startswith("https://") & a["status"].isin("delivered", "review", "verified", "downloaded") & a["delivery_path"].isNotNull())
 
-    def matching(self, query: str = "", notice_type: str = "", industry: str = "", category: str = "", city: str = "", status: str = "", download_status: str = "", source: str = "", date_from: str = "", date_to: str = "", relevance: str = "all", query_id: str = "") -> DataFrame:
-        """The notices that meet all filters."""
+    def matching(self, query: str = "", notice_type: str = "", industry: str = "", category: str = "", city: str = "", status: str = "", exact: bool = False, download_status: str = "", source: str = "", date_from: str = "", date_to: str = "", relevance: str = "all", query_id: str = "") -> DataFrame:
+        """The notices that meet all filters; with ``exact`` type, industry and city are the whole value."""
         c = F.col
         scope = [F.get_json_object("metadata_json", "$.query_id") == query_id, c("status") != "alias"] if query_id else []
         return catalog.filtered(
             self.rows(),
             *scope,
             catalog.free_text(query, c("title"), c("buyer"), c("winning_vendor"), c("project_code")),
-            text.matches_filter(c("notice_type"), notice_type),
-            text.matches_filter(c("industry"), industry),
+            text.matches_filter(c("notice_type"), notice_type, exact),
+            text.matches_filter(c("industry"), industry, exact),
             text.matches_filter(F.array_join("categories", ","), category),
-            text.matches_filter(c("city"), city),
+            text.matches_filter(c("city"), city, exact),
             c("status") == status.strip() if status.strip() else None,
             c("source") == source.strip() if source.strip() else None,
             catalog.day_between(c("published_at"), date_from, date_to),
@@ -71,7 +71,7 @@ class Catalog:
             catalog.download_filter(download_status, c("files"), c("attachments"), c("refs"), c("failed")),
         )
 
-    def list_notices(self, page: int = 1, page_size: int = 50, **filters: str) -> tuple[DataFrame, DataFrame]:
+    def list_notices(self, page: int = 1, page_size: int = 50, **filters: str | bool) -> tuple[DataFrame, DataFrame]:
         """(one page, totals) of the notices that meet all filters of matching(), newest first."""
         where, found = catalog.Page(page, page_size), self.matching(**filters)
         return catalog.paged(found, where, F.col("published_at").desc(), F.col("source"), F.col("external_id")), catalog.totals(found, page_size)
@@ -93,6 +93,12 @@ class Catalog:
         keys = ("notice_identity", "source_url", "sha256")
         return sinks.verified_now(self.versions, self.artifacts, keys) if verified else self.versions.join(self.notices.select(F.col("identity").alias("notice_identity")), "notice_identity", "left_semi")
 
+    def current(self) -> DataFrame:
+        """Notices that aren't aliases, with their fields and each amount in yuan beside its cents."""
+        rows = self.notices.where("status <> 'alias'").join(self.fields.withColumnRenamed("notice_identity", "identity").drop("published_at"), "identity", "left")
+        kinds = [name for name, _ in money.PRECEDENCE]
+        return rows.select(*(c for c in rows.columns if c not in kinds), *(x for n in kinds for x in (F.col(n), money.yuan(F.col(n)).alias(n.replace("_minor", "_yuan")))))
+
     def coverage(self) -> DataFrame:
         """The last known coverage of each source; ties stay."""
         return catalog.latest_per_group(self.coverage_rows, "source", "updated_at")

@@ -45,8 +45,8 @@ def expected_month(text: Column, label: str = "预计采购时间") -> Column:
 
 
 def http_date(text: Column) -> Column:
-    """A date as HTTP headers write it, as a timestamp."""
-    return F.try_to_timestamp(text, F.lit("EEE, dd MMM yyyy HH:mm:ss z"))
+    """A date as HTTP headers write it, as a timestamp; the day of the week isn't looked at."""
+    return F.try_to_timestamp(F.regexp_replace(text, r"^\s*[A-Za-z]+,\s*", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
 
 
 def preferred(*choices: tuple[str, Column]) -> Column:

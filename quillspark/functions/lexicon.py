@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import vectorised
+from .patterns import one_of
+
 # Terms, industries and categories that results depend on.
 STRONG_TERMS = (
     "网络安全", "信息安全", "数据安全", "等级保护", "等保测评", "等保整改",
@@ -33,6 +37,7 @@ INDUSTRY_RULES = (
     ("党政", ("人民政府", "委员会", "管理局", "财政局", "税务局", "机关事务")),
 )
 OTHER_CATEGORY = "其他网络安全"
+FOCUS_MARK = "\n---证据片段---\n"
 CATEGORY_RULES = (
     ("安全设备", ("防火墙", "waf", "ips", "ids", "网闸", "堡垒机", "审计设备")),
     ("终端与身份", ("edr", "终端安全", "身份认证", "零信任", "终端准入")),
@@ -47,12 +52,14 @@ CATEGORY_RULES = (
 def found_terms(text: Column, terms: Sequence[str]) -> Column:
     """The terms, in their order, that are substrings of the text in lower case; no word boundaries."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*(F.lit(x) for x in terms)), lambda x: F.contains(low, F.lower(x)))
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(x.lower())), F.lit(x)) for x in terms)))
 
 
 def has_any(text: Column, terms: Sequence[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(F.array(*(F.lit(x.lower()) for x in terms)), lambda x: F.contains(low, x))
+    """Whether the text has one of the terms: one pass over it, by alternation."""
+    if not terms:
+        return F.lit(False)
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(one_of([x.lower() for x in terms]))
 
 
 def is_candidate(text: Column, strong: Sequence[str] = STRONG_TERMS, broad: Sequence[str] = BROAD_TERMS) -> Column:
@@ -63,7 +70,7 @@ def first_rule(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default
     """The name of the first rule with a term in the text."""
     out = F.lit(default)
     for name, terms in reversed(rules):
-        out = F.when(F.exists(F.array(*(F.lit(x) for x in terms)), lambda x: F.contains(text, x)), F.lit(name)).otherwise(out)
+        out = F.when(text.rlike(one_of(terms)), F.lit(name)).otherwise(out)
     return out
 
 
@@ -138,22 +145,58 @@ def folded_review(checks: Column, text: Column, truncated: Column, least: float
     return F.when(truncated & (status == "no_match"), "suspect").otherwise(status)
 
 
-def parsed_verdict(raw: Column, text: Column, strong: Sequence[str] = STRONG_TERMS) -> Column:
+INDUSTRIES = (*(name for name, _ in INDUSTRY_RULES), OTHER_INDUSTRY)
+CATEGORIES = (*(name for name, _ in CATEGORY_RULES), OTHER_CATEGORY)
+
+
+def parsed_verdict(raw: Column, text: Column, strong: Sequence[str] = STRONG_TERMS, title: Column | None = None, buyer: Column | None = None) -> Column:
     """A recorded model answer as a verdict, checked: booleans must be booleans, evidence must be quoted word for word, a yes needs a strong term in it.
 
-    A broken answer gives a null verdict that needs review.
+    The industry is that of the rules by purchaser and title, if they know one, else the answer's, if it is one of INDUSTRIES; categories are the answer's
+    that are in CATEGORIES, or those of the rules. Quotations of 2 to 200 characters count, five at most. A broken answer gives a null verdict that needs review.
     """
-    shape = "relevant boolean, confidence double, evidence array<string>, industry string, needs_review boolean"
-    item = F.from_json(raw, shape)
-    quoted = F.slice(F.filter(F.coalesce(item["evidence"], F.array().cast("array<string>")), lambda q: (F.length(q) > 1) & F.contains(text, q)), 1, 5)
+    shape = "relevant boolean, confidence double, evidence array<string>, industry string, security_categories array<string>, reason string, needs_review boolean"
+    item, empty = F.from_json(raw, shape), F.array().cast("array<string>")
+    title, buyer = title if title is not None else F.lit(""), buyer if buyer is not None else F.lit("")
+    whole = F.concat_ws("\n", title, buyer, text)
+    said = F.slice(F.filter(F.transform(F.coalesce(item["evidence"], empty), lambda q: F.trim(q)), lambda q: F.length(q).between(2, 200)), 1, 5)
+    quoted = F.filter(said, lambda q: F.contains(whole, q))
     fine = item.isNotNull() & F.get_json_object(raw, "$.confidence").isNotNull() & F.array_contains(F.json_object_keys(raw), "relevant")
-    unbacked = F.coalesce(item["relevant"], F.lit(False)) & ~has_any(F.array_join(quoted, "\n"), strong)
+    unbacked = F.coalesce(item["relevant"], F.lit(False)) & ~F.exists(quoted, lambda q: has_any(q, strong))
     confidence = F.least(F.greatest(F.coalesce(item["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     firm = fine & ~unbacked & item["relevant"].isNotNull()
+    by_rule = industry(buyer, title)
+    named = F.when(by_rule != OTHER_INDUSTRY, by_rule).when(item["industry"].isin(*INDUSTRIES), item["industry"]).otherwise(OTHER_INDUSTRY)
+    known = F.filter(F.coalesce(item["security_categories"], empty), lambda x: x.isin(*CATEGORIES))
+    categories = F.when((F.size(known) == 0) | (known == F.array(F.lit(OTHER_CATEGORY))), all_rules(whole, CATEGORY_RULES, OTHER_CATEGORY)).otherwise(known)
     return F.struct(
         F.when(firm, item["relevant"]).alias("relevant"),
         F.when(firm, confidence).otherwise(F.least(confidence, F.lit(0.5))).alias("confidence"),
         quoted.alias("evidence"),
         (~firm | F.coalesce(item["needs_review"], F.lit(False))).alias("needs_review"),
         F.coalesce(firm & item["relevant"], F.lit(False)).alias("ai_confirmed"),
+        named.alias("industry"),
+        categories.alias("categories"),
+        F.left(F.coalesce(item["reason"], F.lit("")), F.lit(500)).alias("reason"),
     )
+
+
+def focused(text: str, terms: Sequence[str] = (*STRONG_TERMS, *BROAD_TERMS), most: int = 50_000, windows: int = 30) -> str:
+    """A long text cut down for a reader: its first fifth of ``most``, then windows around the terms in their order, until either limit is reached."""
+    if len(text) <= most:
+        return text
+    parts, length, low = [text[: most // 5]], most // 5, text.lower()
+    for term in terms:
+        at = low.find(term.lower())
+        while at >= 0 and length < most:
+            parts.append(text[max(0, at - 600) : at + 1400])
+            length += len(parts[-1]) + 1
+            if len(parts) >= windows:
+                break
+            at = low.find(term.lower(), at + len(term))
+    return FOCUS_MARK.join(parts)[:most]
+
+
+@vectorised("string")
+def focused_text(text: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else focused(x) for x in text])

@@ -25,11 +25,13 @@ def contains_text(column: Column, value: str) -> Column:
     return F.contains(F.lower(column), F.lit(value.lower()))
 
 
-def matches_filter(column: Column, value: str) -> Column | None:
-    """The condition of one catalogue filter: none for an empty value, blankness for the unknown marker, else a substring."""
+def matches_filter(column: Column, value: str, exact: bool = False) -> Column | None:
+    """The condition of one catalogue filter: none for an empty value, blankness for the unknown marker, else a substring, or with ``exact`` the whole."""
     value = value.strip()
     if not value:
         return None
+    if exact and value != UNKNOWN:
+        return F.coalesce(F.trim(column) == value, F.lit(False))
     return blank(column) if value == UNKNOWN else contains_text(F.coalesce(column, F.lit("")), value)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,40 +69,39 @@ def file_name(url: Column, fallback: str = "source.bin") -> Column:
     return text.safe_component(F.coalesce(F.nullif(F.regexp_extract(path(url), "([^/]*)/*$", 1), F.lit("")), F.lit(fallback)), fallback)
 
 
+#: A host name has two labels at least, of letters, digits and hyphens, none at an end.
+HOST = r"(?!-)[a-z0-9-]{1,63}(?<!-)(?:\.(?!-)[a-z0-9-]{1,63}(?<!-))+"
+
+
 @vectorised("string")
-def _ascii_hosts(names: pd.Series) -> pd.Series:
-    def one(name: str | None) -> str | None:
+def ascii_host(name: pd.Series) -> pd.Series:
+    """A host name in lower case and ASCII; empty if it is none: no dot, a dot at its end, an empty, long or hyphened label."""
+
+    def one(name: str | None) -> str:
         try:
-            return None if name is None else name.encode("idna").decode("ascii")
+            short = (name or "").strip().lower().encode("idna").decode("ascii")
         except UnicodeError:
             return ""
+        return short if re.fullmatch(HOST, short) else ""
 
-    return pd.Series([one(x) for x in names])
-
-
-def ascii_host(name: Column) -> Column:
-    """A host name in lower case and ASCII; empty if it is none: no dot, a dot at its end, an empty, long or hyphened label, an IP literal."""
-    plain = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    short = F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(_ascii_hosts(plain))
-    label = r"(?!-)[a-z0-9-]{1,63}(?<!-)"
-    return F.when(short.rlike(rf"^{label}(\.{label})+$"), short).otherwise("")
+    return pd.Series([one(x) for x in name])
 
 
 def official_address(url: Column, name: Column) -> Column:
-    """The one spelling of an HTTPS address, given its ASCII host: no fragment, no default port, a path; empty for others."""
+    """The one spelling of an HTTPS address that policy_error() finds nothing against, given its ASCII host: no fragment, no default port, a path; empty for others."""
     number, asked = port(url), F.regexp_extract(url, r"^[^#?]*(\?[^#]*)", 1)
-    place = F.when(path(url) == "", "/").otherwise(path(url))
-    whole = F.concat(F.lit("https://"), name, F.when(number.isin("", "443"), "").otherwise(F.concat(F.lit(":"), number)), place, asked)
-    return F.when((policy_error(url) == "") & (scheme(url) == "https") & (name != ""), whole).otherwise("")
+    shown = F.when(number.isin("", "443"), "").otherwise(F.concat(F.lit(":"), number))
+    place = F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/"))
+    return F.when((scheme(url) == "https") & (name != ""), F.concat(F.lit("https://"), name, shown, place, asked)).otherwise("")
 
 
 def is_https(url: Column) -> Column:
     return F.coalesce(F.startswith(F.lower(url), F.lit("https://")), F.lit(False))
 
 
-def policy_error(url: Column) -> Column:
-    """The first reason to refuse an address, empty if there is none."""
-    name, number, kind = host(url), port(url), scheme(url)
+def policy_error(url: Column, name: Column | None = None, number: Column | None = None, kind: Column | None = None) -> Column:
+    """The first reason to refuse an address, empty if there is none. Its host, port and scheme may be given, so that a plan has them once."""
+    name, number, kind = host(url) if name is None else name, port(url) if number is None else number, scheme(url) if kind is None else kind
     label = r"(?!-)[\p{L}\p{N}-]{1,63}(?<!-)"
     return (
         F.when(F.coalesce(url, F.lit("")) == "", "empty")

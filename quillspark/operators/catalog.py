@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..joins import spread_join
 
-RELEVANCE = ("all", "relevant", "review", "excluded")
+RELEVANCE = ("all", "relevant", "relevant_pending", "review", "excluded")
 DOWNLOADS = ("", "downloaded", "not_downloaded", "partial", "failed")
 #: Statuses of notices that review doesn't show.
 CLOSED = ("filtered", "excluded", "alias")
@@ -59,12 +59,13 @@ def day_between(day: Column, first: str = "", last: str = "") -> Column | None:
 
 
 def relevance(choice: str, relevant: Column, needs_review: Column, status: Column) -> Column | None:
-    """relevant, review (also what was never judged) or excluded; none for all."""
+    """relevant, relevant_pending (all that isn't excluded), review (also what was never judged) or excluded; none for all."""
     if choice not in RELEVANCE:
         raise ValueError(f"relevance must be one of {RELEVANCE}")
     return {
         "all": None,
         "relevant": F.coalesce(relevant, F.lit(False)),
+        "relevant_pending": F.coalesce(relevant, F.lit(True)) & ~F.coalesce(status.isin("filtered", "excluded"), F.lit(False)),
         "review": (F.coalesce(needs_review, F.lit(False)) | relevant.isNull()) & ~status.isin(*CLOSED),
         "excluded": ~F.coalesce(relevant, F.lit(True)) | status.isin("filtered", "excluded"),
     }[choice]
@@ -107,6 +108,16 @@ def totals(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", F.floor((F.col("total") + size - 1) / size).cast("long").alias("pages"))
 
 
+def newest_first(day: Column, name: Column, locale: str = "zh") -> list[Column]:
+    """The order of a list: newest first, then by name as the locale collates."""
+    return [F.coalesce(day, F.lit("")).desc(), F.collate(F.coalesce(name, F.lit("")), locale).asc()]
+
+
+def counts_by_state(rows: DataFrame, state: str) -> DataFrame:
+    """(state, n): how many rows are in each state; null counts as none."""
+    return rows.groupBy(F.coalesce(F.col(state), F.lit("")).alias(state)).agg(F.count("*").alias("n"))
+
+
 def joined_text(column: Column, separator: str = " | ") -> Column:
     """All non-null values of a group in order of value, as one text."""
     return F.array_join(F.sort_array(F.collect_list(column)), separator)
@@ -169,6 +180,14 @@ def candidates_in_order(rows: DataFrame, group: str, most: int, kind: Column, na
 LINK_REASONS = {"no_link": "no direct link was found; see the notice", "unverified": "the source isn't verified; check by hand", "not_downloaded": "the link was found, its response isn't verified"}
 
 
+ACCESS = {"public_direct": "public link, checked when downloaded", "login_required": "login required", "registration_required": "registration required", "restricted": "access restricted"}
+
+
+def access_label(access: Column) -> Column:
+    """What it takes to open a link; unknown spellings as they are, empty for null."""
+    return F.coalesce(F.create_map(*(F.lit(x) for p in ACCESS.items() for x in p))[access], access, F.lit(""))
+
+
 def link_state(has_attachment: Column, downloaded: Column, ref_status: Column) -> Column:
     table = {"failed": "failed", "blocked": "blocked", "restricted": "manual", "unverified_origin": "unverified"}
     named = F.create_map(*(F.lit(x) for p in table.items() for x in p))[ref_status]

@@ -15,6 +15,18 @@ def province_alias(name: Column) -> Column:
     return F.regexp_replace(name, f"({'|'.join(ENDINGS)})$", "")
 
 
+#: Names of cities that are written in another way.
+OTHER_NAMES = {"延边": "延边朝鲜族自治州", "长白山管委会": "长白山"}
+
+
+def canonical_city(value: Column, province: Column, cities: Sequence[str], municipality: Column | None = None) -> Column:
+    """A city as the catalogue writes it, with or without the word for city; a value that is the province itself stands only for a municipality; others stay as they are."""
+    named = F.coalesce(F.create_map(*(F.lit(x) for p in OTHER_NAMES.items() for x in p))[value], value)
+    listed = F.create_map(*(F.lit(x) for c in cities for spelling in dict.fromkeys((c, c.removesuffix("市"))) for x in (spelling, c))) if cities else F.lit(None).cast("map<string,string>")
+    whole = F.when(municipality if municipality is not None else F.lit(False), value).otherwise("")
+    return F.when(F.coalesce(value, F.lit("")) == "", "").when(value == province, whole).otherwise(F.coalesce(listed[named], named))
+
+
 def only_place(text: Column, names: Sequence[str]) -> Column:
     """The one name that the text contains; null for none and for several. names is a small dimension, so it is part of the plan."""
     hits = F.filter(F.array(*(F.lit(x) for x in names)), lambda x: F.contains(F.coalesce(text, F.lit("")), x))

@@ -193,15 +193,15 @@ def progress_model(spark, d):
     return found.withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("""with p as (select event_type, strftime(ts, '%Y-%m-%d') as day, 1 as pages, event_id % 3 as notices, event_id % 97 <> 0 as reached_start, true as reached_end, value > 100 as truncated, case when event_type = 'error' and event_id % 50 = 0 then 1 else 0 end as blocked, 0 as failed from events),
-r as (select event_type, day, min(day) as first_date, max(day) as last_date, sum(pages)::bigint as pages, sum(notices)::bigint as notices, bool_and(reached_start) as rs, bool_and(reached_end) as re, bool_or(truncated) as tr, sum(blocked)::bigint as blocked, sum(failed)::bigint as failed from p group by event_type, day)
-select event_type, day, first_date, last_date, pages, notices, blocked, case when tr or not rs or not re or blocked > 0 or failed > 0 then 'partial' when notices > 0 then 'ok' else 'empty' end as status from r""")
+@query("""with p as (select event_type, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, 1 as pages, event_id % 3 as notices, event_id % 97 <> 0 as reached_start, true as reached_end, value > 100 as truncated, case when event_type = 'error' and event_id % 50 = 0 then 1 else 0 end as blocked, 0 as failed from events),
+r as (select event_type, month, min(day) as first_date, max(day) as last_date, sum(pages)::bigint as pages, sum(notices)::bigint as notices, bool_and(reached_start) as rs, bool_and(reached_end) as re, bool_or(truncated) as tr, sum(blocked)::bigint as blocked, sum(failed)::bigint as failed from p group by event_type, month)
+select event_type, month, first_date, last_date, pages, notices, blocked, case when tr or not rs or not re or blocked > 0 or failed > 0 then 'partial' when notices > 0 then 'ok' else 'empty' end as status from r""")
 def coverage_rollup(spark, d):
     c = F.col
-    parts = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(1).cast("long").alias("pages"), (c("event_id") % 3).alias("notices"), (c("event_id") % 97 != 0).alias("reached_start"), F.lit(True).alias("reached_end"), (c("value") > 100).alias("truncated"), F.when((c("event_type") == "error") & (c("event_id") % 50 == 0), 1).otherwise(0).cast("long").alias("blocked"), F.lit(0).cast("long").alias("failed"))
-    rows = coverage.rollup(parts.withColumn("run", c("day")), "event_type", "run")
+    parts = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "yyyy-MM").alias("run"), F.lit(1).cast("long").alias("pages"), (c("event_id") % 3).alias("notices"), (c("event_id") % 97 != 0).alias("reached_start"), F.lit(True).alias("reached_end"), (c("value") > 100).alias("truncated"), F.when((c("event_type") == "error") & (c("event_id") % 50 == 0), 1).otherwise(0).cast("long").alias("blocked"), F.lit(0).cast("long").alias("failed"))
+    rows = coverage.rollup(parts, "event_type", "run")
     state = coverage.status(c("notices"), c("reached_start"), c("reached_end"), c("truncated"), c("blocked"), c("failed"))
-    return rows.select("event_type", c("run").alias("day"), "first_date", "last_date", "pages", "notices", "blocked", state.alias("status"))
+    return rows.select("event_type", c("run").alias("month"), "first_date", "last_date", "pages", "notices", "blocked", state.alias("status"))
 
 
 @query("select case when o_orderstatus = 'O' then 'cataloged' when o_orderstatus = 'F' then 'excluded' else 'review' end as outcome, count(*) as n, case when count(*) filter (o_orderpriority = '1-URGENT') > 0 then 2 else 0 end::bigint as exit_code from orders group by 1")

@@ -32,14 +32,48 @@ _HITS = "len(list_filter(['token', 'pathetic', 'worthless', 'licen'], lambda x:
 _AGAINST = "len(list_filter(['disgust', 'pathetic'], lambda x: contains(lower(text), x)))"
 
 
-@query(f"""with v as (select doc_id, text, {_HITS} as h, {_AGAINST} as a, {_any('text', (*STRONG, *BROAD))} as c from documents), r as (select *, h > 0 and not (a > 0 and h = 1) as yes from v)
-select doc_id, case when yes then true when c then null else false end as relevant, case when yes then 0.65::double when c then 0.45::double else 0.7::double end as confidence, 'review' as decision,
+@query(f"""with v as (select doc_id, text, n_chars, {_HITS} as h, {_AGAINST} as a, {_any('text', (*STRONG, *BROAD))} as c from documents), r as (select *, h > 0 and not (a > 0 and h = 1) as yes from v)
+select doc_id, case when yes then true when c then null else false end as relevant, case when yes then 0.65::double when c then 0.45::double else 0.7::double end as confidence,
+case when yes and n_chars % 2 = 0 then 'metadata_ready' when not yes and not c and n_chars % 3 <> 0 then 'excluded' else 'review' end as decision,
 case when yes then true when c then null when h > 0 then null when 0.7 < 0.85 then null end as guarded from r""")
 def rule_decision(spark, d):
-    t = F.col("text")
-    rows = table(spark, d, "documents").select("doc_id", "text", lexicon.rule_decision(t, STRONG, BROAD, NEGATIVE).alias("v"))
-    guarded = lexicon.guarded(F.col("v"), t, 0.85, STRONG)
-    return rows.select("doc_id", "v.relevant", "v.confidence", lexicon.decision(F.col("v"), 0.85, STRONG).alias("decision"), guarded["relevant"].alias("guarded"))
+    """Verdicts by rules; those that a reader has confirmed, or found to need no review, by the length of the text, are decided."""
+    t, v = F.col("text"), F.col("v")
+    rows = table(spark, d, "documents").select("doc_id", "text", "n_chars", lexicon.rule_decision(t, STRONG, BROAD, NEGATIVE).alias("v"))
+    confirmed = F.coalesce(v["relevant"], F.lit(False)) & (F.col("n_chars") % 2 == 0)
+    open_ = F.when(confirmed, F.lit(False)).when(~F.coalesce(v["relevant"], F.lit(True)), F.col("n_chars") % 3 == 0).otherwise(F.lit(True))
+    read = F.struct(v["relevant"].alias("relevant"), F.when(confirmed, 0.9).otherwise(v["confidence"]).alias("confidence"), v["evidence"].alias("evidence"), open_.alias("needs_review"), confirmed.alias("ai_confirmed"))
+    rows = rows.withColumn("read", read)
+    guarded = lexicon.guarded(v, t, 0.85, STRONG)
+    return rows.select("doc_id", "v.relevant", "v.confidence", lexicon.decision(F.col("read"), 0.85, STRONG).alias("decision"), guarded["relevant"].alias("guarded"))
+
+
+_SPOKEN = [*lexicon.STRONG_TERMS, *lexicon.BROAD_TERMS, *lexicon.NEGATIVE_TERMS]
+_OWNERS = [x for _, terms in lexicon.INDUSTRY_RULES for x in terms[:2]] + ["某公司"]
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+def _rules(column: str, rules) -> str:
+    return "list_filter([" + ", ".join(f"case when {_any(column, terms)} then '{name}' end" for name, terms in rules) + "], lambda x: x is not null)"
+
+
+@query(f"""with n as (select doc_id, upper(list_extract({_list(_SPOKEN)}, 1 + doc_id % {len(_SPOKEN)})) || ' ' || list_extract({_list(_SPOKEN)}, 1 + (doc_id * 7) % {len(_SPOKEN)}) || ' ' || text as said,
+  '某市' || list_extract({_list(_OWNERS)}, 1 + doc_id % {len(_OWNERS)}) as buyer, '关于' || list_extract({_list(_OWNERS)}, 1 + (doc_id * 5) % {len(_OWNERS)}) || '的采购' as title from documents),
+r as (select *, list_filter({_list(lexicon.STRONG_TERMS)}, lambda x: contains(lower(said), x)) as hits, len(list_filter({_list(lexicon.NEGATIVE_TERMS)}, lambda x: contains(lower(said), x))) as against,
+  {_any('said', (*lexicon.STRONG_TERMS, *lexicon.BROAD_TERMS))} as perhaps, {_rules('said', lexicon.CATEGORY_RULES)} as cats, {_rules('buyer', lexicon.INDUSTRY_RULES)} as own, {_rules('title', lexicon.INDUSTRY_RULES)} as named from n)
+select doc_id, array_to_string(hits[1:5], ',') as evidence, case when len(hits) > 0 and not (against > 0 and len(hits) = 1) then true when perhaps then null else false end as relevant,
+array_to_string(case when len(cats) = 0 then ['{lexicon.OTHER_CATEGORY}'] else cats end, ',') as categories, coalesce(own[1], named[1], '{lexicon.OTHER_INDUSTRY}') as industry from r""")
+def security_terms(spark, d):
+    """The terms that results depend on, two of them before each text: evidence, verdict, categories, and the industry of a purchaser and a title."""
+    pick = lambda values, by: F.element_at(F.array(*(F.lit(x) for x in values)), (1 + by % len(values)).cast("int"))
+    n = F.col("doc_id")
+    said = F.concat_ws(" ", F.upper(pick(_SPOKEN, n)), pick(_SPOKEN, n * 7), F.col("text"))
+    rows = table(spark, d, "documents").select("doc_id", said.alias("said"), F.concat(F.lit("某市"), pick(_OWNERS, n)).alias("buyer"), F.concat(F.lit("关于"), pick(_OWNERS, n * 5), F.lit("的采购")).alias("title"))
+    verdict = lexicon.rule_decision(F.col("said"))
+    return rows.select("doc_id", F.array_join(verdict["evidence"], ",").alias("evidence"), verdict["relevant"].alias("relevant"), F.array_join(lexicon.all_rules(F.col("said"), lexicon.CATEGORY_RULES, lexicon.OTHER_CATEGORY), ",").alias("categories"), lexicon.industry(F.col("buyer"), F.col("title")).alias("industry"))
 
 
 @query("""with c as (select d.doc_id, d.text, case when l.quality = 1 then 'match' when l.quality = 0 then 'no_match' else 'unknown' end as v1, case when l.toxic = 1 then 'no_match' else 'match' end as v2, d.n_chars > 5000 as truncated from documents d left join labels l on d.doc_id = l.doc_id),
@@ -174,14 +208,28 @@ def html_parsed(spark, d):
     return rows.select("page_id", p["title"].alias("title"), F.length(p["text"]).alias("n_chars"), F.size(p["links"]).alias("n_links"), F.size(p["rows"]).alias("n_rows"), p["headings"].alias("headings"))
 
 
-@query("""with l as (select page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"[^>]*>', 1)) as url from pages)
-select page_id, url, count(*) as n from l where regexp_matches(url, '(?i)^[^?#]*\\.(?:pdf|doc|docx|xls|xlsx|zip|rar|7z|ofd|txt)(?:[?#]|$)') or regexp_matches(lower(url), 'download|attachment|filedown|^/th') group by all""".replace("|^/th", ""))
+#: A link that each page gets, of a kind that goes by its number.
+_LINKED = "case page_id % 6 when 0 then '/f/' || page_id || '.pdf' when 1 then '/download?id=' || page_id when 2 then '/x/' || page_id || '.html' when 3 then '/files/' || page_id || '.DOCX?x=1' when 4 then '/附件下载.pdf/附件下载' else '/getfile/' || page_id end"
+
+
+def _with_link(spark, d):
+    return table(spark, d, "pages").withColumn("html", F.concat("html", F.lit('<a href="'), F.expr(_LINKED), F.lit('">x</a>')))
+
+
+@query(f"""with l as (select page_id, unnest(regexp_extract_all(html || '<a href="' || {_LINKED} || '">x</a>', '(?i)<a[^>]*href="([^"]*)"[^>]*>', 1)) as url from pages)
+select page_id, url, count(*) as n from l where (regexp_matches(url, '(?i)^[^?#]*\\.(?:pdf|doc|docx|xls|xlsx|zip|rar|7z|ofd|txt)(?:[?#]|$)') or regexp_matches(lower(url), 'download|attachment|filedown')) and not url like '%/附件下载' group by all""")
 def attachment_candidates(spark, d):
-    links = table(spark, d, "pages").select("page_id", F.explode(html.link_targets(F.col("html"))).alias("url"))
+    links = _with_link(spark, d).select("page_id", F.explode(html.link_targets(F.col("html"))).alias("url"))
     fits = links.where(html.looks_like_attachment(F.col("url"), F.lit("")) & (html.attachment_error(F.col("url")) == ""))
     return fits.groupBy("page_id", "url").agg(F.count("*").alias("n"))
 
 
+@query(f"""select page_id, {_LINKED} as url, page_id % 6 in (0, 1, 3) or (page_id % 6 = 5 and page_id >= 0) as strong from pages""")
+def strong_attachments(spark, d):
+    url = F.expr(_LINKED)
+    return table(spark, d, "pages").select("page_id", url.alias("url"), html.strong_attachment(url, F.lit("x")).alias("strong"))
+
+
 @query("""select page_id, regexp_matches(lower(html), '(?s)(?:captcha|geetest|hcaptcha|recaptcha)(?:[\\s_./?''\"=-]|$)|challenge-platform|aliyun.*captcha') as captcha, regexp_matches(lower(html), '(?s)access\\s+denied|request\\s+blocked|cf-chl-|cloudflare\\s+ray\\s+id|waf[\\s_-]*challenge') as firewall,
 regexp_matches(lower(html), '(?s)<input[^>]+type\\s*=\\s*[''\"]?password') as login from pages""")
 def block_page_detection(spark, d):

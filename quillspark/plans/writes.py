@@ -68,15 +68,15 @@ def manifest_versions(spark, d):
     return table(spark, d, "conversations").join(docs, "conv_id").select("conv_id", "turn", "role", F.sha2("text", 256).alias("sha256"), "source")
 
 
-@query("""with o as (select conv_id, sha256(string_agg(role, ',' order by turn)) as s from conversations group by conv_id), n as (select doc_id, sha256(case when n_chars > 2500 then 'user,assistant' else 'user,assistant,user,assistant' end) as s from documents)
-select coalesce(o.conv_id, n.doc_id) as conv_id, case when o.conv_id is null then 'added' when n.doc_id is null then 'removed' when o.s is not distinct from n.s then 'unchanged' else 'changed' end as change from o full join n on o.conv_id = n.doc_id""")
+@query("""with o as (select doc_id, sha256(text) as s from documents), n as (select case when doc_id % 7 = 0 then -1 - doc_id else doc_id end as doc_id, sha256(case when doc_id % 5 = 0 then trim(text) || '.' else text end) as s from documents where doc_id % 11 <> 0)
+select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.doc_id is null then 'added' when n.doc_id is null then 'removed' when o.s is not distinct from n.s then 'unchanged' else 'changed' end as change from o full join n on o.doc_id = n.doc_id""")
 def change_detection(spark, d):
-    """Conversations as the first scan, documents as the second, by a hash of their shape."""
-    turns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
-    old = table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(turns, 256).alias("sha256"))
-    shape = F.when(F.col("n_chars") > 2500, "user,assistant").otherwise("user,assistant,user,assistant")
-    new = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.sha2(shape, 256).alias("sha256"))
-    return upsert.changes(old, new, "conv_id", "sha256")
+    """Documents, and a second scan of them: some are gone, some have another id, some another text."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    old = docs.select("doc_id", F.sha2("text", 256).alias("sha256"))
+    text = F.when(n % 5 == 0, F.concat(F.trim("text"), F.lit("."))).otherwise(F.col("text"))
+    new = docs.where(n % 11 != 0).select(F.when(n % 7 == 0, -1 - n).otherwise(n).alias("doc_id"), F.sha2(text, 256).alias("sha256"))
+    return upsert.changes(old, new, "doc_id", "sha256")
 
 
 @query("select min(doc_id) as doc_id, count(*) as copies from documents group by sha256(text)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -13,9 +15,44 @@ def safe_strings(rows: DataFrame) -> DataFrame:
     return rows.select(*(text.csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers; the committer publishes it only as a whole, in place of what was there."""
-    safe_strings(rows).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "").csv(path)
+def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
+    """A folder of CSV parts with headers, put in place of what was there only when it is whole.
+
+    It is written beside its place; then the old folder is moved aside, the new one into place, and the old one removed. If the job
+    fails, the old export is still there. With ``bom`` each part begins with a byte order mark, for spreadsheets.
+    """
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    shown = safe_strings(rows)
+    if bom and shown.columns:
+        shown = shown.withColumnRenamed(shown.columns[0], "\ufeff" + shown.columns[0])
+    shown.write.option("header", True).option("escape", '"').option("nullValue", "").csv(beside)
+    put_in_place(rows.sparkSession, beside, path)
+
+
+def put_in_place(spark: SparkSession, new: str, path: str) -> None:
+    """Renames a finished folder to its place; one that is there goes when the new one stands, and comes back if that fails."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = f"{new}.old"
+    had = system.exists(make(path)) and system.rename(make(path), make(old))
+    if not system.rename(make(new), make(path)):
+        if had:
+            system.rename(make(old), make(path))
+        raise RuntimeError(f"{new} can't be renamed to {path}")
+    if had:
+        system.delete(make(old), True)
+
+
+def promotable(artifacts: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Quarantined artifacts that may be promoted, with the path that they get: allowed by the gate, official, verified over HTTPS, and the file's hash and size still as recorded.
+
+    Where two contents have one name, the hash in the path keeps them apart.
+    """
+    there = files.select(F.col(key).alias("f_key"), F.col("sha256").alias("f_sha"), F.col("length").alias("f_size"))
+    rows = artifacts.join(there, artifacts[key] == there["f_key"])
+    fit = (F.col("gate_status") == "allowed") & (F.col("source_role") == "official") & F.col("origin_verified") & urls.is_https(F.col("source_url"))
+    same = (F.col("f_sha") == F.col("sha256")) & (F.col("f_size") == F.col("size"))
+    return rows.where(fit & same).withColumn("vault_path", vault_path(F.col("sha256"), F.col("original_name"))).drop("f_key", "f_sha", "f_size")
 
 
 def vault_path(sha256: Column, name: Column) -> Column:

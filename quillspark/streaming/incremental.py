@@ -26,36 +26,72 @@ def hourly_counts(rows: DataFrame, time: str, group: str, delay: str) -> DataFra
     return rows.withWatermark(time, delay).groupBy(group, F.window(time, "1 hour").alias("w")).agg(F.count("*").alias("n")).select(group, F.col("w.start").alias("hour"), "n")
 
 
-def merge_into(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], sequence: Sequence[str], keep: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
+#: A merged table's keys are dealt into so many buckets; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def merge_into(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], sequence: Sequence[str], keep: Sequence[str] = (), available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Merges each batch into the Parquet table at a path, last writer wins by arrival.
 
-    A batch writes generation number batch + 1 from the one before; the newest whole generation is the table (latest()). A batch that runs
-    again writes its own generation again, so a restart changes nothing.
+    Keys are dealt into buckets by hash. A batch writes generation batch + 1 of the buckets that it touches, each from that
+    bucket's generation before; the newest whole generation of each bucket is the table (latest()). Generations that no reader of the
+    last two can need go. A batch that runs again writes its own generation again, so a restart changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = upsert.latest_wins(batch, keys, sequence)
-        old = latest(batch.sparkSession, table, number)
-        new = last if old is None else upsert.upserted(old, last, keys, keep)
-        new.write.mode("overwrite").parquet(f"{table}/generation={number:012d}")
+        spark = batch.sparkSession
+        last = upsert.latest_wins(batch, keys, sequence).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        last = last.persist()
+        try:
+            touched = sorted(r["bucket"] for r in last.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+            if not touched:
+                return
+            old = latest(spark, table, number, touched, bucket=True)
+            new = last if old is None else upsert.upserted(old.select(last.columns), last, [*keys, "bucket"], keep)
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/generation={number:012d}")
+        finally:
+            last.unpersist()
+        _tidy(spark, table, number)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest generation whose write ended, of those before a number; None if there is none."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
+def _generations(spark: SparkSession, table: str, before: int | None) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket its whole generations (number, path), newest first."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = make(table)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(root):
+    found: dict[int, list[tuple[int, str]]] = {}
+    for status in system.listStatus(root) if system.exists(root) else []:
+        name = status.getPath().getName()
+        number = int(name.partition("=")[2]) if name.startswith("generation=") else -1
+        if number < 0 or (before is not None and number >= before) or not system.exists(make(f"{table}/{name}/_SUCCESS")):
+            continue
+        for inner in system.listStatus(status.getPath()):
+            own = inner.getPath().getName()
+            if own.startswith("bucket="):
+                found.setdefault(int(own.partition("=")[2]), []).append((number, f"{table}/{name}/{own}"))
+    return {k: sorted(v, reverse=True) for k, v in found.items()}
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None, buckets: Sequence[int] | None = None, bucket: bool = False) -> DataFrame | None:
+    """The newest generation whose write ended of each bucket, or of the given ones, of those before a number; None if there is none. With ``bucket``, its number is a column."""
+    found = _generations(spark, table, before)
+    paths = [v[0][1] for k, v in sorted(found.items()) if buckets is None or k in buckets]
+    if not paths:
         return None
-    names = sorted((s.getPath().getName() for s in system.listStatus(root)), reverse=True)
-    for name in names:
-        whole = name.startswith("generation=") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/{name}/_SUCCESS"))
-        if whole and (before is None or int(name.partition("=")[2]) < before):
-            return spark.read.parquet(f"{table}/{name}")
-    return None
+    rows = spark.read.parquet(*paths)
+    return rows.withColumn("bucket", F.regexp_extract(F.input_file_name(), "/bucket=([0-9]+)/", 1).cast("int")) if bucket else rows
+
+
+def _tidy(spark: SparkSession, table: str, number: int) -> None:
+    """Removes each bucket's generations older than the newest before this batch's: a batch that runs again still finds what it began from."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = make(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for kept in _generations(spark, table, number).values():
+        for _, path in kept[1:]:
+            system.delete(make(path), True)
 
 
 def on_each(rows: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -88,3 +88,14 @@ def test_criteria(spark):
             Criteria(**{"start_date": "2026-01-01", "end_date": "2026-01-31"} | bad)
     with pytest.raises(ValueError):
         checked_thresholds(0.9, 0.5)
+
+
+def test_current_results_have_all_amounts_in_yuan(catalogue):
+    row = catalogue.current().where("identity = 's:1'").first()
+    assert (row.budget_amount_yuan, row.award_amount_yuan, row.contract_amount_yuan, row.max_price_yuan) == ("900000.00", "880000.00", "875000.00", "")
+    assert catalogue.current().count() == 2
+
+
+def test_exact_filters(catalogue):
+    assert ids(catalogue.list_notices(notice_type="中标", exact=True)) == [] and ids(catalogue.list_notices(notice_type="中标公告", exact=True)) == ["s:1"]
+    assert ids(catalogue.list_notices(city="__unknown__", exact=True)) == ["s:3", "s:2"] and ids(catalogue.list_notices(relevance="relevant_pending")) == ["s:3", "s:1"]

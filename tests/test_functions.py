@@ -153,3 +153,117 @@ def test_gate(spark):
     assert found[4][1] == ["expected_title_mismatch"]
     assert "empty_body" in found[5][1]
     assert "captcha_page" in found[6][1]
+
+
+@pytest.mark.parametrize("a,b,same", [("https://a.test/?q=a%20b", "https://a.test/?q=a+b", True), ("https://a.test/?q=%E4%B8%AD", "https://a.test/?q=中", True), ("https://a.test/?b=1&a=%7E*", "https://a.test/?a=~%2A&b=1", True), ("https://a.test/?q=a", "https://a.test/?q=A", False), ("https://a.test/?q=%zz", "https://a.test/?q=%25zz", True), ("https://a.test/x//", "https://a.test/x", True)])
+def test_one_spelling_of_an_address(spark, a, b, same):
+    key = lambda u: value(spark, urls.canonical_key(F.col("u")), u=u)
+    assert (key(a) == key(b)) is same
+
+
+def test_spelled_as_the_form_encoder_does(spark):
+    assert value(spark, urls.canonical_key(F.col("u")), u="http://A.test:8080/p?y=~*&x=%E4%B8%AD+%2F&utm_source=z&k=") == "a.test:8080/p?k=&x=%E4%B8%AD+%2F&y=~%2A"
+
+
+@pytest.mark.parametrize("name,want", [("WWW.Example.com", "www.example.com"), ("bücher.example", "xn--bcher-kva.example"), ("中国.cn", "xn--fiqs8s.cn"), ("localhost", ""), ("a..b", ""), ("a.b.", ""), ("-a.b", ""), (None, "")])
+def test_ascii_hosts(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").select(urls.ascii_host(F.col("n"))).first()[0] == want
+
+
+def test_official_addresses(spark):
+    address = lambda u: value(spark, urls.official_address(F.col("u"), urls.ascii_host(urls.host(F.col("u")))), u=u)
+    assert address("https://A.gov.test:443?x=1#f") == "https://a.gov.test/?x=1"
+    assert address("http://a.gov.test/") == "" and address("https://a.gov.test:8443/x") == "https://a.gov.test:8443/x"
+    assert value(spark, urls.file_name(F.col("u")), u="https://a.test/d/a%20b.pdf?x") == "a b.pdf"
+    assert value(spark, urls.file_name(F.col("u")), u="https://a.test") == "source.bin"
+
+
+@pytest.mark.parametrize("url,label,want", [
+    ("/a/b.PDF", "", True), ("/x", "招标文件.docx", True), ("/x", "文件下载", False), ("/download/", "文件下载", False), ("/download?id=7", "", True),
+    ("/getfile?token=", "", False), ("/files/20260102", "", True), ("/files/abc123", "", True), ("/files/abc", "", False), ("/files?x=abcdef123456", "", True), ("/list?id=7", "", False), ("/attachment?a1b2c3", "", True),
+])
+def test_strong_attachments(spark, url, label, want):
+    assert value(spark, html.strong_attachment(F.col("u"), F.col("l")), u=url, l=label) is want
+
+
+def test_articles_and_scripts_of_pages():
+    page = '<div>menu <a href="/m">m</a></div><div class="x ewb-article"><div>in</div> text <a onclick="go(\'a/b.pdf\')">f</a></div><div>foot</div>'
+    inside = html.parse(page, "https://www.jl.gov.cn/ggzy/1.html")
+    assert inside["text"].split() == ["in", "text", "f"] and [x["url"] for x in inside["links"]] == ["a/b.pdf"]
+    assert "menu" in html.parse(page, "https://other.test/ggzy/1.html")["text"] and "menu" in html.parse(page.replace("ewb-", ""), "https://jl.gov.cn/ggzy/1")["text"]
+    assert [x["url"] for x in html.parse('<button data-download-url="/f?id=1">x</button>')["links"]] == ["/f?id=1"]
+
+
+SECTIONS = """一、项目信息
+包号：2
+采购人联系人：王某 地址：x
+二、采购人信息
+名 称：第一中学
+地址：长春市某路 1 号
+联系人：李某
+联系电话：0431-81234567转12
+三、采购代理机构信息
+名 称：代理
+联系人：赵某
+电话：13912345678"""
+
+
+def test_contacts_and_places(spark):
+    rows = spark.createDataFrame([("t", "公告", SECTIONS, None, "2026-01-02"), ("t", "公告", SECTIONS.replace("采购人联系人：王某 地址：x\n", "客户联系电话：13800000000\n"), {"contact": "张某", "summary": "概况"}, ""), ("采购意向", "采购意向", "预算\n12.5\n2026 年 10 月", None, None)], "title string, notice_type string, text string, data map<string,string>, published_at string")
+    a, b, c = fields.extracted(rows, data="data", cities=("长春市", "吉林市")).collect()
+    assert (a.buyer_name, a.buyer_contact, a.buyer_phone, a.city, a.package_no, a.published_at) == ("第一中学", "王某", "0431-81234567转12", "长春市", "2", "2026-01-02")
+    assert a.evidence["buyer_contact"].startswith("采购人联系人") and (a.winning_vendor_contact, a.winning_vendor_phone) == ("", "")
+    assert (b.buyer_contact, b.buyer_phone, b.project_summary, b.buyer_address) == ("张某", "13800000000", "概况", "长春市某路 1 号")
+    assert (c.event_type, c.expected_purchase_date, c.budget_amount_minor) == ("采购意向", "2026-10", 12_500_000)
+
+
+def test_kinds_of_documents(spark):
+    page = ("<html><title>公告</title><body><p>第一中学 公开招标 防火墙采购，项目编号 XM-7。" + "正文内容" * 30 + "</p></body></html>").encode()
+    word = archive(word__document_dot_xml="<w>第一中学防火墙<b/>XM 7</w>", Content_Types="x", **{"[Content_Types]_dot_xml": "x"})
+    answer = '{"title": "第一中学防火墙", "items": [{"code": "XM-7"}, null, 3]}'.encode()
+    assert gate.json_text(answer.decode()) == "title 第一中学防火墙 items code XM-7 3" and gate.json_text("3") is None and gate.json_text("[" * 100_000) is None
+    docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    schema = "id int, source_role string, origin string, final_url string, content_type string, body binary, analysis_body binary, expected_title string, expected_buyer string, expected_project_code string, document_kind string"
+    item = lambda i, kind, body, rendered=None, wanted="", title="第一中学防火墙", url="https://a.gov.test/x": (i, "official", url, url, kind, body, rendered, title, "第一中学", "XM7", wanted)
+    rows = [
+        item(1, "text/html", page, wanted="招标公告", title=""), item(2, "text/html", page, wanted="合同公告", title=""), item(3, "text/html", page, wanted="附件", title=""), item(4, docx, word, wanted="官方附件"),
+        item(5, docx, archive(word__document_dot_xml="<w>别的</w>", **{"[Content_Types]_dot_xml": "x"}), wanted="ＤＯＣＸ"), item(6, "application/json", answer, url="https://a.gov.test/x.json"), item(7, "application/json", b'{"a": ', url="https://a.gov.test/x.json"),
+        item(8, "application/json", answer, rendered=answer.replace(b", null", b"")), item(9, "application/json", answer, rendered=b'{"other": "words entirely"}'), item(10, "text/html", page, rendered="<p>访问过于频繁</p>".encode(), title=""), item(11, "application/json", b'"text"', url="https://a.gov.test/x.json"),
+    ]
+    found = {r.id: r.error_codes for r in gate.verdicts(spark.createDataFrame(rows, schema), ("a.gov.test",)).collect()}
+    assert found[1] == [] and found[2] == ["document_kind_mismatch"] and found[3] == ["document_kind_mismatch"] and found[4] == []
+    assert found[5] == ["expected_title_mismatch", "expected_buyer_mismatch", "expected_project_code_mismatch"] and found[6] == []
+    assert found[7] == ["malformed_json"] and found[8] == [] and found[9] == ["raw_render_mismatch"]
+    assert "waf_block_page" in found[10] and found[11] == ["unsupported_media_type"]
+
+
+def test_answers_keep_to_the_lists(spark):
+    answer = '{"relevant": true, "confidence": 7, "evidence": [" 采购防火墙 ", "x", "网络安全"], "industry": "教育", "security_categories": ["安全设备", "nonsense"], "reason": "r"}'
+    v = lambda raw, **more: value(spark, lexicon.parsed_verdict(F.col("r"), F.col("t"), title=F.lit(more.get("title", "")), buyer=F.lit(more.get("buyer", ""))), r=raw, t="本次采购防火墙一台")
+    got = v(answer)
+    assert (got["relevant"], got["confidence"], got["evidence"], got["industry"], got["categories"], got["reason"]) == (True, 1.0, ["采购防火墙"], "教育", ["安全设备"], "r")
+    assert v(answer, buyer="某某医院")["industry"] == "医疗卫生"
+    other = v(answer.replace("教育", "太空").replace('"安全设备", ', ""))
+    assert (other["industry"], other["categories"]) == ("其他行业", ["安全设备"])
+
+
+def test_two_answers(spark):
+    yes = '{"relevant": true, "confidence": 0.95, "evidence": ["采购防火墙"]}'
+    no = '{"relevant": false, "confidence": 0.9, "evidence": []}'
+    pair = lambda a, b: value(spark, lexicon.agreed(lexicon.parsed_verdict(F.col("a"), F.col("t")), lexicon.parsed_verdict(F.col("b"), F.col("t"))), a=a, b=b, t="采购防火墙")
+    assert (pair(yes, yes.replace("0.95", "0.9"))["relevant"], pair(yes, yes.replace("0.95", "0.9"))["confidence"]) == (True, 0.9)
+    assert pair(yes, no)["needs_review"] is True and pair(yes, no)["relevant"] is None
+    assert pair(no, no)["relevant"] is False
+
+
+def test_focused_text():
+    text_ = "头" * 60_000 + "防火墙" + "尾" * 60_000
+    got = lexicon.focused(text_)
+    assert got.startswith("头" * 10_000) and "防火墙" in got and len(got) < 13_000 and lexicon.focused("短") == "短"
+    assert len(lexicon.focused("网络" * 60_000)) <= 50_000
+
+
+def test_found_terms_by_alternation(spark):
+    t = F.col("t")
+    assert value(spark, lexicon.has_any(t, ("a.b", "WAF")), t="use waf") and not value(spark, lexicon.has_any(t, ("a.b",)), t="aXb") and not value(spark, lexicon.has_any(t, ()), t="x")
+    assert value(spark, lexicon.found_terms(t, ("WAF", "ids")), t="IDS and Waf") == ["WAF", "ids"]

@@ -62,9 +62,9 @@ def test_provenance(spark):
     assert rows(found, "official_url", "kind") == [("https://www.gov.test/a.pdf", "official_attachment"), ("https://www.gov.test/n/1", "official_notice")]
     passed = spark.createDataFrame([("https://www.gov.test/a.pdf", True)], "official_url string, passed boolean")
     assert rows(provenance.resolved(found, passed)) == [("n", "https://www.gov.test/a.pdf", True)]
-    group = '<table><tr><td>甲项目 第一中学</td><td><a href="/1">查看</a></td></tr><tr><td>乙项目 第一中学</td><td><a href="/2">查看</a></td></tr></table>'
+    group = '<table><tr><td>甲项目购置 第一中学</td><td><a href="/1">查看</a></td></tr><tr><td>乙项目购置 第一中学</td><td><a href="/2">查看</a></td></tr></table>'
     frame = spark.createDataFrame([("n", group)], "id string, html string")
-    assert rows(provenance.row_links(frame, "id", "html", F.lit("乙项目"), F.lit("第一中学"), F.lit(""))) == [("n", "/2")]
+    assert rows(provenance.row_links(frame, "id", "html", F.lit("乙项目购置"), F.lit("第一中学"), F.lit(""))) == [("n", "/2")]
     assert rows(provenance.row_links(frame, "id", "html", F.lit("项目"), F.lit(""), F.lit(""))) == []
 
 
@@ -143,3 +143,134 @@ def test_live_states_lie_over_rows(spark):
     rows_, live = spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"), spark.createDataFrame([(2, "c")], "k int, s string")
     assert rows(catalog.overlaid(rows_, "k", live, "k", "s")) == [(1, "a"), (2, "c")]
     assert rows(catalog.selected(rows_, "k", live, "k")) == [(2, "b")]
+
+
+def test_candidates_are_checked_again(spark):
+    registry = spark.createDataFrame([("gov.test", False, "official", "g"), ("lead.test", False, "commercial_lead", "l")], "domain string, exact_only boolean, role string, key string")
+    page = '<a href="http://www.gov.test:80/n/1#x">a</a><a href="https://WWW.gov.test/n/2?q">b</a><a href="http://other.test/n">c</a>'
+    found = provenance.candidates(spark.createDataFrame([("n", "https://lead.test/p", page)], "id string, url string, html string"), registry, "id", "url", "html")
+    assert rows(found, "official_url", "transport_upgraded", "original_url", "source_key") == [("https://www.gov.test/n/1", True, "http://www.gov.test:80/n/1", "g"), ("https://www.gov.test/n/2?q", False, "", "g")]
+    assert rows(provenance.validated(found, registry), "official_url", "valid") == [("https://www.gov.test/n/1", True), ("https://www.gov.test/n/2?q", True)]
+    for change in ({"official_url": "https://www.gov.test/n/3"}, {"source_key": "l"}, {"kind": "official_attachment"}, {"official_host": "gov.test"}, {"lead_url": "nonsense"}, {"original_url": "http://evil.test/"}):
+        changed = found.withColumns({k: F.lit(v) for k, v in change.items()})
+        assert [r["valid"] for r in provenance.validated(changed, registry).where("transport_upgraded").collect()] == [False], change
+    assert provenance.validated(found, registry).columns == [*found.columns, "valid"]
+
+
+def test_titles_with_a_purchaser_before_them(spark):
+    assert provenance.title_keys_of("第一中学-采购意向—乙项目设备 购置") == ["第一中学采购意向乙项目设备购置", "乙项目设备购置"]
+    assert provenance.title_keys_of("短") == [] and provenance.title_keys_of("第一中学采购-x") == ["第一中学采购x"]
+    group = '<table><tr><td>甲项目设备购置 第一中学</td><td><a href="/1">查看</a></td></tr><tr><td>乙项目设备购置 第一中学</td><td><a href="/2?code=XM-7">查看</a></td></tr></table>'
+    frame = spark.createDataFrame([("n", group)], "id string, html string")
+    assert rows(provenance.row_links(frame, "id", "html", F.lit("第一中学-乙项目设备购置"), F.lit("第一&#x4E2D;学"), F.lit("xm 7"))) == [("n", "/2?code=XM-7")]
+    assert rows(provenance.row_links(frame, "id", "html", F.lit("第一中学-设备购置"), F.lit(""), F.lit(""))) == []
+
+
+SITE = "https://site.test"
+
+
+def test_site_pages(spark):
+    body = "某局防火墙采购公告正文，项目编号 X1，采购人： 第一中学</td><td>x 地址：某路。发布时间：2026-01-05。" + "说明文字" * 10
+    pages = [
+        ("/1", f"<h1>防火墙采购公告</h1><p>{body}</p>", None),
+        ("/2", "<title>公告列表 - 某网</title><h1>采购公告列表</h1><p>" + "文字" * 30 + "</p>", None),
+        ("/3", "<p>请输入验证码</p>" + "<p>文字文字文字文字文字文字文字文字文字文字文字</p>", None),
+        ("/4", "<h1>网络安全验证系统采购公告</h1><p>项目名称：安全验证系统。发布日期 2026-02-03 " + "文字" * 20 + "</p>", None),
+        ("/5", "<p>没有日期的一页" + "文字" * 20 + "</p>", "Tue, 03 Feb 2026 10:00:00 GMT"),
+        ("/6", "<p>没有日期的一页" + "文字" * 20 + "</p>", None),
+        ("/7", "<p>短</p>", None),
+    ]
+    frame = spark.createDataFrame([(SITE + a, b, c) for a, b, c in pages], "url string, html string, modified string")
+    got = {r.url[len(SITE) :]: r for r in readers.site_pages(frame, "url", "html", last_modified="modified").collect()}
+    assert {k: r.rejected for k, r in got.items()} == {"/1": "", "/2": "listing", "/3": "challenge", "/4": "", "/5": "", "/6": "no_date", "/7": "empty"}
+    assert (got["/1"].title, got["/1"].published_at, got["/1"].notice_type, got["/1"].direct) == ("防火墙采购公告", "2026-01-05", "采购公告", True)
+    assert got["/1"].buyer.startswith("第一中学") and "<" not in got["/1"].buyer and "地址" not in got["/1"].buyer
+    assert (got["/5"].published_at, got["/5"].date_source, got["/4"].published_at) == ("2026-02-03", "last-modified", "2026-02-03")
+    assert {r.rejected for r in readers.site_pages(frame.where("url like '%/1'"), "url", "html", terms=("云平台",)).collect()} == {"no_term"}
+
+
+def test_detail_links(spark):
+    page = '<title>采购公告</title><a href="/notice/1">甲</a><a href="/notice/1#x">甲again</a><a href="/a?id=12345">某某项目公告</a><a href="/b?id=12345">短</a><a href="/c">栏目四个字</a><a href="https://other.test/notice/2">外</a><a href="/notice/f.pdf">文件</a><a href="/detail/9">首页</a>'
+    frame = spark.createDataFrame([(SITE + "/list", page)], "url string, html string")
+    assert rows(readers.detail_links(frame, "url", "html"), "target", "label") == [(SITE + "/a?id=12345", "某某项目公告"), (SITE + "/notice/1", "甲")]
+
+
+def test_lists_keep_the_first(spark):
+    body = json.dumps({"recordnum": 2, "datas": [{"title": "A &amp; b", "timestamp": "2026-01-02", "url": "u"}, {"title": "later", "timestamp": "2026-01-03", "url": "u"}, {"title": "old", "timestamp": "2025-01-02", "url": "v"}]})
+    frame = spark.createDataFrame([(body,)], "b string")
+    assert rows(readers.jsonp_list(frame, "b", since="2026-01-01"), "url", "title") == [("u", "A & b")]
+    with pytest.raises(Exception, match="not a list of records"):
+        readers.jsonp_list(spark.createDataFrame([('{"datas": []}',)], "b string"), "b", strict=True).collect()
+    feed = json.dumps({"data": {"records": [{"id": "1", "publishTime": "2026-03-01", "provinceText": "辽宁"}]}})
+    with pytest.raises(Exception, match="another province"):
+        readers.json_feed(spark.createDataFrame([(feed,)], "b string"), "b", "2026-01-01", "2026-12-31", province="吉林").collect()
+
+
+def test_archives_and_pagers(spark, tmp_path):
+    entries = spark.createDataFrame([("2026-01-05", "WAF 采购", ""), ("2026-02-05", "办公", "某waf公司"), ("2025-12-01", "x", "")], "published_at string, title string, buyer string")
+    kept, edge = readers.within_archive(entries, "2026-01-01", "2026-12-31", ("Waf",))
+    assert kept.count() == 2 and edge.first() == ("2025-12-01", True)
+    page = "<ul><li><a href='/1'>a</a></li></ul> 共 1 条"
+    got = readers.pager(spark.createDataFrame([(page,), (page.replace("共 1", "共 0"),), ("<p>",)], "h string"), "h").collect()
+    assert [(r.total, r.n_pages, r.consistent) for r in got] == [(1, 1, True), (0, 0, False), (None, None, None)]
+    entries.withColumn("day", F.to_date("published_at")).write.partitionBy("day").parquet(str(tmp_path / "t"))
+    some = readers.on_days(spark, str(tmp_path / "t"), "2026-01-01", "2026-01-31")
+    assert some.count() == 1 and "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_export_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_csv(spark.createDataFrame([("a", 1)], "a string, b int"), path, bom=True)
+    bad = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise("x").alias("a"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_csv(bad, path)
+    part = next(x for x in (tmp_path / "out").glob("*.csv") if x.stat().st_size)
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b")
+    sinks.write_csv(spark.createDataFrame([("b", 2)], "a string, b int"), path)
+    assert spark.read.csv(path, header=True).first() == ("b", "2") and sorted(x.name for x in tmp_path.iterdir() if ".old" in x.name) == []
+
+
+def test_promotion(spark):
+    row = ("k", "s" * 64, 3, "allowed", "official", True, "https://a.test/f", "a b.pdf")
+    arts = spark.createDataFrame([row, ("m", *row[1:3], "rejected", *row[4:]), ("n", *row[1:6], "http://a.test/f", row[7])], "k string, sha256 string, size long, gate_status string, source_role string, origin_verified boolean, source_url string, original_name string")
+    files = spark.createDataFrame([(k, "s" * 64, 3) for k in "kmn"], "k string, sha256 string, length long")
+    assert rows(sinks.promotable(arts, files, "k"), "k", "vault_path") == [("k", "ss/" + "s" * 64 + "/a b.pdf")]
+    assert sinks.promotable(arts, files.withColumn("length", F.lit(4).cast("long")), "k").count() == 0
+
+
+def test_choices_and_orders(spark):
+    frame = spark.createDataFrame([("a", True, "review"), ("b", None, "review"), ("c", False, "review"), ("d", True, "filtered")], "k string, relevant boolean, status string")
+    assert rows(frame.where(catalog.relevance("relevant_pending", F.col("relevant"), F.lit(False), F.col("status"))), "k") == [("a",), ("b",)]
+    named = spark.createDataFrame([("2026-01-01", "张"), ("2026-01-01", "阿"), ("2026-01-02", "李"), (None, "b")], "d string, n string")
+    assert [r.n for r in named.orderBy(*catalog.newest_first(F.col("d"), F.col("n"))).collect()] == ["李", "阿", "张", "b"]
+    assert rows(catalog.counts_by_state(frame, "status")) == [("filtered", 1), ("review", 3)]
+    assert [r[0] for r in spark.createDataFrame([("login_required",), ("x",), (None,)], "a string").select(catalog.access_label(F.col("a"))).collect()] == ["login required", "x", ""]
+
+
+def test_canonical_cities(spark):
+    frame = spark.createDataFrame([("长春", "吉林省"), ("延边", "吉林省"), ("吉林省", "吉林省"), ("别处", "吉林省"), (None, "吉林省")], "c string, p string")
+    assert [r[0] for r in frame.select(places.canonical_city(F.col("c"), F.col("p"), ("长春市", "延边朝鲜族自治州"))).collect()] == ["长春市", "延边朝鲜族自治州", "", "别处", ""]
+    assert frame.limit(1).select(places.province_alias(F.col("p"))).first()[0] == "吉林"
+
+
+def test_streamed_windows_and_first_sightings(spark, tmp_path):
+    source, out = str(tmp_path / "in"), []
+    frame = spark.createDataFrame([("a", 1, "2026-01-01 10:05:00"), ("a", 1, "2026-01-01 10:06:00"), ("b", 2, "2026-01-01 11:30:00")], "g string, k int, t string").withColumn("t", F.to_timestamp("t"))
+    frame.coalesce(1).write.parquet(source)
+    rows_ = incremental.stream_of(spark, source, frame.schema)
+    first = incremental.distinct_within(rows_, ["k"], "t", "1 hour")
+    incremental.on_each(first, lambda batch, _: out.extend(r.k for r in batch.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(out) == [1, 2]
+    assert rows(incremental.hourly_counts(frame, "t", "g", "1 hour"), "g", "n") == [("a", 2), ("b", 1)]
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    schema, source, table = "k int, v string, seq int", str(tmp_path / "in"), tmp_path / "table"
+    for n, part in enumerate(([(k, "a", 0) for k in range(40)], [(1, "b", 1)], [(1, "c", 2)], [(2, "d", 3)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.merge_into(incremental.stream_of(spark, source, schema), str(table), str(tmp_path / "cp"), ["k"], ["seq"], buckets=8).awaitTermination()
+        written = len(list((table / f"generation={n:012d}").glob("bucket=*")))
+        assert written == (8 if n == 0 else 1)
+    assert rows(incremental.latest(spark, str(table)).where("k in (1, 2, 3)"), "k", "v") == [(1, "c"), (2, "d"), (3, "a")]
+    assert incremental.latest(spark, str(table)).count() == 40
+    assert len(list(table.glob("generation=*/bucket=*"))) <= 8 + 3
