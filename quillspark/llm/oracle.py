@@ -81,4 +81,31 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from counted
 """
 
-ORACLES = {"op3_mixing": OP3, "op5_line_rules": OP5, "op8_seed_extend": OP8}
+OP1 = r"""
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9
+), reach as (
+  select vec_id as n, vec_id as m from embeddings union select r.n, l.b from reach r join links l on r.m = l.a
+)
+select e.vec_id, coalesce(l.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e left join (select a, count(*) as n from links group by a) l on e.vec_id = l.a join (select n, min(m) as component_id from reach group by n) c on c.n = e.vec_id
+"""
+
+URL_RULES = r"""
+with p as (
+  select page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages
+), r as (
+  select *, case
+    when ('.' || host) like '%.example.org' and path like '/en/1%' then 'example.org/en/1'
+    when ('.' || host) like '%.example.org' and path like '/es/%' then 'example.org/es/'
+    when ('.' || host) like '%.com' and path like '/de/%' then 'com/de/'
+    when ('.' || host) like '%.com' and path like '/fr/%' then 'com/fr/'
+    when ('.' || host) like '%.org' and path like '/%' then 'org/' end as rule from p
+)
+select *, case rule when 'org/' then 'allow' when 'com/fr/' then 'allow' else case when rule is not null then 'block' end end as listed from r
+"""
+
+ORACLES = {"op1_lattice": OP1, "url_rules": URL_RULES, "op3_mixing": OP3, "op5_line_rules": OP5, "op8_seed_extend": OP8}

@@ -57,6 +57,11 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltrees.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of each page's URL, and the verdict that the rule gives: what op7 has before its trees."""
+    return urltrees.placed(table(spark, sf_dir, "pages"), URL_RULES).select(F.col("key").alias("page_id"), "host", "path", "rule", "listed")
+
+
 def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat earlier documents."""
     return seedextend.without_repeats(table(spark, sf_dir, "documents"), digest=True)
@@ -76,7 +81,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op6_weak_labels, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op6_weak_labels, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash, url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

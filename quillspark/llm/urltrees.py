@@ -171,7 +171,7 @@ class Judge(NamedTuple):
         return np.column_stack([np.array(own, np.float64).reshape(-1, len(FEATURES) - 2), self.suffixes.rate[1 + fold, at], self.suffixes.count[at]])
 
 
-def _placed(pages: DataFrame, rules: dict[str, str], key: str, url: str) -> DataFrame:
+def placed(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url") -> DataFrame:
     """(url, host, path, suffix, key, rule, listed, order, fold) of each row."""
     rows = pages.select(pages[url].alias("url"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), pages[key].alias("key"))
     rows = rows.withColumn("suffix", suffix_of(F.col("host"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -181,7 +181,7 @@ def _placed(pages: DataFrame, rules: dict[str, str], key: str, url: str) -> Data
 
 
 def learned(rows: DataFrame, sample: int = SAMPLE) -> Judge:
-    """From the rows of _placed() with a label in ``listed``; the suffixes' numbers count all rows."""
+    """From the rows of placed() with a label in ``listed``; the suffixes' numbers count all rows."""
     counts = (F.count("*").alias("n"), F.count("listed").alias("labelled"), F.count_if(F.col("listed") == "block").alias("blocked"))
     known = suffixes([tuple(r) for r in rows.groupBy("suffix", "fold").agg(*counts).collect()])  # at most BUCKETS * FOLDS rows
     bare = Judge(known, Forest(-20.0, ()))
@@ -207,7 +207,7 @@ def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: s
     has a label, the trees have nothing to learn and allow. Equal URLs are one example; repeated rows give repeated results; no rows give no
     rows. Very long URLs are read whole; other columns are left out, so their names can't clash.
     """
-    rows = _placed(pages, rules, key, url)
+    rows = placed(pages, rules, key, url)
     judge = learned(rows, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -405,8 +405,8 @@ def test_tree_scores_against_plain_ones(spark):
     """Each URL's features one by one, each tree node by node."""
     urls = [f"http{'s' * (i % 2)}://h{i % 7}.{'com' if i % 3 else 'org'}/{'de' if i % 5 else 'fr'}/{i}?a={i}&b=1#x" for i in range(300)]
     pages = spark.createDataFrame(list(enumerate([*urls, None, "http://other.net/x-y_z"])), "page_id long, url string")
-    judge = urltrees.learned(urltrees._placed(pages, RULES, "page_id", "url"))
-    placed = {r["key"]: r for r in urltrees._placed(pages, RULES, "page_id", "url").collect()}
+    judge = urltrees.learned(urltrees.placed(pages, RULES, "page_id", "url"))
+    placed = {r["key"]: r for r in urltrees.placed(pages, RULES, "page_id", "url").collect()}
     assert len(judge.forest.trees) == urltrees.TREES
     for r in urltrees.judged(pages, RULES).collect():
         at = placed[r["page_id"]]
