@@ -43,8 +43,8 @@ SHORT_WORDS, SHORT_TABLES = 3, 48
 SHORT, WORD_TABLES = 20, 16
 MULTIPLIERS = (mix(np.arange(1, 1 + 4096, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; blocks meet in pairs.
-BLOCK = 512
-BLOCK_WORDS = 1 << 20
+BLOCK = 1024
+BLOCK_WORDS = 1 << 18
 #: Pairs of texts with more words than this, beside what both begin and end with, are held against bounds before they are aligned.
 LONG = 4096
 BAG_MULTIPLIERS = (mix(np.arange(5000, 5128, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -315,11 +315,12 @@ def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np
         fit &= block[:, None] != block[None, :]
     at_home = size == c["band"][own.start]
     fit &= at_home[:, None] | at_home[None, :]
-    x, y = np.nonzero(np.triu(fit))
+    x, y = (at.astype(np.int32) for at in np.nonzero(np.triu(fit)))
+    del most, fit
     last = np.iinfo(np.int64).max
     once = [none == 0]
-    for at in range(0, len(x), 50_000):
-        ku, kv = buckets[x[at : at + 50_000]], buckets[y[at : at + 50_000]]
+    for at in range(0, len(x), 8_000):  # so many pairs of bucket lists take about 15 MB
+        ku, kv = buckets[x[at : at + 8_000]], buckets[y[at : at + 8_000]]
         once.append(np.where(ku == kv, ku, last).min(1, initial=last) == c["bucket"][own.start])
     kept = np.concatenate(once)
     return x[kept], y[kept]
