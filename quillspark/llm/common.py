@@ -38,13 +38,19 @@ def own_folder(spark: SparkSession) -> str:
     return _FOLDERS[name]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: A table whose number of rows is known is written in parts of about so many.
+PART = 100_000
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here, and lost executors lose none of it.
 
-    A table stays while the application runs, since results that are read later may need it, unless dropped() removes it.
+    ``rows``, a bound of their number where one is known and they are cheap to make, keeps small tables in few files. A
+    table stays while the application runs, since results that are read later may need it, unless dropped() removes it.
     """
     path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    dealt = df if rows is None else df.coalesce(max(1, -(-rows // PART)))
+    dealt.write.option("compression", "zstd").parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
@@ -163,18 +169,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    maps = []
+    maps, n = [], edges.count()
     while True:
         both = edges.union(edges.select("b", "a"))
-        up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "up")
-        maps.append(up)
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up"))
+        maps.append(up := written(up, "up", 2 * n))
         ends_a = up.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         ends_b = up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = edges.join(ends_a, "a").join(ends_b, "b").where("ua <> ub")
         moved = moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        last, edges = edges, written(moved, "edges")
+        last, edges = edges, written(moved, "edges", n)
         dropped(last)
-        if edges.isEmpty():
+        if not (n := edges.count()):
             break
     roots = maps.pop()
     while maps:

@@ -229,8 +229,8 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     exact = rows.where("good").groupBy("x", "y").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     exact = written(exact.withColumn("rep", F.coalesce("rep", F.lit(1 << 62) + F.pmod("x", F.lit(1 << 60)))), "vectors")
 
+    n = exact.count()
     if halves is None or tables is None:
-        n = exact.count()
         halves, tables = next((halves or h, tables or t) for most, h, t in SETTINGS if n <= most)
 
     def planes_of(dim: int, known: dict = {}) -> np.ndarray:  # noqa: B006  one set of planes for each length and process
@@ -241,7 +241,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     hashed = written(mapped(exact.select("rep", "copies", "vector"), _hash(planes_of, width), "rep long, copies long, vector binary, marks binary, cells array<long>"), "cells")
     # a cell may come twice among one vector's cells
     spread = hashed.select("rep", F.explode(F.array_distinct("cells")).alias("cell"))
-    sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = written(spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "sizes", n * tables * 2**halves)
     places = written(spread.join(sizes, "cell"), "spread")
     full = in_block_pairs(places, "cell", "rep", "n", BLOCK).join(hashed.drop("cells"), "rep").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     met = written(mapped(full.select("cell", "i", "j", "block", "rep", "copies", "vector", "marks"), _compare(threshold, width, 2**halves), "rep long, n long, root long"), "links")
@@ -250,7 +250,7 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", t
     whole = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     found = exact.join(counts, "rep", "left").join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("x", "y", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    named = rows.select("id", "good", "x", "y").join(written(found, "found"), ["x", "y"], "left")
+    named = rows.select("id", "good", "x", "y").join(written(found, "found", n), ["x", "y"], "left")
     component = F.when(F.col("good") & (F.col("component") < (1 << 61)), F.col("component")).otherwise(F.col("id"))
     named = named.select("id", F.when(F.col("good"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return named.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -461,8 +461,8 @@ def _in_parts(met: DataFrame, parts: DataFrame) -> DataFrame:
     return met.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
 
 
-def _dealt(members: DataFrame, threshold: float) -> DataFrame:
-    """Members (bucket, doc, n, part) of buckets with several parts, with band, size, block, i and j, each as often as needed.
+def _dealt(members: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    """Members (bucket, doc, n, part) of those of so many buckets that have several parts, with band, size, block, i and j, each as often as needed.
 
     Two texts of different parts meet in one (bucket, band, i, j) at least, if their lengths allow a link. A bucket of up
     to a block is one group. In a larger one a text stands in the band of its length and in the next; bands are wide
@@ -473,13 +473,14 @@ def _dealt(members: DataFrame, threshold: float) -> DataFrame:
     by_part = members.groupBy("bucket", "part").agg(F.count("*").alias("count"), F.sum("n").alias("words"))
     many = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("count").alias("count"), F.sum("words").alias("words"), F.max_by("part", F.struct("count", "part")).alias("largest"))
     # written, so that both sides of the join are dealt out for it and a hot bucket's rows can be split
-    many = written(many.where("parts > 1 and count > 2").select("bucket", "largest", ((F.col("count") > BLOCK) | (F.col("words") > BLOCK_WORDS)).alias("hot")), "many")
+    many = many.where("parts > 1 and count > 2").select("bucket", "largest", ((F.col("count") > BLOCK) | (F.col("words") > BLOCK_WORDS)).alias("hot"))
+    many = written(many, "many", buckets)
     rows = members.join(many, "bucket").withColumn("large", F.col("part") == F.col("largest")).drop("largest")
     size = F.when(F.col("hot"), F.floor(F.log("n") / F.lit(math.log(1.01 / threshold)))).otherwise(0).cast("int")
     rows = rows.withColumn("size", size).withColumn("band", F.explode(F.when(F.col("hot"), F.array(F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))))
     blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("n"))) / BLOCK_WORDS))
     banded_ = rows.where("hot").groupBy("bucket", "band").agg(blocks(~F.col("large")).alias("others"), F.coalesce(blocks(F.col("large")), F.lit(0)).alias("larges"))
-    banded_ = written(banded_.where("others > 0"), "bands")
+    banded_ = written(banded_.where("others > 0"), "bands", many.where("hot").count() * 20)
     cold = rows.where("not hot").withColumns({"block": F.lit(0), "other": F.lit(0)})
     hot = rows.where("hot").join(banded_, ["bucket", "band"])
     hashed = F.xxhash64("doc")
@@ -508,22 +509,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     first = met.where("lo < doc").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct()
     texts = written(texts.join(met.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")), "texts")
     links = _linked(met.where("lo < doc").select(F.col("lo").alias("a"), F.col("doc").alias("b")), sketches, texts, threshold)
-    parts = written(components(links), "parts")
+    n_links, n_shared = links.count(), shared.count()
+    parts = written(components(links), "parts", 2 * n_links)
     members = _in_parts(met, parts)
     by_part = members.groupBy("bucket", "part").agg(F.count("*").alias("count"), F.min_by("doc", F.xxhash64("doc", "bucket")).alias("one"))
     many = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by(F.struct("part", "one"), F.struct("count", "part")).alias("largest"))
-    many = written(many.where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), F.col("largest.one").alias("one")), "many")
+    many = written(many.where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), F.col("largest.one").alias("one")), "many", n_shared)
     again = members.join(many, "bucket").where("part <> largest and one <> lo and doc <> lo")
     more = _linked(again.select(F.least("one", "doc").alias("a"), F.greatest("one", "doc").alias("b")), sketches, texts, threshold)
-    parts_now = written(components(links.union(more)), "parts")
-    dealt = _dealt(_in_parts(met.select("bucket", "doc", "n"), parts_now), threshold).join(sketches.select("doc", "n", "buckets"), ["doc", "n"])
+    n_links += more.count()
+    parts_now = written(components(links.union(more)), "parts", 2 * n_links)
+    dealt = _dealt(_in_parts(met.select("bucket", "doc", "n"), parts_now), threshold, n_shared).join(sketches.select("doc", "n", "buckets"), ["doc", "n"])
     dealt = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP).select(*_PLACE, "buckets")
     seats = written(mapped(dealt, _seats(threshold), _SEATS), "seats")
     words = mapped(texts.join(seats.select("doc").distinct(), "doc", "left_semi"), _words, "doc long, words binary")
     seated = seats.join(words, "doc").repartition(*_GROUP).sortWithinPartitions(*_GROUP).select(*_PLACE, "buckets", "words")
     new = written(mapped(seated, _links(threshold), "a long, b long"), "links")
     dropped(sketches, shared, met, texts, parts, many, seats, parts_now)
-    parts = written(components(links.union(more).union(new)), "parts")
+    parts = written(components(links.union(more).union(new)), "parts", 2 * (n_links + new.count()))
     dropped(links, more, new)
     found = exact.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").select("content", F.coalesce("component", "first").alias("class_id"))
     found = written(found, "classes")
