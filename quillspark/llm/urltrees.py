@@ -27,6 +27,8 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, SMOOTH = 60, 3, 0.2, 32, 5.0
 #: A suffix's share of blocked URLs counts so many URLs of the overall share with its own.
 PRIOR = 10.0
+#: A URL is blocked where the trees give at least this probability: in doubt it is allowed.
+LEAST = 0.8
 #: A learned URL has its suffix's share from the other folds, so that its own label isn't among its features.
 FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_part", "is_https", "has_fragment", "suffix_block_rate", "suffix_log_count")
@@ -99,16 +101,19 @@ def _cuts(column: np.ndarray, bins: int) -> np.ndarray:
     return (values[at - 1] + values[at]) / 2
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Forest:
-    """Trees for the probability of y = 1; the same for the same rows."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, watched: np.ndarray | None = None) -> Forest:
+    """Trees for the probability of y = 1; the same for the same rows. Rows that are watched teach nothing: as many trees are kept as predict them best."""
+    watched = np.zeros(len(y), bool) if watched is None or watched.all() else watched
+    taught = ~watched
     cuts = [_cuts(col, bins) for col in x.T]
     codes = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1) if len(x) else np.zeros((0, x.shape[1]), int)
-    rate = (y.sum() + 1) / (len(y) + 2)
+    rate = (y[taught].sum() + 1) / (taught.sum() + 2)
     base = math.log(rate / (1 - rate))
-    score, out = np.full(len(y), base), []
+    score, out, losses = np.full(len(y), base), [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        grad, hess = y - p, p * (1 - p)
+        losses.append(float(np.logaddexp(0, np.where(y > 0, -score, score))[watched].sum()))
+        grad, hess = (y - p) * taught, p * (1 - p) * taught
         feature, threshold = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         at = np.zeros(len(y), np.int64)
         for level in range(depth):
@@ -134,7 +139,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
         value = np.bincount(leaf, grad, 2**depth) / (np.bincount(leaf, hess, 2**depth) + SMOOTH)
         out.append(Tree(feature, threshold, value))
         score += RATE * value[leaf]
-    return Forest(base, tuple(out))
+    losses.append(float(np.logaddexp(0, np.where(y > 0, -score, score))[watched].sum()))
+    return Forest(base, tuple(out[: int(np.argmin(losses)) if watched.any() else trees]))
 
 
 class Suffixes(NamedTuple):
@@ -189,21 +195,22 @@ def learned(rows: DataFrame, sample: int = SAMPLE) -> Judge:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2048):
-                yield pa.record_batch([pa.array(list(bare.features(part, part.column(4).to_numpy())), pa.list_(pa.float64())), part.column(5)], ["x", "blocked"])
+                yield pa.record_batch([pa.array(list(bare.features(part, part.column(4).to_numpy())), pa.list_(pa.float64())), part.column(5), part.column(4)], ["x", "blocked", "fold"])
 
     labelled = rows.where("listed is not null").select("url", "host", "path", "suffix", "fold", (F.col("listed") == "block").alias("blocked"), "order")
-    got = mapped(sampled(labelled, "order", sample).drop("order"), features, "x array<double>, blocked boolean").collect()
+    got = mapped(sampled(labelled, "order", sample).drop("order"), features, "x array<double>, blocked boolean, fold int").collect()
     if not got:
         return bare
-    got.sort(key=lambda r: (r["x"], r["blocked"]))
-    return Judge(known, boost(np.array([r["x"] for r in got], np.float64), np.array([float(r["blocked"]) for r in got])))
+    got.sort(key=lambda r: (r["x"], r["blocked"], r["fold"]))
+    x, y, fold = (np.array([r[c] for r in got], np.float64) for c in ("x", "blocked", "fold"))
+    return Judge(known, boost(x, y, watched=fold == FOLDS - 1))
 
 
-def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
+def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """(key, host, path, rule, verdict, score) for each row: the rule's verdict where one fits, else that of the trees.
 
     rules: 'host/path' -> 'allow' or 'block'. URLs that a rule fits are the labelled ones; score is the trees' probability
-    of 'block' (0.5 and more blocks). A null URL and one without '://' have an empty host and path and are judged by the trees. Where no URL
+    of 'block', and ``least`` and more blocks. A null URL and one without '://' have an empty host and path and are judged by the trees. Where no URL
     has a label, the trees have nothing to learn and allow. Equal URLs are one example; repeated rows give repeated results; no rows give no
     rows. Very long URLs are read whole; other columns are left out, so their names can't clash.
     """
@@ -214,7 +221,7 @@ def judged(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: s
         for batch in batches:
             for part in slices(batch, 2048):
                 score = judge.forest.probability(judge.features(part))
-                verdict = [x or ("block" if s >= 0.5 else "allow") for x, s in zip(part.column(6).to_pylist(), score.tolist(), strict=True)]
+                verdict = [x or ("block" if s >= least else "allow") for x, s in zip(part.column(6).to_pylist(), score.tolist(), strict=True)]
                 yield pa.record_batch([part.column(4), part.column(1), part.column(2), part.column(5), pa.array(verdict, pa.string()), pa.array(score)], ["key", "host", "path", "rule", "verdict", "score"])
 
     fields = f"key {rows.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double"
