@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -64,6 +65,9 @@ PHONE_LABELS = r"(?i)(?:联系方式|联系电话|电话|手机)\s*[:：]?\s*"
 BUYER_PHONE_LABELS = r"(?i)(?:采购人|采购单位|客户)(?:联系电话|电话|联系方式)\s*[:：]?\s*"
 PHONE = r"((?:\+?86[- ]?)?(?:0[0-9]{2,3}[- ]?)?(?:1[3-9][0-9]{9}|[0-9]{7,8})(?:[-转 ][0-9]{1,6})?)"
 
+#: How tables and titles of notices are laid out: the header of the number column, a row's number, a planned month, what divides titles.
+NUMBER_HEADER, ROW_NUMBER, MONTH_LINE, TITLE_DIVIDERS = "序号", r"\d{1,4}", r"^20\d{2}\s*年\s*\d{1,2}\s*月$", "[-—–丨|]"
+
 _TRIM = " ：:，,;；"
 
 
@@ -124,48 +128,59 @@ def _key(line: str) -> str:
     return re.sub("[^0-9A-Za-z一-鿿]+", "", line).lower()
 
 
+def first_rows(lines: list[str], wanted: Sequence[Sequence[str]]) -> Iterator[list[str]]:
+    """Tables whose cells stand one to a line: the wanted cells of the first row under each header.
+
+    A header begins with the word for number, and has a column of each wanted kind among its next eleven lines; its rows begin with a
+    number of up to four digits and have a line for each column, the first within twenty lines of the header's beginning.
+    """
+    keys = list(map(_key, lines))
+    numbers = [i for i, x in enumerate(lines) if re.fullmatch(ROW_NUMBER, x)]
+    for start in (i for i, k in enumerate(keys) if k == NUMBER_HEADER):
+        header = keys[start : start + 12]
+        columns = [min((i for i, k in enumerate(header) if i and k in names), default=0) for names in wanted]
+        at = bisect_right(numbers, start + max(columns))
+        if all(columns) and at < len(numbers) and numbers[at] < start + 20 and numbers[at] + max(columns) < len(lines):
+            yield [lines[numbers[at] + column] for column in columns]
+
+
 def award_row(lines: list[str]) -> tuple[str | None, int | None]:
-    """(vendor, cents) of the first data row under a header that has number, supplier and amount among twelve lines."""
-    keys = [_key(x) for x in lines]
-    for head in (i for i, k in enumerate(keys) if k == "序号"):
-        span = range(head + 1, min(len(lines), head + 12))
-        columns = [next((i for i in span if keys[i] in names), None) for names in (VENDOR_HEADERS, AMOUNT_HEADERS)]
-        if None in columns:
+    """(vendor, cents) of the first awards table that has both; a repeated header or a number is no vendor."""
+    for vendor, cell in first_rows(lines, (VENDOR_HEADERS, AMOUNT_HEADERS)):
+        vendor, found = vendor.strip(_TRIM), re.search(money.NUMBER, cell)
+        if not found or not 2 <= len(vendor) <= 160 or _key(vendor) in VENDOR_HEADERS or re.fullmatch("[0-9.,]+", vendor):
             continue
-        row = next((i for i in range(max(columns) + 1, min(len(lines), head + 20)) if re.fullmatch(r"\d{1,4}", lines[i])), None)
-        if row is None or row + max(columns) - head >= len(lines):
-            continue
-        vendor, cell = (lines[row + i - head].strip(_TRIM) for i in columns)
-        found = re.search(money.NUMBER + r"\s*(万元|万|元)?", cell)
-        fair = 2 <= len(vendor) <= 160 and _key(vendor) not in VENDOR_HEADERS and not re.fullmatch("[0-9.,]+", vendor)
-        if fair and found:
-            unit = found[2] or next(iter(re.findall(r"[（(]\s*(万元|万|元)\s*[）)]", cell[found.end() :])), None)
-            if (amount := cents(found[1], unit)) is not None:
-                return vendor, amount
+        units = re.findall(r"^\s*(万元|万|元)|[（(]\s*(万元|万|元)\s*[）)]", cell[found.end() :])
+        amount = cents(found[1], next((a or b for a, b in units), None))
+        if amount is not None:
+            return vendor, amount
     return None, None
 
 
 def intention_budget(lines: list[str]) -> int | None:
-    """The amount, in 10 000s, that stands up to three lines above the planned month of an intention table."""
-    month = next((i for i, x in enumerate(lines) if re.fullmatch(r"20\d{2}\s*年\s*\d{1,2}\s*月", x)), None)
-    above = lines[max(0, month - 3) : month][::-1] if month is not None else []
-    number = next((x for x in above if re.fullmatch(r"[0-9][0-9,]*(?:\.[0-9]+)?", x)), None)
-    return cents(number, "万元") if number else None
+    """The amount, in 10 000s, that stands nearest above the planned month of an intention table, three lines at most."""
+    text_ = "\n".join(lines)
+    month = re.search(MONTH_LINE, text_, re.M)
+    above = text_[: month.start()].split("\n")[-4:-1] if month else []
+    numbers = [x for x in above if re.fullmatch(money.NUMBER, x)]
+    return cents(numbers[-1], "万元") if numbers else None
 
 
 def scoped(title: str, lines: list[str], radius: int = 24) -> list[str]:
-    """The lines of a group notice that are about this title: its numbered row, or the lines around it; all if it isn't found exactly once."""
-    parts = [title, *re.split("[-—–丨|]", title)]
-    keys = {_key(re.sub(f"(?:{'|'.join(TITLE_ENDS)})$", "", x.strip())) for x in parts}
-    plain = [_key(x) for x in lines]
-    for key in sorted((k for k in keys if len(k) >= 6), key=lambda k: (-len(k), k)):
-        hits = [i for i, x in enumerate(plain) if key in x or (len(x) >= 6 and x in key)]
-        if len(hits) != 1:
-            continue
-        at = hits[0]
-        numbered = [i for i in range(max(0, at - 7), min(len(lines), at + 12)) if re.fullmatch(r"\d{1,4}", lines[i])]
-        before, after = [i for i in numbered if i < at], [i for i in numbered if i > at]
-        return lines[before[-1] : after[0]] if before and after else lines[max(0, at - 4) : at + radius]
+    """The lines of a group notice that are about this title: its numbered row, or the lines around it; all if it isn't found exactly once.
+
+    The title's longest part that one line alone has, or is in, decides.
+    """
+    ends = re.compile(f"(?:{'|'.join(TITLE_ENDS)})$")
+    parts = {_key(ends.sub("", x.strip())) for x in (title, *re.split(TITLE_DIVIDERS, title))}
+    plain, numbers = list(map(_key, lines)), [i for i, x in enumerate(lines) if re.fullmatch(ROW_NUMBER, x)]
+    for part in sorted((x for x in parts if len(x) >= 6), key=lambda x: (-len(x), x)):
+        at = [i for i, x in enumerate(plain) if part in x or (len(x) >= 6 and x in part)]
+        if len(at) == 1:
+            k = bisect_right(numbers, at[0])
+            begin, end = (numbers[k - 1] if k else -8), (numbers[k] if k < len(numbers) else at[0] + 12)
+            whole = begin >= 0 and at[0] - begin <= 7 and end - at[0] < 12
+            return lines[begin:end] if whole else lines[max(0, at[0] - 4) : at[0] + radius]
     return lines
 
 
