@@ -126,7 +126,7 @@ def _shared(df: DataFrame, path: str, pattern: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>): the tokens of every text. A null or empty text gives an empty array; rows are kept as they are, repeated ones too."""
+    """(key, ids array<int>): the tokens of every text. A null or empty text gives an empty array; rows are kept as they are, repeated ones too, and null keys. Other columns are left out, so their names can't clash."""
     ranks, pattern, name = _shared(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """(key, bytes binary): the bytes of every list of ids; a null list gives no bytes, and so does an empty one."""
+    """(key, bytes binary): the bytes of every list of ids; a null list gives no bytes, and so does an empty one. Other columns are left out, so their names can't clash."""
     ranks, pattern, name = _shared(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes its ids again, and gives the digests of both.
 
     The ids stay in the Python worker, so they don't cross to the JVM and back. Null and empty texts count no token and
-    have the digests of no bytes; repeated rows give repeated results; an empty table gives no rows.
+    have the digests of no bytes; very long ones are encoded whole; repeated rows give repeated results; an empty table gives no rows.
+    Other columns are left out, so their names can't clash.
     """
     ranks, pattern, name = _shared(df, path, pattern)
 

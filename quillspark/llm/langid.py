@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     """(key, columns of ``keep``, lang_pred, score) of each row's whole text.
 
     A null text and one without a letter are 'und' with score 0, and so is every text where nothing could be learned;
-    repeated rows give repeated results; no rows give no rows.
+    repeated rows give repeated results; no rows give no rows. Columns beside the key and ``keep`` are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,8 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
     """(key, counts, base_failed, kept, failed lines by rule, lost_chars, and with ``texts`` the cleaned text) for each row.
 
-    A null or empty text has no words and fails the base rules; repeated rows give repeated results; no rows give no rows.
+    A null or empty text has no words and fails the base rules; repeated rows give repeated results; no rows give no rows. Very long texts are
+    judged whole. Other columns are left out, so their names can't clash.
     """
     names = ["key", *(x.split()[0] for x in FIELDS.split(", ")), *["cleaned"] * texts]
 

@@ -54,6 +54,7 @@ def plan(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id",
     labels: (key, quality); a good document (1) weighs 2, a bad one (0) 0.5, others 1; of several labels of one document
     the best counts. content is a hash of the text. A null or empty text has size 0 and takes no words; null sources are
     one source; rows that repeat a key are rows of their own (which of equals comes first changes no result); no rows give no rows.
+    Other columns are left out, so their names can't clash.
     """
     base = docs.select(docs[key].alias("key"), docs[source].alias("source"), n_words(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("content"))
     weight = F.lit(1.0)

@@ -495,7 +495,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """(key, content, class_id) of every row: class_id is the smallest key of the texts that are linked to its own, over any number of links.
 
     Texts link if they are equal or their similarity reaches the threshold. A null text links with nothing; a text
-    without a word links with equal texts only. A row with a null key is nobody's representative, and its class_id is null. No rows give no rows.
+    without a word links with equal texts only. A row with a null key is nobody's representative, and its class_id is null. No rows give no rows. Other
+    columns are left out, so their names can't clash.
     content is the hash by which rows with one key but different texts are told apart; such texts are not told apart as ends of links.
     """
     rows = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("text")).withColumn("content", _content(F.col("text")))

@@ -204,7 +204,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, key
     """(key, n_words, n_removed, and the kept words joined by one space as ``text``, or with ``digest`` their SHA-256).
 
     One row for each row of docs. A null or empty text has no words and gives the empty text; a row with a null key is no
-    source for others and loses nothing; of rows with one key none is a source for another; an empty table gives no rows.
+    source for others and loses nothing; of rows with one key none is a source for another; an empty table gives no rows. Texts of any length are compared whole.
+    Other columns are left out, so their names can't clash.
     """
     marked = _marked(docs.select(key, text), window, seed, key, text)
 

@@ -199,7 +199,7 @@ def scored(docs: DataFrame, model: LabelModel, scorer: Scorer, key: str = "doc_i
     """(key, votes, posterior, score, kept) for each row: kept where the scorer gives at least ``least``.
 
     A null or empty text counts as one without words: its score is that of the bias alone, and it isn't kept. Repeated
-    rows give repeated results; no rows give no rows.
+    rows give repeated results; no rows give no rows. Other columns are left out, so their names can't clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
