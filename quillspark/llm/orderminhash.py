@@ -44,7 +44,7 @@ SHORT, WORD_TABLES = 20, 16
 MULTIPLIERS = (mix(np.arange(1, 1 + 4096, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; blocks meet in pairs.
 BLOCK = 1024
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 20
 #: Pairs of texts with more words than this, beside what both begin and end with, are held against bounds before they are aligned.
 LONG = 4096
 BAG_MULTIPLIERS = (mix(np.arange(5000, 5128, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -479,10 +479,13 @@ def _dealt(members: DataFrame, threshold: float, buckets: int) -> DataFrame:
     size = F.when(F.col("hot"), F.floor(F.log("n") / F.lit(math.log(1.01 / threshold)))).otherwise(0).cast("int")
     rows = rows.withColumn("size", size).withColumn("band", F.explode(F.when(F.col("hot"), F.array(F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))))
     blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("n"))) / BLOCK_WORDS))
-    banded_ = rows.where("hot").groupBy("bucket", "band").agg(blocks(~F.col("large")).alias("others"), F.coalesce(blocks(F.col("large")), F.lit(0)).alias("larges"))
+    own_band = F.col("size") == F.col("band")
+    at_home = (F.count_if(own_band & ~F.col("large")).alias("home_others"), F.count_if(own_band & F.col("large")).alias("home_larges"))
+    banded_ = rows.where("hot").groupBy("bucket", "band").agg(blocks(~F.col("large")).alias("others"), F.coalesce(blocks(F.col("large")), F.lit(0)).alias("larges"), *at_home)
     banded_ = written(banded_.where("others > 0"), "bands", many.where("hot").count() * 20)
     cold = rows.where("not hot").withColumns({"block": F.lit(0), "other": F.lit(0)})
-    hot = rows.where("hot").join(banded_, ["bucket", "band"])
+    # of two texts that meet in a band one is at home there and one isn't of the largest part: who finds no such text stays away
+    hot = rows.where("hot").join(banded_, ["bucket", "band"]).where(own_band | (F.col("home_others") > 0) | (~F.col("large") & (F.col("home_larges") > 0)))
     hashed = F.xxhash64("doc")
     hot = hot.withColumn("block", F.when(F.col("large"), F.col("others") + F.pmod(hashed, F.greatest("larges", F.lit(1)))).otherwise(F.pmod(hashed, F.col("others"))))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("others")).otherwise(F.col("others") + F.col("larges")) - 1)))
