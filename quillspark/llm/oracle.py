@@ -108,4 +108,78 @@ with p as (
 select *, case rule when 'org/' then 'allow' when 'com/fr/' then 'allow' else case when rule is not null then 'block' end end as listed from r
 """
 
-ORACLES = {"op1_lattice": OP1, "url_rules": URL_RULES, "op3_mixing": OP3, "op5_line_rules": OP5, "op8_seed_extend": OP8}
+
+def _op11(rounds: int = 10, k: int = 8, dim: int = 64) -> str:
+    """Lloyd's rounds one after the other, by plain comparison of all vectors with all centroids."""
+    parts = [f"""
+with v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), parts as materialized (select row, unnest(range(1, {dim + 1})) as d, unnest(e) as x from v
+), c0 as materialized (
+  select c, unnest(range(1, {dim + 1})) as d, unnest(e) as x
+  from (select e, row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), e) - 1 as c from v qualify c < {k})
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+, a{r} as materialized (
+  select row, arg_min(c, (distance, c)) as c, min(distance) as distance
+  from (select p.row, c.c, sum((p.x - c.x) * (p.x - c.x))::bigint as distance from parts p join c{r} c on p.d = c.d group by p.row, c.c) group by row
+)""")
+        if r < rounds:
+            parts.append(f"""
+, c{r + 1} as materialized (
+  select o.c, o.d, coalesce(n.x, o.x) as x from c{r} o left join (
+    select c, d, ((s - ((s % n) + n) % n) // n)::bigint as x from (select a.c, p.d, sum(p.x)::bigint as s, count(*)::bigint as n from parts p join a{r} a on p.row = a.row group by a.c, p.d)
+  ) n on o.c = n.c and o.d = n.d
+)""")
+    return "".join(parts) + f"""
+select v.vec_id, a.c::integer as cluster, a.distance, (sum(a.distance) over (partition by a.c))::bigint as cluster_inertia, (sum(a.distance) over ())::bigint as inertia, s.centroid_sha256
+from v join a{rounds} a on v.row = a.row join (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from c{rounds} group by c) s on a.c = s.c
+"""
+
+
+def _grown(tree: str, levels: int = 8) -> str:
+    """Levels of a tree whose leaves are {tree}0 (g, i, n, h), and with {tree}s0 (row, g, i, n, f, p) the folding of each row's leaf and its siblings so far."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"""
+, {tree}{k + 1} as materialized (
+  select g, i // 8 as i, max((n + 7) // 8) as n, sha256(string_agg(h, '' order by i)) as h from {tree}{k} where n > 1 group by g, i // 8
+  union all select g, i, n, h from {tree}{k} where n = 1
+), {tree}s{k + 1} as materialized (
+  select s.row, s.g, s.i // 8 as i, (s.n + 7) // 8 as n, sha256(string_agg(case when t.i = s.i then s.f else t.h end, '' order by t.i)) as f,
+         s.p || coalesce(string_agg(t.h, '' order by t.i) filter (t.i <> s.i), '') as p
+  from {tree}s{k} s join {tree}{k} t on s.g = t.g and s.i // 8 = t.i // 8 where s.n > 1 group by s.row, s.g, s.i, s.n, s.f, s.p
+  union all select * from {tree}s{k} where n = 1
+)""")
+    return "".join(parts)
+
+
+def _field(x: str) -> str:
+    return f"case when {x} is null then '-' else strlen({x}::varchar)::varchar || ':' || {x}::varchar end"
+
+
+#: CRC-32 of a list of byte values.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 1, 2, 3, 4, 5, 6, 7]), lambda a, i: xor(a >> 1, 3988292384::bigint * (a & 1)))), 4294967295::bigint)"""
+
+_LEAF = " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+OP13 = f"""
+with d as materialized (
+  select row_number() over () as row, doc_id, coalesce('=' || lang, '') as g, sha256({_LEAF.format(text="text")}) as leaf,
+         sha256({_LEAF.format(text="(case when coalesce(" + _CRC + " % 3 = 0, false) then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end)")}) as now
+  from documents
+), placed as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf, row) - 1 as i, count(*) over (partition by g) as n from d
+), a0 as materialized (select g, i, n, leaf as h from placed
+), as0 as materialized (select row, g, i, n, now as f, '' as p from placed
+){_grown("a")}
+, b0 as materialized (select 0 as g, row_number() over (order by g) - 1 as i, count(*) over () as n, h, g as name from a8
+), bs0 as materialized (select s.row, b.g, b.i, b.n, s.f, s.p from as8 s join b0 b on s.g = b.name
+){_grown("b", 3)}
+select d.doc_id, d.leaf, t.h as subroot, r.h as root, sha256(s.p) as proof_sha256, s.f as folded_root, s.f = r.h as verified
+from d join bs3 s on d.row = s.row join b0 t on d.g = t.name cross join b3 r
+"""
+
+ORACLES = {"op11_delta_lloyd": _op11(), "op13_merkle": OP13, "op1_lattice": OP1, "url_rules": URL_RULES, "op3_mixing": OP3, "op5_line_rules": OP5, "op8_seed_extend": OP8}

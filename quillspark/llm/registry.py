@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, langid, lattice, linerules, mixing, orderminhash, seedextend, urltrees, warc, weaklabel
+from . import bytebpe, deltalloyd, langid, lattice, linerules, merkle, mixing, orderminhash, seedextend, urltrees, warc, weaklabel, wordbpe
 from .oracle import ORACLES
 
 
@@ -80,8 +80,28 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "class_id", "coalesce(doc_id = class_id, true) as kept")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each embedding after ten rounds, with the clusters' inertia and centroids."""
+    return deltalloyd.described(*deltalloyd.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's tokens, with word ends, and of their decoding."""
+    import public_tokenizers
+
+    return wordbpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of each document against the manifest's root, after tampering with some texts."""
+    docs = table(spark, sf_dir, "documents")
+    changed = {"text": merkle.tampered_text(docs["doc_id"], docs["text"])}
+    made = merkle.manifest(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], changed)
+    return merkle.checked(made).withColumnRenamed("row", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op6_weak_labels, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash, url_rules)}
+    return {f.__name__: f for f in (op1_lattice, op2_language, op3_mixing, op4_warc_derivatives, op5_line_rules, op6_weak_labels, op7_url_trees, op8_seed_extend, op9_byte_bpe, op10_order_minhash, op11_delta_lloyd, op12_word_bpe, op13_merkle, url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
