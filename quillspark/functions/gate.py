@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import vectorised
-from . import html, urls
+from . import containers, html, urls
 
 # Media types by what they declare.
 MEDIA = {
@@ -44,25 +44,14 @@ SUFFIXES = {"html": "html", "htm": "html", "json": "json"} | {x: x for x in FILE
 
 
 def kind_of(body: bytes | None) -> str:
-    """html, json, pdf, docx, xlsx, zip, doc, xls, rar, 7z, empty or unknown, by signature and structure."""
+    """html, json, pdf, docx, xlsx, zip, doc, xls, rar, 7z, empty or unknown, by signature and structure; invalid_zip, invalid_rar, invalid_7z and ole where the structure isn't what the signature promises."""
     if not body:
         return "empty"
     if body[:5] == b"%PDF-":
         return "pdf"
-    if body[:4] == b"PK\x03\x04":
-        try:
-            names = set(zipfile.ZipFile(io.BytesIO(body)).namelist())
-        except (zipfile.BadZipFile, OSError, ValueError):
-            return "unknown"
-        if "[Content_Types].xml" in names:
-            return "docx" if "word/document.xml" in names else "xlsx" if "xl/workbook.xml" in names else "zip"
-        return "zip"
-    if body[:8] == bytes.fromhex("d0cf11e0a1b11ae1"):  # compound file: its directory names the stream in UTF-16
-        return "doc" if "WordDocument".encode("utf-16-le") in body else "xls" if any(x.encode("utf-16-le") in body for x in ("Workbook", "Book")) else "unknown"
-    if body[:7] == b"Rar!\x1a\x07\x00" or body[:8] == b"Rar!\x1a\x07\x01\x00":
-        return "rar"
-    if body[:6] == b"7z\xbc\xaf\x27\x1c":
-        return "7z"
+    packed = containers.packed_kind(body)
+    if packed:
+        return packed
     start = body[:4096].removeprefix(b"\xef\xbb\xbf").lstrip()
     if start[:1] in (b"{", b"["):
         return "json"
@@ -160,7 +149,8 @@ def media_mismatch(kind: Column, content_type: Column, url: Column, body: Column
     by_mime = F.when(mime.endswith("+json"), "json").otherwise(table[mime])
     zipped = (by_mime == "zip") & kind.isin("docx", "xlsx")
     loose = mime.isin(*GENERIC) & kind.isin(*FILES) | (mime == "") & kind.isin("html", "json") & (named.isNull() & (kind == "html") | (named == kind))
-    wrong = (by_mime.isNotNull() & (by_mime != kind) & ~zipped) | (named.isNotNull() & (named != kind)) | (by_mime.isNull() & ~F.coalesce(loose, F.lit(False)))
+    other = (by_mime.isNotNull() & (by_mime != kind) & ~zipped) | (named.isNotNull() & (named != kind))
+    wrong = other | (kind.isin("html", "json", *FILES) & by_mime.isNull() & ~F.coalesce(loose, F.lit(False)))
     cut = (kind == "pdf") & ~F.contains(F.substring(body, -4096, 4096), F.lit(b"%%EOF"))
     return F.coalesce(wrong, F.lit(False)) | cut
 
@@ -201,8 +191,8 @@ def verdicts(items: DataFrame, trusted: Sequence[str], redirects: Sequence[tuple
         ("captcha_page", F.array_contains("blocked", "captcha")),
         ("waf_block_page", F.array_contains("blocked", "firewall")),
         ("login_page", F.array_contains("blocked", "login")),
-        ("mime_magic_mismatch", kind.isin("html", "json", *FILES) & media_mismatch(kind, c("content_type"), given("final_url"), c("body"))),
-        ("unsupported_media_type", kind == "unknown"),
+        ("mime_magic_mismatch", (kind != "empty") & media_mismatch(kind, c("content_type"), given("final_url"), c("body"))),
+        ("unsupported_media_type", ~kind.isin("empty", "html", "json", *FILES)),
         ("empty_spa_shell", (kind == "html") & html.is_empty_shell(c("r.raw"), c("r.shown"), least)),
         ("malformed_json", (kind == "json") & ~semantic),
         ("raw_render_mismatch", c("r.render_share") < 0.55),

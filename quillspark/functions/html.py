@@ -65,7 +65,8 @@ def attachment_error(url: Column) -> Column:
 def block_kinds(page: Column) -> Column:
     """Which of captcha, firewall and login the page shows."""
     low = F.lower(F.coalesce(page, F.lit("")))
-    kinds = [F.when(F.exists(F.array(*(F.lit("(?s)" + p) for p in patterns)), lambda p: F.rlike(low, p)), F.lit(name)) for name, patterns in (("captcha", CAPTCHA), ("firewall", FIREWALL), ("login", LOGIN))]
+    one = lambda patterns: F.lit("(?s)" + "|".join(f"(?:{p})" for p in patterns))  # noqa: E731  a literal is compiled once
+    kinds = [F.when(F.rlike(low, one(patterns)), F.lit(name)) for name, patterns in (("captcha", CAPTCHA), ("firewall", FIREWALL), ("login", LOGIN))]
     return F.array_compact(F.array(*kinds))
 
 
