@@ -62,3 +62,13 @@ def windows(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:
         raise ValueError("days must be at least 1")
     first = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"interval {days} days"))).alias("window_start")
     return spark.range(1).select(first).select("window_start", F.least(F.date_add("window_start", days - 1), F.lit(end).cast("date")).alias("window_end"))
+
+
+def windows_of(spans: DataFrame, first: str, last: str, days: int) -> DataFrame:
+    """spans with first and last of each window instead of the whole span's: steps of ``days``, the last one cut at the end; no rows for nulls."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    others = [c for c in spans.columns if c not in (first, last)]
+    start = F.explode(F.sequence(F.col(first), F.col(last), F.expr(f"interval {days} days")))
+    rows = spans.select(*others, start.alias("first"), F.col(last).alias("until"))
+    return rows.select(*others, "first", F.least(F.date_add("first", days - 1), F.col("until")).alias("last"))

@@ -223,10 +223,14 @@ def top_candidates(spark, d):
     return catalog.candidates_in_order(found, "o_orderkey", 3, order, "name").withColumn("place", F.col("place").cast("long"))
 
 
-@query("select strftime(g, '%Y-%m-%d') as window_start, strftime(least(g + interval 6 day, date '2024-03-17'), '%Y-%m-%d') as window_end from generate_series(timestamp '2024-01-01', timestamp '2024-03-17', interval 7 day) t(g)")
+@query("""with w as (select event_type, min(ts)::date as a, max(ts)::date as b from events where ts is not null group by event_type),
+s as (select event_type, a, b, unnest(range(0, (b - a) // 7 + 1)) as n from w)
+select event_type, strftime(a + (7 * n)::int, '%Y-%m-%d') as first, strftime(least(a + (7 * n + 6)::int, b), '%Y-%m-%d') as last from s""")
 def date_windows(spark, d):
-    rows = dates.windows(spark, "2024-01-01", "2024-03-17", 7)
-    return rows.select(*(F.date_format(c, "yyyy-MM-dd").alias(c) for c in rows.columns))
+    """Windows of a week over the days that each type of event spans."""
+    span = table(spark, d, "events").where("ts is not null").groupBy("event_type").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    rows = dates.windows_of(span, "a", "b", 7)
+    return rows.select("event_type", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first", "last")))
 
 
 @query("""with m as (select o_orderkey, case when o_orderkey % 2 = 0 then '' else '-' end as s, printf('%.2f', o_totalprice) as t, o_orderkey % 5 = 0 as big from orders)
