@@ -165,10 +165,13 @@ def verdicts(items: DataFrame, trusted: Sequence[str], redirects: Sequence[tuple
     given = lambda x: F.coalesce(c(x), F.lit(""))
     said = read("body", given("content_type"), "analysis_body", *(given(x) for x in ("expected_title", "expected_buyer", "expected_project_code", "document_kind")))
     rows = items.withColumn("r", said).withColumns({"detected_kind": c("r.kind"), "source_host": urls.host(given("origin")), "final_host": urls.host(given("final_url"))})
+    # what rules ask of the two addresses again and again has a projection of its own
+    rows = rows.withColumns({f"x_{part}_{x}": of(given(x)) for x in ("origin", "final_url") for part, of in (("scheme", urls.scheme), ("port", urls.port))})
     shows = F.array_union(html.block_kinds(F.when(c("detected_kind").isin("html", "json", "unknown"), c("r.raw"))), html.block_kinds(c("r.rendered_raw")))
     rows = rows.withColumn("blocked", shows)
     source, final, kind, role = c("source_host"), c("final_host"), c("detected_kind"), F.lower(F.trim(given("source_role")))
-    ok = lambda x: urls.scheme(given(x)).isin("http", "https") & (urls.host(given(x)) != "")
+    scheme, port = lambda x: c(f"x_scheme_{x}"), lambda x: c(f"x_port_{x}")
+    ok = lambda x: scheme(x).isin("http", "https") & ((source if x == "origin" else final) != "")
     pair = F.exists(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (redirects or [("", "")]))), lambda p: (p["a"] == source) & (p["b"] == final) & (source != ""))
     known = lambda x: x.isin(*trusted) if trusted else F.lit(False)
     lead = F.exists(F.array(*(F.lit(x) for x in (aggregators or [" "]))), lambda d: urls.matches_domain(source, d) | urls.matches_domain(final, d))
@@ -182,11 +185,11 @@ def verdicts(items: DataFrame, trusted: Sequence[str], redirects: Sequence[tuple
         ("invalid_source_role", ~role.isin("official", "commercial_lead")),
         ("invalid_origin_url", ~ok("origin")),
         ("invalid_final_url", ~ok("final_url")),
-        ("insecure_origin_transport", ok("origin") & (urls.scheme(given("origin")) != "https")),
-        ("insecure_final_transport", ok("final_url") & (urls.scheme(given("final_url")) != "https")),
+        ("insecure_origin_transport", ok("origin") & (scheme("origin") != "https")),
+        ("insecure_final_transport", ok("final_url") & (scheme("final_url") != "https")),
         ("unregistered_official_host", ((source != "") & ~known(source)) | ((final != "") & ~known(final))),
-        ("cross_origin_redirect", ok("origin") & ok("final_url") & ((source != final) | (urls.port(given("origin")) != urls.port(given("final_url")))) & ~pair),
-        ("insecure_redirect", (urls.scheme(given("origin")) == "https") & (urls.scheme(given("final_url")) == "http")),
+        ("cross_origin_redirect", ok("origin") & ok("final_url") & ((source != final) | (port("origin") != port("final_url"))) & ~pair),
+        ("insecure_redirect", (scheme("origin") == "https") & (scheme("final_url") == "http")),
         ("empty_body", kind == "empty"),
         ("captcha_page", F.array_contains("blocked", "captcha")),
         ("waf_block_page", F.array_contains("blocked", "firewall")),

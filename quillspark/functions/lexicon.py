@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..shipping import vectorised
+from . import terms
 from .patterns import one_of
 
 # Terms, industries and categories that results depend on.
@@ -100,6 +101,27 @@ def rule_decision(text: Column, strong: Sequence[str] = STRONG_TERMS, broad: Seq
     )
 
 
+def lexicon_of(strong: Sequence[str] = STRONG_TERMS, broad: Sequence[str] = BROAD_TERMS, negative: Sequence[str] = NEGATIVE_TERMS) -> terms.Dictionary:
+    """The terms of a rule decision as one dictionary, for any number of terms."""
+    return terms.Dictionary.rules((("strong", strong), ("broad", broad), ("negative", negative)))
+
+
+def rule_decision_of(hits: Column, strong: Sequence[str] = STRONG_TERMS) -> Column:
+    """What rule_decision() gives, from the hits of lexicon_of() in the lower-cased text: one pass over it for all terms."""
+    found = terms.terms_of(hits, "strong")
+    spelled = F.create_map(*(F.lit(x) for t in strong for x in (t.lower(), t))) if strong else F.create_map().cast("map<string,string>")
+    against, perhaps = F.size(terms.terms_of(hits, "negative")) > 0, F.size(terms.names(hits)) > 0
+    yes = (F.size(found) > 0) & ~(against & (F.size(found) == 1))
+    maybe = perhaps & F.exists(terms.names(hits), lambda n: n != "negative")
+    return F.struct(
+        F.when(yes, F.lit(True)).when(maybe, F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("relevant"),
+        F.when(yes, F.lit(0.65)).when(maybe, F.lit(0.45)).otherwise(F.lit(0.70)).alias("confidence"),
+        F.transform(F.slice(found, 1, 5), lambda t: spelled[t]).alias("evidence"),
+        F.lit(True).alias("needs_review"),
+        F.lit(False).alias("ai_confirmed"),
+    )
+
+
 def guarded(verdict: Column, text: Column, accept: float = 0.85, strong: Sequence[str] = STRONG_TERMS) -> Column:
     """A verdict (relevant, confidence, evidence, needs_review, ai_confirmed) sent to review where it isn't backed.
 

@@ -37,7 +37,7 @@ def kind(url: Column, name: Column, place: Column) -> Column:
     return F.when(name == "cgyx.ccgp.gov.cn", portal).when(place.rlike(r"\.(?:pdf|docx?|xlsx?|zip|rar|7z|ofd|txt)$"), KINDS[3]).otherwise(KINDS[2])
 
 
-def _addressed(rows: DataFrame, url: str) -> DataFrame:
+def addressed(rows: DataFrame, url: str) -> DataFrame:
     """rows with what an address claims: official_host, the address over HTTPS in one spelling (empty where the policy refuses it), and whether that changed its transport. Each step has a projection of its own."""
     rows = rows.withColumns({"x_host": urls.host(F.col(url)), "x_port": urls.port(F.col(url)), "x_scheme": urls.scheme(F.col(url))})
     rows = rows.withColumn("x_error", urls.policy_error(F.col(url), F.col("x_host"), F.col("x_port"), F.col("x_scheme")))
@@ -58,7 +58,7 @@ def candidates(leads: DataFrame, registry: DataFrame, identity: str, url: str, p
     links = leads.select(F.col(identity).alias("lead_identity"), F.col(url).alias("lead_url"), F.explode(html.parsed(F.col(page))["links"]).alias("link"))
     links = links.where(~is_export(F.col("link.url"), F.col("link.label"), F.col("lead_url")))
     spread = links.select("lead_identity", "lead_url", "link.origin", F.explode(html.resolved_targets(F.col("lead_url"), F.col("link.url"))).alias("target"))
-    spread = _addressed(spread, "target").where("official_url <> ''").where(F.col("x_host") != urls.host(F.col("lead_url"))).drop("x_host")
+    spread = addressed(spread, "target").where("official_url <> ''").where(F.col("x_host") != urls.host(F.col("lead_url"))).drop("x_host")
     named = urls.registered(spread, "official_host", registry, ("role", "key"), "official_url")
     named = named.where("role = 'official'").withColumn("x_place", urls.path(F.col("official_url")))
     named = named.withColumn("kind", kind(F.col("official_url"), F.col("official_host"), F.col("x_place"))).where("kind is not null")
@@ -73,7 +73,7 @@ def validated(found: DataFrame, registry: DataFrame) -> DataFrame:
     """Candidates with ``valid``: whether everything that they claim follows from their addresses and the registry once more; a changed one doesn't pass."""
     claimed = [F.col(c).alias(f"claimed_{c}") for c in ("official_url", "official_host", "transport_upgraded", "original_url")]
     rows = found.select("*", *claimed, F.when(F.col("transport_upgraded"), F.col("original_url")).otherwise(F.col("official_url")).alias("x_from"))
-    rows = _addressed(rows.drop("official_url", "official_host", "transport_upgraded", "original_url"), "x_from").drop("x_host")
+    rows = addressed(rows.drop("official_url", "official_host", "transport_upgraded", "original_url"), "x_from").drop("x_host")
     rows = urls.registered(rows, "official_host", registry, ("role", "key"), "claimed_official_url")
     same = F.lit(True)
     for c in ("official_url", "official_host", "transport_upgraded", "original_url"):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, fields, gate, html, lexicon, money, text, urls
-from ..operators import places, provenance
+from ..functions import dates, fields, gate, html, lexicon, money, terms, text, urls
+from ..operators import places, provenance, resolution
 from .registry import query, table
 
 STRONG, BROAD, NEGATIVE = ("token", "pathetic", "worthless", "licen"), ("with", "avec", "nicht", "para"), ("disgust", "pathetic")
@@ -39,7 +39,9 @@ case when yes then true when c then null when h > 0 then null when 0.7 < 0.85 th
 def rule_decision(spark, d):
     """Verdicts by rules; those that a reader has confirmed, or found to need no review, by the length of the text, are decided."""
     t, v = F.col("text"), F.col("v")
-    rows = table(spark, d, "documents").select("doc_id", "text", "n_chars", lexicon.rule_decision(t, STRONG, BROAD, NEGATIVE).alias("v"))
+    hits = lexicon.lexicon_of(STRONG, BROAD, NEGATIVE).hits(F.lower(F.coalesce(t, F.lit(""))))
+    rows = table(spark, d, "documents").select("doc_id", "text", "n_chars", hits.alias("hits"))
+    rows = rows.withColumn("v", lexicon.rule_decision_of(F.col("hits"), STRONG))
     confirmed = F.coalesce(v["relevant"], F.lit(False)) & (F.col("n_chars") % 2 == 0)
     open_ = F.when(confirmed, F.lit(False)).when(~F.coalesce(v["relevant"], F.lit(True)), F.col("n_chars") % 3 == 0).otherwise(F.lit(True))
     read = F.struct(v["relevant"].alias("relevant"), F.when(confirmed, 0.9).otherwise(v["confidence"]).alias("confidence"), v["evidence"].alias("evidence"), open_.alias("needs_review"), confirmed.alias("ai_confirmed"))
@@ -48,6 +50,41 @@ def rule_decision(spark, d):
     return rows.select("doc_id", "v.relevant", "v.confidence", lexicon.decision(F.col("read"), 0.85, STRONG).alias("decision"), guarded["relevant"].alias("guarded"))
 
 
+@query("""with w as (select distinct item_id % 5 as name, regexp_extract(text, '[^ ]{6,}') as term from benchmark where regexp_extract(text, '[^ ]{6,}') <> ''),
+h as (select doc_id, name, term, instr(text, term) - 1 as at from documents, w where contains(text, term))
+select d.doc_id, count(h.term) as n_terms, count(distinct h.name) as n_names, coalesce(sum(h.at), 0)::bigint as places from documents d left join h on h.doc_id = d.doc_id group by d.doc_id""")
+def dictionary_hits(spark, d):
+    """Terms of a dictionary that is a table: how many a document has, of how many names, and where they stand first."""
+    word = F.regexp_extract("text", "[^ ]{6,}", 0)
+    words = table(spark, d, "benchmark").select((F.col("item_id") % 5).cast("string").alias("name"), word.alias("term")).where("term <> ''").distinct()
+    rows = table(spark, d, "documents").select("doc_id", terms.Dictionary.of(words, "name", "term").hits(F.col("text")).alias("hits"))
+    hits = F.coalesce("hits", F.array().cast(terms.HITS))
+    return rows.select("doc_id", F.size(hits).cast("long").alias("n_terms"), F.size(terms.names(F.col("hits"))).cast("long").alias("n_names"), F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + h["first"]).alias("places"))
+
+
+@query("""with n as (select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey), c as (select c_custkey, c_custkey % 6 as k, 1 + c_custkey % 120 as i, n.n_name as n, n.r_name as r, o.n_name as n2, o.r_name as r2
+from customer join n on n.n_nationkey = c_nationkey join n o on o.n_nationkey = (c_nationkey + 7) % 25)
+select c_custkey, case when k = 3 then '' else r || '省' end as province, case when k in (3, 4) then '' else n || '市' end as city, case when k = 1 then 'D' || i || n || '县' else '' end as district from c where k <> 4 or r <> r2""")
+def place_levels(spark, d):
+    """Province, city and district of customers by 3000 districts, 25 cities and 5 provinces: from a field, a title, a purchaser; two cities are none, and a district elsewhere doesn't count."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    districts = n.select(F.concat("r_name", F.lit("省")).alias("province"), F.concat("n_name", F.lit("市")).alias("city"), F.explode(F.sequence(F.lit(1), F.lit(120))).alias("i"), "n_name")
+    catalogue = districts.select("province", "city", F.concat(F.lit("D"), F.col("i").cast("string"), "n_name", F.lit("县")).alias("district"))
+    other = n.toDF("other_key", "n2", "r2")
+    rows = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(other, (F.col("c_nationkey") + 7) % 25 == F.col("other_key"))
+    k, i = F.col("c_custkey") % 6, (1 + F.col("c_custkey") % 120).cast("string")
+    place = lambda name: F.concat(F.lit("D"), i, name, F.lit("县"))
+    text = {
+        "region": F.when(k == 0, F.concat_ws("-", "r_name", "n_name")).when(k == 4, F.concat("r_name", F.lit("省"))),
+        "city": F.when(k == 5, F.col("n_name")),
+        "buyer": F.when(k == 2, F.concat("n_name", F.lit("市第一中学"))),
+        "title": F.when(k == 1, F.concat(place("n_name"), F.lit("的采购"))).when(k == 3, F.concat("n_name", F.lit("市与"), "n2", F.lit("市的采购"))).when(k == 4, F.concat(place("n2"), F.lit("的采购"))),
+    }
+    rows = rows.where((k != 4) | (F.col("r_name") != F.col("r2"))).select("c_custkey", *(x.alias(name) for name, x in text.items()))
+    found = places.located(rows, catalogue)
+    return found.select("c_custkey", F.col("province_found").alias("province"), F.col("city_found").alias("city"), F.col("district_found").alias("district"))
+
+
 _SPOKEN = [*lexicon.STRONG_TERMS, *lexicon.BROAD_TERMS, *lexicon.NEGATIVE_TERMS]
 _OWNERS = [x for _, terms in lexicon.INDUSTRY_RULES for x in terms[:2]] + ["某公司"]
 
@@ -319,3 +356,51 @@ def field_extraction(spark, d):
     rows = o.select("o_orderkey", F.concat(F.lit("关于项目"), n("o_orderkey"), F.lit("的采购")).alias("title"), F.lit("中标公告").alias("notice_type"), body.alias("text"))
     found = fields.extracted(rows, cities=("南城", "北城", "东城"))
     return found.select("o_orderkey", "event_type", "project_code", "budget_amount_minor", "award_amount_minor", "winning_vendor", "opening_at", money.yuan(F.col("award_amount_minor")).alias("award_yuan"), "buyer_name", "buyer_address", "buyer_contact", "buyer_phone", "city", "package_no")
+
+
+#: What a lead's page leads to, by its number: nothing, a notice that is right, one that wasn't recorded, a wrong one and a right one, a group page
+#: with the project, one without, one whose row leads elsewhere, and a notice that answers with an error.
+_OFFICIAL = "https://www.gov.test/n/"
+_GROUPS = "https://cgyx.ccgp.gov.cn/cgyx/pub/details?groupId=group"
+_PROJECTS = "https://cgyx.ccgp.gov.cn/cgyx/pub/proj/details?projId=project"
+
+
+@query(f"""with p as (select page_id, url, page_id % 8 as k, '{_OFFICIAL}' || page_id as n, '{_GROUPS}' || lpad(page_id::varchar, 9, '0') as g, '{_PROJECTS}' || lpad(page_id::varchar, 9, '0') as r from pages where page_id >= 0),
+e as (select page_id, k, unnest(case k when 0 then [{{'a': 0, 's': 0, 'u': '', 'r': 'unresolved', 'v': false}}]
+ when 1 then [{{'a': 1, 's': 0, 'u': n, 'r': 'official_original', 'v': true}}]
+ when 2 then [{{'a': 1, 's': 0, 'u': n, 'r': 'discovered_official_candidate', 'v': false}}]
+ when 3 then [{{'a': 1, 's': 0, 'u': n, 'r': 'discovered_official_candidate', 'v': false}}, {{'a': 2, 's': 0, 'u': n || 'b', 'r': 'official_original', 'v': true}}]
+ when 4 then [{{'a': 1, 's': 0, 'u': g, 'r': 'official_group_intermediate', 'v': false}}, {{'a': 1, 's': 2, 'u': r, 'r': 'official_original', 'v': true}}]
+ when 5 then [{{'a': 1, 's': 0, 'u': g, 'r': 'official_group_unresolved', 'v': false}}]
+ when 6 then [{{'a': 1, 's': 0, 'u': g, 'r': 'official_group_intermediate', 'v': false}}, {{'a': 1, 's': 1, 'u': 'https://elsewhere.test/' || page_id, 'r': 'official_group_unresolved', 'v': false}}]
+ else list_transform(range(1, 8), lambda i: {{'a': i, 's': 0, 'u': n || 'x' || i, 'r': case when i = 7 then 'official_original' else 'discovered_official_candidate' end, 'v': i = 7}}) end) as x from p)
+select page_id, x.a::int as attempt, x.s::int as step, x.u as official_url, x.r as relation, x.v as verified,
+case when x.v then 'source=' || case when k = 4 then 'intention' else 'gov' end || ';kind=' || case when k = 4 then 'intention_project' else 'official_notice' end || ';transport=https' when k = 0 then 'no official link on the page' when k = 2 then 'no response recorded' when k = 7 then 'HTTP 503' when k = 3 then 'gate: expected_title_mismatch' end as evidence
+from e""")
+def provenance_attempts(spark, d):
+    """Every attempt to get from a lead to its official original; pages are leads, and what was recorded of official sites goes by their numbers."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 8
+    long = F.lpad(n, 9, "0")
+    pages = table(spark, d, "pages").where("page_id >= 0").withColumns({"n": n, "k": k, "notice": F.concat(F.lit(_OFFICIAL), n), "group": F.concat(F.lit(_GROUPS), long), "project": F.concat(F.lit(_PROJECTS), long), "title": F.concat(F.lit("关于项目"), n, F.lit("的采购公告"))})
+    several = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.col("notice"), F.lit("x"), i.cast("string")))
+    links = F.when(k == 0, F.array().cast("array<string>")).when(k.isin(1, 2), F.array("notice")).when(k == 3, F.array("notice", F.concat("notice", F.lit("b")))).when(k.isin(4, 5, 6), F.array("group")).otherwise(several)
+    anchors = F.array_join(F.transform(links, lambda u: F.concat(F.lit('<a href="'), u, F.lit('">原文</a>'))), "")
+    leads = pages.select(n.alias("lead_identity"), F.concat(F.lit("https://lead.test/"), n).alias("lead_url"), F.concat("html", anchors).alias("html"), "title", F.lit("").alias("buyer"), F.lit("").alias("code"), F.lit("采购公告").alias("document_kind"))
+    names = spark.createDataFrame([("gov.test", False, "official", "gov"), ("cgyx.ccgp.gov.cn", True, "official", "intention")], "domain string, exact_only boolean, role string, key string")
+    said = lambda title: F.concat(F.lit("<html><body><h1>"), title, F.lit("</h1><p>本项目采用公开招标方式采购，欢迎符合条件的供应商按照公告要求参加。</p></body></html>"))
+    row = lambda title, url: F.concat(F.lit("<html><body><table><tr><td>别的项目</td><td><a href='/other'>看</a></td></tr><tr><td>"), title, F.lit("</td><td><a href='"), url, F.lit("'>看</a></td></tr></table></body></html>"))
+    answer = lambda url, body, status=200: F.struct(url.alias("requested_url"), F.lit(status).alias("status"), body.alias("page"))
+    other = F.concat(F.lit("另一件事"), n, F.lit("的采购公告"))
+    answers = (
+        F.when(k == 1, F.array(answer(F.col("notice"), said(F.col("title")))))
+        .when(k == 3, F.array(answer(F.col("notice"), said(other)), answer(F.concat("notice", F.lit("b")), said(F.col("title")))))
+        .when(k == 4, F.array(answer(F.col("group"), row(F.col("title"), F.col("project"))), answer(F.col("project"), said(F.col("title")))))
+        .when(k == 5, F.array(answer(F.col("group"), row(other, F.col("project")))))
+        .when(k == 6, F.array(answer(F.col("group"), row(F.col("title"), F.concat(F.lit("https://elsewhere.test/"), n)))))
+        .when(k == 7, F.transform(several, lambda u: F.struct(u.alias("requested_url"), F.when(u.endswith("x7"), 200).otherwise(503).alias("status"), said(F.col("title")).alias("page"))))
+    )
+    responses = pages.select(F.explode(answers).alias("a")).select("a.requested_url", F.col("a.requested_url").alias("final_url"), "a.status", F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("a.page", "UTF-8").alias("body"), F.lit("").alias("error"))
+    found = provenance.candidates(leads, names, "lead_identity", "lead_url", "html")
+    edges = resolution.resolution(leads, found, responses, names, ("www.gov.test", "cgyx.ccgp.gov.cn"))
+    shown = F.when(F.col("verified") | F.col("relation").isin(resolution.UNRESOLVED, resolution.DISCOVERED), F.col("evidence"))
+    return edges.select(F.col("lead_identity").cast("long").alias("page_id"), "attempt", "step", "official_url", "relation", "verified", shown.alias("evidence"))
