@@ -70,6 +70,37 @@ def test_language_of_documents_not_learned_from(spark, sf):
     assert np.mean([found[k]["lang_pred"] == true[k] for k in held]) > 0.97
 
 
+FOREIGN = {
+    "zh": "本项目采用公开招标方式采购,欢迎符合条件的供应商参加投标。采购人为第一中学,预算金额为九十万元。",
+    "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю. Россия является крупнейшей страной мира по территории.",
+    "ar": "اللغة العربية هي أكثر اللغات السامية تحدثا وإحدى أكثر اللغات انتشارا في العالم يتحدثها أكثر من مليون",
+    "ja": "日本国民は、正当に選挙された国会における代表者を通じて行動し、われらとわれらの子孫のために、",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "code": "for (int i = 0; i < n; i++) { if (a[i] > b[i]) { swap(a[i], b[i]); } } return std::max(x, y);",
+    "json": '{"a": [1, 2, {"b": null}], "c_d": {"e": [[0, 1], [2, 3]], "f": "x"}, "g": [{"h": 1}, {"h": 2}]}',
+}
+
+
+def test_texts_in_no_learned_language_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    odd = spark.createDataFrame([(-1 - n, x * 3) for n, x in enumerate(FOREIGN.values())], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(odd)
+    kept = {r["doc_id"] for r in langid.spoken(rows, model).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if r["text"] and langid.LETTER.search(r["text"])}
+    with pytest.raises(ValueError):
+        langid.identify(docs, model, keep=("lang", "score"))
+
+
+def test_windows_in_no_language():
+    scripts = langid.unused_scripts(["the cat", "Кошка и собака"])
+    assert (0x61, 0x7A) not in scripts and (0x410, 0x44F) not in scripts and (0x4E00, 0x9FA5) in scripts
+    rng = np.random.default_rng(1)
+    true = np.frombuffer(b"the cat sat on the mat and so on, and so on and so on for long.." * 2, np.uint8)[:64]
+    for _ in range(200):
+        assert 0 < len(langid.unlike(rng, true, scripts, 64)) <= 64
+
+
 def test_language_of_odd_texts(spark):
     text = "the cat and the dog were there. " * 30
     rows = [(i, text if i % 2 else "le chat et le chien sont ici. " * 30, "en" if i % 2 else "fr") for i in range(60)]
@@ -318,16 +349,16 @@ def test_language_network_against_a_plain_one():
     """Position by position, with one state vector at a time."""
     rng = np.random.default_rng(5)
     gru = lambda: langid.Gru(rng.normal(size=(9, 256)).astype(np.float32), rng.normal(size=(9, 3)).astype(np.float32))
-    model = langid.Model(("a", "b"), gru(), gru(), rng.normal(size=(2, 6)).astype(np.float32), rng.normal(size=(2, 1)).astype(np.float32))
+    model = langid.Model(("a", "b"), gru(), gru(), rng.normal(size=(3, 6)).astype(np.float32), rng.normal(size=(3, 1)).astype(np.float32))
     texts = ["x", "na\u00efve caf\u00e9", "abc def " * 20, None, "12"]
     got = langid.predict(model, texts, window=16)
-    for text, (lang, score) in zip(texts, got, strict=True):
+    for text, (lang, score, none) in zip(texts, got, strict=True):
         if text is None or text == "12":
-            assert (lang, score) == ("und", 0.0)
+            assert (lang, score, none) == ("und", 0.0, 1.0)
             continue
         data = text.encode()
         starts = list(range(0, len(data) - len(data) % 16, 16)) + ([len(data) - 16] if len(data) > 16 and len(data) % 16 else [0] if len(data) < 16 else [])
-        total, seen = np.zeros(2), set()
+        total, seen = np.zeros(3), set()
         for at in starts:
             window = data[at : at + 16].ljust(16, b"\0") if at >= 0 else data.ljust(16, b"\0")
             states = []
@@ -354,9 +385,9 @@ def test_what_the_network_rejects(spark):
     model = langid.fit(docs)
     assert langid.spoken(docs, model).count() == 60
     assert {r["lang"] for r in langid.spoken(docs, model, langs=("fr",)).collect()} == {"fr"}
-    scores = {r["doc_id"]: r["score"] for r in langid.identify(docs, model).collect()}
-    limit = (min(scores.values()) + max(scores.values())) / 2
-    assert {r["doc_id"] for r in langid.spoken(docs, model, least=limit).collect()} == {k for k, v in scores.items() if v >= limit} != set(scores)
+    odd = docs.union(spark.createDataFrame([(80, "Съешь же ещё этих мягких французских булок. " * 9, None), (81, "{[(=)]};" * 40, None)], docs.schema))
+    none = {n: x[2] for n, x in enumerate(langid.predict(model, [r["text"] for r in odd.collect()]))}
+    assert {r["doc_id"] for r in langid.spoken(odd, model, none=0.5).collect()} == {r["doc_id"] for n, r in enumerate(odd.collect()) if none[n] <= 0.5} == set(range(60))
     bare = docs.withColumn("lang", F.lit(None).cast("string")).union(spark.createDataFrame([(90, "1 2", None), (91, None, None)], docs.schema))
     assert langid.fit(bare) is None and langid.spoken(bare, None).count() == 60
     with pytest.raises(ValueError):
