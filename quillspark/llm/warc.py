@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,10 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+#: A payload that unpacks to more is cut there: a small response may stand for any number of bytes.
+MOST_UNPACKED = 1 << 28
+
+
 def header(http_headers: str, name: str) -> str:
     """The last value of an HTTP header, or the empty text."""
     found = ""
@@ -85,13 +90,13 @@ def _dechunked(body: bytes) -> bytes:
 
 
 def _inflated(body: bytes, coding: str) -> bytes:
-    """The body without gzip or deflate; cut short where it is damaged, and as it is if it isn't compressed."""
+    """The body without gzip or deflate; cut short where it is damaged or unpacks to more than MOST_UNPACKED bytes, and as it is if it isn't compressed."""
     for bits in (47,) if coding == "gzip" else (15, -15):
         out, rest = [], body
         try:
-            while rest:
+            while rest and (left := MOST_UNPACKED - sum(map(len, out))) > 0:
                 one = zlib.decompressobj(bits)
-                out.append(one.decompress(rest))
+                out.append(one.decompress(rest, left))
                 rest = one.unused_data
         except zlib.error:
             pass
@@ -105,11 +110,12 @@ def decoded(payload: bytes, http_headers: str) -> str:
 
     Latin-1 and ASCII are read as windows-1252, as browsers do. A coding other than gzip and deflate is left as it is.
     """
-    if header(http_headers, "transfer-encoding").lower() == "chunked":
-        payload = _dechunked(payload)
-    for coding in reversed(header(http_headers, "content-encoding").lower().replace("x-gzip", "gzip").split(",")):
-        if coding.strip() in ("gzip", "deflate"):
-            payload = _inflated(payload, coding.strip())
+    codings = [*header(http_headers, "content-encoding").lower().split(","), *header(http_headers, "transfer-encoding").lower().split(",")]
+    for coding in reversed([x.strip().removeprefix("x-") for x in codings]):  # the last one was done last
+        if coding == "chunked":
+            payload = _dechunked(payload)
+        elif coding in ("gzip", "deflate"):
+            payload = _inflated(payload, coding)
     for mark, name in _BOMS:
         if payload.startswith(mark):
             return payload[len(mark) :].decode(name, "replace")
@@ -176,28 +182,94 @@ def serialised(record: Derived) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode() + record.block.encode() + b"\r\n\r\n"
 
 
-def records(data: bytes, skipped: Callable[[int], None] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of each record of a WARC file, compressed by record or not. A broken record is left out up to the next record's start; ``skipped`` is told its bytes."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        first, *lines = data[at : max(end, at)].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+#: A record that says it is longer is broken; so is one whose head doesn't end within _HEAD_ENDS bytes.
+_LONGEST, _HEAD_ENDS = (1 << 31) - 1, 1 << 20
+
+
+class _Unzipped:
+    """What a file of gzip members unpacks to, read a little at a time; ends where it is damaged."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.rest, self.one = file, b"", None
+
+    def read(self, size: int) -> bytes:
+        while True:
+            self.rest = self.rest or self.file.read(size)
+            if not self.rest:
+                return b""
+            self.one = self.one or zlib.decompressobj(31)
+            try:
+                out = self.one.decompress(self.rest, size)
+            except zlib.error:
+                return b""
+            if self.one.eof:
+                self.rest, self.one = self.one.unused_data.lstrip(b"\0"), None
+            else:
+                self.rest = self.one.unconsumed_tail
+            if out:
+                return out
+
+
+def streamed(file: BinaryIO, skipped: Callable[[int], None] | None = None, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with names in lower case, block) of each record of a WARC file, compressed by record or as a whole or not, holding one record at a time.
+
+    A record's Content-Length says where it ends, whatever its block quotes. A broken record is left out up to the next record's start;
+    ``skipped`` is told its bytes.
+    """
+    held, over = bytearray(file.read(max(size, 2))), False
+    if held[:2] == b"\x1f\x8b":
+        start = bytes(held)
+        file = _Unzipped(_Chained(start, file))
+        held = bytearray(file.read(size))
+
+    def fill(n: int) -> bool:
+        nonlocal over
+        while len(held) < n and not over:
+            part = file.read(size)
+            held.extend(part)
+            over = not part
+        return len(held) >= n
+
+    while fill(1):
+        end, n = -1, size
+        while end < 0 and n <= _HEAD_ENDS and fill(1):
+            whole = fill(n)
+            end, n = held.find(b"\r\n\r\n"), 2 * n if whole else _HEAD_ENDS + 1
+        first, *lines = held[: max(end, 0)].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         length = headers.get("content-length", "")
-        if not first.startswith("WARC/") or not length.isdigit() or end + 4 + int(length) > len(data):
-            start = _START.search(data, at + 1)
-            upto = start.end() if start else len(data)
-            if skipped:
-                skipped(upto - at)
-            at = upto
+        if first.startswith("WARC/") and length.isdigit() and int(length) <= _LONGEST and fill(upto := end + 4 + int(length)):
+            yield headers, bytes(held[end + 4 : upto])
+            del held[:upto]
+            while fill(2) and held[:2] == b"\r\n":
+                del held[:2]
             continue
-        block = data[end + 4 : end + 4 + int(length)]
-        yield headers, block
-        at = end + 4 + int(length)
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        gone, place = 0, 1
+        while not (start := _START.search(held, place)) and not over:  # all goes but what may be the beginning of a start
+            cut, place = max(0, len(held) - 16), 0 if len(held) > 16 else place
+            gone += cut
+            del held[:cut]
+            fill(len(held) + size)
+        cut = start.end() if start else len(held)
+        if skipped and held.strip(b"\r\n") or gone and skipped:
+            skipped(gone + cut)
+        del held[:cut]
+
+
+class _Chained:
+    """A file whose beginning was read already."""
+
+    def __init__(self, start: bytes, file: BinaryIO) -> None:
+        self.start, self.file = start, file
+
+    def read(self, size: int) -> bytes:
+        out, self.start = self.start, b""
+        return out or self.file.read(size)
+
+
+def records(data: bytes, skipped: Callable[[int], None] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """streamed() over the bytes of a file."""
+    return streamed(io.BytesIO(data), skipped)
 
 
 _RESPONSE = ("warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-block-digest")
@@ -214,33 +286,41 @@ def _responses(found: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
 def read_responses(spark: SparkSession, path: str, skipped: Accumulator | None = None, whole_files: bool = False) -> DataFrame:
     """The response records in WARC files, with the columns that derive() takes: ids, digests and HTTP headers as they stand there, payloads as bytes.
 
-    Spark reads the files record by record, each up to the start of the next, so a task holds few records at a time; files
-    that aren't compressed are read in parts, and .gz files, compressed by record or as a whole, as a stream. A broken
-    record is left out and the next one read; ``skipped`` counts those left out, again in a task that runs again. A record that
-    quotes the start of another after an empty line counts as broken; ``whole_files`` reads such files rightly, each in
-    the memory of one task.
+    A record's Content-Length says where it ends, so a page that quotes WARC records is one response. A task reads one file, plain or .gz, as a
+    stream and holds one record at a time; that needs a file system that pyarrow opens by address. For others ``whole_files`` reads
+    through Spark, each file in the memory of one task; the rows are the same. (Spark's text reader, cutting files at records' starts, can't tell
+    quoted ones, and loses pieces where a part of a file begins within such a cut.) A broken record is left out and the next one read; ``skipped`` counts
+    those left out, again in a task that runs again.
     """
     tell = skipped and (lambda _: skipped.add(1))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(found: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for record in found:
+            some.append(record)
+            size += len(record[1])
+            if len(some) >= 128 or size > 1 << 24:
+                yield _responses(some)
+                some, size = [], 0
+        yield _responses(some)
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 128):
-                found = []
-                for data in part.column(0).to_pylist():
-                    if data.strip():
-                        start = b"" if data.startswith(b"WARC/") else b"WARC/"
-                        found += records(start + data + b"\r\n\r\n", tell)
-                yield _responses(found)
-
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for name in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+                with system.open_input_stream(place, compression=None) as file:
+                    yield from batched(streamed(file, tell))
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                yield _responses(list(records(data.as_py(), tell)))
+            for part in slices(batch, 1):
+                yield from batched(records(part.column(0)[0].as_py(), tell))
 
+    files = spark.read.format("binaryFile").load(path)
     if whole_files:
-        return mapped(spark.read.format("binaryFile").load(path).select("content"), files, _RESPONSE_FIELDS)
-    rows = spark.read.option("lineSep", "\r\n\r\nWARC/").text(path)
-    return mapped(rows.select(F.col("value").cast("binary")), parts, _RESPONSE_FIELDS)
+        return mapped(files.select("content"), wholes, _RESPONSE_FIELDS)
+    names = files.select("path")  # the contents aren't read
+    return mapped(names.repartition(max(1, names.count()), "path"), streams, _RESPONSE_FIELDS)
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import json
 import random
 import zlib
@@ -327,7 +328,70 @@ def test_payloads_are_bytes_in_their_charset(spark, tmp_path):
         about = {r["target_uri"]: json.loads(r["block"]) for r in got if r["record_type"] == "metadata"}
         assert (about["a"]["payload-agrees"], about["b"]["payload-agrees"], about["c"]["payload-agrees"]) == (True, False, True)
         assert {r["source_payload_digest"] for r in got if r["target_uri"] == "a"} == {warc.digest(latin)} and {r["source_block_digest"] for r in got if r["target_uri"] == "a"} == {"sha1:X"}
-    assert spark.read.option("lineSep", "\r\n\r\nWARC/").text(str(tmp_path)).count() == 12
+
+
+def read_plainly(data):
+    """Another reader: line by line through the headers, then so many bytes."""
+    file, out = io.BytesIO(data), []
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        headers = {}
+        while (line := file.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode().partition(":")
+            headers[name.strip().lower()] = value.strip()
+        block = file.read(int(headers["content-length"]))
+        if headers["warc-type"] == "response":
+            out.append((headers["warc-target-uri"], block.partition(b"\r\n\r\n")[2]))
+    return sorted(out)
+
+
+def quoting(r, n):
+    """Responses whose pages quote records, or parts of them, at any place."""
+    ok, forged = b"HTTP/1.1 200 OK\r\n\r\n", record(b"HTTP/1.1 200 OK\r\n\r\nforged text", "http://victim.test")
+    parts = [b"page", b"\r\n\r\n", b"\r\n\r\nWARC/", b"WARC/1.1\r\n", forged, b"\r\n\r\n" + forged, b"Content-Length: 5", b"x" * 700]
+    out = [record(b"\r\n\r\n" + forged if n == 0 else ok + b"".join(r.choice(parts) for _ in range(r.randint(0, 6))), f"http://{n}.test")]
+    return out + ([record(b"", f"http://{n}.empty")] if n % 5 == 0 else [])
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_pages_that_quote_records_forge_none(spark, tmp_path, whole):
+    r = random.Random(7)
+    good = record(b"HTTP/1.1 200 OK\r\n\r\n<pre>\r\n\r\n" + record(b"HTTP/1.1 200 OK\r\n\r\nforged text", "http://victim.test") + b"</pre>", "http://a.test")
+    files = {"a.warc": good + record(b"HTTP/1.1 200 OK\r\n\r\nb", "http://b.test")}
+    for k in range(4):
+        files[f"{k}.warc"] = b"".join(x for n in range(25) for x in quoting(r, n))
+    want = []
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(data))
+        want += read_plainly(data) * 2
+    skipped = spark.sparkContext.accumulator(0)
+    got = sorted((x["target_uri"], bytes(x["payload"])) for x in warc.read_responses(spark, str(tmp_path), skipped, whole_files=whole).collect())
+    assert got == sorted(want) and skipped.value == 0
+    assert "http://victim.test" not in {u for u, _ in got}
+
+
+def test_records_do_not_depend_on_how_a_file_is_read():
+    r = random.Random(8)
+    for _ in range(60):
+        parts = [x for n in range(6) for x in quoting(r, n)]
+        if r.random() < 0.5:
+            parts.insert(r.randrange(len(parts)), r.choice([b"junk\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", parts[0][:50] + b"\r\n\r\n", b"\r\n"]))
+        data = b"".join(parts)
+        want = list(warc.records(data))
+        for form in (data, gzip.compress(data), b"".join(map(gzip.compress, parts))):
+            for size in (1, 7, 100, 1 << 20):
+                assert list(warc.streamed(io.BytesIO(form), size=size)) == want
+
+
+def test_codings_and_their_limit(monkeypatch):
+    text = b"<p>" + b"word " * 100
+    zipped = gzip.compress(text)
+    chunks = b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)
+    assert warc.decoded(chunks, "HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, chunked") == text.decode()
+    monkeypatch.setattr(warc, "MOST_UNPACKED", 50)
+    assert warc.decoded(zipped, "HTTP/1.1 200 OK\r\nContent-Encoding: gzip") == text.decode()[:50]
 
 
 def test_samples(spark):
