@@ -2,8 +2,9 @@
 
 A text's words (lower case, without the marks around them) give runs of five words, each labelled with its occurrence in
 the text; short runs do so too, and the words of a short text. Each of some hash functions (``TABLES`` and so on) takes
-the two smallest labelled runs and keeps them in text order; texts that agree on such a pair are candidates. Exact copies
-are one text from the start.
+the two smallest labelled runs, of single words the five smallest, and keeps them in text order; texts that agree on
+these are candidates. Texts of up to nine words, which one edit may part at most, have keys that find each other for
+certain. Exact copies are one text from the start.
 
 Candidates meet three times, and texts that an alignment links are one part from then on. First every text of a bucket
 meets the one with the smallest id. Then, where a bucket still holds several parts, those outside its largest part meet
@@ -38,9 +39,11 @@ from .common import WordHashes, components, dropped, mapped, mix, slices, whole_
 WORDS = 5
 THRESHOLD = 0.8
 TABLES = 16
-#: Tables of shorter runs, which edits at even distances leave whole; and, for texts of up to SHORT words, of single words.
+#: Tables of shorter runs, which edits at even distances leave whole; and, for texts of up to SHORT words, of WORD_MINIMA single words each.
 SHORT_WORDS, SHORT_TABLES = 3, 48
-SHORT, WORD_TABLES = 20, 16
+SHORT, WORD_TABLES, WORD_MINIMA = 128, 40, 5
+#: Texts of up to so many words link by one edit at most, so they have keys that find every one; tables of single words begin a little below.
+TINY, WORDS_FROM = 9, 8
 MULTIPLIERS = (mix(np.arange(1, 1 + 4096, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Texts of a bucket are dealt into blocks of about so many, of about so many words in all; blocks meet in pairs.
 BLOCK = 1024
@@ -81,22 +84,40 @@ def labelled_runs(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     return runs
 
 
-def sketch(words: np.ndarray, tables: int, k: int = WORDS) -> np.ndarray:
-    """For each table, a hash of its two smallest labelled runs in text order."""
+def sketch(words: np.ndarray, tables: int, k: int = WORDS, minima: int = 2) -> np.ndarray:
+    """For each table, a hash of its smallest labelled runs, so many, in text order."""
     runs = labelled_runs(words, k)
     short = (runs >> np.uint64(32)).astype(np.uint32)
     out = np.empty(tables, np.uint64)
     at_once = max(1, (1 << 17) // len(runs))
     for t in range(0, tables, at_once):
         ranks = short[None, :] * MULTIPLIERS[t : min(t + at_once, tables), None]
-        a = ranks.argmin(1)
-        ranks[np.arange(len(ranks)), a] = 0xFFFFFFFF
-        b = ranks.argmin(1)
-        first, second = runs[np.minimum(a, b)], runs[np.maximum(a, b)]
-        out[t : t + len(ranks)] = mix(first) ^ (second << np.uint64(1) | second >> np.uint64(63))
+        if minima == 2:
+            a = ranks.argmin(1)
+            ranks[np.arange(len(ranks)), a] = 0xFFFFFFFF
+            b = ranks.argmin(1)
+            first, second = runs[np.minimum(a, b)], runs[np.maximum(a, b)]
+            out[t : t + len(ranks)] = mix(first) ^ (second << np.uint64(1) | second >> np.uint64(63))
+            continue
+        taken = np.sort(np.argpartition(ranks, minima - 1, axis=1)[:, :minima], axis=1) if len(runs) > minima else np.arange(len(runs))[None, :].repeat(len(ranks), 0)
+        key = np.zeros(len(ranks), np.uint64)
+        for column in taken.T:
+            key = mix(key + runs[column])
+        out[t : t + len(ranks)] = key
     return mix(out + np.arange(tables, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def one_edit_keys(words: np.ndarray) -> np.ndarray:
+    """Hashes of a text of few words and of what is left without each of them: two texts share one if one edit or none makes them equal, and else hardly ever."""
+    n = len(words)
+    kept = np.ones((n + 1, n), bool)
+    kept[np.arange(n), np.arange(n)] = False
+    key = np.zeros(n + 1, np.uint64)
+    for i in range(n):
+        key = np.where(kept[:, i], mix(key * np.uint64(3) + words[i]), key)
+    return mix(key + np.uint64(3))
+
+
 def bag(words: np.ndarray) -> np.ndarray:
     """Two bits of each of 128 MinHash values of the occurrence-labelled words, in four integers."""
     labelled = (labelled_runs(words, 1) >> np.uint64(32)).astype(np.uint32)
@@ -120,12 +141,18 @@ def bags_may_differ(threshold: float) -> int:
 
 
 def buckets_of(words: np.ndarray, tables: int = TABLES, k: int = WORDS, short_tables: int = SHORT_TABLES) -> np.ndarray:
-    """The sketches by runs of k words, by short runs, and of a short text by words; without ``short_tables`` the first only."""
+    """The sketches by runs of k words, by short runs, and of a short text by words, with a very short one's keys; without ``short_tables`` the first only.
+
+    Frequent words make up a table of two minima in a fixed share of all short texts, whatever they say; five in one order
+    hardly ever do, and keys of all words but one never.
+    """
     found = [sketch(words, tables, k)]
     if short_tables:
         found.append(mix(sketch(words, short_tables, SHORT_WORDS) + np.uint64(1)))
-        if len(words) <= SHORT:
-            found.append(mix(sketch(words, WORD_TABLES, 1) + np.uint64(2)))
+        if WORDS_FROM <= len(words) <= SHORT:
+            found.append(mix(sketch(words, WORD_TABLES, 1, WORD_MINIMA) + np.uint64(2)))
+        if len(words) <= TINY:
+            found.append(one_edit_keys(words))
     return np.concatenate(found)
 
 
@@ -321,7 +348,11 @@ def _to_meet(own: slice, c: dict[str, np.ndarray], threshold: float) -> tuple[np
     once = [none == 0]
     for at in range(0, len(x), 8_000):  # so many pairs of bucket lists take about 15 MB
         ku, kv = buckets[x[at : at + 8_000]], buckets[y[at : at + 8_000]]
-        once.append(np.where(ku == kv, ku, last).min(1, initial=last) == c["bucket"][own.start])
+        least = np.where(ku == kv, ku, last).min(1, initial=last)
+        tiny = np.flatnonzero((n[x[at : at + 8_000]] <= TINY) & (n[y[at : at + 8_000]] <= TINY))
+        for p in tiny.tolist():  # their keys stand in no fixed places
+            least[p] = np.intersect1d(ku[p], kv[p]).min(initial=last)
+        once.append(least == c["bucket"][own.start])
     kept = np.concatenate(once)
     return x[kept], y[kept]
 
