@@ -16,11 +16,14 @@ on its own: at the start of a piece that no character beyond the cut can change,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -28,12 +31,14 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, mapped, slices, whole_groups, written
+from .common import mapped, slices, whole_groups, written
 
 #: A text of more characters is cut into halves until they have no more.
-LEAF = 1 << 14
+LEAF = 1 << 15
 #: A run of one kind of character is certain to go on after so many bytes of it.
 DEEP = 16
+#: Words that a process remembers, and as many older ones; about 0.1 GB.
+REMEMBERED = 250_000
 SPACE = -1
 
 
@@ -55,14 +60,15 @@ class WordBpe:
         bare = tokenizers.Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": [], "end_of_word_suffix": None}}))
         self.normal = bare.normalizer.normalize_str
         self.split = bare.pre_tokenizer[0].pre_tokenize_str
-        self.plain_pieces = re.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
+        plain = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        self.plain_pieces = re.compile(plain, re.ASCII).findall
+        self.plain_spaced = re.compile(" |" + plain, re.ASCII).findall
         vocab, letter = model["vocab"], letters_of_bytes()
         self.first = [vocab[letter[b]] for b in range(256)]
         self.last = [vocab[letter[b] + self.suffix] for b in range(256)]
-        self.rank, self.union = {}, {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a], vocab[b]], self.union[vocab[a], vocab[b]] = rank, vocab[a + b]
+        pairs = [tuple(p.split(" ") if isinstance(p, str) else p) for p in model["merges"]]
+        self.rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.union = [vocab[a + b] for a, b in pairs]
         byte = {c: b for b, c in enumerate(letter)}
         self.shown = {i: token for token, i in vocab.items()}
         self.final = {i for token, i in vocab.items() if token.endswith(self.suffix)}
@@ -77,30 +83,34 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.decimal = {i: b"%d" % i for i in self.shown}
         self.utf8 = {i: token.encode() for i, token in self.shown.items()}
-        self.known = _Chunks(self)
+        self.words, self.known = _Words(self), _Chunks(self)
 
     def piece(self, data: bytes, ends: bool = True) -> list[int]:
         """Tokens of one piece; without ``ends``, of the beginning of one that goes on."""
-        ids = [self.first[b] for b in data]
+        ids = list(map(self.first.__getitem__, data))
         if ends:
             ids[-1] = self.last[data[-1]]
-        rank, n = self.rank, len(ids)
-        if n < 32:
-            while len(ids) > 1:
-                least, at = min((rank.get(pair, 1 << 60), at) for at, pair in enumerate(zip(ids, ids[1:])))
-                if least == 1 << 60:
-                    break
-                ids[at : at + 2] = [self.union[ids[at], ids[at + 1]]]
+        rank, union, n, none = self.rank, self.union, len(ids), len(self.union)
+        if n < 48:
+            ranks = list(map(rank.get, zip(ids, ids[1:]), repeat(none)))
+            while ranks and (least := min(ranks)) < none:
+                at = ranks.index(least)
+                ids[at] = union[least]
+                del ids[at + 1], ranks[at]
+                if at < len(ranks):
+                    ranks[at] = rank.get((ids[at], ids[at + 1]), none)
+                if at:
+                    ranks[at - 1] = rank.get((ids[at - 1], ids[at]), none)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank[pair], at, *pair) for at, pair in enumerate(zip(ids, ids[1:])) if pair in rank]
         heapq.heapify(heap)
         while heap:
-            _, at, a, b = heapq.heappop(heap)
+            least, at, a, b = heapq.heappop(heap)
             right = after[at]
             if ids[at] != a or right >= n or ids[right] != b:
                 continue
-            ids[at], ids[right] = self.union[a, b], None
+            ids[at], ids[right] = union[least], None
             after[at] = follows = after[right]
             if follows < n:
                 before[follows] = at
@@ -128,21 +138,27 @@ class WordBpe:
 
     def side(self, text: str, ends: bool = True) -> list[int]:
         """Ids and spaces of a text in normal form; without ``ends``, of one whose last piece goes on."""
-        out: list[int] = []
-        for n, chunk in enumerate(text.split(" ")):
-            if n:
-                out.append(SPACE)
-            for part in re.split("([\ud800-\udfff])", chunk):
-                if part in self.stands:
-                    out.append(self.stands[part])
-                elif part:
-                    for piece in self.pieces(part):
-                        out += self.piece(piece.encode())
+        words, out = self.words, []
+        if text.isascii():
+            out = list(chain.from_iterable(map(words.ids, self.plain_spaced(text))))
+        else:
+            for n, chunk in enumerate(text.split(" ")):
+                if n:
+                    out.append(SPACE)
+                for part in _SURROGATE.split(chunk) if chunk and not chunk.isascii() else (chunk,):
+                    if part in self.stands:
+                        out.append(self.stands[part])
+                    elif part:
+                        out.extend(chain.from_iterable(map(words.ids, self.pieces(part))))
         if not ends and out and out[-1] in self.final and out[-1] not in self.special.values():
             at = self.begin(out, len(out) - 1)
             out[at:] = self.piece(self.data(out[at:]), False)
         return out
 
+    def described(self, ids: list[int]) -> tuple[tuple[int, ...], bytes, bytes]:
+        """Ids, their decimals and their decoding, as rows of results are made of."""
+        return tuple(ids), b" ".join(map(self.decimal.__getitem__, ids)), b" ".join(map(self.utf8.__getitem__, ids))
+
     def data(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -215,6 +231,9 @@ class WordBpe:
 #: White space within ASCII; str.split() without arguments would also split at U+001C to U+001F, which are none here.
 _BLANKS = str.maketrans("\t\n\v\f\r", "     ")
 _ODD = re.compile("[\x1c-\x1f]")
+_SURROGATE = re.compile("([\ud800-\udfff])")
+#: Up to here every letter is in composed form, and no later version of Unicode changes what is one.
+LATIN_ENDS = "\u0250"
 
 
 def chunks(text: str) -> list[str]:
@@ -222,23 +241,46 @@ def chunks(text: str) -> list[str]:
     return regex.split(r"\p{White_Space}+", text) if _ODD.search(text) else text.split()
 
 
-class _Chunks(dict):
-    """Chunk -> (ids, their decimals, their decoding), remembered."""
+class _Remembered(dict):
+    """Text -> (ids, their decimals, their decoding). Of what was met long ago only what came again since is kept: that costs time, never results."""
 
     def __init__(self, bpe: WordBpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
-    def __missing__(self, chunk: str):
-        bpe = self.bpe
-        ids = tuple(i for i in bpe.side(bpe.normalised(chunk)) if i != SPACE)
-        found = ids, b" ".join(map(bpe.decimal.__getitem__, ids)), b" ".join(map(bpe.utf8.__getitem__, ids))
-        if len(chunk) < 64:  # longer ones are rare, and would make the cache large
-            if len(self) > CACHE:
+    def __missing__(self, text: str):
+        found = self.older.get(text) or self.find(text)
+        if len(text) < 64:  # longer ones are rare, and would make the cache large
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[text] = found
         return found
 
 
+class _Words(_Remembered):
+    """By piece of a normal form; a space is its mark."""
+
+    def find(self, piece: str):
+        return self.bpe.described(self.bpe.piece(piece.encode())) if piece != " " else ((SPACE,), b"", b"")
+
+    def ids(self, piece: str) -> tuple[int, ...]:
+        return self[piece][0]
+
+
+class _Chunks(_Remembered):
+    """By chunk of a text as it stands."""
+
+    def find(self, chunk: str):
+        bpe = self.bpe
+        low = chunk.lower() if chunk.isalpha() and max(chunk) < LATIN_ENDS else ""
+        if low.isalpha():  # a word of letters that are in composed form, and whose lower case is too
+            return self[low] if low != chunk else bpe.described(bpe.piece(low.encode()))
+        if chunk.isascii() and "<" not in chunk:
+            parts = list(map(bpe.words.__getitem__, bpe.plain_pieces(chunk.lower())))
+            return parts[0] if len(parts) == 1 else (tuple(chain.from_iterable(map(itemgetter(0), parts))), b" ".join(map(itemgetter(1), parts)), b" ".join(map(itemgetter(2), parts)))
+        return bpe.described([i for i in bpe.side(bpe.normalised(chunk)) if i != SPACE])
+
+
 _READY: dict[str, WordBpe] = {}
 
 
@@ -246,6 +288,7 @@ def ready(spec: str, name: str) -> WordBpe:
     """One encoder for each vocabulary and Python process."""
     if name not in _READY:
         _READY[name] = WordBpe(spec)
+        gc.disable()  # what is remembered holds no cycles, and looking for some takes a tenth of the time
     return _READY[name]
 
 
@@ -255,14 +298,12 @@ _DIGESTS = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "strin
 
 
 def _digests(found: list) -> tuple[int, str, str]:
-    ids, decoded = hashlib.sha256(), hashlib.sha256()
-    ids.update(b" ".join(x[1] for x in found if x[0]))
-    decoded.update(b" ".join(x[2] for x in found if x[0]))
-    return sum(len(x[0]) for x in found), ids.hexdigest(), decoded.hexdigest()
+    ids, decimals, decoded = zip(*filter(itemgetter(0), found)) if found else ((), (), ())
+    return sum(map(len, ids)), hashlib.sha256(b" ".join(decimals)).hexdigest(), hashlib.sha256(b" ".join(decoded)).hexdigest()
 
 
 def _ids(found: list) -> tuple[list[int]]:
-    return ([i for x in found for i in x[0]],)
+    return (list(chain.from_iterable(map(itemgetter(0), found))),)
 
 
 def _encoded(df: DataFrame, path: str, text: str, key: str, leaf: int, columns: list, give) -> DataFrame:
@@ -291,7 +332,7 @@ def _encoded(df: DataFrame, path: str, text: str, key: str, leaf: int, columns:
                         parts += [h.encode("utf-8", "surrogatepass") for h in halves]
                     else:
                         at.append(n)
-                        done.append(give([bpe.known[c] for c in chunks(x)] if x else []))
+                        done.append(give(list(map(bpe.known.__getitem__, chunks(x))) if x else []))
                         numbers.append(None)
                         parts.append(None)
                 whose = rows.take(pa.array(at, pa.int64()))
@@ -308,9 +349,12 @@ def _encoded(df: DataFrame, path: str, text: str, key: str, leaf: int, columns:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(spec.value, name)
         for table, starts, ends in whole_groups((s for b in batches for s in slices(b)), ("of",)):
+            lists = table.column("side").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
             for a, b in zip(starts, ends):
-                ids = bpe.concatenated([x.as_py() for x in table.column("side").slice(a, b - a)])
-                found = give([((i,), bpe.decimal[i], bpe.utf8[i]) for i in ids])
+                ids = bpe.concatenated([flat[edges[i] : edges[i + 1]].tolist() for i in range(a, b)])
+                found = give([bpe.described(ids)])
                 yield pa.record_batch([table.column("key").slice(a, 1).combine_chunks(), *(pa.array([x], c[1]) for x, c in zip(found, columns))], ["key", *names])
 
     rows = df.select(df[key].alias("key"), F.monotonically_increasing_id().alias("of"), df[text].alias("text"))
