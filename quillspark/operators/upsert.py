@@ -15,13 +15,21 @@ def latest_wins(rows: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -
     return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest)).select(rows.columns)
 
 
+def _both(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The full join of o and n on equal keys, a null key being equal to another, with in_o and in_n: on which sides a row is."""
+    o, n = old.withColumn("in_o", F.lit(True)).alias("o"), new.withColumn("in_n", F.lit(True)).alias("n")
+    return o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
+
+
+def _key(name: str) -> Column:
+    return F.when(F.col("in_n"), F.col(f"n.{name}")).otherwise(F.col(f"o.{name}"))
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """old with the rows of new in place of those with their keys; columns in ``keep`` stay as they were. new has one row for each key."""
-    o, n = old.alias("o"), new.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
-    there = F.col(f"n.{keys[0]}").isNotNull()
-    pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keys else F.when(F.col(f"o.{keys[0]}").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-    return o.join(n, on, "full").select(*(pick(c).alias(c) for c in old.columns))
+    """old with the rows of new in place of those with their keys; columns in ``keep`` stay as they were. new has one row for each key, and so has old; a null key is a key."""
+    there, was = F.col("in_n").isNotNull(), F.col("in_o").isNotNull()
+    pick = lambda c: F.when(was, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return _both(old, new, keys).select(*(pick(c).alias(c) for c in old.columns))
 
 
 def sticky(old: Column, new: Column, weak: Sequence[str], strong: Sequence[str]) -> Column:
@@ -34,13 +42,11 @@ def merged_artifacts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
 
     The same content keeps its delivery path and isn't set back from delivered or review; other content resets both.
     """
-    o, n = old.alias("o"), new.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     fresh, same = F.col("n.sha256").isNotNull(), F.col("o.sha256") == F.col("n.sha256")
     status = F.when(same, sticky(F.col("o.status"), F.col("n.status"), ("downloaded", "verified"), ("delivered", "review"))).otherwise(F.col("n.status"))
     path = F.when(same, F.coalesce("n.delivery_path", "o.delivery_path")).otherwise(F.col("n.delivery_path"))
-    return o.join(n, on, "full").select(
-        *(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys),
+    return _both(old, new, keys).select(
+        *(_key(k).alias(k) for k in keys),
         F.coalesce("n.sha256", "o.sha256").alias("sha256"),
         F.when(fresh, path).otherwise(F.col("o.delivery_path")).alias("delivery_path"),
         F.when(fresh, status).otherwise(F.col("o.status")).alias("status"),
@@ -49,10 +55,8 @@ def merged_artifacts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
 
 def merged_refs(old: DataFrame, new: DataFrame, keys: Sequence[str], weak=("available", "discovered"), strong=("downloaded", "failed", "blocked")) -> DataFrame:
     """References after new findings (keys, status): finding one again doesn't undo what was tried."""
-    o, n = old.alias("o"), new.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     status = F.when(F.col("n.status").isNull(), F.col("o.status")).otherwise(sticky(F.col("o.status"), F.col("n.status"), weak, strong))
-    return o.join(n, on, "full").select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), status.alias("status"))
+    return _both(old, new, keys).select(*(_key(k).alias(k) for k in keys), status.alias("status"))
 
 
 def versions(rows: DataFrame, keys: Sequence[str], content: str, seen: str) -> DataFrame:
@@ -62,9 +66,9 @@ def versions(rows: DataFrame, keys: Sequence[str], content: str, seen: str) -> D
 
 def changes(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     """(key, change): added, removed, changed or unchanged."""
-    o, n = old.select(F.col(key).alias("k_old"), F.col(content).alias("c_old")), new.select(F.col(key).alias("k_new"), F.col(content).alias("c_new"))
-    change = F.when(F.col("k_old").isNull(), "added").when(F.col("k_new").isNull(), "removed").when(F.col("c_old").eqNullSafe(F.col("c_new")), "unchanged").otherwise("changed")
-    return o.join(n, F.col("k_old") == F.col("k_new"), "full").select(F.coalesce("k_old", "k_new").alias(key), change.alias("change"))
+    o, n = old.select(F.col(key).alias("k"), F.col(content).alias("c")), new.select(F.col(key).alias("k"), F.col(content).alias("c"))
+    change = F.when(F.col("in_o").isNull(), "added").when(F.col("in_n").isNull(), "removed").when(F.col("o.c").eqNullSafe(F.col("n.c")), "unchanged").otherwise("changed")
+    return _both(o, n, ["k"]).select(_key("k").alias(key), change.alias("change"))
 
 
 def first_of_equal(rows: DataFrame, by: Column, *order: str) -> DataFrame:
@@ -75,7 +79,7 @@ def first_of_equal(rows: DataFrame, by: Column, *order: str) -> DataFrame:
 def snapshot(versions_: DataFrame, verdicts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """versions with the verdict's columns on exactly those that it was made for; the others keep what they had."""
     v, c = versions_.alias("v"), verdicts.select(*keys, *columns, F.lit(True).alias("judged")).alias("c")
-    joined = v.join(c, [F.col(f"v.{k}") == F.col(f"c.{k}") for k in keys], "left")
+    joined = v.join(c, [F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "left")
     return joined.select(*((F.when(F.col("judged"), F.col(f"c.{x}")).otherwise(F.col(f"v.{x}")) if x in columns else F.col(f"v.{x}")).alias(x) for x in versions_.columns))
 
 

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue, documents, packed, scans, writes  # noqa: F401  they register
+    from . import catalogue, documents, packed, scans, upgrades, writes  # noqa: F401  they register
 
     return dict(_QUERIES)
 
