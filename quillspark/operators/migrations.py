@@ -8,7 +8,6 @@ and only when all are there does the store's pointer name them: a step that fail
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Mapping
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..shared import read_json, write_json
 
 Tables = dict[str, DataFrame]
 SCHEMAS = {"notices": model.NOTICES, "artifacts": model.ARTIFACTS, "versions": model.VERSIONS}
@@ -114,19 +114,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._system = self._make(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> dict | None:
         """What the pointer says: the version's folder, its tables, and the steps that were applied to it."""
-        place = self._make(f"{self.path}/current")
-        if not self._system.exists(place):
-            return None
-        stream = self._system.open(place)
-        try:
-            return json.loads(bytes(b & 255 for b in stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return read_json(self.spark, f"{self.path}/current")
 
     def tables(self) -> Tables:
         """The tables of the version that counts."""
@@ -138,16 +129,7 @@ class Store:
         version = f"version-{uuid.uuid4().hex}"
         for name, rows in tables.items():
             rows.write.parquet(f"{self.path}/{version}/{name}")
-        said = json.dumps({"version": version, "tables": sorted(tables), "applied": applied}).encode()
-        fresh, place = self._make(f"{self.path}/{version}/pointer"), self._make(f"{self.path}/current")
-        stream = self._system.create(fresh, True)
-        try:
-            stream.write(bytearray(said))
-        finally:
-            stream.close()
-        self._system.delete(place, False)
-        if not self._system.rename(fresh, place):
-            raise OSError(f"the pointer of {self.path} can't be moved")
+        write_json(self.spark, f"{self.path}/current", {"version": version, "tables": sorted(tables), "applied": applied})
 
     def migrate(self, now: Column, steps: tuple[tuple[str, Step], ...] = MIGRATIONS) -> list[str]:
         """Applies the steps that the current version hasn't seen, in their order, and publishes the result; the names of those applied now."""

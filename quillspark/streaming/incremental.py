@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from ..operators import upsert
+from ..shared import hadoop_path, read_json, write_json
 
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -26,72 +27,96 @@ def hourly_counts(rows: DataFrame, time: str, group: str, delay: str) -> DataFra
     return rows.withWatermark(time, delay).groupBy(group, F.window(time, "1 hour").alias("w")).agg(F.count("*").alias("n")).select(group, F.col("w.start").alias("hour"), "n")
 
 
-#: A merged table's keys are dealt into so many buckets; a batch rewrites those that it touches.
-BUCKETS = 64
+#: So many neighbouring generations of like size become one; and so many batches an outlived generation stays for those who still read it.
+FAN, STAY = 8, 8
 
 
-def merge_into(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], sequence: Sequence[str], keep: Sequence[str] = (), available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
-    """Merges each batch into the Parquet table at a path, last writer wins by arrival.
+def merge_into(rows: DataFrame, table: str, checkpoint: str, keys: Sequence[str], sequence: Sequence[str], keep: Sequence[str] = (), available_now: bool = True, fan: int = FAN) -> StreamingQuery:
+    """Merges each batch into the table at a path, last writer wins by arrival; columns in ``keep`` stay as they were first written.
 
-    Keys are dealt into buckets by hash. A batch writes generation batch + 1 of the buckets that it touches, each from that
-    bucket's generation before; the newest whole generation of each bucket is the table (latest()). Generations that no reader of the
-    last two can need go. A batch that runs again writes its own generation again, so a restart changes nothing.
+    A batch writes its own rows only, as a generation, so what it writes follows the batch and not the table. When ``fan``
+    of the newest generations are of like size, they become one, with as many tasks as their size asks for: over time a row is
+    written again as often as the logarithm of the table's size. latest() merges what generations there are. Keys and ``keep`` are
+    recorded with the table, and others are refused. A batch that runs again writes its own generation again, so a restart changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = upsert.latest_wins(batch, keys, sequence).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        last = last.persist()
-        try:
-            touched = sorted(r["bucket"] for r in last.select("bucket").distinct().collect())  # at most ``buckets`` numbers
-            if not touched:
-                return
-            old = latest(spark, table, number, touched, bucket=True)
-            new = last if old is None else upsert.upserted(old.select(last.columns), last, [*keys, "bucket"], keep)
-            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/generation={number:012d}")
-        finally:
-            last.unpersist()
-        _tidy(spark, table, number)
+        layout = {"keys": list(keys), "keep": list(keep)}
+        known = read_json(spark, f"{table}/_layout")
+        if known is None:
+            write_json(spark, f"{table}/_layout", layout)
+        elif known != layout:
+            raise ValueError(f"{table} has {known}, not {layout}")
+        last = upsert.latest_wins(batch, keys, sequence)
+        last.write.mode("overwrite").parquet(_place(table, number, number))
+        _compact(spark, table, layout, number, fan)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _generations(spark: SparkSession, table: str, before: int | None) -> dict[int, list[tuple[int, str]]]:
-    """For each bucket its whole generations (number, path), newest first."""
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = make(table)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found: dict[int, list[tuple[int, str]]] = {}
+def _place(table: str, first: int, last: int) -> str:
+    return f"{table}/generation={first:012d}-{last:012d}"
+
+
+def _generations(spark: SparkSession, table: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]:
+    """(first batch, last batch, bytes, path) of the whole generations that make up the table, oldest first, and (first, last, path) of those that a wider one has outlived."""
+    system, root = hadoop_path(spark, table)
+    found = []
     for status in system.listStatus(root) if system.exists(root) else []:
         name = status.getPath().getName()
-        number = int(name.partition("=")[2]) if name.startswith("generation=") else -1
-        if number < 0 or (before is not None and number >= before) or not system.exists(make(f"{table}/{name}/_SUCCESS")):
-            continue
-        for inner in system.listStatus(status.getPath()):
-            own = inner.getPath().getName()
-            if own.startswith("bucket="):
-                found.setdefault(int(own.partition("=")[2]), []).append((number, f"{table}/{name}/{own}"))
-    return {k: sorted(v, reverse=True) for k, v in found.items()}
-
-
-def latest(spark: SparkSession, table: str, before: int | None = None, buckets: Sequence[int] | None = None, bucket: bool = False) -> DataFrame | None:
-    """The newest generation whose write ended of each bucket, or of the given ones, of those before a number; None if there is none. With ``bucket``, its number is a column."""
-    found = _generations(spark, table, before)
-    paths = [v[0][1] for k, v in sorted(found.items()) if buckets is None or k in buckets]
-    if not paths:
-        return None
-    rows = spark.read.parquet(*paths)
-    return rows.withColumn("bucket", F.regexp_extract(F.input_file_name(), "/bucket=([0-9]+)/", 1).cast("int")) if bucket else rows
-
-
-def _tidy(spark: SparkSession, table: str, number: int) -> None:
-    """Removes each bucket's generations older than the newest before this batch's: a batch that runs again still finds what it began from."""
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = make(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for kept in _generations(spark, table, number).values():
-        for _, path in kept[1:]:
-            system.delete(make(path), True)
+        if name.startswith("generation=") and system.exists(hadoop_path(spark, f"{table}/{name}/_SUCCESS")[1]):
+            first, last = map(int, name.partition("=")[2].split("-"))
+            found.append((first, last, f"{table}/{name}"))
+    counted, outlived = [], []
+    for first, last, path in sorted(found, key=lambda g: (g[0], -g[1])):
+        if counted and last <= counted[-1][1]:
+            outlived.append((first, last, path))
+        else:
+            counted.append((first, last, int(system.getContentSummary(hadoop_path(spark, path)[1]).getLength()), path))
+    return counted, outlived
+
+
+def _merged(spark: SparkSession, parts: Sequence[tuple[int, int, int, str]], layout: dict) -> DataFrame:
+    """Generations as one table: of each key the newest row, with the oldest values of the columns to keep; an aggregate, so no key is hot."""
+    if len(parts) == 1:
+        return spark.read.parquet(parts[0][3])
+    rows = None
+    for first, *_, path in parts:
+        own = spark.read.parquet(path).withColumn("x_from", F.lit(first))
+        rows = own if rows is None else rows.unionByName(own)
+    keys, keep = layout["keys"], layout["keep"]
+    rest = [c for c in rows.columns if c not in (*keys, *keep, "x_from")]
+    found = [F.max_by(F.struct(*rest), "x_from").alias("newest")] if rest else []
+    found += [F.min_by(F.struct(*keep), "x_from").alias("oldest")] if keep else []
+    merged = rows.groupBy(*keys).agg(*found) if found else rows.select(*keys).distinct()
+    pick = lambda c: F.col(c) if c in keys else F.col(f"{'oldest' if c in keep else 'newest'}.{c}").alias(c)
+    return merged.select(*(pick(c) for c in rows.columns if c != "x_from"))
+
+
+def _compact(spark: SparkSession, table: str, layout: dict, number: int, fan: int) -> None:
+    """Makes the newest generations one, if there are ``fan`` of which each is at most twice as large as all newer ones; then removes what was outlived long ago."""
+    counted, outlived = _generations(spark, table)
+    take, size = counted[-1:], sum(g[2] for g in counted[-1:])
+    for g in reversed(counted[:-1]):
+        if g[2] > 2 * size:
+            break
+        take.insert(0, g)
+        size += g[2]
+    if len(take) >= fan:
+        _merged(spark, take, layout).write.mode("overwrite").parquet(_place(table, take[0][0], take[-1][1]))
+    by = {path: min(g[1] for g in counted if g[0] <= first and last <= g[1]) for first, last, path in outlived}
+    for _, _, path in outlived:
+        if by[path] + STAY <= number:
+            system, place = hadoop_path(spark, path)
+            system.delete(place, True)
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table as the generations that are there make it; None if there is none."""
+    counted, _ = _generations(spark, table)
+    return _merged(spark, counted, read_json(spark, f"{table}/_layout")) if counted else None
 
 
 def on_each(rows: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -264,13 +264,29 @@ def test_streamed_windows_and_first_sightings(spark, tmp_path):
     assert rows(incremental.hourly_counts(frame, "t", "g", "1 hour"), "g", "n") == [("a", 2), ("b", 1)]
 
 
-def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
-    schema, source, table = "k int, v string, seq int", str(tmp_path / "in"), tmp_path / "table"
-    for n, part in enumerate(([(k, "a", 0) for k in range(40)], [(1, "b", 1)], [(1, "c", 2)], [(2, "d", 3)])):
+def test_a_batch_writes_its_own_rows_and_like_generations_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "STAY", 2)
+    schema, source, table = "k int, v string, first int, seq int", str(tmp_path / "in"), tmp_path / "table"
+
+    def merge(part, keys=("k",), **how):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        incremental.merge_into(incremental.stream_of(spark, source, schema), str(table), str(tmp_path / "cp"), ["k"], ["seq"], buckets=8).awaitTermination()
-        written = len(list((table / f"generation={n:012d}").glob("bucket=*")))
-        assert written == (8 if n == 0 else 1)
-    assert rows(incremental.latest(spark, str(table)).where("k in (1, 2, 3)"), "k", "v") == [(1, "c"), (2, "d"), (3, "a")]
-    assert incremental.latest(spark, str(table)).count() == 40
-    assert len(list(table.glob("generation=*/bucket=*"))) <= 8 + 3
+        incremental.merge_into(incremental.stream_of(spark, source, schema), str(table), str(tmp_path / "cp"), list(keys), ["seq"], keep=["first"], **how).awaitTermination()
+
+    merge([(k, "a", 0, 0) for k in range(10_000)] + [(None, "n", 0, 0)])
+    want = {k: ("a", 0) for k in range(10_000)} | {None: ("n", 0)}
+    for n in range(1, 8):
+        merge([(n, f"b{n}", n, n), (None, f"n{n}", n, n), (20_000 + n, "new", n, n)], fan=4)
+        want |= {n: (f"b{n}", 0), None: (f"n{n}", 0), 20_000 + n: ("new", n)}
+        own = table / f"generation={n:012d}-{n:012d}"
+        assert spark.read.parquet(str(own)).count() == 3
+    got = incremental.latest(spark, str(table))
+    assert {r.k: (r.v, r.first) for r in got.collect()} == want and got.count() == len(want)
+    counted, outlived = incremental._generations(spark, str(table))
+    assert [g[:2] for g in counted] == [(0, 0), (1, 7)] and (1, 4) in [g[:2] for g in outlived]
+    for n in range(8, 14):
+        merge([(n, "c", n, n)], fan=4)
+    assert not [g for g in incremental._generations(spark, str(table))[1] if g[1] <= 4]  # outlived long ago
+    assert len(incremental._generations(spark, str(table))[0]) <= 4
+    assert incremental.latest(spark, str(table)).count() == len(want)
+    with pytest.raises(Exception, match="not"):
+        merge([(1, "x", 1, 1)], keys=("k", "v"))
