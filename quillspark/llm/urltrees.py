@@ -27,11 +27,11 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, SMOOTH = 60, 3, 0.2, 32, 5.0
 #: A suffix's share of blocked URLs counts so many URLs of the overall share with its own.
 PRIOR = 10.0
-#: A URL is blocked where the trees give at least this probability: in doubt it is allowed.
-LEAST = 0.8
+#: A URL is blocked where the trees give at least this probability.
+LEAST = 0.5
 #: A learned URL has its suffix's share from the other folds, so that its own label isn't among its features.
 FOLDS = 5
-FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_part", "is_https", "has_fragment", "suffix_block_rate", "suffix_log_count")
+FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_part", "is_https", "has_fragment", "first_length", "first_digit_ratio", "first_letters", "suffix_block_rate", "suffix_log_count")
 
 
 def host_of(url: Column) -> Column:
@@ -56,14 +56,16 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def lexical(url: str | None, host: str, path: str) -> list[float]:
-    """The features that follow from one URL alone."""
+    """The features that follow from one URL alone; a first part of the path that is two letters, as of a language or a country, counts by its place in the alphabet."""
     url = url or ""
     n = len(url)
     counts = Counter(url)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
     query = url.partition("?")[2].partition("#")[0]
     parts = re.split(r"[/.\-_?=&#]", url)
-    return [n, len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1 if host else 0, sum(map(str.isdigit, url)) / n if n else 0.0, entropy, query.count("&") + 1 if query else 0, url.count("-"), max(map(len, parts)), float(url[:8].lower() == "https://"), float("#" in url)]
+    first = path[1:].partition("/")[0]
+    letters = (ord(first[0]) - 97) * 26 + ord(first[1]) - 97 if re.fullmatch("[a-z]{2}", first) else -1
+    return [n, len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1 if host else 0, sum(map(str.isdigit, url)) / n if n else 0.0, entropy, query.count("&") + 1 if query else 0, url.count("-"), max(map(len, parts)), float(url[:8].lower() == "https://"), float("#" in url), len(first), sum(map(str.isdigit, first)) / len(first) if first else 0.0, letters]
 
 
 class Tree(NamedTuple):

@@ -71,6 +71,19 @@ def test_language_of_documents_not_learned_from(spark, sf):
     assert np.mean([found[k]["lang_pred"] == true[k] for k in held]) > 0.97
 
 
+def test_trees_know_more_than_the_majority_of_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urltrees.placed(pages, registry.URL_RULES).where("listed is not null").dropDuplicates(["url"])
+    kept = F.pmod(F.xxhash64(F.lit("kept"), "url"), F.lit(3)) == 0
+    judge = urltrees.learned(rows.withColumn("listed", F.when(~kept, F.col("listed"))))
+    got = rows.where(kept).select("url", "host", "path", "suffix", "listed").collect()
+    x = np.array([[*urltrees.lexical(r["url"], r["host"], r["path"]), judge.suffixes.rate[0, r["suffix"]], judge.suffixes.count[r["suffix"]]] for r in got])
+    score, true = judge.forest.probability(x), np.array([r["listed"] == "block" for r in got])
+    better = np.subtract.outer(score[true], score[~true])
+    assert ((score >= urltrees.LEAST) == true).mean() > max(true.mean(), 1 - true.mean()) + 0.1
+    assert (better > 0).mean() + (better == 0).mean() / 2 > 0.85
+
+
 FOREIGN = {
     "zh": "本项目采用公开招标方式采购,欢迎符合条件的供应商参加投标。采购人为第一中学,预算金额为九十万元。",
     "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю. Россия является крупнейшей страной мира по территории.",
