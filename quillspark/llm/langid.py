@@ -32,9 +32,9 @@ PASSAGE = 400
 UNKNOWN = "und"
 #: Share of the windows of a step that are made for the class of no language.
 OTHERS = 0.2
-#: A text is in none of the learned languages if that class has more of its positions' probability than this, whatever their number: held-out texts
-#: of the given tables had up to 0.6 (a line of a licence in another English), those in scripts and programs that weren't learned 0.99 and more.
-NONE = 0.9
+#: A text is in none of the learned languages if that class has more of its positions' probability than this, whatever their number: short held-out
+#: texts of the given tables had up to 0.9 (a secret, an address, a line of a licence in another English), scripts and programs that weren't learned 0.998.
+NONE = 0.98
 LETTER = regex.compile(r"\p{L}")
 
 # Letters of scripts by their first and last code point, and the marks of programs.
