@@ -14,7 +14,8 @@ _TIME = r"(?:\s*([0-9]{1,2})\s*[:时]\s*([0-9]{1,2})(?:\s*分)?)?"
 
 
 def _day(text: Column, pattern: str, first: int = 1) -> Column:
-    parts = [F.regexp_extract(text, pattern, first + i) for i in range(3)]
+    found = F.regexp_extract(text, pattern, 0)  # the text is searched once, its parts are taken from what was found
+    parts = [F.regexp_extract(found, pattern, first + i) for i in range(3)]
     return F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
 
 
@@ -22,7 +23,8 @@ def labelled_date(text: Column, labels: Sequence[str]) -> Column:
     """The date after the first label that one follows, as yyyy-MM-dd, with HH:mm if a time follows; empty if it isn't on the calendar."""
     pattern = f"(?:{one_of(labels)})" + r"\s*[:：]?\s*" + _DAY + _TIME
     day = F.date_format(_day(text, pattern), "yyyy-MM-dd")
-    hour, minute = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (4, 5))
+    found = F.regexp_extract(text, pattern, 0)
+    hour, minute = (F.regexp_extract(found, pattern, i).try_cast("int") for i in (4, 5))
     time = F.when(hour.isNull(), "").when((hour < 24) & (minute < 60), F.format_string(" %02d:%02d", hour, minute))
     return F.coalesce(F.concat(day, time), F.lit(""))
 

@@ -39,9 +39,8 @@ def test_same_rows(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in QUERIES if k not in SQL and not k.startswith("op") and k != "pipeline"))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+def test_every_query_of_the_catalogue_has_sql():
+    assert not [k for k in QUERIES if k not in SQL and not k.startswith("op") and k != "pipeline"]
 
 
 def test_entry(spark):
