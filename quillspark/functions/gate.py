@@ -194,7 +194,7 @@ def verdicts(items: DataFrame, trusted: Sequence[str], redirects: Sequence[tuple
         ("captcha_page", F.array_contains("blocked", "captcha")),
         ("waf_block_page", F.array_contains("blocked", "firewall")),
         ("login_page", F.array_contains("blocked", "login")),
-        ("mime_magic_mismatch", (kind != "empty") & media_mismatch(kind, c("content_type"), given("final_url"), c("body"))),
+        ("mime_magic_mismatch", ~kind.isin("empty", "unknown") & media_mismatch(kind, c("content_type"), given("final_url"), c("body"))),
         ("unsupported_media_type", ~kind.isin("empty", "html", "json", *FILES)),
         ("empty_spa_shell", (kind == "html") & html.is_empty_shell(c("r.raw"), c("r.shown"), least)),
         ("malformed_json", (kind == "json") & ~semantic),
