@@ -159,7 +159,7 @@ def verdicts(items: DataFrame, trusted: Sequence[str], redirects: Sequence[tuple
     """items with error_codes, verdict, detected_kind, hosts and hashes.
 
     items: source_role, origin, final_url, content_type, body, analysis_body, expected_title, expected_buyer,
-    expected_project_code, document_kind; nulls count as not given. Every rule that is broken adds its code, in order.
+    expected_project_code, document_kind; nulls count as not given. What is expected is text, without entities. Every rule that is broken adds its code, in order.
     """
     c = F.col
     given = lambda x: F.coalesce(c(x), F.lit(""))

@@ -45,3 +45,14 @@ def test_every_query_of_the_catalogue_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "o_orderkey"
+
+
+def test_titles_with_entities_are_those_of_their_pages(spark, tmp_path):
+    page = "<html><head><title>{0}</title></head><body><h1>{0}</h1><p>A page of some forty letters or more, of no meaning.</p></body></html>"
+    titles = ("Now &amp;&amp;&amp; and *** then,&amp;&amp;&amp; the&amp;&", "&amp;&amp;&lt;", "Plain words of a title")
+    made = [(i, f"https://a.example.net/{i}", page.format(titles[i % 3])) for i in range(21)]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = QUERIES["mime_magic_verdict"](spark, str(tmp_path)).toPandas(), connection.sql(SQL["mime_magic_verdict"]).df()
+    assert rows(got) == rows(want)
