@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import vectorised
+from ..shipping import in_parts, vectorised
 from . import containers, html, urls
 
 # Media types by what they declare.
@@ -132,7 +132,7 @@ def read_one(body: bytes | None, content_type: str, rendered: bytes | None, titl
 @vectorised(READ)
 def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """(body, content type, rendered body, expected title, buyer, code, kind) -> what read_one() gives."""
-    for batch in batches:
+    for batch in in_parts(batches):
         rows = [read_one(*(bytes(x) if isinstance(x, (bytes, bytearray, memoryview)) else x for x in r)) for r in zip(*batch, strict=True)]
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..shipping import vectorised
+from ..shipping import in_parts, vectorised
 
 # What makes a link an attachment, and what makes a page one that blocks.
 EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "7z", "ofd", "txt")
@@ -205,14 +205,16 @@ PARSED = "text string, title string, headings string, outside string, links arra
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Column of pages -> struct with what parse() gives."""
     names = [x.split()[0] for x in PARSED.split(", ")]
-    for batch in pages:
+    for batch in in_parts(pages):
         yield pd.DataFrame([parse(x) for x in batch], columns=names)
 
 
 @vectorised(PARSED)
-def parsed_at(pages: pd.Series, url: pd.Series) -> pd.DataFrame:
+def parsed_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Columns of pages and their addresses -> struct with what parse() gives."""
-    return pd.DataFrame([parse(x, u or "") for x, u in zip(pages, url, strict=True)], columns=[x.split()[0] for x in PARSED.split(", ")])
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    for pages, url in in_parts(batches):
+        yield pd.DataFrame([parse(x, u or "") for x, u in zip(pages, url, strict=True)], columns=names)
 
 
 def strong_attachment(url: Column, label: Column) -> Column:

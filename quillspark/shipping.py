@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
+#: Rows that a function on whole pages or texts takes at once. What it makes of them is many times their size, and Spark's batches have up to 10 000 rows or 64 MB.
+ROWS = 256
+
 
 def ship(spark: SparkSession) -> None:
     """Adds the package to the files of the application, once; Spark hands them to executors, also to those that come later."""
@@ -28,6 +31,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def in_parts(batches: Iterator, rows: int = ROWS) -> Iterator:
+    """Batches (a series, or a tuple of series) cut into parts of so many rows, so that a worker holds the results of one part at a time."""
+    for batch in batches:
+        several = isinstance(batch, tuple)
+        for at in range(0, len(batch[0] if several else batch), rows):
+            yield tuple(x.iloc[at : at + rows] for x in batch) if several else batch.iloc[at : at + rows]
+
+
 def vectorised(returns: str) -> Callable:
     """Makes a function on pandas series, with type hints, one on columns; nothing needs a session until it is called."""
 
@@ -36,7 +47,7 @@ def vectorised(returns: str) -> Callable:
             ship(SparkSession.active())
             return F.pandas_udf(function, returns)(*columns)
 
-        on_columns.__name__, on_columns.__doc__ = function.__name__, function.__doc__
+        on_columns.__name__, on_columns.__doc__, on_columns.__wrapped__ = function.__name__, function.__doc__, function
         return on_columns
 
     return wrap

@@ -3,10 +3,12 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, fields, gate, html, lexicon, money, text, urls
+from quillspark.shipping import ROWS
 
 
 def value(spark, column, **given):
@@ -267,3 +269,16 @@ def test_found_terms_by_alternation(spark):
     t = F.col("t")
     assert value(spark, lexicon.has_any(t, ("a.b", "WAF")), t="use waf") and not value(spark, lexicon.has_any(t, ("a.b",)), t="aXb") and not value(spark, lexicon.has_any(t, ()), t="x")
     assert value(spark, lexicon.found_terms(t, ("WAF", "ids")), t="IDS and Waf") == ["WAF", "ids"]
+
+
+@pytest.mark.parametrize("function,given", [(html.parsed, ("<p>a</p>",)), (html.parsed_at, ("<p>a</p>", "https://a.example/")), (gate.read, (b"<p>a</p>", "", None, "", "", "", "")), (fields.table_values, ("a", "b"))])
+def test_long_batches_are_taken_in_parts(function, given):
+    batch = tuple(pd.Series([x] * (2 * ROWS + 88), dtype=object) for x in given)
+    found = list(function.__wrapped__(iter([batch if len(given) > 1 else batch[0]])))
+    assert [len(x) for x in found] == [ROWS, ROWS, 88]
+    assert all(x.iloc[0].astype(str).equals(found[0].iloc[0].astype(str)) for x in found)
+
+
+def test_a_column_of_many_pages_keeps_its_rows(spark):
+    pages = spark.range(3 * ROWS).coalesce(1).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("page"))
+    assert pages.where(html.parsed(F.col("page"))["text"] != F.col("id").cast("string")).count() == 0
