@@ -252,6 +252,13 @@ def resolved(base: str, url: str) -> list[str]:
     return list(dict.fromkeys(x.partition("#")[0] for x in out))
 
 
+@vectorised("array<struct<url:string,label:string,origin:string,targets:array<string>>>")
+def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Columns of addresses and their pages -> the pages' links alone, each with what resolved() gives for it."""
+    for base, pages in in_parts(batches):
+        yield pd.Series([[{"url": u, "label": v, "origin": o, "targets": resolved(b or "", u)} for u, v, o in _fed(x or "").links] for b, x in zip(base, pages, strict=True)], dtype=object)
+
+
 @vectorised("array<string>")
 def resolved_targets(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([resolved(b or "", u or "") for b, u in zip(base, url, strict=True)])

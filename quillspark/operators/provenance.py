@@ -55,9 +55,9 @@ def candidates(leads: DataFrame, registry: DataFrame, identity: str, url: str, p
     followed; exports and the lead's own host don't count; what is registered as official does, in its one spelling. An address over
     HTTP counts as that over HTTPS where its host is registered, and says so.
     """
-    links = leads.select(F.col(identity).alias("lead_identity"), F.col(url).alias("lead_url"), F.explode(html.parsed(F.col(page))["links"]).alias("link"))
+    links = leads.select(F.col(identity).alias("lead_identity"), F.col(url).alias("lead_url"), F.explode(html.linked(F.col(url), F.col(page))).alias("link"))
     links = links.where(~is_export(F.col("link.url"), F.col("link.label"), F.col("lead_url")))
-    spread = links.select("lead_identity", "lead_url", "link.origin", F.explode(html.resolved_targets(F.col("lead_url"), F.col("link.url"))).alias("target"))
+    spread = links.select("lead_identity", "lead_url", "link.origin", F.explode("link.targets").alias("target"))
     spread = addressed(spread, "target").where("official_url <> ''").where(F.col("x_host") != urls.host(F.col("lead_url"))).drop("x_host")
     named = urls.registered(spread, "official_host", registry, ("role", "key"), "official_url")
     named = named.where("role = 'official'").withColumn("x_place", urls.path(F.col("official_url")))
