@@ -8,14 +8,14 @@ once. The time a text takes follows its length and its hits, not the number of t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import in_parts, ship
 
 #: A dictionary of more characters is refused: it would be no dimension any more.
 MOST_CHARACTERS = 64_000_000
@@ -83,11 +83,12 @@ class Dictionary:
             self._sent = {application: spark.sparkContext.broadcast(self.entries)}
         entries, key = self._sent[application], self.key
 
-        def run(text: pd.Series) -> pd.Series:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if key not in _BUILT:
                 _BUILT[key] = Trie(entries.value)
             find = getattr(_BUILT[key], method)
-            return pd.Series([None if x is None else find(x) for x in text], dtype=object)
+            for text in in_parts(batches):
+                yield pd.Series([None if x is None else find(x) for x in text], dtype=object)
 
         return F.pandas_udf(run, returns)
 

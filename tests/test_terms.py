@@ -3,11 +3,13 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon, terms
 from quillspark.operators import places
+from quillspark.shipping import ROWS
 
 
 def test_hits_equal_a_search_for_each_term():
@@ -71,3 +73,10 @@ def test_time_follows_the_text_not_the_terms():
             best = min(best, time.perf_counter() - start)
         took.append(best)
     assert took[1] < 5 * took[0] + 0.05
+
+
+def test_long_batches_of_texts_are_taken_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(terms.F, "pandas_udf", lambda function, returns: function)
+    run = terms.Dictionary([("n", "a")])._function(terms.HITS, "hits")
+    found = list(run(iter([pd.Series(["a b", None] * ROWS)])))
+    assert [len(x) for x in found] == [ROWS, ROWS] and found[0].tolist() == found[1].tolist() == [[("n", "a", 1, 0)], None] * (ROWS // 2)
