@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -122,6 +122,21 @@ def rule_decision_of(hits: Column, strong: Sequence[str] = STRONG_TERMS) -> Colu
     )
 
 
+def decision_and_rules(text: Column, rules: Sequence[tuple[str, Sequence[str]]], strong: Sequence[str] = STRONG_TERMS, broad: Sequence[str] = BROAD_TERMS, negative: Sequence[str] = NEGATIVE_TERMS) -> tuple[Column, Callable, Callable]:
+    """(hits, verdict, names): the hits of all terms of a rule decision and of rules in one pass over a text, and two functions of the column that keeps these: what rule_decision() gives, and what all_rules() gives with a default."""
+    spoken = ("strong", "broad", "negative")
+    prefix = "rule:"  # so that a rule may be named like one of them
+    entries = ((spoken[0], strong), (spoken[1], broad), (spoken[2], negative), *((prefix + name, of) for name, of in rules))
+    hits = terms.Dictionary.rules(entries).hits(F.lower(F.coalesce(text, F.lit(""))))
+    verdict = lambda found: rule_decision_of(F.filter(found, lambda h: h["name"].isin(*spoken)), strong)
+
+    def names(found: Column, default: str) -> Column:
+        own = F.transform(F.filter(terms.names(found), lambda n: n.startswith(prefix)), lambda n: F.substring(n, len(prefix) + 1, 1 << 30))
+        return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(default)))
+
+    return hits, verdict, names
+
+
 def guarded(verdict: Column, text: Column, accept: float = 0.85, strong: Sequence[str] = STRONG_TERMS) -> Column:
     """A verdict (relevant, confidence, evidence, needs_review, ai_confirmed) sent to review where it isn't backed.
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quillspark.functions import lexicon, terms
 from quillspark.operators import places
 from quillspark.shipping import ROWS
@@ -80,3 +81,18 @@ def test_long_batches_of_texts_are_taken_in_parts(spark, monkeypatch):
     run = terms.Dictionary([("n", "a")])._function(terms.HITS, "hits")
     found = list(run(iter([pd.Series(["a b", None] * ROWS)])))
     assert [len(x) for x in found] == [ROWS, ROWS] and found[0].tolist() == found[1].tolist() == [[("n", "a", 1, 0)], None] * (ROWS // 2)
+
+
+def test_one_pass_decides_and_names_as_the_searches_do(spark):
+    said = ["防火墙 WAF", "软件", "消防安全 ids", "nothing", None, "等保 审计设备 安全运营", "strong"]
+    rules = (*lexicon.CATEGORY_RULES, ("strong", ("strong", "WAF")))
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    hits, verdict, names = lexicon.decision_and_rules(F.col("t"), rules)
+    found = rows.withColumn("h", hits).select(verdict(F.col("h")).alias("v"), names(F.col("h"), "other").alias("n")).collect()
+    assert found == rows.select(lexicon.rule_decision(F.col("t")).alias("v"), lexicon.all_rules(F.col("t"), rules, "other").alias("n")).collect()
+
+
+def test_the_plan_of_security_terms_searches_a_text_once(spark, sf, capsys):
+    entry.queries()["security_terms"](spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") and "contains(lower(" not in plan.lower()
