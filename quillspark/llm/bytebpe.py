@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import ahocorasick
 import pyarrow as pa
@@ -32,11 +32,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
     """The merge loop itself: the adjacent pair with the lowest rank is joined, leftmost first, until none can be."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
+    found = [ranks.get(a + b, 1 << 60) for a, b in pairwise(parts)]
+    while found and (rank := min(found)) < 1 << 60:
+        at = found.index(rank)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del found[at]
+        for i in (at - 1, at):  # the pairs that have the new part
+            if 0 <= i < len(found):
+                found[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
     return [ranks[x] for x in parts]
 
 
@@ -53,32 +56,27 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
             self.shorter[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
         self.automaton.make_automaton()
-        self.may_follow: dict[tuple[int, int], bool] = {}
-        self.known = _Pieces(self)
+        self.length = {rank: len(token) for rank, token in self.vocab.items()}
+        self.may_follow = Remembered(self.fits)
+        self.known = Remembered(lambda piece: self.piece(piece.encode()), 64)  # longer ones are rare, and would make the cache large
 
-    def fits(self, left: int, right: int) -> bool:
-        found = self.may_follow.get((left, right))
-        if found is None:
-            if len(self.may_follow) > CACHE:
-                self.may_follow.clear()
-            found = self.may_follow[left, right] = merged(self.ranks, self.vocab[left] + self.vocab[right]) == [left, right]
-        return found
+    def fits(self, pair: tuple[int, int]) -> bool:
+        return merged(self.ranks, self.vocab[pair[0]] + self.vocab[pair[1]]) == list(pair)
 
     def piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
         n = len(data)
-        longest, best = [0] * n, [0] * n
+        longest, lengths, may_follow = [0] * n, self.length, self.may_follow
         for end, (rank, length) in self.automaton.iter(data.decode("latin-1")):
-            if length > best[at := end - length + 1]:
-                longest[at], best[at] = rank, length
+            longest[end - length + 1] = rank  # ends ascend, so of one place's matches the longest comes last
         out: list[int] = []
         dead: set[int] = set()
         at, token = 0, longest[0]
         while at < n:
-            end = at + len(self.vocab[token])
-            if end not in dead and (not out or self.fits(out[-1], token)):
+            end = at + lengths[token]
+            if end not in dead and (not out or may_follow[out[-1], token]):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else -1
@@ -87,7 +85,7 @@ class Codec:
             else:
                 dead.add(at)
                 token = out.pop()
-                at -= len(self.vocab[token])
+                at -= lengths[token]
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
@@ -97,16 +95,21 @@ class Codec:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-class _Pieces(dict):
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+class Remembered(dict):
+    """What a function gave, in two generations: of what was met long ago only what came again since is kept. That costs time, never results. Keys of ``short`` parts and more aren't kept."""
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.codec.piece(piece.encode())
-        if len(piece) < 64:  # longer ones are rare, and would make the cache large
-            if len(self) > CACHE:
+    def __init__(self, find: Callable, short: int = 64) -> None:
+        self.find, self.short, self.older = find, short, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) < self.short:
+            if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = found
+            self[key] = found
         return found
 
 
