@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import in_parts, vectorised
+from ..shipping import in_parts, vectorised, vectorised_in_parts
 from . import containers, html, urls
 
 # Media types by what they declare.
@@ -129,7 +129,7 @@ def read_one(body: bytes | None, content_type: str, rendered: bytes | None, titl
     return kind, raw, shown, said, page, title_share, render_share, title, normal(buyer), normal(code), unicodedata.normalize("NFKC", wanted).strip().casefold()
 
 
-@vectorised(READ)
+@vectorised_in_parts(READ)
 def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """(body, content type, rendered body, expected title, buyer, code, kind) -> what read_one() gives."""
     for batch in in_parts(batches):

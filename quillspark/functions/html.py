@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..shipping import in_parts, vectorised
+from ..shipping import in_parts, vectorised, vectorised_in_parts
 
 # What makes a link an attachment, and what makes a page one that blocks.
 EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "zip", "rar", "7z", "ofd", "txt")
@@ -201,7 +201,7 @@ def parse(page: str | None, url: str = "") -> dict:
 PARSED = "text string, title string, headings string, outside string, links array<struct<url:string,label:string,origin:string>>, rows array<struct<text:string,links:array<struct<url:string,label:string>>>>"
 
 
-@vectorised(PARSED)
+@vectorised_in_parts(PARSED)
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Column of pages -> struct with what parse() gives."""
     names = [x.split()[0] for x in PARSED.split(", ")]
@@ -209,7 +209,7 @@ def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse(x) for x in batch], columns=names)
 
 
-@vectorised(PARSED)
+@vectorised_in_parts(PARSED)
 def parsed_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Columns of pages and their addresses -> struct with what parse() gives."""
     names = [x.split()[0] for x in PARSED.split(", ")]
@@ -252,7 +252,7 @@ def resolved(base: str, url: str) -> list[str]:
     return list(dict.fromkeys(x.partition("#")[0] for x in out))
 
 
-@vectorised("array<struct<url:string,label:string,origin:string,targets:array<string>>>")
+@vectorised_in_parts("array<struct<url:string,label:string,origin:string,targets:array<string>>>")
 def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Columns of addresses and their pages -> the pages' links alone, each with what resolved() gives for it."""
     for base, pages in in_parts(batches):
@@ -273,8 +273,3 @@ def decoded(body: bytes, content_type: str = "") -> str:
         except (LookupError, UnicodeDecodeError):
             continue
     return body.decode("utf-8", "replace")
-
-
-@vectorised("string")
-def decoded_text(body: pd.Series, content_type: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else decoded(bytes(b), c or "") for b, c in zip(body, content_type, strict=True)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gate, html, urls
-from ..shipping import vectorised
+from ..shipping import in_parts, vectorised_in_parts
 
 # Kinds of candidates, what exports look like, what divides titles, and how long a title's key must be.
 #: Kinds of candidates, in the order in which they are tried.
@@ -111,17 +112,24 @@ def title_keys_of(title: str) -> list[str]:
     return list(dict.fromkeys([whole, *[x for x in segments if len(x) >= LEAST_KEY][:1]]))
 
 
-@vectorised("array<string>")
-def title_keys(title: pd.Series) -> pd.Series:
-    return pd.Series([title_keys_of(x or "") for x in title])
-
-
-def row_links(pages: DataFrame, identity: str, page: str, title: Column, buyer: Column, code: Column) -> DataFrame:
-    """(identity, url): the one link of the one row of a group page that has one of the title's keys, the buyer and the code, in its text or its links; no row where it isn't unique. An empty buyer or code doesn't count; a title too short for a key matches nothing."""
-    rows = pages.select(F.col(identity).alias("own"), title_keys(title).alias("t"), gate.normalised(html.unescaped(buyer)).alias("b"), gate.normalised(html.unescaped(code)).alias("c"), F.explode(html.parsed(F.col(page))["rows"]).alias("row"))
-    said = gate.normalised(F.concat_ws(" ", "row.text", F.transform("row.links", lambda x: x["url"])))
-    fits = rows.withColumn("said", said).where(F.exists("t", lambda k: F.contains("said", k)) & F.contains("said", F.coalesce("b", F.lit(""))) & F.contains("said", F.coalesce("c", F.lit(""))))
-    links = fits.groupBy("own").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("row.links", lambda x: x["url"])))).alias("links"))
+@vectorised_in_parts("array<array<string>>")
+def fitting_rows(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(page as text, or as bytes with their content type, content type, title, buyer, code) -> the links of each row that says what is asked for."""
+    for batch in in_parts(batches):
+        found = []
+        for page, content_type, title, *others in zip(*batch, strict=True):
+            text = html.decoded(bytes(page), content_type or "") if isinstance(page, (bytes, bytearray, memoryview)) else page
+            keys, wanted = title_keys_of(title or ""), [gate.normal(unescape(x or "")) for x in others]
+            rows = [(gate.normal(" ".join([row["text"], *(x["url"] for x in row["links"])])), row["links"]) for row in html.parse(text)["rows"]]
+            found.append([[x["url"] for x in links] for said, links in rows if any(k in said for k in keys) and all(x in said for x in wanted)])
+        yield pd.Series(found, dtype=object)
+
+
+def row_links(pages: DataFrame, identity: str, page: str, title: Column, buyer: Column, code: Column, content_type: Column | None = None) -> DataFrame:
+    """(identity, url): the one link of the one row of a group page that has one of the title's keys, the buyer and the code, in its text or its links; no row where it isn't unique. An empty buyer or code doesn't count; a title too short for a key matches nothing. A page is text, or bytes with their content type."""
+    fits = fitting_rows(F.col(page), F.lit("") if content_type is None else content_type, title, buyer, code)
+    rows = pages.select(F.col(identity).alias("own"), F.explode(fits).alias("row"))
+    links = rows.groupBy("own").agg(F.array_distinct(F.flatten(F.collect_list("row"))).alias("links"))
     return links.where(F.size("links") == 1).select(F.col("own").alias(identity), F.col("links")[0].alias("url"))
 
 

@@ -47,9 +47,9 @@ def fetched(asked: DataFrame, responses: DataFrame, url: str) -> DataFrame:
 def from_groups(groups: DataFrame, registry: DataFrame) -> DataFrame:
     """Group pages with project_url, the address of the one row that is the lead's project (null where none is), and project_key, the source that it is registered for (null where it is no page of a notice)."""
     key = F.concat_ws(" ", "lead_identity", "attempt")
-    pages = groups.withColumn("x_key", key).withColumn("x_page", html.decoded_text("body", "content_type"))
-    links = provenance.row_links(pages, "x_key", "x_page", F.col("title"), F.col("buyer"), F.col("code")).withColumnRenamed("url", "x_link")
-    rows = pages.join(links, "x_key", "left").drop("x_page")
+    pages = groups.withColumn("x_key", key)
+    links = provenance.row_links(pages, "x_key", "body", F.col("title"), F.col("buyer"), F.col("code"), F.col("content_type")).withColumnRenamed("url", "x_link")
+    rows = pages.drop("body", "content_type").join(links, "x_key", "left")
     target = F.try_element_at(html.resolved_targets(F.coalesce("final_url", "official_url"), F.coalesce("x_link", F.lit(""))), F.lit(1))
     rows = provenance.addressed(rows.withColumn("x_target", F.when(F.col("x_link").isNotNull(), target)).withColumnsRenamed({"official_url": "group_url", "official_host": "group_host", "transport_upgraded": "x_up", "original_url": "x_original"}), "x_target")
     rows = urls.registered(rows, "official_host", registry.select("domain", "exact_only", F.col("role").alias("x_role"), F.col("key").alias("x_own")), ("x_role", "x_own"), "x_key")

@@ -8,8 +8,12 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 _SHIPPED: set[str] = set()
 
@@ -51,3 +55,47 @@ def vectorised(returns: str) -> Callable:
         return on_columns
 
     return wrap
+
+
+def _series(batches: Iterator) -> Iterator:
+    """Arrow arrays (one, or a tuple of them) as series of so many rows; what isn't at hand stays in Arrow's memory."""
+    for batch in batches:
+        several = isinstance(batch, tuple)
+        columns = batch if several else (batch,)
+        del batch
+        for at in range(0, len(columns[0]), ROWS):
+            part = tuple(x.slice(at, ROWS).to_pandas() for x in columns)
+            yield part if several else part[0]
+        # Spark reads the next batch before this variable would be set again
+        del columns
+
+
+def _array(found: pd.Series | pd.DataFrame, kind: pa.DataType) -> pa.Array:
+    """A series, or a frame with a column for each field of a struct, as an array of Arrow."""
+    if isinstance(found, pd.Series):
+        return pa.array(found, type=kind, from_pandas=True)
+    return pa.StructArray.from_arrays([pa.array(found[x.name], type=x.type, from_pandas=True) for x in kind], fields=list(kind))
+
+
+def vectorised_in_parts(returns: str) -> Callable:
+    """vectorised() for functions on iterators of series that hold whole pages: each series has ROWS rows at most.
+
+    Spark would make a whole batch of Arrow, up to 64 MB, Python's objects first, several times its size; here only a part is.
+    """
+
+    def wrap(function: Callable) -> Callable:
+        def on_columns(*columns: Column | str) -> Column:
+            ship(SparkSession.active())
+            kind = to_arrow_type(DataType.fromDDL(returns))
+
+            def on_arrays(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+                for found in function(_series(batches)):
+                    yield _array(found, kind)
+
+            on_arrays.__name__ = function.__name__  # for plans
+            return F.arrow_udf(on_arrays, returns)(*columns)
+
+        on_columns.__name__, on_columns.__doc__, on_columns.__wrapped__ = function.__name__, function.__doc__, function
+        return on_columns
+
+    return wrap

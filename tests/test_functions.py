@@ -4,10 +4,12 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillspark import shipping
 from quillspark.functions import dates, fields, gate, html, lexicon, money, text, urls
 from quillspark.shipping import ROWS
 
@@ -280,6 +282,28 @@ def test_long_batches_are_taken_in_parts(function, given):
     assert all(str(x.iloc[0]) == str(found[0].iloc[0]) for x in found)
 
 
+@pytest.mark.parametrize("function,given", [(html.parsed, ("<title>a</title><li><a href='/b'>b</a>",)), (html.parsed_at, ("<p>a</p>", "https://a.example/")), (gate.read, (b"<p>a</p>", "", None, "", "", "", "")), (html.linked, ("https://a.example/", "<a href='/b'>b</a>"))])
+def test_of_a_batch_only_a_part_becomes_objects(spark, monkeypatch, function, given):
+    monkeypatch.setattr(shipping.F, "arrow_udf", lambda run, returns: lambda *columns: run)
+    kinds = [pa.binary() if isinstance(x, bytes) or x is None else pa.string() for x in given]
+    batch = tuple(pa.array([x] * (2 * ROWS + 88), type=kind) for x, kind in zip(given, kinds, strict=True))
+    found = list(function("x")(iter([batch if len(given) > 1 else batch[0]] * 2)))
+    assert [len(x) for x in found] == [ROWS, ROWS, 88] * 2 and all(isinstance(x, pa.Array) for x in found)
+    asked = [pd.Series([x], dtype=object) for x in given]
+    plain = next(function.__wrapped__(iter([tuple(asked) if len(given) > 1 else asked[0]])))
+    assert found[0][0].as_py() == (plain.iloc[0] if isinstance(plain, pd.Series) else plain.to_dict("records")[0])
+
+
+def test_functions_on_whole_pages_get_parts(spark):
+    @shipping.vectorised_in_parts("long")
+    def lengths(batches):
+        for x in batches:
+            yield pd.Series([len(x)] * len(x))
+
+    found = spark.range(2 * ROWS + 88).coalesce(1).select(lengths("id").alias("n")).groupBy("n").count().collect()
+    assert sorted((r["n"], r["count"]) for r in found) == [(88, 88), (ROWS, 2 * ROWS)]
+
+
 def test_a_column_of_many_pages_keeps_its_rows(spark):
     pages = spark.range(3 * ROWS).coalesce(1).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("page"))
     assert pages.where(html.parsed(F.col("page"))["text"] != F.col("id").cast("string")).count() == 0

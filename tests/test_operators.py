@@ -166,6 +166,16 @@ def test_titles_with_a_purchaser_before_them(spark):
     assert rows(provenance.row_links(frame, "id", "html", F.lit("第一中学-设备购置"), F.lit(""), F.lit(""))) == []
 
 
+def test_group_pages_are_read_once_by_one_function(spark, capsys):
+    page = "<table><tr><td>第一中学乙项目购置</td><td><a href='/2'>看</a></td></tr><tr><td>丙</td><td><a href='/3'>看</a></td></tr></table>"
+    given = [("g", page.encode("gb18030"), "text/html; charset=gb18030"), ("u", page.encode(), None), ("n", None, None)]
+    frame = spark.createDataFrame(given, "id string, body binary, kind string")
+    found = provenance.row_links(frame, "id", "body", F.lit("乙项目购置"), F.lit("第一中学"), F.lit(None).cast("string"), F.col("kind"))
+    assert sorted(rows(found)) == [("g", "/2"), ("u", "/2")]
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 SITE = "https://site.test"
 
 
