@@ -56,3 +56,15 @@ def test_titles_with_entities_are_those_of_their_pages(spark, tmp_path):
     connection.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     got, want = QUERIES["mime_magic_verdict"](spark, str(tmp_path)).toPandas(), connection.sql(SQL["mime_magic_verdict"]).df()
     assert rows(got) == rows(want)
+
+
+def test_pages_whose_titles_are_cut_within_an_entity_have_the_rows_of_sql(spark, tmp_path):
+    page = '<html><head><title>{0}</title></head><body><ul><li><a href="/a?b=1&lt=2">x</a></li></ul><h1>{0}</h1><p>{0}</p> of a page.&copy; 1</body></html>'
+    whole = ("token = &quot;", "a &lt;", "a &gt;", "it&#x27;", "it&#39;", "you &amp;&amp;", "&amp;quot", "&amp;lt; b")
+    titles = sorted({x[:n] for x in whole for n in range(1, len(x) + 1)} | {"&quot9 a", "&lt b&gt c", "&ampere", "&amp&quot;&quot"})
+    made = [(i, f"https://a.example.net/{i}", page.format(x)) for i, x in enumerate(titles)]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = QUERIES["html_parsed"](spark, str(tmp_path)).toPandas(), connection.sql(SQL["html_parsed"]).df()
+    assert rows(got) == rows(want)
